@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import cube_mixing, quality_qda, quality_rules, secret_scan, simhash_dedup, toxicity
+from factloom.llm import cube_mixing, quality_qda, quality_rules, secret_scan, sentencepiece_scan, simhash_dedup, topk_search, toxicity, url_filter, warc
 from factloom.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), ids=False)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +40,14 @@ def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mixing.choose(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_simhash_dedup, op7_quality_classifier, op8_cube_mixing)}
-ORACLES: dict[str, str] = {}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_of_every(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_revisits(table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_simhash_dedup, op5_url_filter, op6_sentencepiece, op7_quality_classifier, op8_cube_mixing, op9_topk_search, op10_warc_revisits)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.ORACLE, "op10_warc_revisits": warc.ORACLE}
