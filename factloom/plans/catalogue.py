@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from factloom.plans import dashboards, operations, scoring, texts, vectors  # noqa: F401  they register themselves
+from factloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
