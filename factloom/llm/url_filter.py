@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SLOTS, BASE, SIZES = 2048, 131, (3, 4)
+BIAS_SLOT = SLOTS
 STEPS, RATE, RIDGE = 200, 0.5, 0.01
 MAX_LABELLED = 400
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,11 +86,10 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     rows = rows.select(F.xxhash64("url").alias("id"), "y", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     grams = with_grams(rows).select("id", "y", F.explode("grams").alias("g"), (1 / F.sqrt(F.size("grams").cast("double"))).alias("x"))
     grams = grams.groupBy("id", "y", "g").agg(F.sum("x").alias("x"))
-    left, right = grams.select(F.col("id").alias("a"), "g", F.col("x").alias("xa")), grams.select(F.col("id").alias("b"), "g", F.col("x").alias("xb"))
-    gram_matrix = left.join(right, "g").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("k"))
-    ids = rows.select("id", "y")
-    full = ids.select(F.col("id").alias("a"), "y").join(ids.select(F.col("id").alias("b")), F.lit(True)).join(gram_matrix, ["a", "b"], "left")
-    lines = full.groupBy("a", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", (F.coalesce("k", F.lit(0.0)) + 1).alias("k")))), lambda s: s["k"]).alias("k"))
+    grams = grams.unionAll(rows.select("id", "y", F.lit(BIAS_SLOT), F.lit(1.0)))  # every two rows share it
+    left, right = grams.select(F.col("id").alias("a"), "y", "g", F.col("x").alias("xa")), grams.select(F.col("id").alias("b"), "g", F.col("x").alias("xb"))
+    gram_matrix = left.join(right, "g").groupBy("a", "y", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("k"))
+    lines = gram_matrix.groupBy("a", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "k"))), lambda s: s["k"]).alias("k"))
     one = lines.agg(F.sort_array(F.collect_list(F.struct("a", "y", "k"))).alias("rows"))
     zeros = F.transform("rows", lambda r: F.lit(0.0))
 
@@ -103,12 +103,11 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
 
     solved = one.select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zeros, step).alias("alpha"))
     alpha = solved.select(F.explode(F.zip_with("rows", "alpha", lambda r, a: F.struct(r["a"].alias("id"), a.alias("a")))).alias("s")).select("s.id", "s.a")
-    bias = alpha.agg(F.sum("a")).first()[0] or 0.0
     found = alpha.join(grams, "id").groupBy("g").agg(F.sum(F.col("a") * F.col("x")).alias("w")).collect()  # at most SLOTS rows
-    weights = [0.0] * SLOTS
+    weights = [0.0] * (SLOTS + 1)
     for r in found:
         weights[r.g] = round(r.w, 9)
-    return weights, round(bias, 9)
+    return weights[:SLOTS], weights[BIAS_SLOT]
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
