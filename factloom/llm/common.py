@@ -66,3 +66,11 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, t
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])  # at_most rows bound what is broadcast
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

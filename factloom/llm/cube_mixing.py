@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_arrow, materialise, utf8
+from factloom.llm.common import fresh, map_arrow, materialise, utf8
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one flight, and undecided blocks that meet on the next level.
@@ -150,6 +150,7 @@ def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """docs as the mix takes them: each row as many times as it has copies. Rows that share an id take the most of theirs."""
-    copies = choose(docs, **parameters).groupBy("doc_id").agg(F.max("copies").cast("int").alias("n_copies")).withColumnRenamed("doc_id", "chosen_id")
-    joined = docs.join(copies.where("n_copies > 0"), F.expr("doc_id <=> chosen_id"))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("nth_copy")).drop("nth_copy")
+    chosen, times, nth = (fresh(name, docs) for name in ("chosen_id", "n_copies", "nth_copy"))
+    copies = choose(docs, **parameters).groupBy("doc_id").agg(F.max("copies").cast("int").alias(times)).withColumnRenamed("doc_id", chosen)
+    joined = docs.join(copies.where(F.col(times) > 0), F.expr(f"doc_id <=> {chosen}"))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)).drop(nth)

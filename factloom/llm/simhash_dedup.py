@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_arrow, materialise, prepare, utf8
+from factloom.llm.common import fresh, map_arrow, materialise, prepare, utf8
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of one key that are compared in one task; more are cut into blocks.
@@ -314,9 +314,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that have the smallest doc_id of their component, with all their columns. Of rows that share such an id
     one stays. Rows of null id stay only where their component has no id."""
     prints, classes = grouped(docs)
+    kept = fresh("kept_id", docs)
     ids = prints.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays"))
-    ids = materialise(ids.where("stays").select(F.col("doc_id").alias("kept_id"), "rows"))
-    once = docs.join(ids.where("rows = 1"), F.expr("doc_id <=> kept_id"), "left_semi")
-    if ids.where("rows > 1").isEmpty():
-        return once
-    return once.unionByName(docs.join(ids.where("rows > 1"), F.expr("doc_id <=> kept_id"), "left_semi").dropDuplicates(["doc_id"]))
+    ids = materialise(ids.where("stays").select(F.col("doc_id").alias(kept), "rows"))
+    once, more = (ids.where(f"rows {n}").select(kept) for n in ("= 1", "> 1"))
+    single = docs.join(once, F.expr(f"doc_id <=> {kept}"), "left_semi")
+    if more.isEmpty():
+        return single
+    return single.unionByName(docs.join(more, F.expr(f"doc_id <=> {kept}"), "left_semi").dropDuplicates(["doc_id"]))

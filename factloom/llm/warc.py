@@ -43,12 +43,15 @@ def canonical(url: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """One row for each revisit of records (record_id long, url, ts long, kind, headers map<string,string>): its canonical URL,
     the response it stands for, the verdict, and the merged headers (lower-case names)."""
-    lowered = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    names = F.transform(F.map_keys(own), lambda k: F.lower(k))
+    first = F.filter(F.map_entries(own), lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)  # of names that differ in case only
+    lowered = F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     rows = records.select("record_id", canonical(F.col("url")).alias("canon"), "ts", "kind", lowered.alias("headers"))
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.where(F.col("kind").isin(RESPONSE, REVISIT)).repartitionByRange(parts, F.col("canon"), F.col("ts"), F.col("record_id"))
     ranged = materialise(ranged.withColumn("part", F.spark_partition_id()))
-    mine = F.when(F.col("kind") == RESPONSE, F.struct("record_id", "headers"))
+    mine = F.when((F.col("kind") == RESPONSE) & F.col("canon").isNotNull(), F.struct("record_id", "headers"))
     here = Window.partitionBy("part", "canon").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = ranged.withColumn("found", F.last(mine, ignorenulls=True).over(here)).where(F.col("kind") == REVISIT)
     # what each partition hands on: its first and last URL, and the last response of the last one
