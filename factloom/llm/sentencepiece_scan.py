@@ -208,6 +208,10 @@ def combine(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return states[::-1]
 
 
+def _in_out(matrices: list[list[tuple[int, int]]]) -> list[pa.Array]:
+    return [pa.array([[pair[j] for pair in pairs] for pairs in matrices], pa.list_(pa.int64())) for j in (0, 1)]
+
+
 def digest(ids: list[int]) -> str:
     return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
@@ -247,21 +251,29 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool
         for batch in batches:
             yield from cut(batch)
 
-    chunks = giant.mapInArrow(cut_all, "doc_id long, key string, k long, n long, a long, b long, exact boolean, piece string")
-    chunks = materialise(chunks.dropDuplicates(["key", "k"]).drop("doc_id"))  # equal texts are encoded once; also deals the chunks out
+    def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Matrices where sure borders make them cheap; other chunks go on with their text."""
+        p = pieces(model)
+        for batch in cut_all(batches):
+            r = {name: batch.column(name)[0].as_py() for name in ("k", "n", "a", "b", "piece")}
+            easy = p.borders(r["piece"], r["a"], r["b"]) is not None
+            pairs = p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1) if easy else []
+            cols = [batch.column(c) for c in ("key", "k", "n", "a", "b")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([None if easy else r["piece"]], pa.string()), *_in_out([pairs])], ["key", "k", "n", "a", "b", "piece", "ins", "outs"])
 
     def matrices(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, out = pieces(model), []
-        for r in batch.to_pylist():
-            out.append(p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1))
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([[i for i, _ in x] for x in out], pa.list_(pa.int64())), pa.array([[o for _, o in x] for x in out], pa.list_(pa.int64()))], ["key", "k", "ins", "outs"])
+        p = pieces(model)
+        out = [p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1) for r in batch.to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), *_in_out(out)], ["key", "k", "ins", "outs"])
 
     def scan(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
         states = combine([list(zip(i, o, strict=True)) for i, o in zip(group["ins"].to_pylist(), group["outs"].to_pylist(), strict=True)])
         return pa.table({"key": group["key"], "k": group["k"], "into": pa.array([s[0] for s in states], pa.int64()), "out": pa.array([s[1] for s in states], pa.int64())})
 
-    states = map_arrow(chunks.select("key", "k", "n", "a", "b", "piece"), matrices, "key string, k long, ins array<long>, outs array<long>")
+    ends = materialise(giant.mapInArrow(boundaries, "key string, k long, n long, a long, b long, piece string, ins array<long>, outs array<long>").dropDuplicates(["key", "k"]))
+    hard = ends.where("piece is not null").select("key", "k", "n", "a", "b", "piece")
+    states = ends.where("piece is null").select("key", "k", "ins", "outs").unionAll(map_arrow(hard, matrices, "key string, k long, ins array<long>, outs array<long>"))
     states = states.groupBy("key").applyInArrow(scan, "key string, k long, into long, out long")
 
     def trace(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -269,6 +281,8 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool
         rows = [p.back(r["piece"], r["a"], r["b"], r["into"], r["out"]) for r in batch.to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([e and r[1] for e, r in zip(batch.column("exact").to_pylist(), rows, strict=True)]), pa.array([r[0] for r in rows], pa.list_(pa.int32()))], ["key", "k", "ok", "ids"])
 
+    # equal texts are traced once; one shuffle of the chunks serves this and the join
+    chunks = giant.mapInArrow(cut_all, "doc_id long, key string, k long, n long, a long, b long, exact boolean, piece string").drop("doc_id").dropDuplicates(["key", "k"])
     traced = map_arrow(chunks.join(states, ["key", "k"]).select("key", "k", "a", "b", "exact", "piece", "into", "out"), trace, "key string, k long, ok boolean, ids array<int>")
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("ok").alias("round_trip"))
     whole = whole.select("key", "round_trip", F.flatten(F.col("parts.ids")).alias("all_ids"))
