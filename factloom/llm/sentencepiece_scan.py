@@ -47,6 +47,7 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with inner spaces: spaces are no sure borders in this model")
+        self.raw = [b"" if self.sp.is_control(i) or self.sp.is_unknown(i) else bytes([int(self.sp.id_to_piece(i)[3:5], 16)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).encode() for i in range(self.sp.vocab_size())]
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs: dict[tuple[str | None, str], bool] = {}
 
@@ -55,7 +56,12 @@ class Pieces:
         return self.sp.encode(text, num_threads=1)
 
     def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+        """The text of whole encodings; bytes that are no UTF-8 become U+FFFD."""
+        return self.spelled(ids).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
+    def spelled(self, ids: list[int]) -> bytes:
+        """The pieces' bytes, spaces still marked."""
+        return b"".join(map(self.raw.__getitem__, ids))
 
     def merged(self, s: str) -> list[str]:
         """Encoding of a short string: the best-ranked neighbours merge first, of equals the leftmost."""
@@ -166,8 +172,7 @@ class Pieces:
                 ids += self.encode(text[sure[0] + 1 : sure[1]].replace(SPACE, " "))
             if sure[1] < end:
                 ids += path(None, sure[1], last)
-        data = b"".join(bytes([self.bytes.index(i)]) if self.sp.is_byte(i) else self.sp.id_to_piece(i).encode() for i in ids)
-        return ids, data.decode("utf-8", "replace") == text[begin:end]
+        return ids, self.spelled(ids) == text[begin:end].encode()
 
 
 #: State of a boundary that is known to be the edge of a piece.
@@ -228,7 +233,8 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool
         for t in utf8(batch.column(1)):
             text = t.decode()
             found = p.encode(text)
-            rows.append((len(found), digest(found), p.decode(found) == text, found))
+            same = SPACE not in text and p.spelled(found) == (SPACE + text.replace(" ", SPACE)).encode() if text else True
+            rows.append((len(found), digest(found), same, found))
         kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], kinds[j]) for j in range(3 + ids))], names)
 
