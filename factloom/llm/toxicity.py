@@ -2,8 +2,8 @@
 
 Terms are words and word beginnings that labelled examples of class 1 show more often (chi-square over the learning rows);
 all other words count as one common term. Vectors are TF-IDF of unit length. A block-max inverted index over the examples
-gives the exact k nearest by cosine: blocks are visited by falling upper bound until none can reach the kth score, ties
-go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a logistic fit on leave-one-out votes,
+gives the exact k nearest by cosine: blocks are visited by falling upper bound, a few and then more at a time, until none
+can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a logistic fit on leave-one-out votes,
 give the score; the nearest examples are the evidence. Learns from a bounded sample (`max_examples`) of the labelled rows
 in the learning folds; labels, lang, source and doc_id are no inputs of a score.
 
@@ -86,29 +86,40 @@ class BlockMaxIndex:
         at = np.repeat(place, [len(v[0]) for v in vectors])
         by = np.lexsort((at, term))
         self.at, self.weight, term = at[by], weight[by], term[by]
+        self.in_block = self.at // block
         edges = np.arange(n_terms)[:, None] * (self.blocks * block) + np.arange(self.blocks + 1)[None, :] * block
         self.ends = np.searchsorted(term * (self.blocks * block) + self.at, edges)
         self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term, self.at // block), self.weight)
+        np.maximum.at(self.most, (term, self.in_block), self.weight)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, exactly the k best by (cosine, smaller number); cosine 0 is no neighbour."""
         bound = weights @ self.most[ids] + 1e-9
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if len(best_s) == k and bound[b] < best_s[-1]:
+        order = np.argsort(-bound, kind="stable")
+        score = np.zeros(self.blocks * self.block)
+        done, kth, at, step = 0, -1.0, np.zeros(0, np.int64), 8
+        while done < len(order):
+            new = order[done : done + step]
+            new = new[bound[new] >= kth]  # bounds fall, so no later block can do more
+            if not len(new):
                 break
-            score = np.zeros(self.block)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[new] = True
             for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.ends[t, b], self.ends[t, b + 1]
-                score[self.at[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            score = np.round(score, 9)
-            hit = np.flatnonzero(score > 0)
-            best_i = np.concatenate([best_i, self.order[hit + b * self.block]])
-            best_s = np.concatenate([best_s, score[hit]])
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[top], best_s[top]
-        return best_i, best_s
+                lo, hi = self.ends[t, 0], self.ends[t, -1]
+                use = np.flatnonzero(chosen[self.in_block[lo:hi]]) + lo
+                score[self.at[use]] += w * self.weight[use]
+            places = (new[:, None] * self.block + np.arange(self.block)).ravel()
+            hit = places[score[places] > 0]
+            at = np.concatenate([at, hit])
+            s = np.round(score[at], 9)
+            if len(at) > k:
+                kth = np.partition(s, len(s) - k)[len(s) - k]
+                at, s = at[s >= kth], s[s >= kth]
+            done, step = done + step, step * 4
+        s, i = np.round(score[at], 9), self.order[at]
+        top = np.lexsort((i, -s))[:k]
+        return i[top], s[top]
 
 
 def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:
