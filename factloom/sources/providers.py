@@ -28,7 +28,7 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
 def with_model(rows: DataFrame, call: Callable[[list[str]], list[str | None]], text: str, out: str) -> DataFrame:
     """rows with the answers of a provider, called once a batch; a failed batch gives nulls."""
     ship(rows.sparkSession)
-    at = rows.columns.index(text)
+    names, at = rows.columns, rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +36,7 @@ def with_model(rows: DataFrame, call: Callable[[list[str]], list[str | None]], t
                 answers = call([x or "" for x in batch.column(at).to_pylist()])
             except (RuntimeError, OSError, ValueError):
                 answers = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*rows.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*names, out])
 
     return rows.mapInArrow(run, rows.withColumn(out, F.lit(None).cast("string")).schema)
 
