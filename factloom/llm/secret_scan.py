@@ -47,6 +47,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_DEEP_PERCENT = re.compile(r"%25(?:25)+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _TO_STANDARD = bytes.maketrans(b"-_", b"+/")
@@ -158,6 +159,19 @@ def _unescape(m: re.Match) -> str:
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
+def _unicode_marks(text: str) -> list[tuple[int, int, str, None]]:
+    """(start, end, character) of the escapes. One that gives the first character of another is followed at once, so a chain of
+    escapes takes one layer, not one each."""
+    found, m = [], _UNICODE.search(text)
+    while m:
+        start, end, new = m.start(), m.end(), _unescape(m)
+        while new in "\\&" and (further := _UNICODE.match(new + text[end : end + 12])):
+            end, new = end + further.end() - 1, _unescape(further)
+        found.append((start, end, new, None))
+        m = _UNICODE.search(text, end)
+    return found
+
+
 def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """The layers directly inside this one."""
     text = layer.text
@@ -173,7 +187,9 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             for w in _windows(again) if again is not None else (window,):
                 yield whole(s, e, w.decode("utf-8", "replace"))
 
-    if "%" in text and (runs := list(_PERCENT.finditer(text))):
+    if "%2525" in text:  # escapes of escapes of percent signs: to the last but one at once
+        yield _in_place(layer, [(m.start(), m.end(), "%25", None) for m in _DEEP_PERCENT.finditer(text)])
+    elif "%" in text and (runs := list(_PERCENT.finditer(text))):
         found = []
         for m in runs:
             data = bytes.fromhex(m[0].replace("%", ""))
@@ -182,8 +198,8 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             widths = [3 * len(c.encode()) for c in new]
             found.append((m.start(), m.end(), new, widths if sum(widths) == len(m[0]) else None))
         yield _in_place(layer, found)
-    if ("\\" in text or "&#" in text) and (marks := list(_UNICODE.finditer(text))):
-        yield _in_place(layer, [(m.start(), m.end(), _unescape(m), None) for m in marks])
+    if ("\\" in text or "&#" in text) and (marks := _unicode_marks(text)):
+        yield _in_place(layer, marks)
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=").encode().translate(_TO_STANDARD)
         run = run[: len(run) - (len(run) % 4 == 1)]

@@ -57,6 +57,13 @@ def test_fixpoint_ends_and_large_layers_are_read_whole():
     assert s.scan("")[1] == [] and s.written([]) == ""
 
 
+def test_long_chains_take_few_layers():
+    for text in ("%" + "25" * 50_000 + "41", "\\u005c" + "u005c" * 50_000 + "u0041", "&#38;" + "#38;" * 50_000 + "#65;"):
+        assert s.scan(text)[2] < 6
+    chain = "x passwd=%2525252561bcdefghijkl y"
+    assert ("assign" in s.written(s.scan(chain)[1])) and s.scan(chain)[1][0][2] == len(chain) - 2
+
+
 def test_query_columns_and_redaction(documents):
     rows = [(1, "token=abcdefghijkl x"), (2, "nothing"), (3, None), (4, "q " + base64.b64encode(SECRET.encode()).decode())]
     out = {r.doc_id: r for r in s.find(documents(rows)).collect()}
