@@ -105,3 +105,19 @@ def map_ability(votes: Column) -> Column:
 
 def round4(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
+
+
+def sparkline(values: Column) -> Column:
+    """Array of values on a scale of 0 to 1, by their own range (at least .1); null under two values."""
+    low, high = F.array_min(values), F.array_max(values)
+    spread = F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(0.1))
+    return F.when(F.size(values) >= 2, F.transform(values, lambda v: (v - low) / spread))
+
+
+def same_periods(grounding_a: Column, grounding_b: Column, integrity_a: Column, integrity_b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether the longer period says nothing that the shorter one doesn't."""
+    return grounding_a.eqNullSafe(grounding_b) & integrity_a.eqNullSafe(integrity_b) & n_a.eqNullSafe(n_b)
+
+
+def category_rank(category: Column) -> Column:
+    return F.when(category == "mainstream", 0).when(category == "partisan", 1).when(category == "fringe", 2).when(category == "reference", 3).otherwise(4)

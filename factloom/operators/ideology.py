@@ -77,3 +77,13 @@ def proxy(votes: DataFrame, key: str = "document_id") -> DataFrame:
     """The older measure: tanh of 1.5 times the signed share of confidence."""
     sign = F.when(F.col("y") == 1, F.col("confidence")).otherwise(-F.col("confidence"))
     return votes.groupBy(key).agg(F.tanh(1.5 * F.sum(sign) / F.nullif(F.sum("confidence"), F.lit(0.0))).alias("score"))
+
+
+def seed_bank(spark) -> DataFrame:
+    """A neutral bank of our own: five statements for each policy domain, made from a rule."""
+    verbs = ("expand public programmes for", "lower public spending on", "leave to local authorities", "set national standards for", "fund independent reviews of")
+    rows = []
+    for domain, words in K.POLICY_WORDS:
+        topic = domain.replace("_", " ")
+        rows += [(f"{domain}-{n}", "economic" if K.DIMENSIONS[domain] == "economic" else "social", K.DIMENSIONS[domain], domain, f"The state should {v} {topic}", list(words), n in (0, 3, 4), 1.0, 0.0, "active") for n, v in enumerate(verbs)]
+    return spark.createDataFrame(rows, "proposition_id string, axis string, dimension string, domain string, text string, keywords array<string>, liberal_is_pro boolean, discrimination_a double, difficulty_b double, status string")

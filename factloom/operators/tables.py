@@ -88,3 +88,17 @@ def overwrite(df: DataFrame, path: str, *partition: str) -> None:
     if partition:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition)
     writer.parquet(path)
+
+
+def feed_insert(feeds: DataFrame, rows: DataFrame) -> DataFrame:
+    """New feeds with their defaults; known URLs are passed over."""
+    new = rows.withColumns({"source_category": F.coalesce("source_category", F.lit("mainstream")), "polling_interval_minutes": F.coalesce("polling_interval_minutes", F.lit(15)), "is_active": F.coalesce("is_active", F.lit(True))})
+    return insert_if_absent(feeds, new, "url")
+
+
+def feed_update(feeds: DataFrame, feed_id: int | str, values: dict) -> DataFrame:
+    return feeds.withColumns({c: F.when(F.col("id") == feed_id, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def feed_delete(feeds: DataFrame, feed_id: int | str) -> DataFrame:
+    return feeds.where(F.col("id") != feed_id)

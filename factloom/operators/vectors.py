@@ -26,6 +26,16 @@ def _usable(df: DataFrame, id_col: str, vec: str, as_id: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias(as_id), F.col(vec).cast("array<double>").alias(vec)).where(F.col(as_id).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0))
 
 
+def _best_of_each(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the k best of each row, of equals the smaller id; minus infinity is no candidate."""
+    kth = np.partition(sim, max(sim.shape[1] - k, 0), axis=1)[:, max(sim.shape[1] - k, 0)]
+    row, col = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
+    order = np.lexsort((ids[col], -sim[row, col], row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], col[nth < k]
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding", exclude_equal: bool = True) -> DataFrame:
     """(left_id, right_id, sim, rank): for each left row its k right rows of greatest cosine above a bound; ties to the smaller
     id. Rows meet in blocks; a task returns only k a left row. Vectors must have one length."""
@@ -47,9 +57,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id
             for s in range(0, len(p), 1024):
                 sim = np.round(u[s : s + 1024] @ v.T, 9)
                 sim[(sim <= above) | (exclude_equal & (p[s : s + 1024, None] == q[None, :]))] = -np.inf
-                best = np.lexsort((np.broadcast_to(q, sim.shape), -sim), axis=1)[:, :k]
-                row, col = np.nonzero(np.take_along_axis(sim, best, 1) > -np.inf)
-                out.append((p[s : s + 1024][row], q[best[row, col]], sim[row, best[row, col]]))
+                row, col = _best_of_each(sim, q, k)
+                out.append((p[s : s + 1024][row], q[col], sim[row, col]))
         cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
         return pa.table({"left_id": cols[0], "right_id": cols[1], "sim": cols[2]})
 

@@ -146,3 +146,23 @@ def test_overwrite_of_partitions(spark, tmp_path):
     tables.overwrite(spark.createDataFrame([(1, "a"), (2, "b")], "p int, x string"), path, "p")
     tables.overwrite(spark.createDataFrame([(2, "c")], "p int, x string"), path, "p")
     assert sorted((r.p, r.x) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_feed_rows_and_seed(spark):
+    schema = "id int, url string, source_category string, polling_interval_minutes int, is_active boolean"
+    feeds = tables.feed_insert(spark.createDataFrame([(1, "a", "fringe", 5, True)], schema), spark.createDataFrame([(2, "a", None, None, None), (3, "b", None, None, None)], schema))
+    assert sorted(map(tuple, feeds.collect())) == [(1, "a", "fringe", 5, True), (3, "b", "mainstream", 15, True)]
+    assert tables.feed_update(feeds, 3, {"is_active": False}).where("not is_active").count() == 1 and tables.feed_delete(feeds, 1).count() == 1
+    from factloom.operators import ideology
+
+    assert ideology.seed_bank(spark).count() == 50
+
+
+def test_flow_scores_lie_in_their_range(spark):
+    from factloom.plans.flow import score_documents
+
+    text = " ".join(f"statement number {i} about the same thing was made in town yesterday by many people." for i in range(12))
+    docs = spark.createDataFrame([(str(i), f"p{i}", "mainstream", f"https://s{i}.test", text + f" {i}") for i in range(5)] + [("9", "p", "x", "u", None)], "doc_id string, publisher string, category string, url string, text string")
+    out = score_documents(docs).collect()
+    assert {r.document_id for r in out} == set("01234")
+    assert all(0 <= x <= 1 for r in out for x in (r.grounding_score, r.integrity_score, r.one_sidedness) if x is not None)

@@ -74,8 +74,8 @@ def test_providers(spark):
     assert [c.claim_text for c in value(spark, providers.valid_claims, '[{"claim_text":"short"},{"claim_text":"long enough claim"}]')] == ["long enough claim"]
     web = value(spark, providers.web_sources, '[{"url":"https://apnews.com/1","stance":"supports"},{"url":"https://apnews.com/1","stance":"contradicts"},{"url":""}]')
     assert [(w.url, w.nli_label, w.tier) for w in web] == [("https://apnews.com/1", "ENTAILMENT", "T2")]
-    v = value(spark, providers.hash_embedding, "a few words here")
-    assert abs(sum(x * x for x in v) - 1) < 1e-5 and value(spark, providers.hash_embedding, "") is None
+    v = providers.hashed_vector("a few words here")
+    assert abs(sum(x * x for x in v) - 1) < 1e-9 and providers.hashed_vector("") is None
     df = spark.createDataFrame([("a",), (None,)], "t string")
     assert sorted(r.u for r in providers.with_model(df, lambda xs: [x.upper() + "!" for x in xs], "t", "u").collect()) == ["!", "A!"]
     assert providers.prompt(["a {{X}}", "", "{{Y}}"], {"X": "1"}) == "a 1\n\n{{Y}}"
