@@ -29,8 +29,8 @@ def gated(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("nli_confidence", F.when(fails, F.least(conf, F.lit(K.SCOPE_FAIL_CAP))).otherwise(conf)).withColumn("nli_label", F.when(fails, "NEUTRAL").otherwise(F.col("nli_label")))
 
 
-def verdicts(evidence: DataFrame, key: str = "claim_id") -> DataFrame:
-    """One verdict a claim from gated rows (nli_label, nli_confidence, is_independent, tier, risk, is_attribution). The risk
+def verdicts(evidence: DataFrame, key: str = "claim_id", also: tuple[Column, ...] = ()) -> DataFrame:
+    """One verdict a claim, and named aggregates to carry along, from gated rows (nli_label, nli_confidence, is_independent, tier, risk, is_attribution). The risk
     gate comes first, then fusion, then attribution protection and the cap for low tiers."""
     free = F.coalesce("is_independent", F.lit(True))
     mean = lambda label: F.avg(F.when(free & (F.col("nli_label") == label), F.col("nli_confidence")))
@@ -39,9 +39,9 @@ def verdicts(evidence: DataFrame, key: str = "claim_id") -> DataFrame:
     rows = evidence.groupBy(key).agg(
         F.count_if(labelled).alias("n"), F.count_if(labelled & free).alias("free"), F.min(F.when(labelled, rank)).alias("best"),
         mean("ENTAILMENT").alias("s"), mean("CONTRADICTION").alias("c"), mean("NEUTRAL").alias("neutral"),
-        F.max("risk").alias("risk"), F.bool_or("is_attribution").alias("is_attribution"),
+        F.max("risk").alias("risk"), F.bool_or("is_attribution").alias("is_attribution"), F.struct(F.lit(0).alias("_"), *also).alias("also"),
     )
-    return rows.select(key, *fused()).select(key, "v.*")
+    return rows.select(key, *fused(), "also").select(key, "v.*", "also.*").drop("_")
 
 
 def fused() -> list[Column]:
@@ -72,7 +72,7 @@ def fused() -> list[Column]:
     return [v.alias("v")]
 
 
-def segment_labels(claims: DataFrame, key: str = "segment_id") -> DataFrame:
+def segment_labels(claims: DataFrame, key: str = "segment_id", also: tuple[Column, ...] = ()) -> DataFrame:
     """Label of each segment from its claims (label, confidence). One MIXED claim nets to UNKNOWN; only UNKNOWN claims make
     NOT_CHECKABLE."""
     w = F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))
@@ -80,8 +80,8 @@ def segment_labels(claims: DataFrame, key: str = "segment_id") -> DataFrame:
     total = lambda *pairs: F.sum(sum((F.when(is_(x), w * f).otherwise(0.0) for x, f in pairs), F.lit(0.0)))
     rows = claims.groupBy(key).agg(
         total(("SUPPORTED", K.VOTE_SUPPORT), ("MIXED", K.VOTE_MIXED)).alias("pos"), total(("CONTRADICTED", K.VOTE_CONTRADICT), ("MIXED", K.VOTE_MIXED)).alias("neg"),
-        F.count_if(F.col("label").isin("SUPPORTED", "CONTRADICTED", "MIXED")).alias("judged"),
+        F.count_if(F.col("label").isin("SUPPORTED", "CONTRADICTED", "MIXED")).alias("judged"), F.struct(F.lit(0).alias("_"), *also).alias("also"),
     )
     net = F.round(F.col("pos") - F.col("neg"), 9)
     label = F.when(F.col("judged") == 0, "NOT_CHECKABLE").when((F.col("pos") >= K.MIXED_MASS) & (F.col("neg") >= K.MIXED_MASS), "MIXED").when(net >= K.VOTE_CUT, "SUPPORTED").when(net <= -K.VOTE_CUT, "CONTRADICTED").otherwise("UNKNOWN")
-    return rows.select(key, label.alias("label"))
+    return rows.select(key, label.alias("label"), "also.*").drop("_")

@@ -28,12 +28,11 @@ def score_documents(docs: DataFrame, classify=providers.stub_class, infer=provid
     claims = segs.where("classification = 'FACTUAL_CLAIM'").select(F.col("segment_id").alias("claim_id"), "publisher", F.col("text_content").alias("text"), "embedding")
     found = evidence.gather(claims, corpus).join(claims.select("claim_id", F.col("text").alias("claim_text")), "claim_id")
     found = found.withColumn("nli", infer(F.col("claim_text"), F.col("evidence_text"))).withColumns({"nli_label": F.col("nli.label"), "nli_confidence": F.col("nli.confidence"), "risk": T.claim_risk(F.col("claim_text")), "is_attribution": T.is_attribution(F.col("claim_text"))})
-    judged = veracity.verdicts(veracity.gated(found)).select(F.col("claim_id").alias("segment_id"), "label", "confidence")
+    tiers = tuple(F.count_if(F.col("tier") == t).alias(t) for t in K.TIER_WEIGHT)
+    judged = veracity.verdicts(veracity.gated(found), also=tiers).select(F.col("claim_id").alias("segment_id"), "label", "confidence", *K.TIER_WEIGHT)
     checked = claims.select(F.col("claim_id").alias("segment_id")).join(judged, "segment_id", "left").withColumn("label", F.coalesce("label", F.lit("UNKNOWN")))
-    verdict = veracity.segment_labels(checked)
+    verdict = veracity.segment_labels(checked, also=tuple(F.sum(t).alias(t) for t in K.TIER_WEIGHT))
     rows = segs.join(verdict, "segment_id", "left").withColumn("label", F.coalesce("label", providers.initial_label(F.col("classification")), F.lit("OTHER")))
-    tiers = found.groupBy(F.col("claim_id").alias("segment_id")).agg(*(F.count_if(F.col("tier") == t).alias(t) for t in K.TIER_WEIGHT))
-    rows = rows.join(tiers, "segment_id", "left")
     is_ = lambda *x: F.count_if(F.col("label").isin(*x))
     g = rows.groupBy("document_id").agg(
         is_("SUPPORTED").alias("s"), is_("CONTRADICTED").alias("c"), is_("MIXED").alias("m"), is_("UNKNOWN").alias("u"), is_("OTHER", "OPINION", "NOT_CHECKABLE", "NEUTRAL").alias("excluded"), F.count("*").alias("n"),
