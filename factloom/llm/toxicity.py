@@ -3,8 +3,8 @@
 Terms are words and word beginnings that labelled examples of class 1 show more often (chi-square over the learning rows);
 all other words count as one common term. Vectors are TF-IDF of unit length. A block-max inverted index over the examples
 gives the exact k nearest by cosine: blocks are visited by falling upper bound, a few and then more at a time, until none
-can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a logistic fit on leave-one-out votes,
-give the score; the nearest examples are the evidence. Learns from a bounded sample (`max_examples`) of the labelled rows
+can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
+logistic fit on leave-one-out votes, give the score; the nearest examples are the evidence. Learns from a bounded sample (`max_examples`) of the labelled rows
 in the learning folds; labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts have no vector and no neighbours and are scored as a vote of 0; a null doc_id is
