@@ -78,7 +78,7 @@ class Pieces:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged((left or "") + right) == ([left, right] if left is not None else [right])
         return found

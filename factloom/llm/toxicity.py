@@ -53,7 +53,7 @@ class Vectors:
         for word, n in words_of(text).items():
             hit = known.get(word)
             if hit is None:
-                if len(known) > 200_000:
+                if len(known) > 50_000:
                     known.clear()
                 hit = known[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
             if hit:
@@ -157,7 +157,7 @@ class Model:
             near, sim = self.index.nearest(i, w, self.k) if len(i) else (np.zeros(0, np.int64), np.zeros(0))
             v = vote(sim, self.y[near], self.power)
             found = (float(1 / (1 + np.exp(-(self.slope * v + self.shift)))), self.ids[near[:5]].tolist(), sim[:5].tolist())
-            if len(self.cache) > 20_000:
+            if len(self.cache) > 4_000:
                 self.cache.clear()
             self.cache[key] = found
         return found
