@@ -4,7 +4,8 @@ A document is the first layer. Each layer is scanned for secrets and searched fo
 Unicode escapes (decoded in place), base64 runs and compressed data (decoded by themselves). What they decode to joins the
 worklist until nothing new comes; a layer equal to one it descends from is a cycle and ends there. Every layer carries, for
 each of its characters, the first and last place it came from in the document, so a secret found anywhere is reported as a
-span of the document. Large decompressed layers are scanned in overlapping windows, so memory stays bounded.
+span of the document. Compressed data is opened as a stream, through as many layers as it has, and scanned in overlapping
+windows. The worklist goes depth first and holds one part of each open layer, so memory stays bounded.
 
 Defined results: null and empty texts have no spans (the digest of the empty string); repeated rows each get a row; a null
 doc_id stays null; other columns are ignored; a span found in several layers is reported once.
@@ -20,6 +21,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +71,16 @@ def base_spans(text: str) -> list[Span]:
 class Layer:
     """text, and for each character the place in the document where it starts and ends (None: the document itself)."""
 
-    __slots__ = ("ancestors", "ends", "starts", "text")
+    __slots__ = ("ancestors", "ends", "own", "starts", "text")
 
     def __init__(self, text: str, starts: np.ndarray | None, ends: np.ndarray | None, ancestors: frozenset[bytes]):
-        self.text, self.starts, self.ends, self.ancestors = text, starts, ends, ancestors
+        self.text, self.starts, self.ends, self.ancestors, self.own = text, starts, ends, ancestors, None
+
+    def lineage(self) -> frozenset[bytes]:
+        """Digests of this layer and of those around it."""
+        if self.own is None:
+            self.own = self.ancestors | {_digest(self.text)}
+        return self.own
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (int(self.starts[start:end].min()), int(self.ends[start:end].max()))
@@ -82,31 +90,55 @@ def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def _inflate(data: bytes) -> Iterator[bytes] | None:
-    """Decompressed pieces of gzip, zlib, bzip2 or xz data; None for other data."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0):
-        tool = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
+def _tool(head: bytes) -> object | None:
+    """A decompressor for gzip, zlib, bzip2 or xz data that starts so; None for other data."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and int.from_bytes(head[:2], "big") % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
 
-    def pieces() -> Iterator[bytes]:
-        rest = data
-        try:
-            while not tool.eof:
+
+def _decompressed(pieces: Iterator[bytes], tool) -> Iterator[bytes]:
+    """What compressed data gives, piece by piece; members that follow one another are read on, damaged ends are dropped."""
+    try:
+        for rest in pieces:
+            while True:
                 piece = tool.decompress(rest, WINDOW)
                 rest = getattr(tool, "unconsumed_tail", b"")
                 if piece:
                     yield piece
-                elif not rest:
-                    return
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            return
+                if tool.eof:
+                    rest = tool.unused_data
+                    again = _tool(rest)
+                    if again is None:
+                        return
+                    tool = again
+                elif not rest and (not piece or getattr(tool, "needs_input", False)):
+                    break
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return
+
 
-    return pieces()
+def _inflate(data: bytes) -> Iterator[bytes] | None:
+    """Pieces of what is inside the compressed layers around it, however many; None for data that is not compressed. Layers
+    that start with the same piece as one around them are a cycle and end there."""
+    if _tool(data) is None:
+        return None
+    pieces, first, seen = iter(()), data, set()
+    while first and (tool := _tool(first)) is not None:
+        mark = hashlib.blake2b(first, digest_size=16).digest()
+        if mark in seen:
+            return iter(())
+        seen.add(mark)
+        inner = _decompressed(chain([first], pieces), tool)
+        opened = next(inner, b"")
+        if not opened:
+            return chain([first], pieces) if len(seen) > 1 else iter(())  # it looked compressed and is not
+        first, pieces = opened, inner
+    return chain([first], pieces)
 
 
 def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -178,14 +210,12 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
 
     def whole(s: int, e: int, new: str) -> tuple[str, np.ndarray, np.ndarray]:
         a, b = layer.place(s, e)
-        return new, np.full(len(new), a), np.full(len(new), b)
+        return new, np.broadcast_to(a, len(new)), np.broadcast_to(b, len(new))  # one place for all characters
 
     def inflated(data: bytes, s: int, e: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         pieces = _inflate(data)
         for window in _windows(pieces) if pieces is not None else ():
-            again = _inflate(window)
-            for w in _windows(again) if again is not None else (window,):
-                yield whole(s, e, w.decode("utf-8", "replace"))
+            yield whole(s, e, window.decode("utf-8", "replace"))
 
     if "%2525" in text:  # escapes of escapes of percent signs: to the last but one at once
         yield _in_place(layer, [(m.start(), m.end(), "%25", None) for m in _DEEP_PERCENT.finditer(text)])
@@ -222,20 +252,24 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans, and the number of layers read."""
     base = base_spans(text)
     every, read = set(base), 1
-    work = [Layer(text, None, None, frozenset())]
+    top = Layer(text, None, None, frozenset())
+    work = [(top, unwrap(top))]  # depth first: of each open layer one part at a time
     while work:
-        layer = work.pop()
-        lineage = None
-        for new, starts, ends in unwrap(layer):
-            lineage = lineage or layer.ancestors | {_digest(layer.text)}
-            if not new or _digest(new) in lineage:
-                continue
-            child = Layer(new, starts, ends, lineage)
-            read += 1
-            for s, kind, e in base_spans(new):
-                a, b = child.place(s, e)
-                every.add((a, kind, b))
-            work.append(child)
+        layer, parts = work[-1]
+        part = next(parts, None)
+        if part is None:
+            work.pop()
+            continue
+        new, starts, ends = part
+        lineage = layer.lineage()
+        if not new or _digest(new) in lineage:
+            continue
+        child = Layer(new, starts, ends, lineage)
+        read += 1
+        for s, kind, e in base_spans(new):
+            a, b = child.place(s, e)
+            every.add((a, kind, b))
+        work.append((child, unwrap(child)))
     return base, sorted(every), read
 
 

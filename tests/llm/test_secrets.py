@@ -1,7 +1,10 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -57,6 +60,29 @@ def test_fixpoint_ends_and_large_layers_are_read_whole():
     assert s.scan("")[1] == [] and s.written([]) == ""
 
 
+def test_compressed_layers_nest_follow_and_break_off():
+    pack = [gzip.compress, zlib.compress, bz2.compress, lzma.compress]
+    data = SECRET.encode()
+    for k in range(7):
+        data = pack[k % 4](data)
+    two = gzip.compress(b"hello ") + gzip.compress(SECRET.encode())
+    large = gzip.compress(gzip.compress(random.Random(1).randbytes(9 << 20) + SECRET.encode()))
+    broken = gzip.compress(SECRET.encode() * 9)[:-6]
+    like = gzip.compress(b"BZh is no archive here, " + SECRET.encode())
+    for x in (data, two, large, broken, like):
+        text = base64.b64encode(x).decode()
+        assert covers("z " + text, text)
+
+
+def test_large_layers_are_not_held_together():
+    bomb = base64.b64encode(gzip.compress(b"\n" * (64 << 20))).decode()
+    tracemalloc.start()
+    s.scan("z " + bomb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+
+
 def test_long_chains_take_few_layers():
     for text in ("%" + "25" * 50_000 + "41", "\\u005c" + "u005c" * 50_000 + "u0041", "&#38;" + "#38;" * 50_000 + "#65;"):
         assert s.scan(text)[2] < 6
