@@ -58,14 +58,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, train: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc_id, text, y) of at most `at_most` labelled rows, those whose hashed ids are smallest: a bounded sample that
-    depends on neither partitioning nor order. A document with several labels takes the largest; null labels and ids are none."""
+    depends on neither partitioning nor order. A document with several labels takes the largest, an id with several texts the
+    smallest; null labels and ids are none."""
     rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if train is not None:
         rows = rows.where(train(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])  # at_most rows bound what is broadcast
+    found = texts.join(F.broadcast(rows), "doc_id")  # at_most rows bound what is broadcast
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def fresh(name: str, df: DataFrame) -> str:
