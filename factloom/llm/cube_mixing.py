@@ -6,7 +6,8 @@ constraints (sum of ones, sum of sizes), so that the number of documents and of
 documents become certain. Blocks of documents of one source fly by themselves; the at most two documents each leaves
 undecided meet in blocks of the next level, until one block a source is left. There HELD documents wait for the
 others to fly; these few are the landing problem, solved by trying all their subsets for the words nearest to what is
-expected. Every draw comes from a hash of ids, so reruns agree.
+expected. Every draw comes from a hash of ids and texts, so reruns agree and rows that share an id or have none spread
+over blocks.
 
 Per source one short row comes to the driver (totals, for the targets); documents never do.
 
@@ -22,6 +23,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +119,11 @@ def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float
     spark = docs.sparkSession
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.array([len(t.split()) for t in utf8(batch.column(2))], np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["doc_id", "source", "size"])
+        texts = utf8(batch.column(2))
+        n, mark = np.array([len(t.split()) for t in texts], np.int64), np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(mark.view(np.int64))], ["doc_id", "source", "size", "mark"])
 
-    sized = materialise(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), measure, "doc_id long, source string, size long"))
+    sized = materialise(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), measure, "doc_id long, source string, size long, mark long"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets([(r.source, r.size) for r in totals], weights, most)
     ordered = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
@@ -128,7 +131,7 @@ def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float
     ratio = [goal[r.source] / r.size if r.size else 0.0 for r in ordered]
     plan = spark.createDataFrame([(k, r.source, r.size, goal[r.source], blocks[k], int(x + _EPS), max(0.0, x - int(x + _EPS))) for k, (r, x) in enumerate(zip(ordered, ratio, strict=True))], "sid int, of string, source_size long, target double, blocks int, whole long, part double")
     rows = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))  # one row a source
-    rows = rows.select("sid", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.col("blocks")).cast("long").alias("block"), F.xxhash64("doc_id").alias("h"), "doc_id", "size", F.col("part").alias("p"))
+    rows = rows.select("sid", F.pmod(F.xxhash64("doc_id", "mark", F.lit(8)), F.col("blocks")).cast("long").alias("block"), F.xxhash64("doc_id", "mark").alias("h"), "doc_id", "size", F.col("part").alias("p"))
     level, decided = 0, []
     left = rows
     while True:
