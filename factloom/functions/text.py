@@ -24,8 +24,10 @@ def _references(c: Column, pattern: str, base: int) -> Column:
 
     def decoded(p: Column) -> Column:
         digits = F.regexp_extract(p, pattern, 1)
-        code = F.conv(digits, base, 16)
-        return F.when(p.rlike(pattern), F.concat(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), replaced(p, pattern))).otherwise(F.concat(F.lit("&#"), p))
+        code = F.conv(digits, base, 10).cast("long")
+        known = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code).otherwise(F.lit(0xFFFD))  # no character has another
+        char = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+        return F.when(p.rlike(pattern), F.concat(char, replaced(p, pattern))).otherwise(F.concat(F.lit("&#"), p))
 
     return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded), ""))
 

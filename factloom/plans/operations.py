@@ -110,8 +110,11 @@ _CHANGES = "changes as (select user_id as doc_id, case event_type " + " ".join(f
 _FANOUT = "fanout(status, stage) as (values " + ", ".join(f"('{s}', '{x}')" for s, one in K.STATUS_STAGE.items() for x in K.STATUS_FANOUT.get(s, (one,))) + ")"
 
 
-@query(f"""with {_CHANGES}, {_FANOUT}, b as (select *, lag(status) over (partition by doc_id order by seq) as before from changes)
- select distinct doc_id, stage, b.status || ':' || seq as token from b join fanout using (status) where before is distinct from b.status""")
+_JOBS = f"""with {_CHANGES}, {_FANOUT}, b as (select *, lag(status) over (partition by doc_id order by seq) as before from changes)
+ select distinct doc_id, stage, b.status || ':' || seq as token from b join fanout using (status) where before is distinct from b.status"""
+
+
+@query(_JOBS)
 def enqueue_guard(spark: SparkSession, d: str) -> DataFrame:
     return status.status_jobs(_changes(spark, d))
 
@@ -178,7 +181,7 @@ def interval_match(spark: SparkSession, d: str) -> DataFrame:
     return interval_pairs(docs, events).select("doc_id", F.date_format("bucket", _STAMP).alias("bucket"))
 
 
-@query()
+@query(_JOBS)
 def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """status_stream over the event table as a stream, run to its end; the rows equal enqueue_guard's."""
     import tempfile

@@ -43,13 +43,24 @@ def clean_html(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("long").alias("length"), "ok")
 
 
-@query(f"select page_id, md5({_NAMED.format('html')}) as digest from pages where not regexp_matches(html, '&#[0-9xX]')")
+def _numeric(column: str, pattern: str, code: str) -> str:
+    """SQL that decodes the numeric references of a column; code gives the number of the part p."""
+    known = f"case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr(({code})::int) else chr(65533) end"
+    part = f"case when regexp_matches(p, '{pattern}') then {known} || regexp_replace(p, '{pattern}', '') else '&#' || p end"
+    return f"list_reduce(list_prepend(string_split({column}, '&#')[1], list_transform(string_split({column}, '&#')[2:], lambda p: {part})), lambda a, x: a || x)"
+
+
+_DECIMAL = _numeric("named", "^[0-9]{1,7};", "coalesce(try_cast(regexp_extract(p, '^([0-9]{1,7});', 1) as bigint), 0)")
+_HEX = _numeric("decimal", "^[xX][0-9a-fA-F]{1,6};", "coalesce(try_cast('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1) as bigint), 0)")
+
+
+@query(f"with n as (select page_id, {_NAMED.format('html')} as named from pages), d as (select page_id, {_DECIMAL} as decimal from n) select page_id, md5({_HEX}) as digest from d")
 def decode_entities(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where(~F.col("html").rlike("&#[0-9xX]"))
+    p = table(spark, d, "pages")
     return p.select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query()
+@query("select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: trim(x, ' ') <> ''))::int as sentences from documents")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
@@ -105,7 +116,7 @@ def share_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.xml_escape(F.substring("text", 1, 160)).alias("summary"))
 
 
-@query()
+@query("select page_id, 'P & ' || page_id as title, nullif(trim(url, ' '), '') as link from pages where url is not null")
 def rss_parse(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as one feed each and read back."""
     p = table(spark, d, "pages")

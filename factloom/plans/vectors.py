@@ -49,17 +49,28 @@ def cluster_greedy(spark: SparkSession, d: str) -> DataFrame:
     return events.story_clusters(e.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("at"), F.slice("embedding", 1, 3).alias("vec")))
 
 
-@query()
+@query(f"""with {_E}, c as (select vec_id, v, (vec_id % 9)::varchar as publisher, 'https://a.test/' || (vec_id % 50) as url, 'statement ' || label || ' number ' || (vec_id % 50) as text, list_distinct(['statement', label::varchar, 'number', (vec_id % 50)::varchar]) as words from e),
+ p as (select a.vec_id as claim_id, b.vec_id as segment_id, round(list_cosine_similarity(a.v, b.v), 9) as sim, a.publisher as own, b.publisher, b.url, b.text, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) as overlap from c a join c b on true),
+ r as (select *, row_number() over (partition by claim_id order by sim desc, segment_id) as rank from p where sim > {K.EVIDENCE_SIM}),
+ f as (select *, row_number() over (partition by claim_id, url, text order by rank) as nth from r where rank <= {K.EVIDENCE_FETCH} and own <> publisher),
+ t as (select *, row_number() over (partition by claim_id order by sim desc, segment_id) as n from f where nth = 1)
+ select claim_id, segment_id, round(sim, 6) as sim, publisher, 'mainstream' as category, url, text as evidence_text, overlap < {K.NEAR_DUPLICATE} and sim < {K.NEAR_DUPLICATE} as is_independent, 'T4' as tier from t where n <= {K.EVIDENCE_KEEP}""")
 def evidence_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Claims of one half of the vectors, segments of all; texts by label."""
     e = table(spark, d, "embeddings")
     name = F.concat(F.lit("statement "), F.col("label").cast("string"), F.lit(" number "), (F.col("vec_id") % 50).cast("string"))
     segments = e.select(F.col("vec_id").alias("segment_id"), (F.col("vec_id") % 9).cast("string").alias("publisher"), F.lit("mainstream").alias("category"), F.concat(F.lit("https://a.test/"), (F.col("vec_id") % 50).cast("string")).alias("url"), name.alias("text"), "embedding")
     claims = e.select((F.col("vec_id")).alias("claim_id"), (F.col("vec_id") % 9).cast("string").alias("publisher"), name.alias("text"), "embedding")
-    return evidence.gather(claims, segments)
+    return evidence.gather(claims, segments).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"""with {_E}, d as (select vec_id, v, 1700000000 + vec_id * 1800 as at, list_distinct([label::varchar, (vec_id % 3)::varchar]) as names, case when label % 2 = 0 then 'POLICY' else 'OTHER' end as kind from e where v is not null),
+ p as (select a.vec_id as doc_id, b.vec_id as event_id, list_cosine_similarity(a.v, b.v) as sim, len(list_intersect(a.names, b.names)) / len(list_distinct(list_concat(a.names, b.names))) as overlap, a.kind = b.kind as same
+  from d a join d b on b.vec_id % 2 = 0 and abs(a.at - b.at // 21600 * 21600) <= {K.EVENT_HOURS * 3600}),
+ n as (select *, row_number() over (partition by doc_id order by sim desc, event_id) as near from p where sim > {K.EVENT_KNN_SIM}),
+ s as (select *, {K.EVENT_SIM} * sim + {K.EVENT_JACCARD} * overlap + {K.EVENT_GEO} + case when same then {K.EVENT_TYPE} else 0 end as score from n where near <= {K.EVENT_KNN}),
+ b as (select *, row_number() over (partition by doc_id order by score desc, sim desc, event_id) as best from s)
+ select doc_id, event_id, round(score, 6) as score from b where best = 1 and score >= {K.EVENT_ACCEPT} and overlap >= {K.EVENT_MIN_JACCARD}""")
 def event_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     """Even vectors are known events, all are documents; hours apart by id."""
     e = table(spark, d, "embeddings")
@@ -67,7 +78,7 @@ def event_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     common = [F.array(F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")).alias("entities"), F.lit("US").alias("geo"), F.when(F.col("label") % 2 == 0, "POLICY").otherwise("OTHER").alias("event_type"), F.col("embedding").alias("vec")]
     docs = e.select(F.col("vec_id").alias("doc_id"), at.alias("at"), *common).where("vec is not null")
     known = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("event_id"), S.bucket_6h(at).alias("bucket"), *common)
-    return events.crosswalk(docs, known)
+    return events.crosswalk(docs, known).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_E}, k as (select label, list_transform(range(64), lambda i: 1.0::double) as one from e group by label) select vec_id, round(list_cosine_similarity(v, one), 6) as sim from e join k using (label)")

@@ -14,6 +14,7 @@ def value(spark, f, *args):
 def test_text(spark):
     v = lambda f, *a: value(spark, f, *a)
     assert v(T.decode_entities, "a &amp;lt; &#233;&#x1F600; &#bad &quot;") == 'a < é😀 &#bad "'
+    assert v(T.decode_entities, "&#0;&#xD800;&#9999999;&#xFFFFFF;&#65;") == "\ufffd" * 4 + "A"
     assert v(T.clean_rss, "x <IMG src=1> (Image credit: me) ") == "x"
     assert v(T.word_count, "<b>one</b> two") == 2 and v(T.word_count, " ") is None
     assert v(T.sentences, "A b. C? D") == ["A b.", "C?", "D"]
