@@ -88,13 +88,13 @@ def crosswalk(sim: Column, entity_jaccard: Column, same_geo: Column, kind: Colum
 
 
 def map_ability(votes: Column) -> Column:
-    """Maximum a posteriori ability of votes array<struct(y double, b double)>, unit normal prior: struct(theta, h, iterations)
-    after up to ten capped Newton steps. h belongs to the theta before the last step."""
+    """Maximum a posteriori ability of votes array<struct(b double, y double, n long)>, y the sum of n votes of difficulty b,
+    unit normal prior: struct(theta, h, iterations) after up to ten capped Newton steps. h belongs to the theta before the last step."""
 
     def step(state: Column, _: Column) -> Column:
         p = lambda v: 1 / (1 + F.exp(-(state["theta"] - v["b"])))
-        g = F.aggregate(votes, F.lit(0.0), lambda s, v: s + v["y"] - p(v)) - state["theta"]
-        h = F.aggregate(votes, F.lit(0.0), lambda s, v: s - p(v) * (1 - p(v))) - 1.0
+        g = F.aggregate(votes, F.lit(0.0), lambda s, v: s + v["y"] - v["n"] * p(v)) - state["theta"]
+        h = F.aggregate(votes, F.lit(0.0), lambda s, v: s - v["n"] * p(v) * (1 - p(v))) - 1.0
         delta = F.greatest(F.lit(-K.IRT_MAX_STEP), F.least(F.lit(K.IRT_MAX_STEP), g / F.least(h, F.lit(K.IRT_FLOOR))))
         moved = F.struct((state["theta"] - delta).alias("theta"), h.alias("h"), (state["iterations"] + 1).alias("iterations"), (F.abs(delta) < K.IRT_TOL).alias("done"))
         return F.when(state["done"], state).otherwise(moved)

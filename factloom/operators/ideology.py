@@ -14,13 +14,18 @@ from factloom.operators.evidence import top_k
 BANK_ROWS = 10_000
 
 
+def _small(bank: DataFrame) -> DataFrame:
+    """The bank, if it may be broadcast."""
+    if bank.limit(BANK_ROWS + 1).count() > BANK_ROWS:
+        raise ValueError(f"a proposition bank has at most {BANK_ROWS} rows")
+    return bank
+
+
 def match_propositions(segments: DataFrame, bank: DataFrame) -> DataFrame:
     """(document_id, segment_id, proposition_id, sim, adjusted): six best propositions a segment above their bound, of the eight
     best segments a document. segments: document_id, segment_id, position_index, text, token_count, classification,
     embedding; bank: proposition_id, domain, keywords, embedding."""
-    if bank.count() > BANK_ROWS:
-        raise ValueError(f"a proposition bank has at most {BANK_ROWS} rows")
-    b = bank.select("proposition_id", F.col("domain").alias("own_domain"), "keywords", F.col("embedding").alias("prop_vec"))
+    b = _small(bank).select("proposition_id", F.col("domain").alias("own_domain"), "keywords", F.col("embedding").alias("prop_vec"))
     rows = segments.where(F.coalesce("token_count", F.lit(0)) >= K.STANCE_MIN_TOKENS).where("embedding is not null").join(F.broadcast(b))
     hit, mine = T.keyword_overlap(F.col("keywords"), F.col("text")), T.policy_domain(F.col("classification"))
     sim = S.cosine(F.col("embedding"), F.col("prop_vec"))
@@ -36,7 +41,7 @@ def usable_stances(stances: DataFrame, bank: DataFrame) -> DataFrame:
     """Stances that vote: known propositions, confidence of at least .50, PRO or ANTI, quote found."""
     clear = (F.col("confidence") >= 0.50) & F.coalesce("quote_ok", F.lit(True))
     kept = stances.where(F.col("confidence") >= 0.30).withColumn("stance", F.when(clear, F.col("stance")).otherwise("UNCLEAR"))
-    return kept.join(F.broadcast(bank.select("proposition_id", "domain", "liberal_is_pro", "difficulty_b")), "proposition_id").where(F.col("stance").isin("PRO", "ANTI"))
+    return kept.join(F.broadcast(_small(bank).select("proposition_id", "domain", "liberal_is_pro", "difficulty_b")), "proposition_id").where(F.col("stance").isin("PRO", "ANTI"))
 
 
 def cap_domains(votes: DataFrame, key: str = "document_id") -> DataFrame:
@@ -56,11 +61,26 @@ def vote(stance: Column, liberal_is_pro: Column) -> Column:
 
 def estimate(votes: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, score, theta_raw, se, n_propositions): one ability a document from votes (proposition_id, y, b); null under two
-    propositions."""
-    rows = votes.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("proposition_id", "y", "b"))), lambda v: F.struct(v["y"].alias("y"), v["b"].alias("b"))).alias("votes"), F.count_distinct("proposition_id").alias("distinct"))
-    rows = rows.withColumn("m", F.when(F.col("distinct") >= K.IRT_MIN_STANCES, S.map_ability(F.col("votes"))))
-    theta, h = F.col("m.theta"), F.least(F.col("m.h"), F.lit(K.IRT_FLOOR))
-    return rows.select(key, S.round4(F.tanh(theta / 2)).alias("score"), S.round4(theta).alias("theta_raw"), S.round4(F.sqrt(-1 / h)).alias("se"), F.size("votes").cast("long").alias("n_propositions"))
+    propositions. Votes of equal difficulty are counted before they meet, so a document's row is as wide as the bank has
+    difficulties, however many votes it has."""
+    level = votes.groupBy(key, "b").agg(F.sum("y").alias("y"), F.count("*").alias("n"), F.min("proposition_id").alias("first"), F.max("proposition_id").alias("last"))
+    several = F.min("first") != F.max("last")  # IRT_MIN_STANCES is two
+    rows = level.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("b", "y", "n"))).alias("votes"), F.sum("n").alias("n_propositions"), F.coalesce(several, F.lit(False)).alias("several"))
+    rows = rows.withColumn("m", F.when(F.col("several"), S.map_ability(F.col("votes"))))
+    theta, h = F.col("m.theta"), F.when(F.col("several"), F.least(F.col("m.h"), F.lit(K.IRT_FLOOR)))
+    return rows.select(key, S.round4(F.tanh(theta / 2)).alias("score"), S.round4(theta).alias("theta_raw"), S.round4(F.sqrt(-1 / h)).alias("se"), "n_propositions")
+
+
+#: SQL for estimate(): a recursive step for each Newton step. Needs votes (key, axis, proposition_id, y, b).
+ESTIMATE_SQL = f"""levels as (select key, axis, b, sum(y) as y, count(*) as n from votes group by all),
+ sizes as (select key, axis, count(*) as n_propositions, count(distinct proposition_id) >= {K.IRT_MIN_STANCES} as several from votes group by all),
+ steps as (select key, axis, 0::double as theta, 0::double as h, 0 as it, false as done from sizes where several
+  union all select key, axis, theta - delta, h, it + 1, abs(delta) < {K.IRT_TOL} from (select *, greatest(-{K.IRT_MAX_STEP}, least({K.IRT_MAX_STEP}, g / least(h, {K.IRT_FLOOR}))) as delta from
+   (select s.key, s.axis, s.theta, s.it, sum(y - n / (1 + exp(b - s.theta))) - s.theta as g, -sum(n / (1 + exp(b - s.theta)) * (1 - 1 / (1 + exp(b - s.theta)))) - 1 as h
+    from steps s join levels l on l.key = s.key and l.axis = s.axis where not s.done and s.it < {K.IRT_STEPS} group by s.key, s.axis, s.theta, s.it))),
+ ends as (select key, axis, arg_max(theta, it) as theta, arg_max(h, it) as h from steps group by key, axis),
+ estimates as (select key, axis, floor(tanh(theta / 2) * 10000 + 0.5) / 10000 as score, floor(theta * 10000 + 0.5) / 10000 as theta_raw, floor(sqrt(-1 / case when h < {K.IRT_FLOOR} then h when h >= {K.IRT_FLOOR} then {K.IRT_FLOOR} end) * 10000 + 0.5) / 10000 as se, n_propositions
+  from sizes left join ends using (key, axis))"""
 
 
 def axes(votes: DataFrame, key: str = "document_id") -> DataFrame:

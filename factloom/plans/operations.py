@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import constants as K
-from factloom.operators import tables
+from factloom.operators import ideology, tables
 from factloom.plans.registry import query
 from factloom.session import table
 from factloom.streaming import status
@@ -254,12 +254,11 @@ def domain_cap(spark: SparkSession, d: str) -> DataFrame:
     return cap_domains(votes, "user_id").select("user_id", F.col("idx").alias("event_id"), F.col("confidence").alias("k"))
 
 
-@query()
+@query(f"""with recursive {_METRICS}, votes as (select user_id as key, 'all' as axis, event_id as proposition_id, case when stage in ('view', 'purchase') then 1.0::double else 0 end as y, ((k % 5 - 2) / 2)::double as b from metrics), {ideology.ESTIMATE_SQL}
+ select key as user_id, score, theta_raw, se, n_propositions from estimates""")
 def irt_map(spark: SparkSession, d: str) -> DataFrame:
     """Ability of each user: events are votes, difficulty from k."""
-    from factloom.operators.ideology import estimate
-
     votes = metrics(spark, d).select("user_id", F.col("event_id").alias("proposition_id"), F.col("stage").isin("view", "purchase").cast("double").alias("y"), ((F.col("k") % 5 - 2) / 2).cast("double").alias("b"))
-    return estimate(votes, "user_id")
+    return ideology.estimate(votes, "user_id")
 
 

@@ -168,7 +168,13 @@ def ideology_badges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.ideology_badge(F.col("doc_id") % 11 - 5).alias("badge"))
 
 
-@query()
+_DOMAIN_AXES = ", ".join(f"({n}, '{x}')" for n, x in enumerate(K.DIMENSIONS.values()))
+_SHOWN = "floor(coalesce({}.score, o.score) * 1000 + 0.5) / 100"
+
+
+@query(f"""with recursive dims(place, dim) as (values {_DOMAIN_AXES}), cast_votes as (select user_id as key, event_id as proposition_id, case when event_type in ('view', 'purchase') then 1.0::double else 0 end as y, 0.0::double as b, dim from events left join dims on place = cast(json_extract_string(props, '$.k') as int) % {len(K.DIMENSIONS)}),
+ votes as (select key, 'overall' as axis, proposition_id, y, b from cast_votes union all select key, case dim when 'economic' then 'economic' else 'social' end, proposition_id, y, b from cast_votes where dim in ('economic', 'social', 'executive')), {ideology.ESTIMATE_SQL}
+ select o.key as document_id, o.score, o.se, o.n_propositions, {_SHOWN.format("e")} as economic, {_SHOWN.format("s")} as social from estimates o left join estimates e on e.key = o.key and e.axis = 'economic' left join estimates s on s.key = o.key and s.axis = 'social' where o.axis = 'overall'""")
 def ideology_axes(spark: SparkSession, d: str) -> DataFrame:
     """Displays by axis of each user: events vote on propositions of domains by k."""
     k = F.get_json_object("props", "$.k").cast("int")
