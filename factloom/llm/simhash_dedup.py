@@ -33,6 +33,8 @@ BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 BLOCK = 16384
 PROBE_COST, VERIFY_COST = 1.0, 0.02
 _PIECE = 1 << 15
+#: Together they tell texts apart.
+_HASHES = ("xxhash64(text)", "xxhash64(1, text)")
 
 
 def fingerprint(text: bytes) -> int:
@@ -51,13 +53,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+    """(doc_id, fp, h, h2) with fp as a signed long; h and h2 are two hashes of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), batch.column(3)], ["doc_id", "fp", "h", "h2"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(_HASHES[0]).alias("h"), F.expr(_HASHES[1]).alias("h2"))
+    return map_arrow(rows, run, "doc_id long, fp long, h long, h2 long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -292,15 +295,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of all documents, and (fp, component_id) of all fingerprints."""
+    """(doc_id, fp, h, h2) of all documents, and (fp, root, component_id) of all fingerprints, root being the component's own."""
     prints = materialise(fingerprints(docs))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     parts, thresholds = plan(nodes)
     member = components(links(nodes, parts, thresholds))
     member = materialise(member.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "rep"))
     least = materialise(member.groupBy("root").agg(F.min("rep").alias("least")))
-    member = materialise(member.join(least, "root").select("fp", "least"))
-    classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    member = materialise(member.join(least, "root").select("fp", "root", "least"))
+    classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id"))
     return prints, materialise(classes)
 
 
@@ -311,14 +314,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that have the smallest doc_id of their component, with all their columns. Of rows that share such an id
-    one stays. Rows of null id stay only where their component has no id."""
+    """One row of each component, with all its columns: that of the smallest doc_id, null being the last, and of different texts
+    of that id the one of the smallest hash. Of rows that repeat that id and text one stays. Documents of different components
+    stay, whether or not they share an id or have none."""
     prints, classes = grouped(docs)
-    kept = fresh("kept_id", docs)
-    ids = prints.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays"))
-    ids = materialise(ids.where("stays").select(F.col("doc_id").alias(kept), "rows"))
-    once, more = (ids.where(f"rows {n}").select(kept) for n in ("= 1", "> 1"))
-    single = docs.join(once, F.expr(f"doc_id <=> {kept}"), "left_semi")
+    names = [fresh(n, docs) for n in ("kept_id", "kept_h", "kept_h2")]
+    rows = prints.groupBy("doc_id", "h", "h2").agg(F.min("fp").alias("fp"), F.count("*").alias("rows"))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "h2", "rows")).alias("best"))
+    best = best.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = materialise(best.select(*(F.col(f"best.{c}").alias(n) for c, n in zip(("doc_id", "h", "h2"), names, strict=True)), "best.rows"))
+    once, more = (kept.where(f"rows {n}").select(*names) for n in ("= 1", "> 1"))
+    same = F.expr(f"cast(doc_id as long) <=> {names[0]} and {_HASHES[0]} = {names[1]} and {_HASHES[1]} = {names[2]}")
+    single = docs.join(once, same, "left_semi")
     if more.isEmpty():
         return single
-    return single.unionByName(docs.join(more, F.expr(f"doc_id <=> {kept}"), "left_semi").dropDuplicates(["doc_id"]))
+    return single.unionByName(docs.join(more, same, "left_semi").dropDuplicates(["doc_id", "text"]))

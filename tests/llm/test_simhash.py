@@ -109,3 +109,14 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (600, 500)]
     out = {r.node: r.root for r in sh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(201)) and {out[i] for i in (500, 501, 502, 600)} == {500}
+
+
+def test_one_row_of_each_component_whatever_its_id(documents):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(80))
+    t = [text() for _ in range(8)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (1, t[2]), (None, t[2]), (5, t[3]), (5, t[4]), (5, t[4]), (6, t[4]), (7, t[5]), (7, t[6]), (6, t[6]), (None, None), (None, ""), (None, t[7])]
+    kept = sorted(((r.doc_id, r.text) for r in sh.one_of_each(documents(rows)).collect()), key=str)
+    blank = [k for k in kept if not k[1]]
+    assert len(blank) == 1 and blank[0][0] is None
+    assert [k for k in kept if k[1]] == sorted([(None, t[0]), (None, t[1]), (1, t[2]), (5, t[3]), (5, t[4]), (7, t[5]), (6, t[6]), (None, t[7])], key=str)
