@@ -14,13 +14,12 @@ doc_id stays null; other columns are ignored; a span found in several layers is
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,6 +51,14 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _DEEP_PERCENT = re.compile(r"%25(?:25)+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_LINE_BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_LINE_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_LINE_BEFORE = re.compile(rf"[A-Za-z0-9+/_-]+{_LINE_BREAK}\Z")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: No secret and nothing that encodes one is shorter than 16 characters, all of them printable ASCII.
+_STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{16,}")
+_WIDE = re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){15,}[\t-\r\x20-\x7e]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 _TO_STANDARD = bytes.maketrans(b"-_", b"+/")
 
 Span = tuple[int, int, int]  # start, kind, end: sorts as asked
@@ -101,8 +108,9 @@ def _tool(head: bytes) -> object | None:
     return None
 
 
-def _decompressed(pieces: Iterator[bytes], tool) -> Iterator[bytes]:
-    """What compressed data gives, piece by piece; members that follow one another are read on, damaged ends are dropped."""
+def _decompressed(pieces: Iterator[bytes], tool, left: list[int] | None = None) -> Iterator[bytes]:
+    """What compressed data gives, piece by piece; members that follow one another are read on, damaged ends are dropped.
+    left: gets the number of bytes of the last piece that are not the data's."""
     try:
         for rest in pieces:
             while True:
@@ -112,6 +120,8 @@ def _decompressed(pieces: Iterator[bytes], tool) -> Iterator[bytes]:
                     yield piece
                 if tool.eof:
                     rest = tool.unused_data
+                    if left is not None:
+                        left[:] = [len(rest)]
                     again = _tool(rest)
                     if again is None:
                         return
@@ -122,7 +132,7 @@ def _decompressed(pieces: Iterator[bytes], tool) -> Iterator[bytes]:
         return
 
 
-def _inflate(data: bytes) -> Iterator[bytes] | None:
+def _inflate(data: bytes, left: list[int] | None = None) -> Iterator[bytes] | None:
     """Pieces of what is inside the compressed layers around it, however many; None for data that is not compressed. Layers
     that start with the same piece as one around them are a cycle and end there."""
     if _tool(data) is None:
@@ -133,7 +143,7 @@ def _inflate(data: bytes) -> Iterator[bytes] | None:
         if mark in seen:
             return iter(())
         seen.add(mark)
-        inner = _decompressed(chain([first], pieces), tool)
+        inner = _decompressed(chain([first], pieces), tool, left if len(seen) == 1 else None)
         opened = next(inner, b"")
         if not opened:
             return chain([first], pieces) if len(seen) > 1 else iter(())  # it looked compressed and is not
@@ -158,6 +168,27 @@ def _readable(data: bytes) -> str | None:
     return text if len(text) >= 8 and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text[:4096]) and "\x00" not in text else None
 
 
+def _decoded(run: bytes) -> bytes:
+    """The bytes of a base64 run without padding."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + b"=" * (-len(run) % 4))
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(text, first byte, bytes of each character) of what can be read in any data: all of it, each byte that is no UTF-8 as a
+    character of its own, and stretches of two bytes a character."""
+    if _STRETCH.search(data):
+        try:
+            text = data.decode("utf-8")
+            size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+        except UnicodeDecodeError:
+            text, size = data.decode("latin-1"), np.ones(len(data), np.int64)
+        yield text, 0, size
+    for m in _WIDE.finditer(data) if b"\x00" in data else ():
+        text = m[0][::2].decode()
+        yield text, m.start(), np.full(len(text), 2)
+
+
 def _in_place(layer: Layer, found: list[tuple[int, int, str, list[int] | None]]) -> tuple[str, np.ndarray, np.ndarray]:
     """The layer's text with [start, end) replaced by texts. widths: characters that each new character stands for (None: all)."""
     n = len(layer.text)
@@ -212,11 +243,30 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         a, b = layer.place(s, e)
         return new, np.broadcast_to(a, len(new)), np.broadcast_to(b, len(new))  # one place for all characters
 
-    def inflated(data: bytes, s: int, e: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        pieces = _inflate(data)
+    def inflated(data: bytes, s: int, e: int, left: list[int] | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        pieces = _inflate(data, left)
         for window in _windows(pieces) if pieces is not None else ():
             yield whole(s, e, window.decode("utf-8", "replace"))
 
+    def based(runs: list[tuple[int, int]], end: int, shifts: Iterable[int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """What base64 in these places of the text, read as one run, gives from its first characters on: a text may start at any
+        character, compressed data at any byte."""
+        joined = "".join(text[a:b] for a, b in runs).encode().translate(_TO_STANDARD)
+        at = np.concatenate([np.arange(a, b) for a, b in runs])
+        for shift in shifts:
+            data, after = _decoded(joined[shift:]), 0
+            for m in _MAGIC.finditer(data):
+                if m.start() >= after:
+                    left: list[int] = []
+                    yield from inflated(data[m.start() :], int(at[shift + m.start() // 3 * 4]), end, left)
+                    after = len(data) - left[0] if left else 0
+            new = _readable(data) if shift == 0 else None
+            found = _texts(data) if new is None else [(new, 0, np.fromiter((len(c.encode()) for c in new), np.int64, len(new)))]
+            for new, start, size in found:
+                to = start + np.cumsum(size)
+                first, final = at[shift + (to - size) // 3 * 4], at[np.minimum(shift - (-to // 3) * 4, len(joined)) - 1]
+                yield new, first if layer.starts is None else layer.starts[first], final + 1 if layer.ends is None else layer.ends[final]
+
     if "%2525" in text:  # escapes of escapes of percent signs: to the last but one at once
         yield _in_place(layer, [(m.start(), m.end(), "%25", None) for m in _DEEP_PERCENT.finditer(text)])
     elif "%" in text and (runs := list(_PERCENT.finditer(text))):
@@ -230,22 +280,20 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield _in_place(layer, found)
     if ("\\" in text or "&#" in text) and (marks := _unicode_marks(text)):
         yield _in_place(layer, marks)
+    done = 0
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").encode().translate(_TO_STANDARD)
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run + b"=" * (-len(run) % 4))
-        except binascii.Error:
+        if m.start() < done:
             continue
-        yield from inflated(data, m.start(), m.end())
-        new = _readable(data)
-        if new is not None:
-            size = np.fromiter((len(c.encode()) for c in new), np.int64, len(new))
-            to = np.cumsum(size)
-            first, final = (to - size) // 3 * 4, np.minimum(-(-to // 3) * 4, len(run))
-            own_s = np.arange(len(text)) if layer.starts is None else layer.starts
-            own_e = np.arange(1, len(text) + 1) if layer.ends is None else layer.ends
-            yield new, own_s[m.start() + first], own_e[m.start() + final - 1]
+        before = _LINE_BEFORE.search(text[max(done, m.start() - 256) : m.start()])
+        lines = _WRAPPED.match(text, before.start() + max(done, m.start() - 256) if before else m.start())
+        done = lines.end()
+        runs = [x.span() for x in _LINE.finditer(re.sub(r"\\[rn]", "  ", lines[0]))]
+        runs = [(lines.start() + a, lines.start() + b) for a, b in runs]
+        if len(runs) > 1:  # each line by itself, then all as one
+            for run in runs:
+                if run[1] - run[0] >= 20:
+                    yield from based([run], run[1], (0,))
+        yield from based(runs, done, range(4))
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int]:

@@ -97,3 +97,26 @@ def test_query_columns_and_redaction(documents):
     assert out[3].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     clean = {r.doc_id: r for r in s.without_secrets(documents(rows)).collect()}
     assert clean[1].text == "[SECRET] x" and clean[1].n_chars == 10 and clean[2].text == "nothing" and clean[3].text is None
+
+
+def test_base64_at_any_place_and_over_lines():
+    rng = random.Random(3)
+    noise = "".join(rng.choice("abcdefghij klmnop") for _ in range(90))
+    for data in (f"{noise} {SECRET} {noise}".encode(), gzip.compress(f"{rng.randbytes(200).hex(' ')} {SECRET}".encode()), bz2.compress(SECRET.encode()), zlib.compress(SECRET.encode() * 2)):
+        b64 = base64.b64encode(data).decode()
+        for before in ("https://example.com/dl/", "id-", "a_b_", "x/", "/", "-"):
+            assert covers(f"see {before}{b64} end", b64), before
+        for wrapped in (base64.encodebytes(data).decode(), "\r\n  ".join(b64[i : i + 64] for i in range(0, len(b64), 64)), "\\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))):
+            assert covers(f"data: {wrapped} end", wrapped)
+            assert any("assign" == s.KINDS[k] for _, k, _ in s.scan(f"-----\n{wrapped}\n-----")[1])
+    whole = f"{'k' * 45}password: hunter2hunter2xx and on"
+    text = "q " + base64.encodebytes(whole.encode()).decode()
+    assert max(b - a for a, _, b in s.scan(text)[1]) >= 32  # over the line's end, in one span
+
+
+def test_base64_of_what_is_no_text():
+    for data in (b"caf\xe9 " + SECRET.encode(), b"\x00\x01" + SECRET.encode() + b"\x07", SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), bytes(range(128, 256)) + SECRET.encode()):
+        b64 = base64.b64encode(data).decode()
+        assert covers(f"see {b64} end", b64)
+        (a, _, b), = s.scan(f"see {b64} end")[1]
+        assert 4 <= a < b <= 4 + len(b64)
