@@ -51,6 +51,12 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _DEEP_PERCENT = re.compile(r"%25(?:25)+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Bytes written in a text: in URLs, where + is a space and unreserved characters stand for themselves, and as escapes of a string.
+_URL = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
+_URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
+_QUOTED = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};|[\x20-\x7e])+""")
+_QUOTED_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};|\\[abfnrtv0\\'"]|.""")
+_SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 _LINE_BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_LINE_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _LINE_BEFORE = re.compile(rf"[A-Za-z0-9+/_-]+{_LINE_BREAK}\Z")
@@ -137,16 +143,17 @@ def _inflate(data: bytes, left: list[int] | None = None) -> Iterator[bytes] | No
     that start with the same piece as one around them are a cycle and end there."""
     if _tool(data) is None:
         return None
-    pieces, first, seen = iter(()), data, set()
+    pieces, first, seen, depth = iter(()), data, set(), 0
     while first and (tool := _tool(first)) is not None:
+        depth += 1
+        inner = _decompressed(chain([first], pieces), tool, left if depth == 1 else None)
+        opened = next(inner, b"")
+        if not opened:
+            return chain([first], pieces) if depth > 1 else iter(())  # it looked compressed and is not
         mark = hashlib.blake2b(first, digest_size=16).digest()
         if mark in seen:
             return iter(())
         seen.add(mark)
-        inner = _decompressed(chain([first], pieces), tool, left if len(seen) == 1 else None)
-        opened = next(inner, b"")
-        if not opened:
-            return chain([first], pieces) if len(seen) > 1 else iter(())  # it looked compressed and is not
         first, pieces = opened, inner
     return chain([first], pieces)
 
@@ -189,6 +196,17 @@ def _texts(data: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
         yield text, m.start(), np.full(len(text), 2)
 
 
+def _byte(x: str) -> int:
+    """The byte that an escape or a plain character stands for."""
+    if len(x) == 1:
+        return ord(x)
+    if x[0] == "&":
+        return (int(x[3:-1], 16) if x[2] in "xX" else int(x[2:-1])) & 255
+    if x[0] == "%":
+        return int(x[1:], 16)
+    return int(x[2:], 16) if x[1] in "xuU" else _SHORT.get(x[1], ord(x[1]))
+
+
 def _in_place(layer: Layer, found: list[tuple[int, int, str, list[int] | None]]) -> tuple[str, np.ndarray, np.ndarray]:
     """The layer's text with [start, end) replaced by texts. widths: characters that each new character stands for (None: all)."""
     n = len(layer.text)
@@ -258,7 +276,7 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             for m in _MAGIC.finditer(data):
                 if m.start() >= after:
                     left: list[int] = []
-                    yield from inflated(data[m.start() :], int(at[shift + m.start() // 3 * 4]), end, left)
+                    yield from inflated(memoryview(data)[m.start() :], int(at[shift + m.start() // 3 * 4]), end, left)
                     after = len(data) - left[0] if left else 0
             new = _readable(data) if shift == 0 else None
             found = _texts(data) if new is None else [(new, 0, np.fromiter((len(c.encode()) for c in new), np.int64, len(new)))]
@@ -267,18 +285,38 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
                 first, final = at[shift + (to - size) // 3 * 4], at[np.minimum(shift - (-to // 3) * 4, len(joined)) - 1]
                 yield new, first if layer.starts is None else layer.starts[first], final + 1 if layer.ends is None else layer.ends[final]
 
+    def spelt(token: re.Pattern, each: re.Pattern, mark: re.Pattern, plus: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """What compressed data gives whose bytes are written as escapes and plain characters."""
+        for t in token.finditer(text):
+            if not mark.search(t[0]):
+                continue
+            items = [(x[0], t.start() + x.start()) for x in each.finditer(t[0])]
+            data, after = bytes(_byte(plus if x == "+" else x) for x, _ in items), 0
+            places = [p for _, p in items] + [t.end()]
+            for m in _MAGIC.finditer(data):
+                if m.start() < after:
+                    continue
+                left: list[int] = []
+                rest = memoryview(data)[m.start() :]
+                for _ in _decompressed(iter([rest]), _tool(rest), left):
+                    pass  # to see where it ends
+                end = len(data) - left[0] if left else len(data)
+                yield from inflated(rest[: end - m.start()], places[m.start()], places[end])
+                after = end if left else 0
+
     if "%2525" in text:  # escapes of escapes of percent signs: to the last but one at once
         yield _in_place(layer, [(m.start(), m.end(), "%25", None) for m in _DEEP_PERCENT.finditer(text)])
     elif "%" in text and (runs := list(_PERCENT.finditer(text))):
+        yield from spelt(_URL, _URL_BYTE, _PERCENT, " ")
         found = []
         for m in runs:
             data = bytes.fromhex(m[0].replace("%", ""))
-            yield from inflated(data, m.start(), m.end())
             new = data.decode("utf-8", "replace")
             widths = [3 * len(c.encode()) for c in new]
             found.append((m.start(), m.end(), new, widths if sum(widths) == len(m[0]) else None))
         yield _in_place(layer, found)
     if ("\\" in text or "&#" in text) and (marks := _unicode_marks(text)):
+        yield from spelt(_QUOTED, _QUOTED_BYTE, _UNICODE, "+")
         yield _in_place(layer, marks)
     done = 0
     for m in _BASE64.finditer(text):

@@ -120,3 +120,11 @@ def test_base64_of_what_is_no_text():
         assert covers(f"see {b64} end", b64)
         (a, _, b), = s.scan(f"see {b64} end")[1]
         assert 4 <= a < b <= 4 + len(b64)
+
+
+def test_compressed_bytes_written_as_escapes():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for data in (pack(SECRET.encode()), pack(f"{random.Random(2).randbytes(300).hex(' ')} {SECRET}".encode())):
+            for text in (urllib.parse.quote(data), urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), "".join(f"%{b:02X}" for b in data), repr(data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data), "".join(f"&#{b};" for b in data), "".join(f"&#x{b:x};" for b in data)):
+                assert covers(f"see https://a.test/?q={text} end", text), text
+                assert all(b <= len(text) + 22 for _, _, b in s.scan(f"see https://a.test/?q={text} end")[1])
