@@ -19,8 +19,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ KINDS = ("assign", "access", "hex")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 WINDOW, OVERLAP = 4 << 20, 64 << 10
+#: Encoded runs up to this size are kept in one window; longer ones are decoded as streams.
+HELD = 8 << 20
 MARK = "[SECRET]"
 
 
@@ -138,12 +141,12 @@ def _decompressed(pieces: Iterator[bytes], tool, left: list[int] | None = None)
         return
 
 
-def _inflate(data: bytes, left: list[int] | None = None) -> Iterator[bytes] | None:
+def _inflate(data: bytes, left: list[int] | None = None, more: Iterator[bytes] = iter(())) -> Iterator[bytes] | None:
     """Pieces of what is inside the compressed layers around it, however many; None for data that is not compressed. Layers
     that start with the same piece as one around them are a cycle and end there."""
     if _tool(data) is None:
         return None
-    pieces, first, seen, depth = iter(()), data, set(), 0
+    pieces, first, seen, depth = more, data, set(), 0
     while first and (tool := _tool(first)) is not None:
         depth += 1
         inner = _decompressed(chain([first], pieces), tool, left if depth == 1 else None)
@@ -158,12 +161,92 @@ def _inflate(data: bytes, left: list[int] | None = None) -> Iterator[bytes] | No
     return chain([first], pieces)
 
 
-def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    tail = b""
-    for piece in pieces:
+_BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+_ENCODED = _BASE64_BYTES + b"%\\&#;.~!*'()=\r\n"
+_NOT_ENCODED = re.compile(b"[^" + re.escape(_ENCODED) + b"]")
+_NOT_BASE64 = re.compile(b"[^" + re.escape(_BASE64_BYTES) + b"]")
+
+
+def _streamed(opened: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """Overlapping windows of a stream that can be opened again, none cutting an encoded run of up to HELD bytes, and the windows
+    of what longer runs give."""
+    tail, base, seen, long = b"", 0, 0, False
+    for piece in opened():
         window = tail + piece
-        yield window
-        tail = window[-OVERLAP:] if len(window) > OVERLAP else b""
+        run = window[len(window.rstrip(_ENCODED)) :].lstrip(b"\r\n")
+        start = len(window) - len(run)
+        long = long and start == 0
+        if run and not long and len(run) <= HELD:
+            end = start
+        else:
+            end = len(window)
+        if base + end > seen:
+            yield window[:end]
+            seen = base + end
+        if len(run) > HELD and not long:
+            yield from _long_run(opened, base + start)
+            long = True
+        at = max(0, end - OVERLAP)
+        tail, base = window[at:], base + at
+    if base + len(tail) > seen:
+        yield tail
+
+
+def _long_run(opened: Callable[[], Iterator[bytes]], offset: int) -> Iterator[bytes]:
+    """Windows of what the encoded run at this offset of a stream gives."""
+
+    def run() -> Iterator[bytes]:
+        skip = offset
+        for piece in opened():
+            rest = piece[skip:]
+            skip = max(0, skip - len(piece))
+            stop = _NOT_ENCODED.search(rest)
+            yield rest[: stop.start()] if stop else rest
+            if stop:
+                return
+
+    def base64s(shift: int) -> Iterator[bytes]:
+        have, skip = b"", shift
+        for piece in run():
+            piece = piece.replace(b"\\r", b"").replace(b"\\n", b"").translate(_TO_STANDARD, b"\r\n")
+            stop = _NOT_BASE64.search(piece)
+            have += piece[: stop.start()] if stop else piece
+            skipped = min(skip, len(have))
+            have, skip = have[skipped:], skip - skipped
+            whole = len(have) // 4 * 4
+            if whole:
+                yield base64.b64decode(have[:whole])
+            have = have[whole:]
+            if stop:
+                break
+        yield _decoded(have)
+
+    def percents() -> Iterator[bytes]:
+        have = b""
+        for piece in run():
+            have += piece
+            cut = have.rfind(b"%", max(0, len(have) - 2))
+            cut = len(have) if cut < 0 else cut
+            yield unquote_to_bytes(have[:cut])
+            have = have[cut:]
+        yield unquote_to_bytes(have)
+
+    def inside(decoded: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+        first = next((x for x in decoded() if x), b"")
+        for m in _MAGIC.finditer(first):
+            def inflated(at: int = m.start()) -> Iterator[bytes]:
+                pieces = (x for x in decoded() if x)
+                return _inflate(memoryview(next(pieces))[at:], None, pieces) or iter(())
+
+            if next(inflated(), b""):
+                yield from _streamed(inflated)
+                break
+        yield from (w for w in _streamed(decoded) if _STRETCH.search(w))
+
+    for shift in range(4):
+        yield from inside(lambda shift=shift: base64s(shift))
+    if any(b"%" in piece for piece in run()):
+        yield from inside(percents)
 
 
 def _readable(data: bytes) -> str | None:
@@ -262,8 +345,7 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         return new, np.broadcast_to(a, len(new)), np.broadcast_to(b, len(new))  # one place for all characters
 
     def inflated(data: bytes, s: int, e: int, left: list[int] | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        pieces = _inflate(data, left)
-        for window in _windows(pieces) if pieces is not None else ():
+        for window in _streamed(lambda: _inflate(data, left) or iter(())):
             yield whole(s, e, window.decode("utf-8", "replace"))
 
     def based(runs: list[tuple[int, int]], end: int, shifts: Iterable[int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

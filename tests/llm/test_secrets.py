@@ -128,3 +128,16 @@ def test_compressed_bytes_written_as_escapes():
             for text in (urllib.parse.quote(data), urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), "".join(f"%{b:02X}" for b in data), repr(data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data), "".join(f"&#{b};" for b in data), "".join(f"&#x{b:x};" for b in data)):
                 assert covers(f"see https://a.test/?q={text} end", text), text
                 assert all(b <= len(text) + 22 for _, _, b in s.scan(f"see https://a.test/?q={text} end")[1])
+
+
+def test_encoded_runs_over_window_edges(monkeypatch):
+    monkeypatch.setattr(s, "WINDOW", 64 << 10)
+    monkeypatch.setattr(s, "OVERLAP", 4 << 10)
+    rng = random.Random(7)
+    for held in (512 << 10, 100 << 10):  # runs that are held, and runs read as streams
+        monkeypatch.setattr(s, "HELD", held, raising=False)
+        noise = rng.randbytes(70_000).hex(" ").encode()
+        inners = [base64.b64encode(noise + b" " + SECRET.encode()), b"/d/" + base64.b64encode(gzip.compress(rng.randbytes(300_000).hex(" ").encode() + b" " + SECRET.encode())), base64.encodebytes(noise + b" " + SECRET.encode()), urllib.parse.quote(gzip.compress(rng.randbytes(150_000).hex(" ").encode() + b" " + SECRET.encode())).encode()]
+        for n, inner in enumerate(inners):
+            text = base64.b64encode(gzip.compress(b"x: " + inner + b" end")).decode()
+            assert covers("z " + text, text), (held, n)
