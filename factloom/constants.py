@@ -107,7 +107,7 @@ INTEGRITY_CONTRADICT, INTEGRITY_MIXED, MIN_SCORED, MIN_EVIDENCE = 1.2, 0.25, 3,
 IRT_STEPS, IRT_TOL, IRT_MAX_STEP, IRT_FLOOR, IRT_MIN_STANCES, DOMAIN_CAP = 10, 0.001, 2.0, -0.01, 2, 0.40
 PROP_TOP, PROP_SIM_KEYWORD, PROP_SIM_PLAIN, CROSS_DOMAIN, KEYWORD_BOOST, PROP_SEGMENTS, STANCE_MIN_TOKENS = 6, 0.32, 0.35, 0.05, 0.03, 8, 20
 EVENT_SIM, EVENT_JACCARD, EVENT_GEO, EVENT_TYPE, EVENT_ACCEPT, EVENT_MIN_JACCARD, EVENT_HOURS, EVENT_KNN, EVENT_KNN_SIM = 0.55, 0.30, 0.10, 0.05, 0.55, 0.10, 72, 50, 0.4
-CLUSTER_SIM, CLUSTER_MIN, CLUSTER_MAX, CLUSTER_DENSITY, CLUSTER_DOCS = 0.60, 2, 15, 0.35, 200
+CLUSTER_SIM, CLUSTER_MIN, CLUSTER_MAX, CLUSTER_DENSITY, CLUSTER_DOCS, CLUSTER_HOURS, CLUSTER_SEGMENTS = 0.60, 2, 15, 0.35, 200, 72, 3
 CHUNK_MAX, CHUNK_MIN_FLUSH, CHUNK_SMALL, CHUNK_JOIN_BELOW, CHUNK_DROP, TOKENS_A_WORD = 200, 80, 50, 180, 30, 1.33
 STATUS_STAGE = {"normalizing": "NORMALIZE", "pending": "INDEX", "classifying": "CLASSIFY", "extracting": "EXTRACT", "verifying": "EVIDENCE", "aggregated": "AGGREGATE", "enriching": "ENRICH"}
 STATUS_FANOUT = {"verifying": ("EVIDENCE", "VERACITY"), "aggregated": ("AGGREGATE", "SENTIMENT", "SYNTHESIS", "IDEOLOGY", "ENRICH")}

@@ -92,10 +92,21 @@ def greedy_clusters(ids: list[int], sim: np.ndarray) -> list[tuple[int, int, flo
     return out
 
 
-def story_clusters(docs: DataFrame, newest: int = K.CLUSTER_DOCS) -> DataFrame:
-    """(cluster, doc_id, score) of the newest documents (doc_id, at, vec): at most 200 rows, one task, as the feature says."""
+def document_vectors(segments: DataFrame) -> DataFrame:
+    """(document_id, vec): the mean vector of a document's first segments. segments: document_id, position_index, embedding."""
+    from factloom.operators.vectors import centroids, first_segments
+
+    return centroids(first_segments(segments, K.CLUSTER_SEGMENTS, positions_only=True), "document_id").withColumnRenamed("centroid", "vec")
+
+
+def story_clusters(docs: DataFrame, newest: int = K.CLUSTER_DOCS, hours: int = K.CLUSTER_HOURS) -> DataFrame:
+    """(cluster, doc_id, score) of the newest documents (doc_id, at, vec) within 72 hours of the last (at: a time, or seconds): at
+    most 200 rows, one task, as the feature says."""
     ship(docs.sparkSession)
-    rows = docs.where("vec is not null").orderBy(F.desc("at"), "doc_id").limit(newest).select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).coalesce(1)
+    times = docs.withColumn("at", F.col("at").cast("timestamp"))
+    last = times.agg(F.max("at").alias("last"))
+    recent = times.crossJoin(F.broadcast(last)).where(F.col("at") >= F.col("last") - F.expr(f"interval {hours} hours"))  # one row
+    rows = recent.where("vec is not null").orderBy(F.desc("at"), "doc_id").limit(newest).select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]

@@ -44,9 +44,10 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Of the newest 200 vectors, by their first three components."""
+    """Of the newest 200 vectors within 72 hours, half an hour apart by id; each is the one segment of its document."""
     e = table(spark, d, "embeddings")
-    return events.story_clusters(e.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("at"), F.slice("embedding", 1, 3).alias("vec")))
+    vecs = events.document_vectors(e.select(F.col("vec_id").alias("document_id"), F.lit(0).alias("position_index"), "embedding"))
+    return events.story_clusters(vecs.select(F.col("document_id").alias("doc_id"), F.timestamp_seconds(1_700_000_000 + F.col("document_id") * 1800).alias("at"), "vec"))
 
 
 @query(f"""with {_E}, c as (select vec_id, v, (vec_id % 9)::varchar as publisher, 'https://a.test/' || (vec_id % 50) as url, 'statement ' || label || ' number ' || (vec_id % 50) as text, list_distinct(['statement', label::varchar, 'number', (vec_id % 50)::varchar]) as words from e),

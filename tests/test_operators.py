@@ -125,6 +125,26 @@ def test_greedy_clusters(spark):
     assert all(r.score == pytest.approx(1.0) for r in out) and max(sum(1 for q in out if q.cluster == c) for c in {r.cluster for r in out}) == 15
 
 
+def test_story_clusters_take_whole_vectors_in_their_window(spark):
+    import numpy as np
+
+    from factloom.plans.vectors import cluster_greedy
+
+    segments = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [2.0, 2.0]), (1, 3, [9.0, 0.0]), (2, 0, None), (2, 2, [1.0, 1.0])]
+    got = events.document_vectors(spark.createDataFrame(segments, "document_id long, position_index int, embedding array<double>")).collect()
+    assert {r.document_id: r.vec for r in got} == {1: [1.0, 1.0], 2: [1.0, 1.0]}
+    rows = spark.createDataFrame([(i, 100 + i * 86_400, [1.0, 0.0]) for i in range(6)], "doc_id long, at long, vec array<double>")
+    assert sorted(r.doc_id for r in events.story_clusters(rows).collect()) == [2, 3, 4, 5]
+    sf = "/root/testdata/sf0.001"
+    e = [r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding is not None]
+    last = max(r.vec_id for r in e)
+    e = sorted((r for r in e if r.vec_id >= last - 144), key=lambda r: -r.vec_id)[:200]
+    v = np.array([r.embedding for r in e], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = events.greedy_clusters([r.vec_id for r in e], np.round(u @ u.T, 9))
+    assert sorted((r.cluster, r.doc_id) for r in cluster_greedy(spark, sf).collect()) == sorted((c, i) for c, i, _ in want)
+
+
 def test_tables(spark):
     old, new = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string"), spark.createDataFrame([(2, 2, "c"), (3, 1, "d")], "k int, v int, x string")
     assert sorted((r.k, r.x) for r in tables.upsert(old, new, ["k"], F.col("v")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
