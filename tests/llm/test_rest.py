@@ -169,3 +169,17 @@ def test_warc_files(spark, tmp_path):
     rows = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r.id)
     assert [(r.type, r.url, r.headers, bytes(r.body)) for r in rows if r.id == "urn:1"][0] == ("response", "http://a.org/", {"etag": "1"}, b"body\r\n\r\nmore")
     assert len(rows) == 3
+
+
+def test_sentencepiece_query_gives_ids(spark):
+    from factloom.llm.queries import op6_sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    out = op6_sentencepiece(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "ids")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    p = sp.pieces()
+    rows = {r.doc_id: r for r in out.collect()}
+    assert {i: r.ids for i, r in rows.items()} == {i: p.sp.encode(t) for i, t in texts.items()}
+    assert all(len(r.ids) == r.n_tokens and sp.digest(r.ids) == r.ids_sha256 for r in rows.values())
+    back = {r.doc_id: r.text for r in sp.decode(out).collect()}
+    assert all(back[i] == t for i, t in texts.items() if sp.SPACE not in t)
