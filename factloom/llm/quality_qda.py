@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import text_stats as ts
+from factloom.llm.calibration import logistic
 from factloom.llm.common import fold, label_sample, map_arrow, utf8
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
@@ -57,7 +58,7 @@ class Qda:
             self.means.append(p.mean(axis=0))
             self.factors.append(np.linalg.inv(factor))  # a lower triangle: distances by one product
             self.logdet.append(2 * np.log(np.diag(factor)).sum())
-        self.slope, self.shift = _logistic(self.log_ratio(x), y)
+        self.slope, self.shift = logistic(np.clip(self.log_ratio(x), -50, 50), y, 1e-3)
         return self
 
     def log_ratio(self, x: np.ndarray) -> np.ndarray:
@@ -73,22 +74,6 @@ class Qda:
         return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.shift, -60, 60))), ratio
 
 
-def _logistic(r: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's steps for P(y = 1) = sigmoid(a r + b) with a ridge on a."""
-    r = np.clip(r, -50, 50)
-    w = np.array([0.1, 0.0])
-    a = np.column_stack([r, np.ones_like(r)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + np.array([1e-3, 1e-3]) * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-3])
-        step = np.linalg.solve(h, g)
-        w = w - step / max(1.0, np.abs(step).max() / 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(float(w[0]), 1e-6), float(w[1])
-
-
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) -> Qda:
     def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = ts.measure_all(utf8(batch.column(1)))

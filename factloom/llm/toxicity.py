@@ -1,15 +1,16 @@
 """Operator 2: toxicity by nearest labelled examples.
 
-Terms are words and word beginnings that labelled examples of class 1 show more often (chi-square over the learning rows);
-all other words count as one common term. Vectors are TF-IDF of unit length. A block-max inverted index over the examples
-gives the exact k nearest by cosine: blocks are visited by falling upper bound, a few and then more at a time, until none
-can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
-logistic fit on leave-one-out votes, give the score; the nearest examples are the evidence. Learns from a bounded sample (`max_examples`) of the labelled rows
-in the learning folds; labels, lang, source and doc_id are no inputs of a score.
-
-Defined results: null and empty texts have no vector and no neighbours and are scored as a vote of 0; a null doc_id is
-not held out; repeated rows each get a row; other columns are ignored; without learning rows of both classes every score
-is the share of class 1 (0.0 without any).
+Terms are words cut to their first STEM letters, so inflected forms meet. A text is its TF-IDF vector over all terms of the
+examples: term frequency times ln(examples / examples with the term), unit length. A block-max inverted index over the
+examples gives the exact k nearest by cosine: blocks are visited by falling upper bound, a few and then more at a time, until
+none can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
+logistic fit on leave-one-out votes, give the score; the nearest examples are the evidence. Labels decide votes and
+calibration only, never terms or weights. Examples are a bounded sample (`max_examples`) of the labelled rows in the learning
+folds; labels, lang, source and doc_id are no inputs of a score.
+
+Defined results: null and empty texts, and texts that share no term with any example, have no neighbours and are scored as a
+vote of 0; a null doc_id is not held out; repeated rows each get a row; other columns are ignored; without learning rows of
+both classes every score is the share of class 1 (0.0 without any).
 """
 
 from __future__ import annotations
@@ -22,82 +23,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.calibration import logistic
 from factloom.llm.common import fold, label_sample, map_arrow, materialise, utf8
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-PREFIXES = (5, 6, 7)
-BLOCK = 64
+STEM = 4
+BLOCK = 128
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
 
 
-def words_of(text: str) -> Counter:
+def terms_of(text: str) -> Counter:
+    """How often each term occurs."""
     return Counter(_WORD.findall(text.lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself and its beginnings, marked by an asterisk."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All of lo[0]:hi[0], lo[1]:hi[1], ... in one array."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+
+
+def _alike(terms: list[np.ndarray], n_terms: int, block: int, among: int = 512) -> np.ndarray:
+    """An order in which like examples follow one another: halved, down to a block, by the term that nearest to half of them
+    have. Terms are chosen from the `among` most frequent; any order gives the same results, a good one tighter bounds."""
+    n = np.bincount(np.concatenate(terms or [np.zeros(0, np.int64)]), minlength=n_terms)
+    place = np.full(n_terms, -1)
+    frequent = np.argsort(-n, kind="stable")[:among]
+    place[frequent] = np.arange(len(frequent))
+    has = np.zeros((len(terms), max(len(frequent), 1)), bool)
+    for row, t in enumerate(terms):
+        at = place[t]
+        has[row, at[at >= 0]] = True
+    out, work = [], [np.arange(len(terms))]
+    while work:
+        rows = work.pop()
+        count = has[rows].sum(axis=0) if len(rows) > block else np.zeros(1, np.int64)
+        best = int(np.argmin(np.abs(2 * count - len(rows))))
+        if 0 < count[best] < len(rows):
+            work += [rows[~has[rows, best]], rows[has[rows, best]]]
+        else:
+            out.append(rows)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Vectors:
-    """Texts to unit vectors over the chosen terms; term 0 stands for all other words."""
-
-    def __init__(self, terms: list[str], idf: list[float]):
-        self.ids, self.idf, self.known = {t: k + 1 for k, t in enumerate(terms)}, np.array([1.0, *idf]), {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        found: dict[int, int] = {}
-        other = 0
-        known = self.known
-        for word, n in words_of(text).items():
-            hit = known.get(word)
-            if hit is None:
-                if len(known) > 50_000:
-                    known.clear()
-                hit = known[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
-            if hit:
-                for t in hit:
-                    found[t] = found.get(t, 0) + n
-            else:
-                other += n
-        if other:
-            found[0] = other
-        return found
+    """Texts to unit vectors over the terms of the examples."""
+
+    def __init__(self, terms: list[str], df: np.ndarray, n: int):
+        self.ids, self.idf = {t: k for k, t in enumerate(terms)}, np.log(n / df)
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * self.idf[ids]
-        return ids, np.round(w / max(np.sqrt((w * w).sum()), 1e-12), 9)
+    def unit(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        known = [(i, n) for t, n in counts.items() if (i := self.ids.get(t)) is not None]
+        found = np.array(known, np.int64).reshape(-1, 2)
+        found = found[np.argsort(found[:, 0])]
+        w = found[:, 1] * self.idf[found[:, 0]]
+        keep = w > 0  # a term of every example tells nothing
+        return found[keep, 0], np.round(w[keep] / max(np.sqrt((w * w).sum()), 1e-12), 9)
 
 
 class BlockMaxIndex:
-    """Postings of each term, cut into blocks of examples, and the largest weight of each term in each block."""
+    """Postings by term and block of examples, and the largest weight of each term in each block that has it. Terms that many
+    examples have (`dense`: one in so many) are kept as whole rows of weights, which are added faster than postings."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = 8):
         self.block, self.n = block, len(vectors)
-        self.blocks = -(-self.n // block)
-        main = [(int(i[1:][np.argmax(w[1:])]), i.tolist()) if len(i) > 1 else (0, i.tolist()) for i, w in vectors]
-        self.order = np.array(sorted(range(self.n), key=lambda k: (main[k], k)), np.int64)  # like examples share blocks
+        self.blocks = max(1, -(-self.n // block))
+        self.order = _alike([v[0] for v in vectors], n_terms, block)
         place = np.empty(self.n, np.int64)
         place[self.order] = np.arange(self.n)
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         at = np.repeat(place, [len(v[0]) for v in vectors])
+        often = np.bincount(term, minlength=n_terms) * dense > self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        whole = often[term]
+        self.rows = np.zeros((int(often.sum()), self.blocks * block))
+        self.rows[self.row[term[whole]], at[whole]] = weight[whole]
+        self.rows_most = self.rows.reshape(len(self.rows), self.blocks, block).max(axis=2)
+        term, weight, at = term[~whole], weight[~whole], at[~whole]
         by = np.lexsort((at, term))
         self.at, self.weight, term = at[by], weight[by], term[by]
-        self.in_block = self.at // block
-        edges = np.arange(n_terms)[:, None] * (self.blocks * block) + np.arange(self.blocks + 1)[None, :] * block
-        self.ends = np.searchsorted(term * (self.blocks * block) + self.at, edges)
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term, self.in_block), self.weight)
+        cell = term * self.blocks + self.at // block
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.lo, self.hi = starts, np.append(starts[1:], len(cell)).astype(np.int64)  # postings of a term in a block
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.in_block = cell[starts] % self.blocks
+        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1))  # cells of a term
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, exactly the k best by (cosine, smaller number); cosine 0 is no neighbour."""
-        bound = weights @ self.most[ids] + 1e-9
+        rows, row_w = self.row[ids], weights
+        frequent = rows >= 0
+        rows, row_w, ids, weights = rows[frequent], weights[frequent], ids[~frequent], weights[~frequent]
+        lo, hi = self.cells[ids], self.cells[ids + 1]
+        cells, w = _ranges(lo, hi), np.repeat(weights, hi - lo)
+        owner = self.in_block[cells]
+        bound = np.bincount(owner, w * self.most[cells], self.blocks) + row_w @ self.rows_most[rows] + 1e-9
         order = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.blocks * self.block)
-        done, kth, at, step = 0, -1.0, np.zeros(0, np.int64), 8
+        order = order[bound[order] > 1e-9]
+        score, at, s, kth, done, step = np.zeros(self.blocks * self.block), np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 2
         while done < len(order):
             new = order[done : done + step]
             new = new[bound[new] >= kth]  # bounds fall, so no later block can do more
@@ -105,20 +130,30 @@ class BlockMaxIndex:
                 break
             chosen = np.zeros(self.blocks, bool)
             chosen[new] = True
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.ends[t, 0], self.ends[t, -1]
-                use = np.flatnonzero(chosen[self.in_block[lo:hi]]) + lo
-                score[self.at[use]] += w * self.weight[use]
+            use = chosen[owner]
+            c = cells[use]
+            p = _ranges(self.lo[c], self.hi[c])
+            score += np.bincount(self.at[p], np.repeat(w[use], self.hi[c] - self.lo[c]) * self.weight[p], len(score))
+            if 4 * len(new) < self.blocks:
+                for b in new.tolist():
+                    part = slice(b * self.block, (b + 1) * self.block)
+                    for r, x in zip(rows.tolist(), row_w.tolist(), strict=True):
+                        score[part] += x * self.rows[r, part]
+            else:
+                more = np.zeros(len(score))
+                for r, x in zip(rows.tolist(), row_w.tolist(), strict=True):
+                    more += x * self.rows[r]
+                score += more * np.repeat(chosen, self.block)
             places = (new[:, None] * self.block + np.arange(self.block)).ravel()
             hit = places[score[places] > 0]
-            at = np.concatenate([at, hit])
-            s = np.round(score[at], 9)
+            at, s = np.concatenate([at, hit]), np.concatenate([s, np.round(score[hit], 9)])
             if len(at) > k:
                 kth = np.partition(s, len(s) - k)[len(s) - k]
                 at, s = at[s >= kth], s[s >= kth]
-            done, step = done + step, step * 4
-        s, i = np.round(score[at], 9), self.order[at]
-        top = np.lexsort((i, -s))[:k]
+            done, step = done + step, len(order)
+        i = self.order[at]
+        top = np.lexsort((i, -s))
+        top = top[s[top] > 0][:k]
         return i[top], s[top]
 
 
@@ -128,89 +163,72 @@ def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:
 
 
 class Model:
-    def __init__(self, share: float):
-        self.share, self.index = share, None
-
-    def fit(self, vectors: Vectors, examples: list[tuple[int, int, dict[int, int]]], k: int, power: int) -> Model:
-        """examples: (doc_id, y, counts), by rising doc_id."""
-        self.vectors, self.k, self.power, self.cache = vectors, k, power, {}
-        self.ids, self.y = np.array([e[0] for e in examples]), np.array([e[1] for e in examples], float)
-        units = [vectors.unit(e[2]) for e in examples]
-        self.index = BlockMaxIndex(units, len(vectors.idf))
-        votes, seen = [], {}
-        for n, (i, w) in enumerate(units):  # each example by all others
-            key = (i.tobytes(), w.tobytes())
-            near, sim = seen[key] if key in seen else seen.setdefault(key, self.index.nearest(i, w, k + 1) if len(i) else (np.zeros(0, np.int64), np.zeros(0)))
-            rest = np.flatnonzero(near != n)[:k]
-            votes.append(vote(sim[rest], self.y[near[rest]], power))
-        self.slope, self.shift = _logistic(np.array(votes), self.y)
+    """Index of the examples, by rising doc_id, and the calibration of votes; without an index only the share of class 1."""
+
+    def __init__(self, share: float, k: int, power: int):
+        self.share, self.k, self.power, self.index, self.cache = share, k, power, None, {}
+        self.slope, self.shift = 1.0, 0.0
+
+    def fit(self, vectors: Vectors, ids: list[int], y: list[int], counts: list[Counter]) -> Model:
+        self.vectors, self.ids, self.y = vectors, np.array(ids), np.array(y, float)
+        self.index = BlockMaxIndex([vectors.unit(c) for c in counts], len(vectors.idf))
         return self
 
+    def left_out(self, doc_id: int, text: str) -> float:
+        """The vote on an example by all others."""
+        near, sim = self.index.nearest(*self.vectors.unit(terms_of(text)), self.k + 1)
+        rest = np.flatnonzero(self.ids[near] != doc_id)[: self.k]
+        return vote(sim[rest], self.y[near[rest]], self.power)
+
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
         if self.index is None:
             return self.share, [], []
-        counts = self.vectors.counts(text)
-        i, w = self.vectors.unit(counts) if counts else (np.zeros(0, np.int64), np.zeros(0))
+        i, w = self.vectors.unit(terms_of(text))
         key = (i.tobytes(), w.tobytes())
         found = self.cache.get(key)
         if found is None:
-            near, sim = self.index.nearest(i, w, self.k) if len(i) else (np.zeros(0, np.int64), np.zeros(0))
+            near, sim = self.index.nearest(i, w, self.k)
             v = vote(sim, self.y[near], self.power)
             found = (float(1 / (1 + np.exp(-(self.slope * v + self.shift)))), self.ids[near[:5]].tolist(), sim[:5].tolist())
-            if len(self.cache) > 4_000:
+            if len(self.cache) > 500:
                 self.cache.clear()
             self.cache[key] = found
         return found
 
 
-def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, w = np.column_stack([v, np.ones_like(v)]), np.array([1.0, -1.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2), a.T @ (p - y) + 0.05 * w)
-        w = w - step / max(1.0, np.abs(step).max() / 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(float(w[0]), 1e-6), float(w[1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, max_terms: int = 2048, k: int = 15, power: int = 2) -> Model:
-    """The examples' texts go to the checkpoint folder; term counts are gathered by Spark; the driver gets the best terms and
-    the examples' short vectors."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int = 7, power: int = 2) -> Model:
+    """The examples' texts go to the checkpoint folder; the driver gets their term counts, at most max_examples rows, and
+    their votes."""
+    spark = docs.sparkSession
     sample = materialise(label_sample(docs, labels, "toxic", max_examples, lambda i: fold(i, FOLDS) != HELD_OUT))
-    sums = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sums.get(1, 0), sums.get(0, 0)
-    model = Model(n1 / (n0 + n1) if n0 + n1 else 0.0)
-    if not n0 or not n1:
-        return model
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total: dict[str, list[int]] = {}
-        for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for t in {t for word in words_of(text) for t in terms_of(word)}:
-                total.setdefault(t, [0, 0])[y] += 1
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], ["term", "n0", "n1"])
-
-    terms = map_arrow(sample, count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-    terms = materialise(terms.where("a1 >= 3").where(F.col("a1") * F.lit(n0) > F.col("a0") * F.lit(n1)))
-    n = float(n0 + n1)
-    both = F.col("a0") + F.col("a1")
-    chi = F.lit(n) * F.pow(F.col("a1") * F.lit(float(n0)) - F.col("a0") * F.lit(float(n1)), F.lit(2.0)) / (both * (F.lit(n) - both + 1e-9) * F.lit(float(n0)) * F.lit(float(n1)))
-    least = 2 * np.log(max(terms.count(), 2)) + 8
-    best = terms.select("term", both.alias("df"), chi.alias("chi")).where(F.col("chi") >= F.lit(float(least))).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    vectors = Vectors([r.term for r in best], [float(np.log(n / r.df) + 1) for r in best])
+        found = [terms_of(t) for t in batch.column(1).to_pylist()]
+        numbers = [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([" ".join(c) for c in found], pa.string()), pa.array(numbers, pa.binary())], ["doc_id", "y", "terms", "n"])
+
+    rows = sorted(map_arrow(sample, count, "doc_id long, y int, terms string, n binary").collect(), key=lambda r: r.doc_id)
+    y = [r.y for r in rows]
+    model = Model(sum(y) / len(y) if y else 0.0, k, power)
+    if len(set(y)) < 2:
+        return model
+    counts = [Counter(dict(zip(r.terms.split(), np.frombuffer(r.n, np.int32).tolist(), strict=True))) for r in rows]
+    df = Counter(t for c in counts for t in c)
+    model.fit(Vectors(list(df), np.array(list(df.values()), float), len(rows)), [r.doc_id for r in rows], y, counts)
+    shared = spark.sparkContext.broadcast(model)
 
-    def represent(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = [vectors.counts(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "y", "t", "c"])
+    def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        votes = [shared.value.left_out(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(votes, pa.float64())], ["doc_id", "y", "vote"])
 
-    rows = sorted(map_arrow(sample, represent, "doc_id long, y int, t array<long>, c array<long>").collect(), key=lambda r: r.doc_id)
-    return model.fit(vectors, [(r.doc_id, r.y, dict(zip(r.t, r.c, strict=True))) for r in rows], k, power)
+    votes = sorted(map_arrow(sample, left_out, "doc_id long, y int, vote double").collect(), key=lambda r: r.doc_id)
+    model.slope, model.shift = logistic(np.array([r.vote for r in votes]), np.array([r.y for r in votes], float), 0.05, (1.0, -1.0))
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row for each document: score, verdict at the cut, nearest examples."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))  # max_examples short vectors
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))  # vectors of max_examples examples
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value

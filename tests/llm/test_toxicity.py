@@ -24,6 +24,51 @@ def test_index_equals_brute_force():
         assert np.allclose(sim, s[order]) and near.tolist() == order
 
 
+def test_query_equals_brute_force(spark):
+    """Evidence, similarities and scores of op2_toxicity by plain cosines over all terms of all learning examples."""
+    import math
+    import re
+    from collections import Counter
+
+    from factloom.llm.queries import op2_toxicity
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts}
+    count = {i: Counter(w[:4] for w in re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    df = Counter(t for i in toxic for t in count[i])
+
+    def unit(c):
+        v = {t: n * math.log(len(toxic) / df[t]) for t, n in c.items() if t in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()} if size else {}
+
+    units = {i: unit(c) for i, c in count.items()}
+
+    def nearest(i, but=None):
+        s = [(-round(sum(x * units[e].get(t, 0.0) for t, x in units[i].items()), 6), e) for e in toxic if e != but]
+        return [(e, -x) for x, e in sorted(s)[:7] if x < 0]
+
+    def vote(near):
+        w = sum(x * x for _, x in near)
+        return sum(x * x * toxic[e] for e, x in near) / w if w else 0.0
+
+    got = {r.doc_id: r for r in op2_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts) and len(set(toxic.values())) == 2
+    curve = {}
+    for i, r in got.items():
+        near = nearest(i)
+        assert np.allclose(r.similarity, [x for _, x in near[:5]], atol=2e-6)
+        sims = [x for _, x in near]
+        if len(set(np.round(sims, 4))) == len(sims):  # no near ties, which rounding orders
+            assert r.evidence == [e for e, _ in near[:5]]
+            curve[round(vote(near), 4)] = r.score
+    votes = sorted(curve)
+    assert len(votes) > 20 and all(curve[a] <= curve[b] + 1e-4 for a, b in zip(votes, votes[1:], strict=False))  # scores rise with votes
+    most = Counter(tuple(r.evidence) for r in got.values()).most_common(1)[0][1]
+    assert most <= 0.05 * len(got) + max(Counter(texts.values()).values())
+
+
 def rows(n=900):
     rng = random.Random(4)
     bad = ["grom", "blarg", "snurf"]
