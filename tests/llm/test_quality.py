@@ -45,9 +45,51 @@ def test_forest_finds_labelled_anomalies(documents, labels):
 def test_forest_scores_rise_with_isolation():
     rng = np.random.default_rng(0)
     x = np.abs(rng.normal(size=(500, 3)))
-    forest = quality_rules.IsolationForest(np.zeros(3)).fit(x)
-    far, near = forest.score(np.array([[9.0, 9, 9], [0.5, 0.5, 0.5]]))
-    assert far > near and (forest.score(x) == quality_rules.IsolationForest(np.zeros(3)).fit(x).score(x)).all()
+    forest = quality_rules.IsolationForest().fit(x)
+    (far, near, third), cause = forest.score(np.array([[9.0, 9, 9], [0.5, 0.5, 0.5], [0.5, 0.5, 9]]))
+    assert far > third > near and cause[2] == 2
+    assert (forest.score(x)[0] == quality_rules.IsolationForest().fit(x).score(x)[0]).all()
+
+
+def test_query_equals_paths_walked_one_by_one(spark):
+    """Every anomaly, cause and verdict of op1_quality_rules by walking each tree for each document in plain Python."""
+    from factloom.llm.queries import op1_quality_rules
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest, limits = quality_rules.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = op1_quality_rules(spark, sf).collect()
+    assert {r.doc_id for r in out} == set(texts)
+    for r in out:
+        words, chars, symbols, dup, repeat = plain(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (words, chars, symbols, dup, repeat)
+        lines = sum(bool(SPACE.search(x)) for x in texts[r.doc_id].split("\n"))
+        x = [np.log(1 + words), np.log((chars + 50) / (words + 10)), np.log(1 + 20 * symbols / (words + 10)), dup / (lines + 1), repeat / (words + 10)]
+        ascii_ = [c for c in texts[r.doc_id] if c.isascii() and c.isalpha()]
+        x += [sum(c.isupper() for c in ascii_) / (len(ascii_) + 60), np.log(1 + 20 * texts[r.doc_id].count("!") / (words + 10))]
+        total, earned = 0.0, np.zeros(7)
+        for root in forest.roots:
+            at = root
+            while forest.children[at][0] != at:
+                at = forest.children[at][int(x[forest.feature[at]] > forest.threshold[at])]
+            total += forest.length[at]
+            earned += forest.credit[at]
+        assert np.isclose(r.anomaly, 2 ** (-total / len(forest.roots) / forest.norm), atol=1e-9)
+        cause = quality_rules.STATISTICS.index(r.cause)
+        assert earned[cause] >= earned.max() - 1e-6
+        failed = words < 20 or 100 * repeat > 30 * words
+        assert r.base_failed == failed and r.kept == (not failed and r.anomaly <= limits[cause])
+
+
+def test_thresholds_lose_few_good_rows():
+    rng = np.random.default_rng(3)
+    good, cause = rng.random(4000) > 0.1, rng.integers(0, 5, 4000)
+    scores = np.round(rng.random(4000) * 0.5 + np.where(~good & (cause == 2), 0.45, 0.0), 3)
+    limits = quality_rules.thresholds(scores, cause, good, 0.01)
+    rejected = scores > limits[cause]
+    assert (rejected & good).sum() <= 0.02 * good.sum() and rejected[~good & (cause == 2)].mean() > 0.8
+    assert np.isinf(quality_rules.thresholds(scores, cause, np.ones(4000, bool), 0.01)).all()
 
 
 def test_qda_on_held_out_rows(documents, labels):
