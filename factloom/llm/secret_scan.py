@@ -2,7 +2,8 @@
 
 A document is the first layer. Each layer is scanned for secrets and searched for encoded parts: percent escapes and
 Unicode escapes (decoded in place), base64 runs and compressed data (decoded by themselves). What they decode to joins the
-worklist until nothing new comes; a layer equal to one it descends from is a cycle and ends there. Every layer carries, for
+worklist until nothing new comes; a layer equal to one it descends from is a cycle and ends there, and one that other steps
+have led to already, with the same places, is not read again. Every layer carries, for
 each of its characters, the first and last place it came from in the document, so a secret found anywhere is reported as a
 span of the document. Compressed data is opened as a stream, through as many layers as it has, and scanned in overlapping
 windows. The worklist goes depth first and holds one part of each open layer, so memory stays bounded.
@@ -52,13 +53,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _DEEP_PERCENT = re.compile(r"%25(?:25)+")
-_UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Bytes written in a text: in URLs, where + is a space and unreserved characters stand for themselves, and as escapes of a string.
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
 _URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
-_QUOTED = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};|[\x20-\x7e])+""")
-_QUOTED_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};|\\[abfnrtv0\\'"]|.""")
+_QUOTED = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|[\x20-\x7e])+""")
+_QUOTED_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|\\[abfnrtv0\\'"]|.""")
 _SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 _LINE_BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_LINE_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
@@ -98,6 +99,14 @@ class Layer:
             self.own = self.ancestors | {_digest(self.text)}
         return self.own
 
+    def mark(self) -> bytes:
+        """Digest of text and places."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "replace"), digest_size=16)
+        for places in (self.starts, self.ends):
+            one = places.strides == (0,)  # one place for all characters
+            h.update(places[:1].tobytes() if one else np.ascontiguousarray(places, np.int64).tobytes())
+        return h.digest()
+
     def place(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (int(self.starts[start:end].min()), int(self.ends[start:end].max()))
 
@@ -249,15 +258,6 @@ def _long_run(opened: Callable[[], Iterator[bytes]], offset: int) -> Iterator[by
         yield from inside(percents)
 
 
-def _readable(data: bytes) -> str | None:
-    """The text that data is, if it is one: UTF-8 of at least 8 printable characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 8 and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text[:4096]) and "\x00" not in text else None
-
-
 def _decoded(run: bytes) -> bytes:
     """The bytes of a base64 run without padding."""
     run = run[: len(run) - (len(run) % 4 == 1)]
@@ -270,7 +270,7 @@ def _texts(data: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
     if _STRETCH.search(data):
         try:
             text = data.decode("utf-8")
-            size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+            size = np.ones(len(text), np.int64) if len(text) == len(data) else np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
         except UnicodeDecodeError:
             text, size = data.decode("latin-1"), np.ones(len(data), np.int64)
         yield text, 0, size
@@ -315,7 +315,8 @@ def _in_place(layer: Layer, found: list[tuple[int, int, str, list[int] | None]])
 def _unescape(m: re.Match) -> str:
     x = m[0]
     if x[0] == "&":
-        code = int(x[3:-1], 16) if x[2] in "xX" else int(x[2:-1])
+        digits = (x[3:-1] if x[2] in "xX" else x[2:-1]).lstrip("0")
+        code = int(digits or "0", 16 if x[2] in "xX" else 10) if len(digits) < 8 else 0
     elif len(x) == 12:
         code = 0x10000 + ((int(x[2:6], 16) - 0xD800) << 10) + int(x[8:12], 16) - 0xDC00
     else:
@@ -329,7 +330,7 @@ def _unicode_marks(text: str) -> list[tuple[int, int, str, None]]:
     found, m = [], _UNICODE.search(text)
     while m:
         start, end, new = m.start(), m.end(), _unescape(m)
-        while new in "\\&" and (further := _UNICODE.match(new + text[end : end + 12])):
+        while new in "\\&" and (further := _UNICODE.match(new + text[end : end + 64])):
             end, new = end + further.end() - 1, _unescape(further)
         found.append((start, end, new, None))
         m = _UNICODE.search(text, end)
@@ -360,9 +361,7 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
                     left: list[int] = []
                     yield from inflated(memoryview(data)[m.start() :], int(at[shift + m.start() // 3 * 4]), end, left)
                     after = len(data) - left[0] if left else 0
-            new = _readable(data) if shift == 0 else None
-            found = _texts(data) if new is None else [(new, 0, np.fromiter((len(c.encode()) for c in new), np.int64, len(new)))]
-            for new, start, size in found:
+            for new, start, size in _texts(data):
                 to = start + np.cumsum(size)
                 first, final = at[shift + (to - size) // 3 * 4], at[np.minimum(shift - (-to // 3) * 4, len(joined)) - 1]
                 yield new, first if layer.starts is None else layer.starts[first], final + 1 if layer.ends is None else layer.ends[final]
@@ -416,12 +415,13 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield from based(runs, done, range(4))
 
 
-def scan(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans, and the number of layers read."""
-    base = base_spans(text)
-    every, read = set(base), 1
+def layers(text: str) -> Iterator[Layer]:
+    """The text and all layers inside it, depth first; of each open layer one part at a time is held. Layers of equal text and
+    places, however they were reached, are read once; one equal to a layer around it is a cycle."""
     top = Layer(text, None, None, frozenset())
-    work = [(top, unwrap(top))]  # depth first: of each open layer one part at a time
+    yield top
+    seen: set[bytes] = set()
+    work = [(top, unwrap(top))]
     while work:
         layer, parts = work[-1]
         part = next(parts, None)
@@ -429,15 +429,25 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
             work.pop()
             continue
         new, starts, ends = part
-        lineage = layer.lineage()
-        if not new or _digest(new) in lineage:
+        if not new or _digest(new) in layer.lineage():
+            continue
+        child = Layer(new, starts, ends, layer.lineage())
+        mark = child.mark()
+        if mark in seen:
             continue
-        child = Layer(new, starts, ends, lineage)
+        seen.add(mark)
+        yield child
+        work.append((child, unwrap(child)))
+
+
+def scan(text: str) -> tuple[list[Span], list[Span], int]:
+    """Base spans, all spans, and the number of layers read."""
+    base, every, read = base_spans(text), set(), 0
+    for layer in layers(text):
         read += 1
-        for s, kind, e in base_spans(new):
-            a, b = child.place(s, e)
+        for s, kind, e in base if read == 1 else base_spans(layer.text):
+            a, b = layer.place(s, e)
             every.add((a, kind, b))
-        work.append((child, unwrap(child)))
     return base, sorted(every), read
 
 
