@@ -17,13 +17,19 @@ BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches and make sure that checkpoint() has a folder (the cluster's own, if it names one)."""
+    """Bound the session's Arrow batches and make sure that checkpoint() has a folder that all executors reach: the one that the
+    session names in spark.checkpoint.dir. Without one a local session gets a temporary folder; a cluster is an error. Checkpoints
+    go when nothing refers to them any more."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if not spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors reach in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 

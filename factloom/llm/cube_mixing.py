@@ -7,13 +7,13 @@ documents become certain. Blocks of documents of one source fly by themselves; t
 undecided meet in blocks of the next level, until one block a source is left. There HELD documents wait for the
 others to fly; these few are the landing problem, solved by trying all their subsets for the words nearest to what is
 expected. Every draw comes from a hash of ids and texts, so reruns agree and rows that share an id or have none spread
-over blocks.
+over blocks. Equal rows are counted before any shuffle and spread SHARE at a time, however many there are.
 
 Per source one short row comes to the driver (totals, for the targets); documents never do.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source, the last; sources without
-words have target 0; documents are told apart by doc_id, which may be null or repeated; an empty table gives an empty
-result; other columns are ignored.
+words have target 0; ids may be null or repeated, every row is a document of its own; an empty table gives an empty result.
+choose() ignores other columns; mix() tells rows apart by all columns, and of equal rows it does not matter which is copied.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh, map_arrow, materialise, utf8
@@ -34,6 +33,8 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 BLOCK, FAN = 2048, 512
 #: Documents kept back for the landing; with the two a flight leaves, 4096 subsets.
 HELD = 10
+#: Equal rows that share a block, and copies of one row that a task writes.
+SHARE, WRITTEN = 256, 4096
 _EPS = 1e-9
 
 
@@ -98,40 +99,52 @@ def land(p: list[float], size: list[int]) -> None:
         p[k] = float(x)
 
 
+_FLIGHT = "sid int, block long, h long, doc_id long, size long, mark long, mark2 long, rest long, n long, p double"
+
+
 def _fly_groups(rows: DataFrame, level: int, last: set[int]) -> DataFrame:
-    """One flight for each (sid, block); sources in `last` also land."""
+    """One flight for each (sid, block), each row as often as its n says; sources in `last` also land."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        order = [(c, "ascending") for c in ("h", "doc_id", "size", "mark", "mark2", "rest")]
+        group = group.combine_chunks().sort_by(order)
+        group = group.take(pa.array(np.repeat(np.arange(group.num_rows), group["n"].to_numpy())))
         sid, block = group["sid"][0].as_py(), group["block"][0].as_py()
         p, size = group["p"].to_pylist(), group["size"].to_pylist()
         rng = Random(((sid * 1_000_003 + block) * 64 + level) & (2**63 - 1))
         fly(p, size, rng, HELD if sid in last else 0)
         if sid in last:
             land(p, size)
-        return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+        done = {"p": pa.array(p, pa.float64()), "n": pa.array(np.ones(len(p), np.int64))}
+        return pa.table({c: done.get(c, group[c]) for c in group.column_names})
 
-    return rows.groupBy("sid", "block").applyInArrow(run, "sid int, block long, h long, doc_id long, size long, p double")
+    return rows.groupBy("sid", "block").applyInArrow(run, _FLIGHT)
 
 
-def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """One row for each document: its size, its source's size and target, the copies and the words taken."""
+def _decided(docs: DataFrame, rest: Column, weights: tuple[float, ...], most: float) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, mark, mark2, rest): one row for each document. The marks are hashes of its
+    text; rest tells apart rows of one id, source and text."""
     spark = docs.sparkSession
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8(batch.column(2))
-        n, mark = np.array([len(t.split()) for t in texts], np.int64), np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(mark.view(np.int64))], ["doc_id", "source", "size", "mark"])
-
-    sized = materialise(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), measure, "doc_id long, source string, size long, mark long"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        n = np.array([len(t.split()) for t in utf8(batch.column(2))], np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *batch.columns[3:]], ["doc_id", "source", "size", "mark", "mark2", "rest"])
+
+    mark, mark2 = _marks()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", mark.alias("mark"), mark2.alias("mark2"), rest.alias("rest"))
+    sized = map_arrow(rows, measure, "doc_id long, source string, size long, mark long, mark2 long, rest long")
+    sized = materialise(sized.groupBy("doc_id", "source", "size", "mark", "mark2", "rest").agg(F.count("*").alias("n")))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()
     goal = targets([(r.source, r.size) for r in totals], weights, most)
     ordered = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
     blocks = {k: max(1, math.ceil(r.n / BLOCK)) for k, r in enumerate(ordered)}
     ratio = [goal[r.source] / r.size if r.size else 0.0 for r in ordered]
     plan = spark.createDataFrame([(k, r.source, r.size, goal[r.source], blocks[k], int(x + _EPS), max(0.0, x - int(x + _EPS))) for k, (r, x) in enumerate(zip(ordered, ratio, strict=True))], "sid int, of string, source_size long, target double, blocks int, whole long, part double")
     rows = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))  # one row a source
-    rows = rows.select("sid", F.pmod(F.xxhash64("doc_id", "mark", F.lit(8)), F.col("blocks")).cast("long").alias("block"), F.xxhash64("doc_id", "mark").alias("h"), "doc_id", "size", F.col("part").alias("p"))
+    rows = _numbered(rows)
+    few = F.least(F.lit(SHARE).cast("long"), F.col("n") - F.col("nth") * SHARE)
+    h = lambda seed: F.xxhash64("doc_id", "mark", "nth", "salt", F.lit(seed))
+    rows = rows.select("sid", F.pmod(h(8), F.col("blocks")).cast("long").alias("block"), h(1).alias("h"), "doc_id", "size", "mark", "mark2", "rest", few.alias("n"), F.col("part").alias("p"))
     level, decided = 0, []
     left = rows
     while True:
@@ -147,13 +160,48 @@ def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float
     for more in decided[1:]:
         out = out.unionAll(more)
     out = out.join(F.broadcast(plan), "sid")
-    copies = F.col("whole") + F.col("p").cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"), "mark", "mark2", "rest")
+
 
+def _marks() -> tuple[Column, Column]:
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """docs as the mix takes them: each row as many times as it has copies. Rows that share an id take the most of theirs."""
-    chosen, times, nth = (fresh(name, docs) for name in ("chosen_id", "n_copies", "nth_copy"))
-    copies = choose(docs, **parameters).groupBy("doc_id").agg(F.max("copies").cast("int").alias(times)).withColumnRenamed("doc_id", chosen)
-    joined = docs.join(copies.where(F.col(times) > 0), F.expr(f"doc_id <=> {chosen}"))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)).drop(nth)
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with nth and salt, which spread what shares an id, source and text: equal rows SHARE at a time, and of very many that
+    differ elsewhere as many together."""
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SHARE))))
+    key = ["sid", "doc_id", "mark", "mark2"]
+    hot = rows.where(F.col("rest") != 0).groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > SHARE)
+    hot = materialise(hot.select(*(F.col(c).alias(f"hot_{c}") for c in key), F.ceil(F.col("rows") / SHARE).alias("parts")))
+    if hot.isEmpty():
+        return rows.withColumn("salt", F.lit(0).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in key]
+    return rows.join(hot, same, "left").withColumn("salt", F.coalesce(F.pmod("rest", "parts"), F.lit(0).cast("long")))
+
+
+def choose(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """One row for each document: its size, its source's size and target, the copies and the words taken."""
+    rows = _decided(docs, F.lit(0).cast("long"), weights, most)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """docs as the mix takes them: each row as many times as it has copies. Equal rows meet as one before any shuffle and are
+    written as often as all of them are taken."""
+    columns = [F.col(f"`{c}`").cast("string") if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]  # maps have no hash
+    rest = F.xxhash64(*columns)
+    times, part, *marks = (fresh(name, docs) for name in ("n_copies", "nth_copy", "text_mark", "text_mark2", "row_mark"))
+    named = [F.col(c).alias(n) for c, n in zip(("mark", "mark2", "rest"), marks, strict=True)]
+    taken = materialise(_decided(docs, rest, weights, most).groupBy(*named).agg(F.sum("copies").alias(times)).where(F.col(times) > 0))
+    one_of_each = docs.withColumns(dict(zip(marks, (*_marks(), rest), strict=True))).dropDuplicates(marks).join(taken, marks)
+
+    def written(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.withColumn(part, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*(f"`{c}`" for c in docs.columns))
+
+    if taken.where(F.col(times) > WRITTEN).isEmpty():
+        return written(one_of_each, F.col(times))
+    many = one_of_each.where(F.col(times) > WRITTEN).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / WRITTEN))))
+    many = many.repartition(F.col(marks[2]), F.col(part))
+    few = written(one_of_each.where(F.col(times) <= WRITTEN), F.col(times))
+    return few.unionAll(written(many, F.least(F.lit(WRITTEN).cast("long"), F.col(times) - F.col(part) * WRITTEN)))

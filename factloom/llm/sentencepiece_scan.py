@@ -4,8 +4,9 @@ A sequence of pieces is the encoding of a text exactly if every two neighbours a
 merges never cross a border between final pieces, and on both sides of it they come in the same order as alone. So the
 encoding is the one path of weight 0 through a lattice whose steps weigh 0 (neighbours fit) or minus infinity (they don't):
 a max-plus product. Giant texts are cut into chunks. A boundary's states are the pieces that may lie across it. For each
-chunk, on its own, the transfer matrix says which state at its start can lead to which at its end; the matrices combine
-associatively along the text, which leaves one state at every boundary; then each chunk is traced back by itself.
+chunk, on its own, the transfer matrix says which state at its start can lead to which at its end. The product of matrices is
+associative: FAN neighbours are multiplied in a task, their products again, up a tree, and down the tree every boundary gets
+its one state; then each chunk is traced back by itself.
 
 No piece has a space after another character, so a space after a letter is a sure border. Where a chunk has such borders,
 its matrix is the product of a column (states that fit before the first) and a row (states that follow the last), and what
@@ -15,23 +16,29 @@ Decoding joins the pieces' bytes and drops the leading space that encoding adds.
 
 Defined results: null and empty texts have no tokens; repeated rows each get a row; a null doc_id stays null; other columns
 are ignored; round_trip says whether decoding gives the text back (U+2581 in a text comes back as a space: false).
+
+The model's path is a parameter or the session's spark.factloom.tokenizer; the driver ships the file to the executors.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import map_arrow, materialise, prepare, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16384
+#: Matrices that are multiplied in one task.
+FAN = 64
 SPACE = "▁"
 _LOADED: dict[str, Pieces] = {}
 
@@ -191,6 +198,13 @@ def pieces(path: str = MODEL) -> Pieces:
     return _LOADED[path]
 
 
+def shipped(spark: SparkSession, path: str | None) -> str:
+    """The name under which executors find the model's file."""
+    path = path or spark.conf.get("spark.factloom.tokenizer", MODEL)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
 def _window(text: str, k: int, chunk: int, reach: int) -> tuple[str, int, int]:
     """Chunk k of a normalised text with `reach` characters to both sides, and the chunk's place in it."""
     a, b = k * chunk, min((k + 1) * chunk, len(text))
@@ -198,38 +212,91 @@ def _window(text: str, k: int, chunk: int, reach: int) -> tuple[str, int, int]:
     return text[low : b + reach], a - low, b - low
 
 
-def combine(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """The state before and after each chunk: forward products of the transfer matrices, then one pass back."""
+Matrix = list[tuple[int, int]]
+
+
+def multiplied(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product of two transfer matrices, each given by its pairs of states of weight 0."""
+    onward: dict[int, list[int]] = {}
+    for i, o in b:
+        onward.setdefault(i, []).append(o)
+    return sorted({(i, o) for i, via in a for o in onward.get(via, ())})
+
+
+def resolved(matrices: list[Matrix], into: int, out: int | None) -> list[tuple[int, int]]:
+    """The state before and after each of the matrices, from `into` to `out` (None: the final state): forward, then back."""
     reach: list[dict[int, int]] = []
-    now = {0}
+    now = {into}
     for pairs in matrices:
         step = {o: i for i, o in sorted(pairs, reverse=True) if i in now}
         reach.append(step)
         now = set(step)
-    out, states = max(now), []
+    if not now or (out is not None and out not in now):
+        raise RuntimeError("no path through the lattice: a chunk is missing or not the text's")
+    at, states = max(now) if out is None else out, []
     for step in reversed(reach):
-        states.append((step[out], out))
-        out = step[out]
+        states.append((step[at], at))
+        at = step[at]
     return states[::-1]
 
 
-def _in_out(matrices: list[list[tuple[int, int]]]) -> list[pa.Array]:
+def _in_out(matrices: list[Matrix]) -> list[pa.Array]:
     return [pa.array([[pair[j] for pair in pairs] for pairs in matrices], pa.list_(pa.int64())) for j in (0, 1)]
 
 
+def _matrices(group: pa.Table) -> list[Matrix]:
+    k = group["k"].to_pylist()
+    if k != list(range(k[0], k[0] + len(k))):
+        raise RuntimeError("a chunk is missing")
+    return [list(zip(i, o, strict=True)) for i, o in zip(group["ins"].to_pylist(), group["outs"].to_pylist(), strict=True)]
+
+
+def states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(key, k, into, out) of (key, k, ins, outs): the states before and after each chunk of each text."""
+
+    def product(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        found = reduce(multiplied, _matrices(group))
+        ins, outs = _in_out([found])
+        return pa.table({"key": group["key"].slice(0, 1), "k": pa.array([group["k"][0].as_py() // fan], pa.int64()), "ins": ins, "outs": outs})
+
+    def resolve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k")
+        found = resolved(_matrices(group), group["from"][0].as_py(), group["to"][0].as_py())
+        return pa.table({"key": group["key"], "k": group["k"], "into": pa.array([x[0] for x in found], pa.int64()), "out": pa.array([x[1] for x in found], pa.int64())})
+
+    part = F.floor(F.col("k") / F.lit(fan))
+    most = matrices.agg(F.max("k")).first()[0] or 0
+    levels = [matrices]
+    while most >= fan:
+        levels.append(materialise(levels[-1].groupBy("key", part.alias("part")).applyInArrow(product, "key string, k long, ins array<long>, outs array<long>")))
+        most //= fan
+    known = None
+    for level in reversed(levels):
+        rows = level.withColumn("part", part)
+        if known is None:
+            rows = rows.withColumns({"from": F.lit(0).cast("long"), "to": F.lit(None).cast("long")})
+        else:
+            rows = rows.join(known.select("key", F.col("k").alias("part"), F.col("into").alias("from"), F.col("out").alias("to")), ["key", "part"])
+        known = rows.groupBy("key", "part").applyInArrow(resolve, "key string, k long, into long, out long")
+    return known
+
+
 def digest(ids: list[int]) -> str:
     return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan: int = FAN, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip[, ids]); one row for each document. ids_sha256: of the ids as 32-bit little-endian."""
     spark = prepare(docs.sparkSession)
+    file = shipped(spark, model)
+    loaded = lambda: pieces(SparkFiles.get(file))
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     names = [x.split()[0] for x in schema.split(", ")]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, rows = pieces(model), []
+        p, rows = loaded(), []
         for t in utf8(batch.column(1)):
             text = t.decode()
             found = p.encode(text)
@@ -239,57 +306,45 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], kinds[j]) for j in range(3 + ids))], names)
 
     small = map_arrow(base.where(F.length("text") < chunk), short, schema)
-    giant = base.where(F.length("text") >= chunk)
 
-    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
-        for doc_id, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            key = hashlib.blake2b(t, digest_size=16).hexdigest()
-            text = t.decode()
-            exact = SPACE not in text
-            text = SPACE + text.replace(" ", SPACE)
-            n = -(-len(text) // chunk)
-            for k in range(n):
-                window, a, b = _window(text, k, chunk, p.longest)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "key": [key], "k": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64()), "exact": [exact], "piece": [window]})
-
-    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = loaded()
         for batch in batches:
-            yield from cut(batch)
-
-    def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matrices where sure borders make them cheap; other chunks go on with their text."""
-        p = pieces(model)
-        for batch in cut_all(batches):
-            r = {name: batch.column(name)[0].as_py() for name in ("k", "n", "a", "b", "piece")}
-            easy = p.borders(r["piece"], r["a"], r["b"]) is not None
-            pairs = p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1) if easy else []
-            cols = [batch.column(c) for c in ("key", "k", "n", "a", "b")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([None if easy else r["piece"]], pa.string()), *_in_out([pairs])], ["key", "k", "n", "a", "b", "piece", "ins", "outs"])
-
-    def matrices(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = pieces(model)
-        out = [p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1) for r in batch.to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), *_in_out(out)], ["key", "k", "ins", "outs"])
-
-    def scan(group: pa.Table) -> pa.Table:
-        group = group.sort_by("k")
-        states = combine([list(zip(i, o, strict=True)) for i, o in zip(group["ins"].to_pylist(), group["outs"].to_pylist(), strict=True)])
-        return pa.table({"key": group["key"], "k": group["k"], "into": pa.array([s[0] for s in states], pa.int64()), "out": pa.array([s[1] for s in states], pa.int64())})
-
-    ends = materialise(giant.mapInArrow(boundaries, "key string, k long, n long, a long, b long, piece string, ins array<long>, outs array<long>").dropDuplicates(["key", "k"]))
-    hard = ends.where("piece is not null").select("key", "k", "n", "a", "b", "piece")
-    states = ends.where("piece is null").select("key", "k", "ins", "outs").unionAll(map_arrow(hard, matrices, "key string, k long, ins array<long>, outs array<long>"))
-    states = states.groupBy("key").applyInArrow(scan, "key string, k long, into long, out long")
+            for doc_id, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                key, text = hashlib.blake2b(t, digest_size=16).hexdigest(), t.decode()
+                exact = SPACE not in text
+                text = SPACE + text.replace(" ", SPACE)
+                n = -(-len(text) // chunk)
+                for k in range(n):
+                    window, a, b = _window(text, k, chunk, p.longest)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "key": [key], "k": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64()), "exact": [exact], "piece": [window]})
+
+    # the giant texts, read and cut once; all that follows reads the chunks
+    chunks = materialise(base.where(F.length("text") >= chunk).mapInArrow(cut, "doc_id long, key string, k long, n long, a long, b long, exact boolean, piece string"))
+
+    def transfers(batch: pa.RecordBatch, easy_only: bool) -> pa.RecordBatch:
+        """Matrices where sure borders make them cheap; with easy_only other chunks go on with their text."""
+        p, left, found = loaded(), [], []
+        for r in batch.to_pylist():
+            later = easy_only and p.borders(r["piece"], r["a"], r["b"]) is None
+            left.append(r["piece"] if later else None)
+            found.append([] if later else p.transfer(r["piece"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "k", "n", "a", "b")), pa.array(left, pa.string()), *_in_out(found)], ["key", "k", "n", "a", "b", "piece", "ins", "outs"])
+
+    columns = "key string, k long, n long, a long, b long, piece string, ins array<long>, outs array<long>"
+    ends = materialise(map_arrow(chunks.select("key", "k", "n", "a", "b", "piece"), lambda batch: transfers(batch, True), columns).dropDuplicates(["key", "k"]))
+    hard = ends.where("piece is not null").repartition("key", "k")  # walked through the lattice, spread over all tasks
+    walked = map_arrow(hard.select("key", "k", "n", "a", "b", "piece"), lambda batch: transfers(batch, False), columns)
+    known = states(materialise(ends.where("piece is null").unionAll(walked).select("key", "k", "ins", "outs")), fan)
 
     def trace(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = pieces(model)
+        p = loaded()
         rows = [p.back(r["piece"], r["a"], r["b"], r["into"], r["out"]) for r in batch.to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([e and r[1] for e, r in zip(batch.column("exact").to_pylist(), rows, strict=True)]), pa.array([r[0] for r in rows], pa.list_(pa.int32()))], ["key", "k", "ok", "ids"])
 
     # equal texts are traced once; one shuffle of the chunks serves this and the join
-    chunks = giant.mapInArrow(cut_all, "doc_id long, key string, k long, n long, a long, b long, exact boolean, piece string").drop("doc_id").dropDuplicates(["key", "k"])
-    traced = map_arrow(chunks.join(states, ["key", "k"]).select("key", "k", "a", "b", "exact", "piece", "into", "out"), trace, "key string, k long, ok boolean, ids array<int>")
+    once = chunks.drop("doc_id").dropDuplicates(["key", "k"])
+    traced = map_arrow(once.join(known, ["key", "k"]).select("key", "k", "a", "b", "exact", "piece", "into", "out"), trace, "key string, k long, ok boolean, ids array<int>")
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("ok").alias("round_trip"))
     whole = whole.select("key", "round_trip", F.flatten(F.col("parts.ids")).alias("all_ids"))
 
@@ -298,18 +353,16 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = CHUNK, ids: bool
         cols = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found]), batch.column("round_trip")]
         return pa.RecordBatch.from_arrays([*cols, *([batch.column("all_ids").cast(pa.list_(pa.int32()))] if ids else [])], names)
 
-    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(t, digest_size=16).hexdigest() for t in utf8(batch.column(1))])], ["doc_id", "key"])
-
-    long = map_arrow(giant, keyed, "doc_id long, key string").join(whole, "key").select("doc_id", "round_trip", "all_ids")
+    long = chunks.where("k = 0").select("doc_id", "key").join(whole, "key").select("doc_id", "round_trip", "all_ids")
     return small.unionByName(map_arrow(long, digests, schema))
 
 
-def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
+    file = shipped(prepare(encoded.sparkSession), model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = pieces(model)
+        p = pieces(SparkFiles.get(file))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

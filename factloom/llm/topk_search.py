@@ -1,17 +1,18 @@
 """Operator 9: exact top-k by integer inner product with ball trees.
 
-Candidates are dealt into shards and queries into blocks by their hashed ids; every block meets every shard in a task of
+Candidates are dealt into shards and queries into blocks, row by row, whatever their ids; every block meets every shard in a task of
 its own. A task builds the shard's ball tree and descends it with all its queries at once: a ball's bound is the query's
 product with the centre plus its norm times the radius; the child of greater bound goes first, and a query leaves a ball
-whose bound is under its kth score. The first shard is searched alone; the kth scores found there are shared with all
-others, which return only what can still enter.
+whose bound is under its kth score. Shards are searched in waves, each several times the one before; after each wave the
+current kth score of every query is shared with the next, which returns only what can still enter.
 
 Vectors: each component x becomes floor(64 x), as double, then long (clamped to its range). Sums are exact: in doubles while
 they stay under 2^53, else in Python's integers, and a sum beyond long is clamped.
 
 Defined results: null vectors, vectors with null or non-finite components, and null ids take no part; vectors of another
-length than the query's are no candidates; of rows that share a vec_id the smallest vector counts; a query without candidates
-has no rows; ties go to the smaller vec_id; other columns are ignored.
+length than the query's are no candidates; every row is a candidate, also of rows that share a vec_id, but for those of the
+query's own id; rows that share a query's id ask together and get the k best of all their scores; a query without candidates has
+no rows; ties go to the smaller vec_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,23 +120,19 @@ def _search_large(q_ids: np.ndarray, q: list[list[int]], ids: np.ndarray, x: lis
     return out
 
 
-def _distinct(t: pa.Table) -> dict[int, tuple[np.ndarray, list[list[int]], list]]:
-    """By vector length: ids, vectors and floors; of rows that share an id the smallest vector."""
-    best: dict[int, tuple] = {}
+def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, list[list[int]], list]]:
+    """By vector length: ids, vectors and floors, by rising id."""
     floors = t["least"].to_pylist() if "least" in t.column_names else [None] * t.num_rows
-    for i, v, f in zip(t["vec_id"].to_pylist(), t["v"].to_pylist(), floors, strict=True):
-        if i not in best or v < best[i][0]:
-            best[i] = (v, f)
     out: dict[int, list] = {}
-    for i in sorted(best):
-        out.setdefault(len(best[i][0]), []).append((i, *best[i]))
+    for row in sorted(zip(t["vec_id"].to_pylist(), t["v"].to_pylist(), floors, strict=True), key=lambda r: (r[0], r[1])):
+        out.setdefault(len(row[1]), []).append(row)
     return {n: (np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], [r[2] for r in rows]) for n, rows in out.items()}
 
 
 def _meet(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if queries.num_rows and shard.num_rows:
-        mine, theirs = _distinct(queries), _distinct(shard)
+        mine, theirs = _by_length(queries), _by_length(shard)
         for n in sorted(mine.keys() & theirs.keys()):
             (q_ids, q, floors), (ids, x, _) = mine[n], theirs[n]
             most = max(max(map(abs, v), default=0) for v in q) * max(max(map(abs, v), default=0) for v in x) * max(n, 1)
@@ -166,9 +163,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     n, m, cores = candidates.count(), queries.count(), max(spark.sparkContext.defaultParallelism, 1)
     shards = math.ceil(n / min(MOST_ROWS, max(LEAST_ROWS, n // (2 * cores)))) if n else 1
     blocks = max(1, math.ceil(m / MOST_ROWS))
-    place = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    dealt = candidates.select(place(shards, 1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    asked = queries.select(place(blocks, 2).alias("block"), "vec_id", "v")
+    place = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")  # noqa: E731  by row: both are materialised
+    dealt = candidates.select(place(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    asked = queries.select(place(blocks).alias("block"), "vec_id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         return _meet(left, right, k)
@@ -179,12 +176,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         to, theirs = to.toDF(*to.columns), theirs.toDF(*theirs.columns)  # both may come from one table
         return to.groupBy("shard", "block").cogroup(theirs.groupBy("shard", "block")).applyInArrow(meet, _RESULT)
 
-    first = materialise(round_(asked, 0, 0))
-    if shards == 1:
-        return _best(first, k).select("query_id", "rank", "vec_id", "score")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    shared = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
-    return _best(first.unionAll(round_(shared, 1, shards - 1)), k).select("query_id", "rank", "vec_id", "score")
+    low, size, found = 0, max(1, min(cores // blocks, shards // 4)), None
+    while low < shards:
+        to, high = asked, min(shards, low + size)
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+            to = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
+        new = round_(to, low, high - 1)
+        found = _best(new if found is None else found.unionAll(new), k)
+        if high < shards:
+            found = materialise(found.select("query_id", "vec_id", "score"))
+        low, size = high, 4 * size
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def top_of_every(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:

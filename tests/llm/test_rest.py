@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from factloom.llm import cube_mixing, topk_search, url_filter, warc
 from factloom.llm import sentencepiece_scan as sp
@@ -183,3 +184,102 @@ def test_sentencepiece_query_gives_ids(spark):
     assert all(len(r.ids) == r.n_tokens and sp.digest(r.ids) == r.ids_sha256 for r in rows.values())
     back = {r.doc_id: r.text for r in sp.decode(out).collect()}
     assert all(back[i] == t for i, t in texts.items() if sp.SPACE not in t)
+
+
+def test_topk_keeps_rows_that_share_an_id(spark):
+    """Against the SQL of the query: repeated candidates and repeated query ids."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    ids = [int(x) for x in rng.integers(0, 60, 300)] + [7] * 120 + [20] * 40
+    rows = [(i, [float(np.float32(x)) for x in np.round(rng.normal(size=5), 2)]) for i in ids] + [(7, [0.5] * 5)] * 30
+    got = topk_search.top_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    db = duckdb.connect()
+    frame = pd.DataFrame({"vec_id": [r[0] for r in rows], "embedding": [np.array(r[1], np.float32) for r in rows]})  # noqa: F841  read by name
+    db.sql("create table embeddings as select * from frame")
+    want = db.sql(topk_search.ORACLE).fetchall()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(want)
+
+
+def test_topk_over_many_shards_and_waves(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "LEAST_ROWS", 16)
+    monkeypatch.setattr(topk_search, "MOST_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(700)]
+    got = topk_search.top_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute(rows)
+
+
+def test_mix_takes_the_words_that_choose_takes(spark):
+    """Rows that share ids, equal rows, and rows that differ only in other columns."""
+    rng = random.Random(17)
+    rows = [(i % 50, "w " * rng.randint(1, 30), rng.choice(["en", "de"]), rng.choice(["a", "b", "b", "b"]), i % 9) for i in range(4000)]
+    rows += [(None, "same words here", "en", "a", 0)] * 1500 + [(None, "x y", "en", "b", i) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    n = lambda t: len(t.split())
+    chosen, mixed = cube_mixing.choose(d).collect(), cube_mixing.mix(d).collect()
+    assert len(chosen) == len(rows)
+    goal = {}
+    for s in ("a", "b"):
+        size = sum(n(r[1]) for r in rows if r[3] == s)
+        goal[s] = next(r.target for r in chosen if r.source_size == size)
+        assert abs(sum(n(r.text) for r in mixed if r.source == s) - goal[s]) <= 30
+        assert abs(sum(r.taken for r in chosen if r.source_size == size) - goal[s]) <= 30
+    had, got = defaultdict(int), defaultdict(int)
+    for r in rows:
+        had[r] += 1
+    for r in mixed:
+        got[tuple(r)] += 1
+    assert set(got) <= set(had) and all(got[r] <= 3 * k for r, k in had.items())
+    assert sorted(map(str, mixed)) == sorted(map(str, cube_mixing.mix(d.repartition(5)).collect()))
+
+
+def test_mix_spreads_equal_rows_over_blocks(spark, monkeypatch):
+    largest = []
+    made = cube_mixing._fly_groups
+
+    def seen(rows, level, last):
+        largest.append(rows.groupBy("sid", "block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        return made(rows, level, last)
+
+    monkeypatch.setattr(cube_mixing, "_fly_groups", seen)
+    d = spark.createDataFrame([(None, "a b", "en", "s", 0)] * 20_000 + [(i, "a b c", "en", "t", 0) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cube_mixing.mix(d).count() > 0 and largest[0] <= 2 * cube_mixing.BLOCK
+
+
+def test_copies_beyond_one_tasks_share(spark, monkeypatch):
+    monkeypatch.setattr(cube_mixing, "WRITTEN", 64)
+    d = spark.createDataFrame([(1, "a b", "en", "s", 0)] * 500 + [(i, "a b c", "en", "t", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cube_mixing.mix(d).count() == sum(r.copies for r in cube_mixing.choose(d).collect())
+
+
+def test_states_up_and_down_the_tree(spark):
+    """Products of FAN matrices a task equal one pass over all, whatever FAN is; a missing chunk is an error."""
+    rng = random.Random(2)
+    rows, want = [], {}
+    for t in range(6):
+        n = rng.choice([1, 2, 7, 30])
+        path = [0, *(rng.randint(1, 5) for _ in range(n))]
+        mats = []
+        for k in range(n):
+            extra = {(rng.randint(6, 9), rng.randint(6, 9)) for _ in range(4)}  # states that no start leads to
+            mats.append(sorted(extra | {(path[k], path[k + 1])}))
+        mats[-1] = [(path[n - 1], path[n])]
+        rows += [(f"t{t}", k, [i for i, _ in m], [o for _, o in m]) for k, m in enumerate(mats)]
+        want |= {(f"t{t}", k): (path[k], path[k + 1]) for k in range(n)}
+    df = spark.createDataFrame(rows, "key string, k long, ins array<long>, outs array<long>").repartition(5)
+    for fan in (2, 3, 64):
+        assert {(r.key, r.k): (r.into, r.out) for r in sp.states(df, fan).collect()} == want
+    a, b, c = ([(rng.randint(0, 3), rng.randint(0, 3)) for _ in range(4)] for _ in range(3))
+    assert sp.multiplied(sp.multiplied(a, b), c) == sp.multiplied(a, sp.multiplied(b, c))
+    with pytest.raises(Exception, match="missing"):
+        sp.states(df.where("key <> 't0' or k <> 1").where("not (key = 't3' and k = 0) or k > 0").where("k <> 1 or key = 'x'"), 64).collect()
+
+
+def test_sentencepiece_trees_equal_the_library(documents):
+    p, rng = sp.pieces(), random.Random(4)
+    rows = [(i, "".join(rng.choice(("the and of inedr   \n", "theandingrose", "あ梦é😀a▁ ")[i % 3]) for _ in range(rng.randint(200, 600)))) for i in range(9)]
+    rows += [(100, rows[0][1]), (101, rows[1][1])]
+    out = {r.doc_id: r.ids for r in sp.encode(documents(rows), chunk=30, fan=3).collect()}
+    assert all(out[i] == p.sp.encode(t) for i, t in rows)
