@@ -84,7 +84,7 @@ class Vectors:
 
 class BlockMaxIndex:
     """Postings by term and block of examples, and the largest weight of each term in each block that has it. Terms that many
-    examples have (`dense`: one in so many) are kept as whole rows of weights, which are added faster than postings."""
+    examples have (`dense`: one in so many) are whole rows of weights: a matrix product gives their part of the cosines."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = 8):
         self.block, self.n = block, len(vectors)
@@ -100,7 +100,6 @@ class BlockMaxIndex:
         whole = often[term]
         self.rows = np.zeros((int(often.sum()), self.blocks * block))
         self.rows[self.row[term[whole]], at[whole]] = weight[whole]
-        self.rows_most = self.rows.reshape(len(self.rows), self.blocks, block).max(axis=2)
         term, weight, at = term[~whole], weight[~whole], at[~whole]
         by = np.lexsort((at, term))
         self.at, self.weight, term = at[by], weight[by], term[by]
@@ -113,16 +112,30 @@ class BlockMaxIndex:
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, exactly the k best by (cosine, smaller number); cosine 0 is no neighbour."""
-        rows, row_w = self.row[ids], weights
-        frequent = rows >= 0
-        rows, row_w, ids, weights = rows[frequent], weights[frequent], ids[~frequent], weights[~frequent]
+        return self.nearest_of([(ids, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of many."""
+        out = []
+        for first in range(0, len(queries), 64):
+            part = queries[first : first + 64]
+            rows = [self.row[ids] for ids, _ in part]
+            q = np.zeros((len(part), len(self.rows)))
+            for n, (_, w) in enumerate(part):
+                q[n, rows[n][rows[n] >= 0]] = w[rows[n] >= 0]
+            frequent = q @ self.rows
+            out += [self._search(ids[r < 0], w[r < 0], score, k) for (ids, w), r, score in zip(part, rows, frequent, strict=True)]
+        return out
+
+    def _search(self, ids: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """score: the frequent terms' part of all cosines; the other terms' postings are read block by block."""
         lo, hi = self.cells[ids], self.cells[ids + 1]
         cells, w = _ranges(lo, hi), np.repeat(weights, hi - lo)
         owner = self.in_block[cells]
-        bound = np.bincount(owner, w * self.most[cells], self.blocks) + row_w @ self.rows_most[rows] + 1e-9
+        bound = np.bincount(owner, w * self.most[cells], self.blocks) + score.reshape(self.blocks, self.block).max(axis=1) + 1e-9
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 1e-9]
-        score, at, s, kth, done, step = np.zeros(self.blocks * self.block), np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 2
+        at, s, kth, done, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 2
         while done < len(order):
             new = order[done : done + step]
             new = new[bound[new] >= kth]  # bounds fall, so no later block can do more
@@ -134,16 +147,6 @@ class BlockMaxIndex:
             c = cells[use]
             p = _ranges(self.lo[c], self.hi[c])
             score += np.bincount(self.at[p], np.repeat(w[use], self.hi[c] - self.lo[c]) * self.weight[p], len(score))
-            if 4 * len(new) < self.blocks:
-                for b in new.tolist():
-                    part = slice(b * self.block, (b + 1) * self.block)
-                    for r, x in zip(rows.tolist(), row_w.tolist(), strict=True):
-                        score[part] += x * self.rows[r, part]
-            else:
-                more = np.zeros(len(score))
-                for r, x in zip(rows.tolist(), row_w.tolist(), strict=True):
-                    more += x * self.rows[r]
-                score += more * np.repeat(chosen, self.block)
             places = (new[:, None] * self.block + np.arange(self.block)).ravel()
             hit = places[score[places] > 0]
             at, s = np.concatenate([at, hit]), np.concatenate([s, np.round(score[hit], 9)])
@@ -174,26 +177,29 @@ class Model:
         self.index = BlockMaxIndex([vectors.unit(c) for c in counts], len(vectors.idf))
         return self
 
-    def left_out(self, doc_id: int, text: str) -> float:
-        """The vote on an example by all others."""
-        near, sim = self.index.nearest(*self.vectors.unit(terms_of(text)), self.k + 1)
-        rest = np.flatnonzero(self.ids[near] != doc_id)[: self.k]
-        return vote(sim[rest], self.y[near[rest]], self.power)
+    def left_out(self, ids: list[int], texts: list[str]) -> list[float]:
+        """The vote on each example by all others."""
+        votes = []
+        for doc_id, (near, sim) in zip(ids, self.index.nearest_of([self.vectors.unit(terms_of(t)) for t in texts], self.k + 1), strict=True):
+            rest = np.flatnonzero(self.ids[near] != doc_id)[: self.k]
+            votes.append(vote(sim[rest], self.y[near[rest]], self.power))
+        return votes
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, nearest examples and their similarities of each text."""
         if self.index is None:
-            return self.share, [], []
-        i, w = self.vectors.unit(terms_of(text))
-        key = (i.tobytes(), w.tobytes())
-        found = self.cache.get(key)
-        if found is None:
-            near, sim = self.index.nearest(i, w, self.k)
-            v = vote(sim, self.y[near], self.power)
-            found = (float(1 / (1 + np.exp(-(self.slope * v + self.shift)))), self.ids[near[:5]].tolist(), sim[:5].tolist())
-            if len(self.cache) > 500:
-                self.cache.clear()
-            self.cache[key] = found
-        return found
+            return [(self.share, [], [])] * len(texts)
+        units = [self.vectors.unit(terms_of(t)) for t in texts]
+        keys = [(i.tobytes(), w.tobytes()) for i, w in units]
+        new = {key: unit for key, unit in zip(keys, units, strict=True) if key not in self.cache}
+        held = {key: self.cache[key] for key in keys if key in self.cache}
+        for key, (near, sim) in zip(new, self.index.nearest_of(list(new.values()), self.k), strict=True):
+            p = 1 / (1 + np.exp(-(self.slope * vote(sim, self.y[near], self.power) + self.shift)))
+            held[key] = (float(p), self.ids[near[:5]].tolist(), sim[:5].tolist())
+        if len(self.cache) > 500:
+            self.cache.clear()
+        self.cache.update(held)
+        return [held[key] for key in keys]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int = 7, power: int = 2) -> Model:
@@ -218,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        votes = [shared.value.left_out(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        votes = shared.value.left_out(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(votes, pa.float64())], ["doc_id", "y", "vote"])
 
     votes = sorted(map_arrow(sample, left_out, "doc_id long, y int, vote double").collect(), key=lambda r: r.doc_id)
@@ -231,8 +237,7 @@ def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))  # vectors of max_examples examples
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = model.value
-        rows = [m.score(t.decode()) for t in utf8(batch.column(2))]
+        rows = model.value.scores([t.decode() for t in utf8(batch.column(2))])
         p = np.array([r[0] for r in rows])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["doc_id", "held_out", "score", "predicted", "evidence", "similarity"])
 
@@ -246,7 +251,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = model.value
-        return batch.filter(pa.array([m.score(t.decode())[0] < CUT for t in utf8(batch.column(at))], pa.bool_()))
+        rows = model.value.scores([t.decode() for t in utf8(batch.column(at))])
+        return batch.filter(pa.array([r[0] < CUT for r in rows], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
