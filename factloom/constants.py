@@ -48,6 +48,7 @@ ATTRIBUTION = (
     r"\b(?:said|stated|wrote|tweeted|posted|announced|declared|claimed|told|testified)\b", r"\baccording\s+to\b",
     r"\b(?:in\s+a\s+(?:statement|tweet|post|speech|interview|press\s+conference))\b", r"\b(?:quoted\s+as\s+saying)\b",
 )
+# Claims about law and about events.
 LEGAL_CLAIM = r"\billegal\b|\blaw\b|\bprohibit(ed|s)?\b|\bban(ned|s)?\b|\bpermitted\b|\ballowed\b|\bregulated\b"
 EVENT_CLAIM = r"\b(bomb(ed|ing|s)?|strike[sd]?|airstrike[sd]?|attack(ed|s)?|shelling|missile[sd]?|invasion|offensive|raid(ed|s)?|shell(ed|ing)?)\b"
 PROPER_NOUN = r"\b[A-Z][a-z]+\b"
@@ -95,6 +96,12 @@ DIMENSIONS = {
     "foreign_policy": "foreign", "labor": "economic", "environment": "economic", "executive_power": "executive", "corporate_governance": "economic",
 }
 
+# The event types.
+EVENT_TYPES = (
+    "MILITARY_ACTION", "ARMED_CONFLICT", "TERRORIST_ATTACK", "ELECTION", "LEGISLATION", "INDICTMENT", "DIPLOMACY", "ECONOMIC_EVENT", "NATURAL_DISASTER",
+    "PUBLIC_HEALTH", "POLICY_CHANGE", "PROTEST", "APPOINTMENT", "INVESTIGATION", "INFRASTRUCTURE", "SCIENCE_TECH", "ENVIRONMENTAL", "SOCIAL_CULTURAL", "ANALYSIS", "OTHER",
+)
+
 # Labels, weights and thresholds.
 LABELS = ("SUPPORTED", "CONTRADICTED", "MIXED", "UNKNOWN", "NOT_CHECKABLE", "OPINION", "NEUTRAL", "OTHER")
 TIER_WEIGHT = {"T1": 1.0, "T2": 0.85, "T3": 0.70, "T4": 0.45, "T5": 0.20}
@@ -105,6 +112,7 @@ CRITICAL_RANK, CRITICAL_CONF, HIGH_RANK, HIGH_CONF = 2, 0.30, 3, 0.40
 VOTE_SUPPORT, VOTE_CONTRADICT, VOTE_MIXED, MIXED_MASS, VOTE_CUT = 1.0, 1.2, 0.1, 0.9, 0.6
 INTEGRITY_CONTRADICT, INTEGRITY_MIXED, MIN_SCORED, MIN_EVIDENCE = 1.2, 0.25, 3, 3
 IRT_STEPS, IRT_TOL, IRT_MAX_STEP, IRT_FLOOR, IRT_MIN_STANCES, DOMAIN_CAP = 10, 0.001, 2.0, -0.01, 2, 0.40
+STANCE_LEAST, STANCE_CLEAR, SEED_ROWS = 0.30, 0.50, 50
 PROP_TOP, PROP_SIM_KEYWORD, PROP_SIM_PLAIN, CROSS_DOMAIN, KEYWORD_BOOST, PROP_SEGMENTS, STANCE_MIN_TOKENS = 6, 0.32, 0.35, 0.05, 0.03, 8, 20
 EVENT_SIM, EVENT_JACCARD, EVENT_GEO, EVENT_TYPE, EVENT_ACCEPT, EVENT_MIN_JACCARD, EVENT_HOURS, EVENT_KNN, EVENT_KNN_SIM = 0.55, 0.30, 0.10, 0.05, 0.55, 0.10, 72, 50, 0.4
 CLUSTER_SIM, CLUSTER_MIN, CLUSTER_MAX, CLUSTER_DENSITY, CLUSTER_DOCS, CLUSTER_HOURS, CLUSTER_SEGMENTS = 0.60, 2, 15, 0.35, 200, 72, 3

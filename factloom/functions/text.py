@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from factloom import constants as C
 
 WATERMARK = r"\n\n<!-- corpus-watermark:[^>]+-->"
+#: White space as feeds and pages have it: Unicode's, no-break spaces and byte order marks included.
+SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def replaced(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def trimmed(c: Column) -> Column:
+    return replaced(c, rf"^[{SPACES}]+|[{SPACES}]+$")
+
+
 def clean_rss(c: Column) -> Column:
     """Drop images and image credits."""
-    return F.trim(replaced(replaced(c, r"(?i)<img[^>]*>"), r"(?i)\(Image credit:[^)]*\)"))
+    return trimmed(replaced(replaced(c, r"(?i)<img[^>]*>"), r"(?i)\(Image credit:[^)]*\)"))
 
 
 def _references(c: Column, pattern: str, base: int) -> Column:
     parts = F.split(c, "&#")
 
     def decoded(p: Column) -> Column:
-        digits = F.regexp_extract(p, pattern, 1)
-        code = F.conv(digits, base, 10).cast("long")
+        digits = F.ltrim(F.regexp_extract(p, pattern, 1), F.lit("0"))
+        code = F.when(F.length(digits) < 8, F.conv(digits, base, 10).cast("long"))
         known = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code).otherwise(F.lit(0xFFFD))  # no character has another
         char = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
         return F.when(p.rlike(pattern), F.concat(char, replaced(p, pattern))).otherwise(F.concat(F.lit("&#"), p))
@@ -40,8 +46,8 @@ def decode_named_entities(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named, then decimal, then hexadecimal references."""
-    return _references(_references(decode_named_entities(c), r"^([0-9]{1,7});", 10), r"^[xX]([0-9a-fA-F]{1,6});", 16)
+    """Named, then decimal, then hexadecimal references of any length; those of no character become U+FFFD."""
+    return _references(_references(decode_named_entities(c), r"^([0-9]+);", 10), r"^[xX]([0-9a-fA-F]+);", 16)
 
 
 def strip_tags(c: Column) -> Column:
@@ -49,7 +55,7 @@ def strip_tags(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, rf"[{SPACES}]+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
@@ -58,11 +64,11 @@ def word_count(c: Column) -> Column:
 
 
 def clean_content(c: Column) -> Column:
-    return F.trim(replaced(replaced(c, r"<!-- corpus-watermark:[^>]*-->"), r"\n{3,}", "\n\n"))
+    return trimmed(replaced(replaced(c, rf"<!--[{SPACES}]*corpus-watermark:[^>]*-->"), r"\n{3,}", "\n\n"))
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, rf"(?<=[.!?])[{SPACES}]+"), trimmed), lambda s: s != "")
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -164,14 +170,18 @@ def _named(table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
 
+def _clean_name(c: Column) -> Column:
+    return replaced(replaced(trimmed(F.lower(c)), r"""[.,;:!?"'()\[\]{}]"""), rf"[{SPACES}]+", " ")
+
+
 def entity(c: Column) -> Column:
-    clean = F.trim(replaced(replaced(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"""[.,;:!?"'()\[\]{}]"""), r"\s+", " "))
+    clean = F.trim(_clean_name(F.coalesce(c, F.lit(""))))
     return F.coalesce(F.try_element_at(_named(C.ENTITY_ALIASES), clean), clean)
 
 
 def geo(c: Column) -> Column:
     """Code of a place: the whole name, else the first of its parts that is known, else the cleaned name."""
-    clean = F.trim(replaced(replaced(F.trim(F.lower(c)), r"[.,'()]"), r"\s+", " "))
+    clean = _clean_name(c)
     codes = _named(C.GEO_CODES)
     parts = F.filter(F.transform(F.split(clean, r"[,/&]+"), lambda p: F.try_element_at(codes, F.trim(p))), lambda p: p.isNotNull())
     return F.coalesce(F.try_element_at(codes, clean), F.get(parts, F.lit(0)), F.nullif(clean, F.lit("")), F.lit("unknown"))
@@ -195,7 +205,7 @@ def dimension(policy: Column) -> Column:
 
 
 def excerpt(c: Column) -> Column:
-    return F.substring(F.trim(replaced(c, r"(?s)<!--.*?-->")), 1, 180)
+    return F.substring(trimmed(replaced(c, r"(?s)<!--.*?-->")), 1, 180)
 
 
 def xml_escape(c: Column) -> Column:
@@ -204,9 +214,15 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def share_card(title: Column, description: Column, url: Column) -> Column:
+    """The meta elements that a shared link is shown by; of the description its first 160 characters."""
+    meta = lambda name, c: F.concat(F.lit(f'<meta property="og:{name}" content="'), xml_escape(c), F.lit('"/>'))
+    return F.concat(meta("title", title), meta("description", F.substring(description, 1, 160)), meta("url", url))
+
+
 def clean_json(c: Column) -> Column:
     """What a model wrote between code fences."""
-    return F.trim(replaced(replaced(F.trim(c), r"^```(?:json)?\s*"), r"\s*```$"))
+    return trimmed(replaced(replaced(trimmed(c), rf"^```(?:json)?[{SPACES}]*"), rf"[{SPACES}]*```$"))
 
 
 def html_text(c: Column) -> Column:
@@ -215,13 +231,16 @@ def html_text(c: Column) -> Column:
     return F.trim(replaced(decode_named_entities(strip_tags(bare)), r"\s+", " "))
 
 
-def quote_found(segment: str, quote: str) -> bool:
-    """A quote is in a segment as it stands, or normalised, or for at least 80 % of its (three or more) words in order; a
-    word that isn't found uses up the rest of the segment."""
-    if quote in segment:
-        return True
-    seg, low = (" ".join(x.lower().split()) for x in (segment, quote))
-    if low in seg:
-        return True
-    sought, rest = low.split(), iter(seg.split())
-    return len(sought) >= 3 and sum(any(w == x for x in rest) for w in sought) / len(sought) >= 0.8
+def quote_matches(segment: Column, quote: Column) -> Column:
+    """A quote is in a segment as it stands, or with case and white space made equal, or for at least 80 % of its (three or
+    more) words in order; a word that isn't found uses up the rest of the segment."""
+    even = lambda c: trimmed(replaced(F.lower(c), rf"[{SPACES}]+", " "))
+    seg, low = even(segment), even(quote)
+    sought, rest = words(low), F.split(seg, " ")
+
+    def next_word(state: Column, w: Column) -> Column:
+        at = F.array_position(F.slice(rest, state["used"] + 1, F.size(rest)), w).cast("int")
+        return F.struct(F.when(at > 0, state["used"] + at).otherwise(F.size(rest)).alias("used"), (state["found"] + (at > 0).cast("int")).alias("found"))
+
+    found = F.aggregate(sought, F.struct(F.lit(0).alias("used"), F.lit(0).alias("found")), next_word)["found"]
+    return F.contains(segment, quote) | F.contains(seg, low) | ((F.size(sought) >= 3) & (found >= 0.8 * F.size(sought)))

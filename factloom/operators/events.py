@@ -13,8 +13,12 @@ from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.functions import text as T
 from factloom.operators.evidence import top_k
+from factloom.operators.vectors import best_of_each, unit
 from factloom.session import ship
 
+#: Documents, and events, of a day that meet in one task.
+BLOCK = 4096
+
 
 def top_entities(mentions: DataFrame, n: int = 5, key: str = "document_id") -> DataFrame:
     """(key, entities): the n most frequent normalised names of two letters or more, then in alphabetical order. mentions: key,
@@ -39,23 +43,63 @@ def interval_pairs(docs: DataFrame, events: DataFrame, hours: int = K.EVENT_HOUR
     return docs.withColumn("day", day(F.col("at"))).join(reach, "day").where(apart <= seconds * 1_000_000).drop("day")
 
 
-def crosswalk(docs: DataFrame, events: DataFrame) -> DataFrame:
+def near_events(docs: DataFrame, events: DataFrame, k: int, above: float, hours: int = K.EVENT_HOURS, *, exclude_equal: bool = False) -> DataFrame:
+    """(doc_id, event_id, sim): the k events of greatest cosine above a bound of each document, among those at most `hours` apart.
+    docs: doc_id, at, vec; events: event_id, bucket, vec; ids long. Both meet by day, each event filed under the days it can
+    reach, and on a busy day in blocks of BLOCK by a matrix product; a task returns only k a document."""
+    ship(docs.sparkSession)
+    micros = hours * 3_600_000_000
+    day = lambda c: F.floor(c / 86_400_000_000)
+    when = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    doubles = F.col("vec").cast("array<double>").alias("vec")
+    d = docs.where("vec is not null and at is not null").select(F.col("doc_id").cast("long").alias("id"), when("at").alias("at"), doubles).withColumn("day", day(F.col("at")))
+    e = events.where("vec is not null and bucket is not null").select(F.col("event_id").cast("long").alias("id"), when("bucket").alias("at"), doubles)
+    e = e.withColumn("day", F.explode(F.sequence(day(F.col("at") - micros), day(F.col("at") + micros))))
+    blocks = lambda rows, name: rows.groupBy("day").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(d, "many").join(blocks(e, "few"), "day")  # one row a day
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    d = d.join(sizes, "day").withColumn("j", each("few")).select(F.struct("day", deal("many").alias("i"), "j").alias("at_"), "id", "at", "vec")
+    e = e.join(sizes, "day").withColumn("i", each("many")).select(F.struct("day", "i", deal("few").alias("j")).alias("at_"), "id", "at", "vec")
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if x.num_rows and y.num_rows:
+            p, q, v, b = x["id"].to_numpy(), y["id"].to_numpy(), unit(y["vec"]), y["at"].to_numpy()
+            for s in range(0, len(p), 1024):
+                part = x.slice(s, 1024)
+                sim = np.round(unit(part["vec"]) @ v.T, 9)
+                far = np.abs(part["at"].to_numpy()[:, None] - b[None, :]) > micros
+                sim[far | (sim <= above) | (exclude_equal & (p[s : s + 1024, None] == q[None, :]))] = -np.inf
+                row, col = best_of_each(sim, q, k)
+                out.append((p[s : s + 1024][row], q[col], sim[row, col]))
+        cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
+        return pa.table({"doc_id": cols[0], "event_id": cols[1], "sim": cols[2]})
+
+    met = d.groupBy("at_").cogroup(e.groupBy("at_")).applyInArrow(meet, "doc_id long, event_id long, sim double")
+    return top_k(met, ["doc_id"], [F.desc("sim"), F.col("event_id")], k)
+
+
+def crosswalk(docs: DataFrame, events: DataFrame, *, exclude_equal: bool = False) -> DataFrame:
     """(doc_id, event_id, score): the best known event of each document within 72 hours, cosine above .4 (50 nearest), of score
-    .55 and entity overlap .10 at least. docs: doc_id, at, vec, entities, geo, event_type; events likewise with event_id, bucket."""
-    e = events.select("event_id", "bucket", F.col("vec").alias("e_vec"), F.col("entities").alias("e_entities"), F.col("geo").alias("e_geo"), F.col("event_type").alias("e_type"))
-    rows = interval_pairs(docs, e).withColumn("sim", S.cosine(F.col("vec"), F.col("e_vec"))).where(F.col("sim") > K.EVENT_KNN_SIM)
-    rows = top_k(rows, ["doc_id"], [F.desc("sim"), F.col("event_id")], K.EVENT_KNN)
+    .55 and entity overlap .10 at least. docs: doc_id, at, vec, entities, geo, event_type; events likewise with event_id, bucket.
+    exclude_equal: an event of the document's own id does not count."""
+    rows = near_events(docs, events, K.EVENT_KNN, K.EVENT_KNN_SIM, exclude_equal=exclude_equal)
+    rows = rows.join(docs.select("doc_id", "entities", "geo", "event_type"), "doc_id")
+    rows = rows.join(events.select("event_id", F.col("entities").alias("e_entities"), F.col("geo").alias("e_geo"), F.col("event_type").alias("e_type")), "event_id")
     rows = rows.withColumn("overlap", T.jaccard(F.col("entities"), F.col("e_entities")))
     rows = rows.withColumn("score", S.crosswalk(F.col("sim"), F.col("overlap"), F.coalesce(F.col("geo") == F.col("e_geo"), F.lit(False)), F.col("event_type"), F.col("e_type")))
     rows = top_k(rows, ["doc_id"], [F.desc("score"), F.desc("sim"), F.col("event_id")], 1)
     return rows.where((F.col("score") >= K.EVENT_ACCEPT) & (F.col("overlap") >= K.EVENT_MIN_JACCARD)).select("doc_id", "event_id", "score")
 
 
-def resolve(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """(doc_id, event_id, how): by equal key, else by crosswalk, else a new event named by the key."""
+def resolve(docs: DataFrame, events: DataFrame, *, exclude_equal: bool = False) -> DataFrame:
+    """(doc_id, event_id, how): by equal key, else by crosswalk, else a new event named by the key. Of known events with one key
+    the smallest id counts."""
     k = keyed(docs)
-    exact = k.join(events.select("event_key", F.col("event_id").alias("exact")), "event_key", "left")
-    found = crosswalk(docs, events).select("doc_id", F.col("event_id").alias("near"))
+    events = events.withColumn("event_id", F.col("event_id").cast("long"))
+    exact = k.join(events.groupBy("event_key").agg(F.min("event_id").alias("exact")), "event_key", "left")
+    found = crosswalk(docs, events, exclude_equal=exclude_equal).select("doc_id", F.col("event_id").alias("near"))
     rows = exact.join(found, "doc_id", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "crosswalk").otherwise("new")
     return rows.select("doc_id", F.coalesce(F.col("exact").cast("string"), F.col("near").cast("string"), "event_key").alias("event_id"), how.alias("how"))
@@ -111,9 +155,7 @@ def story_clusters(docs: DataFrame, newest: int = K.CLUSTER_DOCS, hours: int = K
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         if got:
-            v = np.array([r[1] for r in got])
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+            u = unit(pa.chunked_array([pa.array([r[1] for r in got])]))
             found = greedy_clusters([r[0] for r in got], np.round(u @ u.T, 9))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["cluster", "doc_id", "score"])
 

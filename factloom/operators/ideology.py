@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,39 +13,70 @@ from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.functions import text as T
 from factloom.operators.evidence import top_k
+from factloom.operators.vectors import unit
+from factloom.session import ship
 
-#: Propositions are a small bank; more rows than this are not broadcast.
-BANK_ROWS = 10_000
-
-
-def _small(bank: DataFrame) -> DataFrame:
-    """The bank, if it may be broadcast."""
-    if bank.limit(BANK_ROWS + 1).count() > BANK_ROWS:
-        raise ValueError(f"a proposition bank has at most {BANK_ROWS} rows")
-    return bank
+#: Segments and propositions that meet in one task.
+BLOCK = 4096
 
 
 def match_propositions(segments: DataFrame, bank: DataFrame) -> DataFrame:
     """(document_id, segment_id, proposition_id, sim, adjusted): six best propositions a segment above their bound, of the eight
     best segments a document. segments: document_id, segment_id, position_index, text, token_count, classification,
-    embedding; bank: proposition_id, domain, keywords, embedding."""
-    b = _small(bank).select("proposition_id", F.col("domain").alias("own_domain"), "keywords", F.col("embedding").alias("prop_vec"))
-    rows = segments.where(F.coalesce("token_count", F.lit(0)) >= K.STANCE_MIN_TOKENS).where("embedding is not null").join(F.broadcast(b))
-    hit, mine = T.keyword_overlap(F.col("keywords"), F.col("text")), T.policy_domain(F.col("classification"))
-    sim = S.cosine(F.col("embedding"), F.col("prop_vec"))
-    adjusted = sim - F.when(F.coalesce(mine != F.col("own_domain"), F.lit(False)), K.CROSS_DOMAIN).otherwise(0.0) + F.when(hit, K.KEYWORD_BOOST).otherwise(0.0)
-    rows = rows.select("document_id", "segment_id", "position_index", "proposition_id", sim.alias("sim"), adjusted.alias("adjusted"), F.when(hit, K.PROP_SIM_KEYWORD).otherwise(K.PROP_SIM_PLAIN).alias("least"))
-    rows = top_k(rows.where("adjusted >= least").drop("least"), ["segment_id"], [F.desc("adjusted"), F.col("proposition_id")], K.PROP_TOP)
+    embedding; bank: proposition_id, domain, keywords, embedding. Segments and bank meet in blocks by a matrix product; a task
+    returns six rows a segment."""
+    ship(segments.sparkSession)
+    usable = segments.where(F.coalesce("token_count", F.lit(0)) >= K.STANCE_MIN_TOKENS).where("embedding is not null and segment_id is not null")
+    doubles = F.col("embedding").cast("array<double>").alias("embedding")
+    mine = usable.select("segment_id", T.policy_domain(F.col("classification")).alias("domain"), F.array_distinct(F.split(F.lower("text"), r"\W+")).alias("words"), doubles)
+    theirs = bank.where("embedding is not null").select("proposition_id", "domain", F.flatten(F.transform("keywords", lambda k: F.split(F.lower(k), r"\s+"))).alias("words"), doubles)
+    few, many = max(1, math.ceil(theirs.count() / BLOCK)), max(1, math.ceil(usable.count() / BLOCK))
+    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = mine.withColumn("j", each(few)).select(F.struct(deal("segment_id", many).alias("i"), "j").alias("at"), "segment_id", "domain", "words", "embedding")
+    right = theirs.withColumn("i", each(many)).select(F.struct("i", deal("proposition_id", few).alias("j")).alias("at"), "proposition_id", "domain", "words", "embedding")
+    kinds = {f.name: f.dataType.simpleString() for f in mine.select("segment_id").schema.fields + theirs.select("proposition_id").schema.fields}
+    met = left.groupBy("at").cogroup(right.groupBy("at")).applyInArrow(_meet, f"segment_id {kinds['segment_id']}, proposition_id {kinds['proposition_id']}, sim double, adjusted double")
+    rows = top_k(met, ["segment_id"], [F.desc("adjusted"), F.col("proposition_id")], K.PROP_TOP).join(usable.select("segment_id", "document_id", "position_index"), "segment_id")
     best = rows.groupBy("document_id", "segment_id", "position_index").agg(F.max("adjusted").alias("best"))
     chosen = top_k(best, ["document_id"], [F.desc(F.floor(F.col("best") * 1000)), F.col("position_index"), F.col("segment_id")], K.PROP_SEGMENTS)
-    return rows.join(chosen.select("segment_id"), "segment_id", "left_semi").drop("position_index")
+    return rows.join(chosen.select("segment_id"), "segment_id", "left_semi").select("document_id", "segment_id", "proposition_id", "sim", "adjusted")
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best propositions of each segment in two blocks that meet."""
+    out: list[tuple] = []
+    if left.num_rows and right.num_rows:
+        right = right.sort_by("proposition_id")  # of equals the smaller id goes first
+        names, domains = right["proposition_id"].to_pylist(), np.array([x or "" for x in right["domain"].to_pylist()])
+        unknown = np.array([x is None for x in right["domain"].to_pylist()])
+        has: dict[str, list[int]] = {}
+        for j, words in enumerate(right["words"].to_pylist()):
+            for w in words or ():
+                has.setdefault(w, []).append(j)
+        v = unit(right["embedding"])
+        for s in range(0, left.num_rows, 512):
+            part = left.slice(s, 512)
+            sim = np.round(unit(part["embedding"]) @ v.T, 9)
+            hit = np.zeros(sim.shape, bool)
+            for i, words in enumerate(part["words"].to_pylist()):
+                hit[i, [j for w in words or () for j in has.get(w, ())]] = True
+            other = np.array([[d is not None and not u and d != x for x, u in zip(domains, unknown, strict=True)] if d is not None else [False] * len(names) for d in part["domain"].to_pylist()]).reshape(sim.shape)
+            adjusted = np.round(sim - K.CROSS_DOMAIN * other + K.KEYWORD_BOOST * hit, 9)
+            usable = np.where(adjusted >= np.where(hit, K.PROP_SIM_KEYWORD, K.PROP_SIM_PLAIN), adjusted, -np.inf)
+            ids = part["segment_id"].to_pylist()
+            for i, order in enumerate(np.argsort(-usable, axis=1, kind="stable")[:, : K.PROP_TOP]):
+                out += [(ids[i], names[j], float(sim[i, j]), float(adjusted[i, j])) for j in order if usable[i, j] > -np.inf]
+    cols = list(zip(*out, strict=True)) if out else [()] * 4
+    kinds = [left.schema.field("segment_id").type, right.schema.field("proposition_id").type, pa.float64(), pa.float64()]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("segment_id", "proposition_id", "sim", "adjusted"), cols, kinds, strict=True)})
 
 
 def usable_stances(stances: DataFrame, bank: DataFrame) -> DataFrame:
     """Stances that vote: known propositions, confidence of at least .50, PRO or ANTI, quote found."""
-    clear = (F.col("confidence") >= 0.50) & F.coalesce("quote_ok", F.lit(True))
-    kept = stances.where(F.col("confidence") >= 0.30).withColumn("stance", F.when(clear, F.col("stance")).otherwise("UNCLEAR"))
-    return kept.join(F.broadcast(_small(bank).select("proposition_id", "domain", "liberal_is_pro", "difficulty_b")), "proposition_id").where(F.col("stance").isin("PRO", "ANTI"))
+    clear = (F.col("confidence") >= K.STANCE_CLEAR) & F.coalesce("quote_ok", F.lit(True))
+    kept = stances.where(F.col("confidence") >= K.STANCE_LEAST).withColumn("stance", F.when(clear, F.col("stance")).otherwise("UNCLEAR"))
+    return kept.join(bank.select("proposition_id", "domain", "liberal_is_pro", "difficulty_b"), "proposition_id").where(F.col("stance").isin("PRO", "ANTI"))
 
 
 def cap_domains(votes: DataFrame, key: str = "document_id") -> DataFrame:
@@ -93,17 +128,31 @@ def axes(votes: DataFrame, key: str = "document_id") -> DataFrame:
     return rows.select(key, "score", "se", "n_propositions", show(F.coalesce("e", "score")).alias("economic"), show(F.coalesce("s", "score")).alias("social"))
 
 
-def proxy(votes: DataFrame, key: str = "document_id") -> DataFrame:
-    """The older measure: tanh of 1.5 times the signed share of confidence."""
-    sign = F.when(F.col("y") == 1, F.col("confidence")).otherwise(-F.col("confidence"))
-    return votes.groupBy(key).agg(F.tanh(1.5 * F.sum(sign) / F.nullif(F.sum("confidence"), F.lit(0.0))).alias("score"))
+def proxy(stances: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, n, score, raw): the older measure, the signed share of confidence and tanh of 1.5 times it; null under two stances
+    that are sure enough and for or against. stances: key, stance, confidence, liberal_is_pro."""
+    votes = stances.where(F.col("stance").isin("PRO", "ANTI") & (F.col("confidence") >= K.STANCE_LEAST))
+    sign = F.when((F.col("stance") == "PRO") == F.col("liberal_is_pro"), F.col("confidence")).otherwise(-F.col("confidence"))
+    raw = F.when(F.col("n") >= K.IRT_MIN_STANCES, F.col("signed") / F.nullif("sure", F.lit(0.0)))
+    sums = votes.groupBy(key).agg(F.count("*").alias("n"), F.sum(sign).alias("signed"), F.sum("confidence").alias("sure"))
+    return sums.select(key, "n", S.round4(F.tanh(1.5 * raw)).alias("score"), S.round4(raw).alias("raw"))
+
+
+VERBS = ("expand public programmes for", "lower public spending on", "leave to local authorities", "set national standards for", "fund independent reviews of")
 
 
 def seed_bank(spark) -> DataFrame:
     """A neutral bank of our own: five statements for each policy domain, made from a rule."""
-    verbs = ("expand public programmes for", "lower public spending on", "leave to local authorities", "set national standards for", "fund independent reviews of")
     rows = []
     for domain, words in K.POLICY_WORDS:
         topic = domain.replace("_", " ")
-        rows += [(f"{domain}-{n}", "economic" if K.DIMENSIONS[domain] == "economic" else "social", K.DIMENSIONS[domain], domain, f"The state should {v} {topic}", list(words), n in (0, 3, 4), 1.0, 0.0, "active") for n, v in enumerate(verbs)]
+        rows += [(f"{domain}-{n}", "economic" if K.DIMENSIONS[domain] == "economic" else "social", K.DIMENSIONS[domain], domain, f"The state should {v} {topic}", list(words), n in (0, 3, 4), 1.0, 0.0, "active") for n, v in enumerate(VERBS)]
     return spark.createDataFrame(rows, "proposition_id string, axis string, dimension string, domain string, text string, keywords array<string>, liberal_is_pro boolean, discrimination_a double, difficulty_b double, status string")
+
+
+def seeded(bank: DataFrame) -> DataFrame:
+    """The bank, or where it has fewer rows than the seed, the bank with the seed's propositions that it lacks."""
+    seed = seed_bank(bank.sparkSession)
+    if bank.limit(K.SEED_ROWS).count() >= K.SEED_ROWS:
+        return bank
+    return bank.unionByName(seed.join(bank.select("proposition_id"), "proposition_id", "left_anti"), allowMissingColumns=True)

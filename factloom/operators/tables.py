@@ -17,6 +17,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> Da
     return first_wins(both, keys, F.desc("_order"), F.desc("_new")).drop("_new", "_order")
 
 
+def where_given(df: DataFrame, *conditions: tuple[str, str, object]) -> DataFrame:
+    """df where the conditions (column, operator, value) hold; one whose value is absent (None) is left out, so the others still
+    reach the scan."""
+    made = {"=": Column.__eq__, ">=": Column.__ge__, "<=": Column.__le__, ">": Column.__gt__, "<": Column.__lt__}
+    for name, operator, value in conditions:
+        if value is not None:
+            df = df.where(made[operator](F.col(name), F.lit(value)))
+    return df
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
 

@@ -15,18 +15,23 @@ from factloom.session import ship
 BLOCK = 8192
 
 
+def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length; zero rows stay."""
+    v = np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
 def _unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = t.column(t.column_names[1]).to_numpy()
-    v = np.array(t.column(t.column_names[2]).to_pylist(), float).reshape(len(ids), -1)
-    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return ids, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return ids, unit(t.column(t.column_names[2]))
 
 
 def _usable(df: DataFrame, id_col: str, vec: str, as_id: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias(as_id), F.col(vec).cast("array<double>").alias(vec)).where(F.col(as_id).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0))
 
 
-def _best_of_each(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of_each(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of the k best of each row, of equals the smaller id; minus infinity is no candidate."""
     kth = np.partition(sim, max(sim.shape[1] - k, 0), axis=1)[:, max(sim.shape[1] - k, 0)]
     row, col = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
@@ -57,7 +62,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id
             for s in range(0, len(p), 1024):
                 sim = np.round(u[s : s + 1024] @ v.T, 9)
                 sim[(sim <= above) | (exclude_equal & (p[s : s + 1024, None] == q[None, :]))] = -np.inf
-                row, col = _best_of_each(sim, q, k)
+                row, col = best_of_each(sim, q, k)
                 out.append((p[s : s + 1024][row], q[col], sim[row, col]))
         cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
         return pa.table({"left_id": cols[0], "right_id": cols[1], "sim": cols[2]})

@@ -85,3 +85,9 @@ def segment_labels(claims: DataFrame, key: str = "segment_id", also: tuple[Colum
     net = F.round(F.col("pos") - F.col("neg"), 9)
     label = F.when(F.col("judged") == 0, "NOT_CHECKABLE").when((F.col("pos") >= K.MIXED_MASS) & (F.col("neg") >= K.MIXED_MASS), "MIXED").when(net >= K.VOTE_CUT, "SUPPORTED").when(net <= -K.VOTE_CUT, "CONTRADICTED").otherwise("UNKNOWN")
     return rows.select(key, label.alias("label"), "also.*").drop("_")
+
+
+def sentiment_means(rows: DataFrame, key: str, sentiment: str) -> DataFrame:
+    """(key, one mean a component) of a struct column: rows without it don't count, a component that is missing counts as 0."""
+    parts = rows.schema[sentiment].dataType.names
+    return rows.where(F.col(sentiment).isNotNull()).groupBy(key).agg(*((F.floor(F.avg(F.coalesce(F.col(f"{sentiment}.{p}"), F.lit(0.0))) * 1000 + 0.5) / 1000).alias(p) for p in parts))

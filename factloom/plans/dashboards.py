@@ -146,12 +146,18 @@ def cumulative_lead(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.substring(F.array_join(parts, " "), 1, 800).alias("lead"))
 
 
-@query("with f as (select count(*) as n from labels where toxic = 5) select count(*) as kept from documents, f where n = 0 or doc_id in (select doc_id from labels where toxic = 5)")
+@query("""with w as (select * from (values ('de'), ('xx')) t(locale)), l as (select distinct locale, source from w left join documents on lang = locale and source <> 'src0'), n as (select locale, count(source) as n from l group by locale)
+ select n.locale, count(*) as kept from n, documents d where n.n = 0 or d.source in (select source from l where l.locale = n.locale and source is not null) group by n.locale""")
 def semi_passthrough(spark: SparkSession, d: str) -> DataFrame:
-    """A filter by a list that passes everything where the list is empty."""
-    docs, wanted = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").where("toxic = 5").select("doc_id")
-    kept = docs if wanted.isEmpty() else docs.join(wanted, "doc_id", "left_semi")
-    return kept.agg(F.count("*").alias("kept"))
+    """Documents of the sources that a locale has; a locale without sources passes everything."""
+    docs = table(spark, d, "documents").select("source", "lang")
+    out = []
+    for locale in ("de", "xx"):
+        wanted = docs.where((F.col("lang") == locale) & (F.col("source") != "src0")).select("source").distinct()
+        empty = wanted.agg((F.count("*") == 0).alias("empty"))
+        kept = docs.join(wanted.withColumn("hit", F.lit(True)), "source", "left").join(F.broadcast(empty)).where(F.col("hit") | F.col("empty"))  # one row
+        out.append(kept.agg(F.count("*").alias("kept")).select(F.lit(locale).alias("locale"), "kept"))
+    return out[0].unionAll(out[1])
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")

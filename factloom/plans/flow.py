@@ -14,7 +14,7 @@ from factloom.functions import scores as S
 from factloom.functions import text as T
 from factloom.operators import chunking, evidence, veracity
 from factloom.plans.registry import query
-from factloom.session import table
+from factloom.session import checkpointed, table
 from factloom.sources import providers
 
 
@@ -24,6 +24,7 @@ def score_documents(docs: DataFrame, classify=providers.stub_class, infer=provid
     segs = segs.withColumn("segment_id", F.xxhash64("document_id", "position_index")).withColumn("classification", classify(F.col("text_content")))
     segs = segs.join(docs.select(F.col("doc_id").alias("document_id"), "publisher", "category", "url"), "document_id")
     segs = segs.withColumn("sentiment", (F.size(F.split("text_content", "!")) - 1) / F.size(T.words(F.col("text_content"))))
+    segs = checkpointed(segs)  # chunked and embedded once; five branches go on from here
     corpus = segs.select("segment_id", "publisher", "category", "url", F.col("watermarked_text").alias("text"), "embedding")
     claims = segs.where("classification = 'FACTUAL_CLAIM'").select(F.col("segment_id").alias("claim_id"), "publisher", F.col("text_content").alias("text"), "embedding")
     found = evidence.gather(claims, corpus).join(claims.select("claim_id", F.col("text").alias("claim_text")), "claim_id")

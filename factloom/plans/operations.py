@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import constants as K
 from factloom.operators import ideology, tables
 from factloom.plans.registry import query
-from factloom.session import table
+from factloom.session import checkpoint_folder, table
 from factloom.streaming import status
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -184,7 +184,6 @@ def interval_match(spark: SparkSession, d: str) -> DataFrame:
 @query(_JOBS)
 def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """status_stream over the event table as a stream, run to its end; the rows equal enqueue_guard's."""
-    import tempfile
     import uuid
 
     named = F.create_map(*(F.lit(x) for kv in zip(_TYPES, _STATUSES, strict=True) for x in kv))
@@ -192,7 +191,7 @@ def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = stream.select(F.col("user_id").alias("doc_id"), F.coalesce(F.try_element_at(named, F.col("event_type")), F.lit("failed")).alias("status"), F.col("event_id").alias("seq"))
     name = "jobs_" + uuid.uuid4().hex
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = checkpoint_folder(spark)
     out, state = f"{root}/{name}", f"{root}/{name}_state"
     status.status_stream(rows).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out)
@@ -226,10 +225,14 @@ def nested_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), text.alias("lines"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("""with c as (select c_custkey from customer where c_mktsegment <> 'BUILDING'), o as (select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING'))
+ select 'orders' as name, o_orderkey as key, 0 as line from o union all select 'lineitem', l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING'))""")
 def cascade_survivors(spark: SparkSession, d: str) -> DataFrame:
-    gone = table(spark, d, "orders").select("o_custkey").distinct()
-    return tables.cascade(gone, [(table(spark, d, "customer").select("c_custkey"), "c_custkey", "c_custkey")])[0]
+    """Customers of a segment go, with them their orders and the orders' lines."""
+    gone = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    orders, left = tables.cascade(gone, [(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey"), (lines, "l_linenumber", "l_orderkey")])
+    return orders.select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("key"), F.lit(0).alias("line")).unionAll(left.select(F.lit("lineitem").alias("name"), "l_orderkey", "l_linenumber"))
 
 
 @query("select coalesce(a.url, b.url) as url, a.url is not null as was_there from (select distinct url from pages where url like 'https%') a full join (select distinct url from pages) b using (url)")

@@ -75,18 +75,17 @@ def factuality(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source", F.round(S.factuality(rate, F.col("sourcing_quality"), gr, os), 6).alias("factuality_score"))
 
 
-@query(f"""with {SEGMENTS}, periods(period, least_id) as (values ('7d', 0.75), ('30d', 0.0)), m as (select max(doc_id) as top from documents),
- x as (select source as publisher_name, period, label, n_chars from segs, periods, m where doc_id >= least_id * top)
- select publisher_name, period, count(*) as document_count, round(avg(coalesce(case when label <> 'OTHER' then n_chars end, 0)), 6) as avg_length, round(avg(case when label <> 'OTHER' then n_chars end), 6) as avg_scored_length,
- floor(count(*) filter (label = 'CONTRADICTED') / count(*)::double * 1000 + 0.5) / 1000 as contradiction_share from x group by all""")
+@query("""with periods(period, days) as (values ('7d', 7), ('30d', 30)), m as (select max(ts) as top from events),
+ x as (select event_type as publisher_name, period, case when event_id % 5 > 0 then value end as score, user_id % 3 = 0 as contradicted from events, periods, m where ts > top - to_days(days))
+ select publisher_name, period, count(*) as document_count, round(avg(coalesce(score, 0)), 6) as avg_score, round(avg(score), 6) as avg_scored, floor(count(*) filter (contradicted) / count(*)::double * 1000 + 0.5) / 1000 as contradiction_share from x group by all""")
 def publisher_baselines(spark: SparkSession, d: str) -> DataFrame:
-    """Rolling baselines by publisher: both periods in one pass, rows of the longer period counted twice where recent."""
-    rows = segments(spark, d)
-    top = table(spark, d, "documents").agg(F.max("doc_id").alias("top"))
-    recent = F.col("doc_id") >= F.col("top") * 0.75
-    rows = rows.join(F.broadcast(top)).withColumn("period", F.explode(F.when(recent, F.array(F.lit("7d"), F.lit("30d"))).otherwise(F.array(F.lit("30d")))))  # one row
-    scored = F.when(F.col("label") != "OTHER", F.col("n_chars"))
-    return rows.groupBy(F.col("source").alias("publisher_name"), "period").agg(F.count("*").alias("document_count"), F.round(F.avg(F.coalesce(scored, F.lit(0))), 6).alias("avg_length"), F.round(F.avg(scored), 6).alias("avg_scored_length"), S.round3(F.count_if(F.col("label") == "CONTRADICTED") / F.count("*")).alias("contradiction_share"))
+    """Baselines of 7 and 30 days up to the newest row, by publisher: both in one pass, recent rows counted for both."""
+    rows = table(spark, d, "events")
+    rows = rows.join(F.broadcast(rows.agg(F.max("ts").alias("top"))))  # one row
+    within = lambda days: F.col("ts") > F.col("top") - F.expr(f"interval {days} days")
+    rows = rows.where(within(30)).withColumn("period", F.explode(F.when(within(7), F.array(F.lit("7d"), F.lit("30d"))).otherwise(F.array(F.lit("30d")))))
+    scored = F.when(F.col("event_id") % 5 > 0, F.col("value"))
+    return rows.groupBy(F.col("event_type").alias("publisher_name"), "period").agg(F.count("*").alias("document_count"), F.round(F.avg(F.coalesce(scored, F.lit(0.0))), 6).alias("avg_score"), F.round(F.avg(scored), 6).alias("avg_scored"), S.round3(F.count_if(F.col("user_id") % 3 == 0) / F.count("*")).alias("contradiction_share"))
 
 
 _EVIDENCE = """ev as (select user_id as claim_id, event_id, case event_type when 'view' then 'ENTAILMENT' when 'signup' then 'ENTAILMENT' when 'click' then 'CONTRADICTION' when 'purchase' then 'NEUTRAL' end as nli_label,

@@ -36,3 +36,23 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     setattr(context, _SHIPPED, True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages, which all executors reach: the one that the session names in
+    spark.checkpoint.dir. Without one a local session gets a temporary folder; a cluster is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors reach in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from there; what is written goes when nothing refers to it any more."""
+    ship(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    return df.checkpoint(eager=True)

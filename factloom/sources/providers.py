@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom import constants as C
 from factloom.functions import text as T
 from factloom.session import ship
 
@@ -21,7 +23,7 @@ def hashed_vector(text: str, dims: int = 64) -> list[float] | None:
     """Unit vector of hashed words: each word adds +1 or -1 to one place. Null for texts without words."""
     v = np.zeros(dims)
     for w in text.lower().split():
-        h = zlib.crc32(w.encode())
+        h = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4], "big")
         v[h % dims] += 1.0 if h >> 16 & 1 else -1.0
     norm = float(np.sqrt((v * v).sum()))
     return (v / norm).tolist() if norm else None
@@ -67,6 +69,45 @@ def with_model(rows: DataFrame, call: Callable[[list[str]], list[str | None]], t
     return rows.mapInArrow(run, rows.withColumn(out, F.lit(None).cast("string")).schema)
 
 
+def _echo(texts: list[str]) -> list[str]:
+    """Stand-in for models that write: the first sentence."""
+    return [t.split(".")[0] for t in texts]
+
+
+def _named(answer: str) -> Callable[[list[str]], list[str]]:
+    return lambda texts: [answer] * len(texts)
+
+
+@dataclass(frozen=True)
+class Provider:
+    """A model by its key: the stage that asks it, the version of its prompt, and what answers a batch of texts."""
+
+    key: str
+    stage: str
+    call: Callable[[list[str]], list[str | None]]
+    version: int = 1
+
+
+_PROVIDERS = (
+    Provider("normalizer", "NORMALIZE", _echo), Provider("classifier", "CLASSIFY", _named('{"classification":"CONTEXT"}')), Provider("extractor", "EXTRACT", _named("[]")),
+    Provider("veracity-nli", "VERACITY", _named('{"label":"NEUTRAL","confidence":0.5}')), Provider("veracity-web", "VERACITY", _named("[]")), Provider("sentiment", "SENTIMENT", _named("0")),
+    Provider("synthesis", "SYNTHESIS", _echo), Provider("feed-description", "COLLECT", _echo), Provider("story-clusterer", "CLUSTER", _echo), Provider("stance", "IDEOLOGY", _named("[]")),
+    Provider("event-classifier", "ENRICH", _named("OTHER")),
+)
+#: Every model that a stage asks; `registered` puts another in a stand-in's place.
+REGISTRY = {p.key: p for p in _PROVIDERS}
+
+
+def registered(provider: Provider) -> None:
+    """From now on this provider answers for its key."""
+    REGISTRY[provider.key] = provider
+
+
+def ask(rows: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """rows with the answers of the registered model."""
+    return with_model(rows, REGISTRY[key].call, text, out)
+
+
 def missing_embeddings(segments: DataFrame, n: int = 500) -> DataFrame:
     """The next segments without a vector, oldest first."""
     return segments.where("embedding is null").orderBy("id").limit(min(n, 500))
@@ -79,6 +120,12 @@ def valid_class(json: Column) -> Column:
     return F.when(F.coalesce(x["sarcasm"], F.lit(False)) | F.coalesce(x["rhetorical"], F.lit(False)), "OPINION_ANALYSIS").otherwise(name)
 
 
+def valid_event_type(answer: Column) -> Column:
+    """One of the twenty event types; whatever else is said, and nothing, is OTHER."""
+    name = F.regexp_replace(F.upper(T.trimmed(answer)), r"[ -]+", "_")
+    return F.when(name.isin(*C.EVENT_TYPES), name).otherwise("OTHER")
+
+
 def initial_label(classification: Column) -> Column:
     return F.when(classification == "OPINION_ANALYSIS", "OPINION").when(classification == "CONTEXT", "NEUTRAL").when(classification == "OTHER", "OTHER")
 
@@ -86,8 +133,8 @@ def initial_label(classification: Column) -> Column:
 def valid_claims(json: Column) -> Column:
     """Claims of over ten characters; their type is always DIRECT."""
     claims = F.from_json(T.clean_json(json), "array<struct<claim_text:string,is_checkable:boolean>>")
-    kept = F.filter(claims, lambda c: F.length(F.trim(c["claim_text"])) > 10)
-    return F.transform(kept, lambda c: F.struct(F.trim(c["claim_text"]).alias("claim_text"), F.coalesce(c["is_checkable"], F.lit(True)).alias("is_checkable"), F.lit("DIRECT").alias("claim_type")))
+    kept = F.filter(claims, lambda c: F.length(T.trimmed(c["claim_text"])) > 10)
+    return F.transform(kept, lambda c: F.struct(T.trimmed(c["claim_text"]).alias("claim_text"), F.coalesce(c["is_checkable"], F.lit(True)).alias("is_checkable"), F.lit("DIRECT").alias("claim_type")))
 
 
 def valid_nli(json: Column) -> Column:
@@ -116,3 +163,11 @@ def prompt(sections: list[str], values: dict[str, str]) -> str:
     for name, value in values.items():
         out = out.replace("{{" + name + "}}", value)
     return out
+
+
+def prompt_column(sections: list[str], values: dict[str, Column]) -> Column:
+    """prompt() for each row: the values are columns."""
+    out = F.lit("\n\n".join(s for s in sections if s))
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), value)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import constants as K
+from factloom.session import checkpointed
 
 
 def stages_of(status: Column) -> Column:
@@ -35,20 +36,23 @@ def guarded(jobs: DataFrame) -> DataFrame:
 
 
 def status_stream(changes: DataFrame) -> DataFrame:
-    """Stream form of status_jobs: the last status of each document is kept as state."""
+    """Stream form of status_jobs, exactly once: the last status and the highest seq of each document are kept as state. A row
+    whose seq is not higher has been handled before and starts nothing, so the guard's state does not grow with the jobs."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, highest = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for status, seq in zip(rows["status"], rows["seq"], strict=True):
+            if highest is not None and seq <= highest:
+                continue
             if status != last:
                 out += [(key[0], stage, f"{status}:{seq}") for stage in K.STATUS_FANOUT.get(status, (K.STATUS_STAGE[status],) if status in K.STATUS_STAGE else ())]
-            last = status
-        state.update((last,))
+            last, highest = status, int(seq)
+        state.update((last, highest))
         yield pd.DataFrame(out, columns=["doc_id", "stage", "token"])
 
-    return changes.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, stage string, token string", "status string", "append", "NoTimeout")
+    return changes.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, stage string, token string", "status string, seq long", "append", "NoTimeout")
 
 
 def runnable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -73,12 +77,30 @@ def next_state(jobs: DataFrame, now: Column) -> DataFrame:
 
 def breaker(metrics: DataFrame) -> DataFrame:
     """metrics (stage, seq, failed boolean) with the failure streak up to each row, and whether it pauses the stage there. A
-    streak restarts after each success: failures are counted within the islands between successes."""
-    order = Window.partitionBy("stage").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order)
-    rows = metrics.withColumn("island", island)
-    streak = F.sum(F.col("failed").cast("int")).over(Window.partitionBy("stage", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("streak", streak).withColumn("pauses", F.col("failed") & (F.col("streak") >= K.BREAKER_STREAK)).drop("island")
+    streak restarts after each success: failures are counted within the islands between successes. Rows are sorted into ranges
+    of (stage, seq) of equal size, however many a stage has; what a range hands on to the next is one row, joined up in order on
+    the driver."""
+    spark = metrics.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fine = metrics.withColumn("of", F.coalesce("stage", F.lit(""))).repartitionByRange(parts, "of", "seq")
+    ranged = checkpointed(fine.withColumn("part", F.spark_partition_id()))
+    here = Window.partitionBy("part", "of").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(here))
+    rows = rows.withColumn("streak", F.sum(F.col("failed").cast("int")).over(Window.partitionBy("part", "of", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ranged.groupBy("part", "of").agg(F.max(F.when(~F.col("failed"), F.col("seq"))).alias("success"), F.max("seq").alias("seq"))
+    tails = ranged.join(ends.select("part", "of", "success"), ["part", "of"]).groupBy("part", "of", "success").agg(F.count_if(F.col("failed") & (F.col("success").isNull() | (F.col("seq") > F.col("success")))).alias("tail"))
+    last = tails.groupBy("part").agg(F.min("of").alias("first"), F.max(F.struct("of", F.col("success").isNull().alias("whole"), "tail")).alias("last"))
+    carried, into = None, []
+    for r in sorted(last.collect(), key=lambda r: r.part):  # one short row a range
+        before = carried[1] if carried and carried[0] == r.first else 0
+        if before:
+            into.append((r.part, r.first, before))
+        carried = (r.last.of, r.last.tail + (before if r.last.whole and r.last.of == r.first else 0))
+    brought = spark.createDataFrame(into, "part int, of string, brought long")
+    rows = rows.join(F.broadcast(brought), ["part", "of"], "left")  # at most one row a range
+    streak = F.col("streak") + F.when(F.col("island") == 0, F.coalesce("brought", F.lit(0))).otherwise(F.lit(0))
+    rows = rows.withColumn("streak", streak).withColumn("pauses", F.col("failed") & (F.col("streak") >= K.BREAKER_STREAK))
+    return rows.select(*metrics.columns, "streak", "pauses")
 
 
 def poisoned(jobs: DataFrame, n: int = 200) -> tuple[DataFrame, DataFrame]:

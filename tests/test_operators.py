@@ -186,3 +186,63 @@ def test_flow_scores_lie_in_their_range(spark):
     out = score_documents(docs).collect()
     assert {r.document_id for r in out} == set("01234")
     assert all(0 <= x <= 1 for r in out for x in (r.grounding_score, r.integrity_score, r.one_sidedness) if x is not None)
+
+
+def test_document_stories_equal_brute_force(spark):
+    """Chunks, embeddings, means of the first three segments and greedy clusters, each by plain Python."""
+    import hashlib
+    import math
+    import re
+
+    import numpy as np
+
+    from factloom.plans.vectors import document_stories
+
+    sf = "/root/testdata/sf0.001"
+
+    def chunks(text):
+        out = []
+        for paragraph in re.split(r"\n\s*\n", text.strip()):
+            held = []
+            size = lambda parts: sum(math.ceil(len(p.split()) * 1.33) for p in parts)
+            for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", paragraph)):
+                if not s:
+                    continue
+                if held and size(held) >= 80 and size([*held, s]) > 200:
+                    out.append(held)
+                    held = []
+                held = [*held, s]
+            if held and size(held) < 50 and out and size(out[-1]) < 180:
+                out[-1] = out[-1] + held
+            elif held:
+                out.append(held)
+        return [" ".join(p) for p in out if size(p) >= 30] if out else []
+
+    def vector(text):
+        v = np.zeros(64)
+        for w in text.lower().split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % 64] += 1 if h >> 16 & 1 else -1
+        return v / np.linalg.norm(v)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    last = max(r.doc_id for r in docs)
+    first = {r.doc_id: chunks(r.text or "")[:3] for r in docs if r.doc_id >= last - 144}
+    mean = {i: np.mean([vector(t) for t in texts], axis=0) for i, texts in first.items() if texts}
+    ids = sorted(mean, reverse=True)[:200]
+    unit = np.array([mean[i] / np.linalg.norm(mean[i]) for i in ids])
+    sim = np.round(unit @ unit.T, 9)
+    place, free, want = {i: n for n, i in enumerate(ids)}, set(ids), []
+    near = {i: [j for j in ids if j != i and sim[place[i], place[j]] >= 0.6] for i in ids}
+    for seed in sorted(ids, key=lambda i: (-len(near[i]), i)):
+        members = [seed]
+        for c in sorted((j for j in near[seed] if j in free), key=lambda j: (-sim[place[seed], place[j]], j)) if seed in free else ():
+            if len(members) < 15 and sum(c in near[m] for m in members) / len(members) >= 0.35:
+                members.append(c)
+        if len(members) >= 2:
+            free -= set(members)
+            want.append(sorted(members))
+    got = {}
+    for r in document_stories(spark, sf).collect():
+        got.setdefault(r.cluster, []).append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(want) and len(want) > 3

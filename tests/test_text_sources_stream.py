@@ -32,7 +32,7 @@ def test_text(spark):
     assert v(T.policy_domain, "Tax and labor") == "fiscal_policy" and v(T.policy_domain, "OTHER") is None
     assert v(T.canonical_key, "", "A  b!") == "no-url::a b" and v(T.clean_json, '```json\n{"a":1}\n```') == '{"a":1}'
     assert v(T.html_text, "<script>x</script><p>a&amp;b</p> c") == "a&b c" and v(T.xml_escape, "<'&>") == "&lt;&apos;&amp;&gt;"
-    assert T.quote_found("The big red fox ran", "big Red  fox") and T.quote_found("a b c d e", "a c d e") and not T.quote_found("a b c", "c b a z")
+    assert v(T.quote_matches, "The big red fox ran", "big Red  fox") and v(T.quote_matches, "a b c d e", "a c d e") and not v(T.quote_matches, "a b c", "c b a z")
 
 
 def test_watermark_is_the_string_hash(spark):
