@@ -1,7 +1,12 @@
 """From raw documents to token ids: toxic documents go, one of each group of near duplicates stays, secrets are masked,
 sources are mixed to their target weights, texts become SentencePiece ids.
 
-Each stage reads the Parquet that the one before wrote in the session's shared folder.
+Each stage reads the Parquet that the one before wrote in the session's shared folder; what a stage has read is removed once
+its own output is written.
+
+Defined results, for every stage: an empty table gives an empty table; null ids, null, empty and very long texts, repeated rows
+and extra columns of any name are kept as they are but for what the stage decides; all stages but the last return the columns
+they get, in their order.
 """
 
 from __future__ import annotations
@@ -15,22 +20,27 @@ from factloom.llm.common import prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic. Null and empty texts stay unless most examples are toxic."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-equal fingerprints: the smallest id's, null ids last. Texts without words are one component."""
     return simhash_dedup.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in place of each secret, plain or encoded, and n_chars counted anew; null texts stay null."""
     return secret_scan.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, none to four times; a null source is a source, rows without words are taken by number."""
     return cube_mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, round_trip, ids) of each row; null and empty texts have no tokens."""
     return sentencepiece_scan.encode(docs)
 
 
@@ -41,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over documents; the rows of the last one."""
     prepare(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"

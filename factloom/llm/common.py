@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import ship, table  # noqa: F401  table is for the operators' queries
+from factloom.session import checkpoint_folder, checkpointed, ship, table  # noqa: F401  table is for the operators' queries
 
 #: Arrow batches sent to Python hold at most this many rows and bytes, so one batch of long texts stays small.
 BATCH_ROWS = 1024
@@ -17,26 +16,19 @@ BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the session's Arrow batches and make sure that checkpoint() has a folder that all executors reach: the one that the
-    session names in spark.checkpoint.dir. Without one a local session gets a temporary folder; a cluster is an error. Checkpoints
-    go when nothing refers to them any more."""
+    """Bound the session's Arrow batches, by rows and bytes, and make sure that checkpoint() has a folder that all executors reach.
+    The bounds stay for later queries of the session: Spark reads them when a query runs, not when it is made."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    context = spark.sparkContext
-    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("name a folder that all executors reach in spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(spark)
     return spark
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; survives the loss of executors."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

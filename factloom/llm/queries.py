@@ -9,42 +9,52 @@ from factloom.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts, base verdict and the forest's verdict of every document; texts without words fail the base rules."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score, verdict and nearest labelled examples of every document; texts without known terms score as a vote of 0."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of plain secrets, and spans of plain and encoded ones, of every document; none in null texts."""
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words share fingerprint zero."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; without "://" host and path are empty and no rule fits."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids, their number and digest, and whether they decode to the text, of every document; none for empty texts."""
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict of every document; texts without words are scored as such."""
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of every document; null sources come last, texts without words take nothing."""
     return cube_mixing.choose(table(spark, sf_dir, "documents"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other rows for every twentieth id; vectors with null or non-finite parts take no part."""
     return topk_search.top_of_every(table(spark, sf_dir, "embeddings"))
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's not-modified answer, resolved to the response that it stands for; pages without an address have none."""
     return warc.page_revisits(table(spark, sf_dir, "pages"))
 
 

@@ -14,13 +14,14 @@ ordered by id; a revisit without validators agrees with none; repeated rows each
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_arrow, materialise, utf8
+from factloom.llm.common import materialise, prepare
 
 #: Headers of a full response that a not-modified answer never replaces (they describe the stored body or the connection).
 FIXED_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "connection", "keep-alive", "trailer", "transfer-encoding", "upgrade")
@@ -125,37 +126,87 @@ def written(record_type: str, record_id: str, uri: str | None, date: str, header
     return "\r\n".join([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[tuple[str, str, str | None, str, dict[str, str], bytes]]:
-    """(type, id, URI, date, HTTP headers, body) of each record of uncompressed WARC data; stops where the data is cut off."""
-
-    def fields(block: bytes) -> dict[str, str]:
-        return {k.strip().lower(): v.strip() for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line for k, v in [line.split(":", 1)]}
-
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = fields(data[at:end])
-        size = int(head.get("content-length", "0") or 0)
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
-        http, _, body = block.partition(b"\r\n\r\n")
-        yield head.get("warc-type", ""), head.get("warc-record-id", "").strip("<>"), head.get("warc-target-uri"), head.get("warc-date", ""), fields(http) if http.startswith(b"HTTP/") else {}, body if http.startswith(b"HTTP/") else block
-        at = data.find(b"WARC/", end + 4 + size)
+def _pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """WARC data piece by piece; compressed data member by member, however many there are. Damaged ends are dropped."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + size] for k in range(0, len(data), size))
+        return
+    rest = data
+    try:
+        while rest[:2] == b"\x1f\x8b":
+            tool = zlib.decompressobj(31)
+            while True:
+                piece = tool.decompress(rest, size)
+                rest = tool.unconsumed_tail
+                if piece:
+                    yield piece
+                if tool.eof or not (rest or piece):
+                    break
+            rest = tool.unused_data
+    except zlib.error:
+        return
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at a path, which only Spark needs to reach: (type, id, url, date, headers, body)."""
-    schema = "type string, id string, url string, date string, headers map<string,string>, body binary"
+def _fields(block: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line for k, v in [line.split(":", 1)]}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [r for data in batch.column(0).to_pylist() for r in parsed(data)]
-        kinds = [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([list(r[j].items()) if j == 4 else r[j] for r in rows], kinds[j]) for j in range(6)], ["type", "id", "url", "date", "headers", "body"])
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, schema)
+def parsed(data: bytes) -> Iterator[tuple[str, str, str | None, str, dict[str, str], bytes]]:
+    """(type, id, URI, date, HTTP headers, body) of each record of WARC data, compressed or not; stops where the data is cut off.
+    One record is held at a time."""
+    held, more = bytearray(), _pieces(data)
+
+    def grown() -> bool:
+        piece = next(more, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not grown():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not grown():
+                return
+        head = _fields(bytes(held[:end]))
+        length = head.get("content-length", "")
+        stop = end + 4 + (int(length) if length.isdigit() else 0)
+        while len(held) < stop:
+            if not grown():
+                return
+        block = bytes(held[end + 4 : stop])
+        del held[:stop]
+        http, _, body = block.partition(b"\r\n\r\n")
+        answer = http.startswith(b"HTTP/")
+        yield head.get("warc-type", ""), head.get("warc-record-id", "").strip("<>"), head.get("warc-target-uri"), head.get("warc-date", ""), _fields(http) if answer else {}, body if answer else block
 
 
-__all__ = ["canonical", "page_records", "page_revisits", "parsed", "read_warc", "resolve", "utf8", "written"]
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files at a path, .warc and .warc.gz, which only Spark needs to reach: (type, id, url, date, headers,
+    body). A task holds a file as it is stored (2 GB at most) and a few records of it."""
+    names = ["type", "id", "url", "date", "headers", "body"]
+    kinds = [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(r[j].items()) if j == 4 else r[j] for r in rows], kinds[j]) for j in range(6)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                for r in parsed(data):
+                    rows.append(r)
+                    size += len(r[5])
+                    if len(rows) == 1024 or size > 16 << 20:
+                        yield made(rows)
+                        rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    prepare(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "type string, id string, url string, date string, headers map<string,string>, body binary")
+
+
+__all__ = ["canonical", "page_records", "page_revisits", "parsed", "read_warc", "resolve", "written"]

@@ -345,3 +345,28 @@ def test_sentencepiece_trees_equal_the_library(documents):
     rows += [(100, rows[0][1]), (101, rows[1][1])]
     out = {r.doc_id: r.ids for r in sp.encode(documents(rows), chunk=30, fan=3).collect()}
     assert all(out[i] == p.sp.encode(t) for i, t in rows)
+
+
+def test_compressed_warc_files(spark, tmp_path):
+    import gzip
+
+    parts = [warc.written("response", f"urn:{i}", f"http://a.org/{i}", "2024-01-01T00:00:00Z", {"ETag": str(i)}, b"WARC/ inside " + bytes([i % 256]) * (i * 5000)) for i in range(60)]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(map(gzip.compress, parts))[:-40])
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 60 * 3 + 59
+    by = defaultdict(set)
+    for r in rows:
+        by[r.id].add((r.url, r.headers["etag"], bytes(r.body)))
+    assert by == {f"urn:{i}": {(f"http://a.org/{i}", str(i), b"WARC/ inside " + bytes([i % 256]) * (i * 5000))} for i in range(60)}
+
+
+def test_warc_clashing_columns_and_repeats(spark):
+    rows = records(spark)
+    odd = rows.unionAll(rows.where("record_id = 2")).withColumns({n: F.lit("clash") for n in ("canon", "part", "found", "brought", "of", "verdict", "merged", "came")})
+    out = sorted((r.record_id, r.response_id, r.verdict) for r in warc.resolve(odd).collect())
+    assert out == sorted([(r.record_id, r.response_id, r.verdict) for r in warc.resolve(rows).collect()] + [(2, 1, "resolved")])
+    pages = spark.createDataFrame([(1, "http://a.b/", "x", "clash")], "page_id long, url string, html string, canon string")
+    assert warc.page_revisits(pages).first().verdict == "resolved"
