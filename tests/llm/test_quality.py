@@ -111,3 +111,49 @@ def test_qda_log_ratio_is_the_density_difference():
         e = z - z[y == k].mean(axis=0)
         log.append(-0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e) + np.log(np.linalg.det(c))))
     assert np.allclose(q.log_ratio(x), log[1] - log[0])
+
+
+def plain_features(text):
+    words, chars, symbols, dup, repeat = plain(text)
+    w = SPACE.findall(text)
+    count = lambda pattern: len(re.findall(pattern, text))
+    lines = sum(bool(SPACE.search(x)) for x in text.split("\n"))
+    a_word = lambda n: np.log(1 + 20 * n / (words + 10))
+    same = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return [
+        a_word(symbols), dup / (lines + 3), repeat / (words + 10), count("[A-Z]") / (count("[A-Za-z]") + 60), a_word(count("!")), same / (words + 10), count(r"\|") / (words + 10),
+        np.log(1 + words), (chars + 100) / (words + 20), (len(set(w)) + 20) / (words + 20), a_word(count("[0-9]")), count("[!?.,;:]") / (words + 10),
+    ]
+
+
+def test_quality_query_equals_plain_densities(spark):
+    """op7_quality_classifier by shrunken covariances, inverses and determinants of whole matrices."""
+    import zlib
+
+    from factloom.llm.queries import op7_quality_classifier
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    x = {i: np.array(plain_features(t)) for i, t in texts.items()}
+    learn = sorted(quality)
+    a, y = np.array([x[i] for i in learn]), np.array([quality[i] for i in learn])
+    low, high = np.quantile(a, [0.002, 0.998], axis=0)
+    shown = lambda v: (np.clip(v, low, high) - np.clip(a, low, high).mean(axis=0)) / (np.clip(a, low, high).std(axis=0) + 1e-6)
+    z = shown(a)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).sum() for k, c in enumerate(own)) / len(z)
+    parts = []
+    for k in (0, 1):
+        c = 0.8 * own[k] + 0.2 * pooled
+        parts.append((z[y == k].mean(axis=0), 0.95 * c + 0.05 * np.trace(c) / len(c) * np.eye(len(c))))
+    out = op7_quality_classifier(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        v = shown(x[r.doc_id])
+        log = [-0.5 * ((v - m) @ np.linalg.solve(c, v - m) + np.linalg.slogdet(c)[1]) for m, c in parts]
+        assert np.isclose(r.log_ratio, log[1] - log[0], rtol=1e-6, atol=1e-6)
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    inside = [(r.log_ratio, np.log(r.score / (1 - r.score))) for r in out if 1e-9 < r.score < 1 - 1e-9]
+    slope, shift = np.polyfit(*zip(*inside, strict=True), 1)
+    assert slope > 0 and all(np.isclose(slope * a + shift, b, rtol=1e-5, atol=1e-5) for a, b in inside)

@@ -1,6 +1,7 @@
 """URL filter, SentencePiece, cube mixing, top-k, WARC."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -370,3 +371,37 @@ def test_warc_clashing_columns_and_repeats(spark):
     assert out == sorted([(r.record_id, r.response_id, r.verdict) for r in warc.resolve(rows).collect()] + [(2, 1, "resolved")])
     pages = spark.createDataFrame([(1, "http://a.b/", "x", "clash")], "page_id long, url string, html string, canon string")
     assert warc.page_revisits(pages).first().verdict == "resolved"
+
+
+def test_mixing_query_equals_its_contract(spark):
+    """op8_cube_mixing against sizes, targets and bounds worked out in plain Python."""
+    from factloom.llm.queries import op8_cube_mixing
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.source, len([w for w in re.split("[\x20\x09-\x0d]+", r.text or "") if w])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = defaultdict(int)
+    for s, n in docs.values():
+        size[s] += n
+    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, goal, free = sum(size.values()), {}, set(order)
+    while True:  # those above their bound stop there, the rest is shared anew
+        rest = total - sum(goal.values())
+        share = {s: rest * weight[s] / sum(weight[t] for t in free) for s in free}
+        above = {s for s in free if share[s] > 3 * size[s]}
+        if not above:
+            goal |= share
+            break
+        goal |= {s: 3.0 * size[s] for s in above}
+        free -= above
+    out = op8_cube_mixing(spark, sf).collect()
+    assert len(out) == len(docs)
+    taken, most = defaultdict(int), defaultdict(int)
+    for r in out:
+        s, n = docs[r.doc_id]
+        assert (r["size"], r.source_size) == (n, size[s]) and np.isclose(r.target, goal[s]) and 0 <= r.taken <= 3 * n and (n == 0 or r.taken % n == 0)
+        assert n == 0 or int(goal[s] / size[s] + 1e-9) <= r.taken // n <= int(goal[s] / size[s] + 1e-9) + 1
+        taken[s] += r.taken
+        most[s] = max(most[s], n)
+    assert all(abs(taken[s] - goal[s]) <= max(2, most[s] / 2) for s in size)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, op8_cube_mixing(spark, sf).collect()))
