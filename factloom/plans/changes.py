@@ -77,4 +77,4 @@ def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counts = status.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "1 day")
     counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", path + "-state").trigger(availableNow=True).start(path).awaitTermination()
-    return spark.read.parquet(path).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+    return spark.read.schema(counts.schema).parquet(path).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))

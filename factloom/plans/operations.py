@@ -193,8 +193,9 @@ def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     name = "jobs_" + uuid.uuid4().hex
     root = checkpoint_folder(spark)
     out, state = f"{root}/{name}", f"{root}/{name}_state"
-    status.status_stream(rows).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out)
+    jobs = status.status_stream(rows)
+    jobs.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(jobs.schema).parquet(out)
 
 
 _SCORED = "docs as (select doc_id as id, case when quality = 1 then 's' end as strip, case when toxic = 0 then 0.5 end as grounding_score, doc_id % 97 as created_at from labels)"
