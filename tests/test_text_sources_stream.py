@@ -95,6 +95,44 @@ def test_status_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
 
 
+def test_status_stream_is_exactly_once(spark, tmp_path):
+    """Rows that come again, in the same batch or a later one, start nothing."""
+    df = spark.createDataFrame(CHANGES, "doc_id long, status string, seq long")
+    df.unionAll(df).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = status.status_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, status.status_jobs(df.dropDuplicates()).collect()))
+
+
+def test_breaker_over_ranges_equals_a_plain_count(spark):
+    """A stage with most rows spreads over ranges; streaks go on from one to the next."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "z", None]), i, rng.random() < 0.9) for i in range(3000)]
+    want, streak = {}, {}
+    for stage, seq, failed in rows:
+        streak[stage] = streak.get(stage, 0) + 1 if failed else 0
+        want[seq] = (streak[stage], failed and streak[stage] >= 5)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    got = {r.seq: (r.streak, r.pauses) for r in status.breaker(spark.createDataFrame(rows, "stage string, seq long, failed boolean").repartition(7)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == want
+
+
+def test_charsets_as_the_web_reads_them():
+    for text, name, codec in (("é“x”€", "ISO-8859-1", "cp1252"), ("é“x”", "Windows-1252", "cp1252"), ("日本語", "Shift_JIS", "shift_jis"), ("Привет", "koi8-r", "koi8-r"), ("aé", "no-such-charset", "cp1252"), ("日本", "utf-16", "utf-16-le")):
+        assert feeds.as_text(text.encode(codec), name) == text
+    assert feeds.as_text(b"\xef\xbb\xbfa\xff", "utf-8") == "a\ufffd"
+
+
+def test_feeds_in_the_wild():
+    wild = '<rss xmlns:x="u"><channel><title>all</title><item rdf:about="1"><title>A &nbsp; <b>b</b><br></title><link/><guid isPermaLink="true">\n http://g </guid><description>open <p> end</description></item><!-- <item><link>no</link></item> --><item><link>http://2</link>'
+    assert [(i["link"], i["title"], i["description"]) for i in feeds.items(wild)] == [("http://g", "A &nbsp; <b>b</b><br>", "open <p> end")]
+    assert feeds.items("no feed at all") == [] and feeds.items("") == []
+
+
 def test_runner_breaker_and_reaper(spark):
     now = F.lit("2024-01-01").cast("timestamp")
     rows = [("EXTRACT", False, "a", "a", False, 3), ("EXTRACT", False, "a", "a", False, 2), ("X", False, "a", "b", False, 0), ("X", True, "a", "a", True, 0), ("X", False, "a", "a", True, 0)]
