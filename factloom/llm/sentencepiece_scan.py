@@ -282,8 +282,14 @@ def states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     return known
 
 
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+def digest(ids: list[int] | np.ndarray) -> str:
+    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
+
+
+def _listed(found: list[np.ndarray]) -> pa.ListArray:
+    """An array of arrays, without a Python number for each token."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
 
 
 def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan: int = FAN, ids: bool = True) -> DataFrame:
@@ -301,9 +307,9 @@ def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan
             text = t.decode()
             found = p.encode(text)
             same = SPACE not in text and p.spelled(found) == (SPACE + text.replace(" ", SPACE)).encode() if text else True
-            rows.append((len(found), digest(found), same, found))
-        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], kinds[j]) for j in range(3 + ids))], names)
+            rows.append((len(found), digest(found), same, np.array(found, np.int32) if ids else None))
+        kinds = [pa.int64(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], kinds[j]) for j in range(3)), *([_listed([r[3] for r in rows])] if ids else [])], names)
 
     small = map_arrow(base.where(F.length("text") < chunk), short, schema)
 
@@ -338,9 +344,13 @@ def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan
     known = states(materialise(ends.where("piece is null").unionAll(walked).select("key", "k", "ins", "outs")), fan)
 
     def trace(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = loaded()
-        rows = [p.back(r["piece"], r["a"], r["b"], r["into"], r["out"]) for r in batch.to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([e and r[1] for e, r in zip(batch.column("exact").to_pylist(), rows, strict=True)]), pa.array([r[0] for r in rows], pa.list_(pa.int32()))], ["key", "k", "ok", "ids"])
+        p, found, ok = loaded(), [], []
+        columns = (batch.column(c).to_pylist() for c in ("exact", "piece", "a", "b", "into", "out"))
+        for exact, *chunk_of in zip(*columns, strict=True):
+            ids_, same = p.back(*chunk_of)
+            found.append(np.array(ids_, np.int32))
+            ok.append(exact and same)
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ok), _listed(found)], ["key", "k", "ok", "ids"])
 
     # equal texts are traced once; one shuffle of the chunks serves this and the join
     once = chunks.drop("doc_id").dropDuplicates(["key", "k"])
@@ -349,9 +359,11 @@ def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan
     whole = whole.select("key", "round_trip", F.flatten(F.col("parts.ids")).alias("all_ids"))
 
     def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.array(x, "<i4") for x in batch.column("all_ids").to_pylist()]
-        cols = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found]), batch.column("round_trip")]
-        return pa.RecordBatch.from_arrays([*cols, *([batch.column("all_ids").cast(pa.list_(pa.int32()))] if ids else [])], names)
+        lists = batch.column("all_ids").cast(pa.list_(pa.int32()))
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        found = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        cols = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([digest(x) for x in found], pa.string()), batch.column("round_trip")]
+        return pa.RecordBatch.from_arrays([*cols, *([lists] if ids else [])], names)
 
     long = chunks.where("k = 0").select("doc_id", "key").join(whole, "key").select("doc_id", "round_trip", "all_ids")
     return small.unionByName(map_arrow(long, digests, schema))

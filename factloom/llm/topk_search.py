@@ -120,13 +120,24 @@ def _search_large(q_ids: np.ndarray, q: list[list[int]], ids: np.ndarray, x: lis
     return out
 
 
-def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, list[list[int]], list]]:
-    """By vector length: ids, vectors and floors, by rising id."""
-    floors = t["least"].to_pylist() if "least" in t.column_names else [None] * t.num_rows
-    out: dict[int, list] = {}
-    for row in sorted(zip(t["vec_id"].to_pylist(), t["v"].to_pylist(), floors, strict=True), key=lambda r: (r[0], r[1])):
-        out.setdefault(len(row[1]), []).append(row)
-    return {n: (np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], [r[2] for r in rows]) for n, rows in out.items()}
+def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By vector length: ids, vectors, and the scores that a candidate must reach."""
+    v = t["v"].combine_chunks()
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    ids, starts, flat = t["vec_id"].to_numpy(), v.offsets.to_numpy(), v.values.to_numpy()
+    floors = np.full(len(ids), -np.inf)
+    if "least" in t.column_names:
+        least = t["least"].to_numpy().astype(float)
+        floors = np.where(np.isnan(least), -np.inf, least)
+    lengths, out = np.diff(starts), {}
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[n] = (ids[at], flat[starts[at][:, None] + np.arange(n)], floors[at])
+    return out
+
+
+def _largest(x: np.ndarray) -> int:
+    return int(np.abs(x).max()) if x.size else 0
 
 
 def _meet(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
@@ -134,14 +145,12 @@ def _meet(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
     if queries.num_rows and shard.num_rows:
         mine, theirs = _by_length(queries), _by_length(shard)
         for n in sorted(mine.keys() & theirs.keys()):
-            (q_ids, q, floors), (ids, x, _) = mine[n], theirs[n]
-            most = max(max(map(abs, v), default=0) for v in q) * max(max(map(abs, v), default=0) for v in x) * max(n, 1)
-            if most >= 2**53:
-                rows = np.array(_search_large(q_ids, q, ids, x, k), np.int64).reshape(-1, 3)
+            (q_ids, q, floor), (ids, x, _) = mine[n], theirs[n]
+            if _largest(q) * _largest(x) * max(n, 1) >= 2**53:
+                rows = np.array(_search_large(q_ids, q.tolist(), ids, x.tolist(), k), np.int64).reshape(-1, 3)
                 found.append((rows[:, 0], rows[:, 1], rows[:, 2]))
                 continue
-            floor = np.array([-np.inf if f is None else f for f in floors])
-            i, s = _search(q_ids, np.array(q, float).reshape(len(q), n), floor, ids, np.array(x, float).reshape(len(x), n), k)
+            i, s = _search(q_ids, q.astype(float), floor, ids, x.astype(float), k)
             row, col = np.nonzero(s > -np.inf)
             found.append((q_ids[row], i[row, col], s[row, col].astype(np.int64)))
     cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3)]
