@@ -63,7 +63,7 @@ def weekly_trend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select n_name as publisher, arg_min(c_mktsegment, c_custkey) as category, count(*) as feeds from customer join nation on c_nationkey = n_nationkey group by n_name")
 def publisher_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy(F.col("n_name").alias("publisher")).agg(F.min_by("c_mktsegment", "c_custkey").alias("category"), F.count("*").alias("feeds"))
 
 

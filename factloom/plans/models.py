@@ -70,10 +70,10 @@ _WEB_SEEN = ["https://apnews.com/1=ENTAILMENT=T2,https://x.test/=CONTRADICTION=T
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
     """What the validators make of answers: wrong names, fences, confidences out of bounds, short claims, repeated addresses."""
     i = F.col("event_id")
-    kind, nli = providers.valid_class(_pick(i, _ANSWERS)), providers.valid_nli(_pick(i, _NLI))
-    claims = F.array_join(F.transform(providers.valid_claims(_pick(i, _CLAIMS)), lambda c: F.concat(c["claim_text"], F.lit(":"), c["is_checkable"].cast("string"), F.lit(":"), c["claim_type"])), ",")
-    web = F.array_join(F.transform(providers.web_sources(_pick(i, _WEB)), lambda w: F.concat(w["url"], F.lit("="), w["nli_label"], F.lit("="), w["tier"])), ",")
-    return table(spark, d, "events").select("event_id", kind.alias("class"), providers.initial_label(kind).alias("label"), nli["label"].alias("nli"), nli["confidence"].alias("confidence"), claims.alias("claims"), web.alias("web"))
+    e = table(spark, d, "events").select("event_id", _pick(i, _ANSWERS).alias("a"), _pick(i, _NLI).alias("n"), _pick(i, _CLAIMS).alias("c"), _pick(i, _WEB).alias("w"))
+    joined = lambda rows, by, *parts: F.array_join(F.transform(rows, lambda r: F.concat_ws(by, *(r[p].cast("string") for p in parts))), ",")
+    rows = e.select("event_id", providers.valid_class(F.col("a")).alias("class"), providers.valid_nli(F.col("n")).alias("nli"), providers.valid_claims(F.col("c")).alias("claims"), providers.web_sources(F.col("w")).alias("web"))
+    return rows.select("event_id", "class", providers.initial_label(F.col("class")).alias("label"), F.col("nli.label").alias("nli"), F.col("nli.confidence").alias("confidence"), joined(F.col("claims"), ":", "claim_text", "is_checkable", "claim_type").alias("claims"), joined(F.col("web"), "=", "url", "nli_label", "tier").alias("web"))
 
 
 _TYPED = [" military_action ", "ELECTION", "Science_Tech", "sports", "", None, "OTHER", "social_cultural", "natural disaster", "DIPLOMACY"]

@@ -113,11 +113,19 @@ def missing_embeddings(segments: DataFrame, n: int = 500) -> DataFrame:
     return segments.where("embedding is null").orderBy("id").limit(min(n, 500))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def valid_class(json: Column) -> Column:
     """classification of a model's answer: unknown names are OTHER; sarcasm or a rhetorical device make it an opinion."""
-    x = F.from_json(T.clean_json(json), "classification string, sarcasm boolean, rhetorical boolean")
-    name = F.when(F.upper(x["classification"]).isin(*CLASSES), F.upper(x["classification"])).otherwise("OTHER")
-    return F.when(F.coalesce(x["sarcasm"], F.lit(False)) | F.coalesce(x["rhetorical"], F.lit(False)), "OPINION_ANALYSIS").otherwise(name)
+
+    def judged(x: Column) -> Column:
+        name = F.when(F.upper(x["classification"]).isin(*CLASSES), F.upper(x["classification"])).otherwise("OTHER")
+        return F.when(F.coalesce(x["sarcasm"], F.lit(False)) | F.coalesce(x["rhetorical"], F.lit(False)), "OPINION_ANALYSIS").otherwise(name)
+
+    return _once(F.from_json(T.clean_json(json), "classification string, sarcasm boolean, rhetorical boolean"), judged)
 
 
 def valid_event_type(answer: Column) -> Column:
@@ -138,23 +146,27 @@ def valid_claims(json: Column) -> Column:
 
 
 def valid_nli(json: Column) -> Column:
-    x = F.from_json(T.clean_json(json), "label string, confidence double")
-    label = F.when(F.upper(x["label"]).isin(*NLI), F.upper(x["label"])).otherwise("NEUTRAL")
-    conf = F.coalesce(F.nullif(x["confidence"], F.lit(0.0)), F.lit(0.5))
-    return F.struct(label.alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"))
+    def judged(x: Column) -> Column:
+        label = F.when(F.upper(x["label"]).isin(*NLI), F.upper(x["label"])).otherwise("NEUTRAL")
+        conf = F.coalesce(F.nullif(x["confidence"], F.lit(0.0)), F.lit(0.5))
+        return F.struct(label.alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"))
+
+    return _once(F.from_json(T.clean_json(json), "label string, confidence double"), judged)
 
 
 def web_sources(json: Column, n: int = 5) -> Column:
     """Up to five sources of distinct URLs; a stance becomes an NLI label."""
-    rows = F.from_json(T.clean_json(json), "array<struct<url:string,stance:string,quote:string>>")
-    urls = F.slice(F.array_distinct(F.filter(F.transform(rows, lambda r: r["url"]), lambda u: F.coalesce(u, F.lit("")) != "")), 1, n)
 
-    def first(u: Column) -> Column:
-        r = F.get(F.filter(rows, lambda x: x["url"] == u), F.lit(0))
+    def source(r: Column) -> Column:
         label = F.when(F.lower(r["stance"]).isin("supports", "support"), "ENTAILMENT").when(F.lower(r["stance"]).isin("contradicts", "contradict"), "CONTRADICTION").otherwise("NEUTRAL")
-        return F.struct(u.alias("url"), label.alias("nli_label"), T.web_tier(u).alias("tier"), r["quote"].alias("quote"))
+        return F.struct(r["url"].alias("url"), label.alias("nli_label"), T.web_tier(r["url"]).alias("tier"), r["quote"].alias("quote"))
+
+    def kept(rows: Column) -> Column:
+        urls = F.transform(rows, lambda r: r["url"])
+        first = F.filter(rows, lambda r, i: (F.coalesce(r["url"], F.lit("")) != "") & (F.array_position(urls, r["url"]) == i + 1))
+        return F.transform(F.slice(first, 1, n), source)
 
-    return F.transform(urls, first)
+    return _once(F.from_json(T.clean_json(json), "array<struct<url:string,stance:string,quote:string>>"), kept)
 
 
 def prompt(sections: list[str], values: dict[str, str]) -> str:
