@@ -12,7 +12,7 @@ from factloom.session import checkpoint_folder, checkpointed, ship, table  # noq
 
 #: Arrow batches sent to Python hold at most this many rows and bytes, so one batch of long texts stays small.
 BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
