@@ -73,13 +73,18 @@ class Vectors:
     def __init__(self, terms: list[str], df: np.ndarray, n: int):
         self.ids, self.idf = {t: k for k, t in enumerate(terms)}, np.log(n / df)
 
-    def unit(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        known = [(i, n) for t, n in counts.items() if (i := self.ids.get(t)) is not None]
+    def unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text."""
+        known = [(i, n) for t, n in terms_of(text).items() if (i := self.ids.get(t)) is not None]
         found = np.array(known, np.int64).reshape(-1, 2)
-        found = found[np.argsort(found[:, 0])]
-        w = found[:, 1] * self.idf[found[:, 0]]
+        return self.weighted(found[:, 0], found[:, 1])
+
+    def weighted(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(terms)
+        terms, n = terms[order], n[order]
+        w = n * self.idf[terms]
         keep = w > 0  # a term of every example tells nothing
-        return found[keep, 0], np.round(w[keep] / max(np.sqrt((w * w).sum()), 1e-12), 9)
+        return terms[keep], np.round(w[keep] / max(np.sqrt((w * w).sum()), 1e-12), 9)
 
 
 class BlockMaxIndex:
@@ -172,15 +177,16 @@ class Model:
         self.share, self.k, self.power, self.index, self.cache = share, k, power, None, {}
         self.slope, self.shift = 1.0, 0.0
 
-    def fit(self, vectors: Vectors, ids: list[int], y: list[int], counts: list[Counter]) -> Model:
+    def fit(self, vectors: Vectors, ids: list[int], y: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """counts: terms and their numbers of each example."""
         self.vectors, self.ids, self.y = vectors, np.array(ids), np.array(y, float)
-        self.index = BlockMaxIndex([vectors.unit(c) for c in counts], len(vectors.idf))
+        self.index = BlockMaxIndex([vectors.weighted(*c) for c in counts], len(vectors.idf))
         return self
 
     def left_out(self, ids: list[int], texts: list[str]) -> list[float]:
         """The vote on each example by all others."""
         votes = []
-        for doc_id, (near, sim) in zip(ids, self.index.nearest_of([self.vectors.unit(terms_of(t)) for t in texts], self.k + 1), strict=True):
+        for doc_id, (near, sim) in zip(ids, self.index.nearest_of([self.vectors.unit(t) for t in texts], self.k + 1), strict=True):
             rest = np.flatnonzero(self.ids[near] != doc_id)[: self.k]
             votes.append(vote(sim[rest], self.y[near[rest]], self.power))
         return votes
@@ -189,7 +195,7 @@ class Model:
         """Score, nearest examples and their similarities of each text."""
         if self.index is None:
             return [(self.share, [], [])] * len(texts)
-        units = [self.vectors.unit(terms_of(t)) for t in texts]
+        units = [self.vectors.unit(t) for t in texts]
         keys = [(i.tobytes(), w.tobytes()) for i, w in units]
         new = {key: unit for key, unit in zip(keys, units, strict=True) if key not in self.cache}
         held = {key: self.cache[key] for key in keys if key in self.cache}
@@ -218,9 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int
     model = Model(sum(y) / len(y) if y else 0.0, k, power)
     if len(set(y)) < 2:
         return model
-    counts = [Counter(dict(zip(r.terms.split(), np.frombuffer(r.n, np.int32).tolist(), strict=True))) for r in rows]
-    df = Counter(t for c in counts for t in c)
-    model.fit(Vectors(list(df), np.array(list(df.values()), float), len(rows)), [r.doc_id for r in rows], y, counts)
+    terms: dict[str, int] = {}
+    counts = [(np.array([terms.setdefault(t, len(terms)) for t in r.terms.split()], np.int64), np.frombuffer(r.n, np.int32)) for r in rows]
+    df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=len(terms)).astype(float)
+    model.fit(Vectors(list(terms), df, len(rows)), [r.doc_id for r in rows], y, counts)
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
