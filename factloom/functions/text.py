@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom import constants as C
 
 WATERMARK = r"\n\n<!-- corpus-watermark:[^>]+-->"
-#: White space as feeds and pages have it: Unicode's, no-break spaces and byte order marks included.
-SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: White space as feeds and pages have it: Unicode's, no-break spaces and byte order marks included. Written so that letters are
+#: told apart by two comparisons.
+SPACES = r"\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 
 
 def replaced(c: Column, pattern: str, by: str = "") -> Column:
@@ -125,22 +128,30 @@ def domain(url: Column) -> Column:
     return replaced(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.")
 
 
-def _within(host: Column, domains: tuple[str, ...]) -> Column:
-    """The host or one of its parents is in the list: suffixes of the host against a literal set."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.arrays_overlap(suffixes, F.array(*map(F.lit, domains)))
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parents(url: Column) -> Column:
+    """The host and its parent domains."""
+    labels = F.split(domain(url), r"\.")
+    return once(labels, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))
+
+
+def _among(parents: Column, domains: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(parents, F.array(*map(F.lit, domains)))
 
 
 def evidence_tier(url: Column, category: Column) -> Column:
-    host = domain(url)
-    by_host = F.when(_within(host, C.OFFICIAL_DOMAINS), "T1").when(_within(host, C.WIRE_DOMAINS), "T2").when(_within(host, C.REFERENCE_DOMAINS), "T3").when(_within(host, C.MAINSTREAM_DOMAINS), "T4")
+    tiers = (("T1", C.OFFICIAL_DOMAINS), ("T2", C.WIRE_DOMAINS), ("T3", C.REFERENCE_DOMAINS), ("T4", C.MAINSTREAM_DOMAINS))
+    by_host = once(_parents(url), lambda x: F.coalesce(*(F.when(_among(x, domains), tier) for tier, domains in tiers)))
     return F.coalesce(by_host, F.when(category == "reference", "T3").when(category == "mainstream", "T4").otherwise("T5"))
 
 
 def web_tier(url: Column) -> Column:
-    host = domain(url)
-    return F.when(_within(host, C.OFFICIAL_DOMAINS), "T1").when(_within(host, C.WIRE_DOMAINS), "T2").when(_within(host, C.REFERENCE_DOMAINS), "T3").otherwise("T4")
+    tiers = (("T1", C.OFFICIAL_DOMAINS), ("T2", C.WIRE_DOMAINS), ("T3", C.REFERENCE_DOMAINS))
+    return once(_parents(url), lambda x: F.coalesce(*(F.when(_among(x, domains), tier) for tier, domains in tiers), F.lit("T4")))
 
 
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:

@@ -113,11 +113,6 @@ def missing_embeddings(segments: DataFrame, n: int = 500) -> DataFrame:
     return segments.where("embedding is null").orderBy("id").limit(min(n, 500))
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), the value worked out once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def valid_class(json: Column) -> Column:
     """classification of a model's answer: unknown names are OTHER; sarcasm or a rhetorical device make it an opinion."""
 
@@ -125,7 +120,7 @@ def valid_class(json: Column) -> Column:
         name = F.when(F.upper(x["classification"]).isin(*CLASSES), F.upper(x["classification"])).otherwise("OTHER")
         return F.when(F.coalesce(x["sarcasm"], F.lit(False)) | F.coalesce(x["rhetorical"], F.lit(False)), "OPINION_ANALYSIS").otherwise(name)
 
-    return _once(F.from_json(T.clean_json(json), "classification string, sarcasm boolean, rhetorical boolean"), judged)
+    return T.once(F.from_json(T.clean_json(json), "classification string, sarcasm boolean, rhetorical boolean"), judged)
 
 
 def valid_event_type(answer: Column) -> Column:
@@ -151,7 +146,7 @@ def valid_nli(json: Column) -> Column:
         conf = F.coalesce(F.nullif(x["confidence"], F.lit(0.0)), F.lit(0.5))
         return F.struct(label.alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"))
 
-    return _once(F.from_json(T.clean_json(json), "label string, confidence double"), judged)
+    return T.once(F.from_json(T.clean_json(json), "label string, confidence double"), judged)
 
 
 def web_sources(json: Column, n: int = 5) -> Column:
@@ -166,7 +161,7 @@ def web_sources(json: Column, n: int = 5) -> Column:
         first = F.filter(rows, lambda r, i: (F.coalesce(r["url"], F.lit("")) != "") & (F.array_position(urls, r["url"]) == i + 1))
         return F.transform(F.slice(first, 1, n), source)
 
-    return _once(F.from_json(T.clean_json(json), "array<struct<url:string,stance:string,quote:string>>"), kept)
+    return T.once(F.from_json(T.clean_json(json), "array<struct<url:string,stance:string,quote:string>>"), kept)
 
 
 def prompt(sections: list[str], values: dict[str, str]) -> str:
