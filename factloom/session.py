@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_factloom_shipped"
@@ -56,3 +59,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
     df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which is removed when Python ends, if nobody removed it before."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_late, spark, path)
+    return path
+
+
+def _remove_late(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except (AttributeError, OSError, Py4JError, Py4JNetworkError):  # the session has ended before
+        pass
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to a folder that all executors reach, and go on from there; survives the loss of executors."""
+    ship(df.sparkSession)
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
