@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import cube_mixing, quality_qda, quality_rules, secret_scan, sentencepiece_scan, simhash_dedup, topk_search, toxicity, url_filter, warc
+from factloom.llm import cube_mixing, fill_in_middle, quality_qda, quality_rules, secret_scan, sentencepiece_scan, simhash_dedup, target_encoding, topk_search, toxicity, url_filter, warc, wu_manber
 from factloom.llm.common import table
 
 
@@ -58,6 +58,21 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_revisits(table(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_simhash_dedup, op5_url_filter, op6_sentencepiece, op7_quality_classifier, op8_cube_mixing, op9_topk_search, op10_warc_revisits)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form, cuts and digests of every document's rearranged text; null texts are empty and plain."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History counts and rates of item, vendor and client of every sale's lines; lines without a sale or time are dropped."""
+    return target_encoding.encode(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of benchmark items cover, and which items; texts without words have none."""
+    return wu_manber.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_simhash_dedup, op5_url_filter, op6_sentencepiece, op7_quality_classifier, op8_cube_mixing, op9_topk_search, op10_warc_revisits, op11_fill_in_middle, op12_target_encoding, op13_wu_manber)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.ORACLE, "op10_warc_revisits": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle(), "op9_topk_search": topk_search.ORACLE, "op10_warc_revisits": warc.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_target_encoding": target_encoding.ORACLE, "op13_wu_manber": wu_manber.ORACLE}
