@@ -53,17 +53,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _DEEP_PERCENT = re.compile(r"%25(?:25)+")
-_UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_UNICODE = re.compile(r"[\\%]u[dD][89abAB][0-9A-Fa-f]{2}[\\%]u[dD][c-fC-F][0-9A-Fa-f]{2}|[\\%]u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,12}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;")
 #: Bytes written in a text: in URLs, where + is a space and unreserved characters stand for themselves, and as escapes of a string.
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
 _URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
-_QUOTED = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|[\x20-\x7e])+""")
-_QUOTED_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|\\[abfnrtv0\\'"]|.""")
+_QUOTED = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|[\\%]u00[0-9A-Fa-f]{2}|\\u\{0*[0-9A-Fa-f]{1,2}\}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|[\x20-\x7e])+""")
+_QUOTED_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|[\\%]u00[0-9A-Fa-f]{2}|\\u\{0*[0-9A-Fa-f]{1,2}\}|\\U000000[0-9A-Fa-f]{2}|&#0*[0-9]{1,3};|&#[xX]0*[0-9A-Fa-f]{1,2};|\\[abfnrtv0\\'"]|.""")
 _SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 _LINE_BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
-_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_LINE_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
-_LINE_BEFORE = re.compile(rf"[A-Za-z0-9+/_-]+{_LINE_BREAK}\Z")
+#: Base64 in one line or wrapped at any width; LEAST characters in all, as no secret encodes to fewer.
+LEAST = 20
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:{_LINE_BREAK}[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{{{LEAST},}})={{0,2}}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: No secret and nothing that encodes one is shorter than 16 characters, all of them printable ASCII.
 _STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{16,}")
@@ -171,7 +171,7 @@ def _inflate(data: bytes, left: list[int] | None = None, more: Iterator[bytes] =
 
 
 _BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
-_ENCODED = _BASE64_BYTES + b"%\\&#;.~!*'()=\r\n"
+_ENCODED = _BASE64_BYTES + b"%\\&#;.~!*'(){}=\r\n"
 _NOT_ENCODED = re.compile(b"[^" + re.escape(_ENCODED) + b"]")
 _NOT_BASE64 = re.compile(b"[^" + re.escape(_BASE64_BYTES) + b"]")
 
@@ -286,7 +286,9 @@ def _byte(x: str) -> int:
     if x[0] == "&":
         return (int(x[3:-1], 16) if x[2] in "xX" else int(x[2:-1])) & 255
     if x[0] == "%":
-        return int(x[1:], 16)
+        return int(x[1:].lstrip("u"), 16)
+    if x[2:3] == "{":
+        return int(x[3:-1], 16)
     return int(x[2:], 16) if x[1] in "xuU" else _SHORT.get(x[1], ord(x[1]))
 
 
@@ -317,6 +319,8 @@ def _unescape(m: re.Match) -> str:
     if x[0] == "&":
         digits = (x[3:-1] if x[2] in "xX" else x[2:-1]).lstrip("0")
         code = int(digits or "0", 16 if x[2] in "xX" else 10) if len(digits) < 8 else 0
+    elif x[2] == "{":
+        code = int(x[3:-1], 16)
     elif len(x) == 12:
         code = 0x10000 + ((int(x[2:6], 16) - 0xD800) << 10) + int(x[8:12], 16) - 0xDC00
     else:
@@ -330,7 +334,7 @@ def _unicode_marks(text: str) -> list[tuple[int, int, str, None]]:
     found, m = [], _UNICODE.search(text)
     while m:
         start, end, new = m.start(), m.end(), _unescape(m)
-        while new in "\\&" and (further := _UNICODE.match(new + text[end : end + 64])):
+        while new in "\\&%" and (further := _UNICODE.match(new + text[end : end + 64])):
             end, new = end + further.end() - 1, _unescape(further)
         found.append((start, end, new, None))
         m = _UNICODE.search(text, end)
@@ -396,23 +400,19 @@ def unwrap(layer: Layer) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             widths = [3 * len(c.encode()) for c in new]
             found.append((m.start(), m.end(), new, widths if sum(widths) == len(m[0]) else None))
         yield _in_place(layer, found)
-    if ("\\" in text or "&#" in text) and (marks := _unicode_marks(text)):
+    if ("\\" in text or "&#" in text or "%u" in text) and (marks := _unicode_marks(text)):
         yield from spelt(_QUOTED, _QUOTED_BYTE, _UNICODE, "+")
         yield _in_place(layer, marks)
-    done = 0
     for m in _BASE64.finditer(text):
-        if m.start() < done:
+        runs = [x.span() for x in _LINE.finditer(re.sub(r"\\[rn]", "  ", m[0]))]
+        runs = [(m.start() + a, m.start() + b) for a, b in runs]
+        if sum(b - a for a, b in runs) < LEAST:
             continue
-        before = _LINE_BEFORE.search(text[max(done, m.start() - 256) : m.start()])
-        lines = _WRAPPED.match(text, before.start() + max(done, m.start() - 256) if before else m.start())
-        done = lines.end()
-        runs = [x.span() for x in _LINE.finditer(re.sub(r"\\[rn]", "  ", lines[0]))]
-        runs = [(lines.start() + a, lines.start() + b) for a, b in runs]
         if len(runs) > 1:  # each line by itself, then all as one
             for run in runs:
-                if run[1] - run[0] >= 20:
+                if run[1] - run[0] >= LEAST:
                     yield from based([run], run[1], (0,))
-        yield from based(runs, done, range(4))
+        yield from based(runs, m.end(), range(4))
 
 
 def layers(text: str) -> Iterator[Layer]:

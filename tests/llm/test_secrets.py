@@ -116,6 +116,30 @@ def test_base64_at_any_place_and_over_lines():
     assert max(b - a for a, _, b in s.scan(text)[1]) >= 32  # over the line's end, in one span
 
 
+def test_base64_wrapped_at_any_width():
+    rng = random.Random(11)
+    for data in (f"and then {SECRET} to the end".encode(), gzip.compress(SECRET.encode()), bz2.compress(SECRET.encode()), lzma.compress(f"{rng.randbytes(40).hex(' ')} {SECRET}".encode())):
+        b64 = base64.b64encode(data).decode()
+        for width in (4, 5, 8, 12, 16, 19, 20, 64, 76):
+            for end in ("\n", "\r\n  ", "\\n"):
+                wrapped = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+                for around in ("data: {} .", "-----\n{}\n-----", "words before\n{}"):
+                    assert covers(around.format(wrapped), wrapped), (width, end, around)
+    many = base64.b64encode((" " * 3000 + SECRET).encode()).decode()  # the break before is not within a few lines
+    text = "x: " + "\n".join(many[i : i + 7] for i in range(0, len(many), 7))
+    assert any(s.KINDS[k] == "assign" for _, k, _ in s.scan(text)[1])
+
+
+def test_further_unicode_escapes():
+    for spell in (lambda c: f"%u{ord(c):04x}", lambda c: f"\\u{{{ord(c):x}}}", lambda c: f"\\u{{{ord(c):06X}}}"):
+        text = "x " + "".join(map(spell, SECRET)) + " y"
+        (a, kind, b), = s.scan(text)[1]
+        assert (a, kind, b) == (2, 0, len(text) - 2)
+        data = "".join(spell(chr(x)) for x in gzip.compress(SECRET.encode()))
+        assert covers(f"see {data} end", data)
+    assert next(x.text for x in s.layers("a %uD83D%uDE00 \\u{1F600} b") if "😀" in x.text) == "a 😀 😀 b"
+
+
 def test_base64_of_what_is_no_text():
     for data in (b"caf\xe9 " + SECRET.encode(), b"\x00\x01" + SECRET.encode() + b"\x07", SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), bytes(range(128, 256)) + SECRET.encode()):
         b64 = base64.b64encode(data).decode()
