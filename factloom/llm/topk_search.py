@@ -6,8 +6,9 @@ product with the centre plus its norm times the radius; the child of greater bou
 whose bound is under its kth score. Shards are searched in waves, each several times the one before; after each wave the
 current kth score of every query is shared with the next, which returns only what can still enter.
 
-Vectors: each component x becomes floor(64 x), as double, then long (clamped to its range). Sums are exact: in doubles while
-they stay under 2^53, else in Python's integers, and a sum beyond long is clamped.
+Vectors: each component x becomes floor(64 x), as double, then long (clamped to its range). A product is found in doubles, with a
+bound on its rounding: none while sums stay under 2^53, else by the lengths of the two vectors. Rows whose product may reach the
+kth score, the bound added, are then scored exactly, in Python's integers where doubles are not; a sum beyond long is clamped.
 
 Defined results: null vectors, vectors with null or non-finite components, and null ids take no part; vectors of another
 length than the query's are no candidates; every row is a candidate, also of rows that share a vec_id, but for those of the
@@ -71,31 +72,67 @@ class BallTree:
         return me
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vec ids, scores), k a query; unused places have score -inf. floor: scores that a candidate must reach."""
-    tree = BallTree(x)
-    bound = q @ tree.centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * tree.radii[None, :]
-    bound += np.abs(bound) * 1e-9 + 1e-3
-    top_s, top_i = np.full((len(q), k), -np.inf), np.full((len(q), k), _HIGH, np.int64)
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact products of matching rows, clamped to long. Equal pairs are worked out once."""
+    both, back = np.unique(np.concatenate([q, x], axis=1), axis=0, return_inverse=True)
+    n = q.shape[1]
+    found = [max(_LOW, min(_HIGH, sum(a * b for a, b in zip(r[:n], r[n:], strict=True)))) for r in both.tolist()]
+    return np.array(found, np.int64)[back.ravel()]
+
+
+class _Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.k, self.floor, self.n = k, floor, np.zeros(n, np.int64)
+        self.score, self.id = np.full((n, k), _LOW, np.int64), np.full((n, k), _HIGH, np.int64)
+
+    def least(self, who: np.ndarray) -> np.ndarray:
+        """What a candidate must reach, rounded down."""
+        kth = np.where(self.n[who] == self.k, self.score[who, -1], _LOW)
+        least = np.maximum(kth, self.floor[who])
+        rounded = least.astype(float)
+        return np.where(least == _LOW, -np.inf, rounded - np.abs(rounded) * 2.0**-52)
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        who, at = np.unique(query, return_inverse=True)
+        row, col = np.nonzero(np.arange(self.k) < self.n[who, None])
+        at, score, ids = np.concatenate([at.ravel(), row]), np.concatenate([score, self.score[who[row], col]]), np.concatenate([ids, self.id[who[row], col]])
+        order = np.lexsort((ids, ~score, at))
+        at, score, ids = at[order], score[order], ids[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = nth < self.k
+        self.score[who[at[keep]], nth[keep]], self.id[who[at[keep]], nth[keep]] = score[keep], ids[keep]
+        self.n[who] = np.minimum(np.bincount(at, minlength=len(who)), self.k)
+
+
+def _search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, vec ids, scores), at most k a query. floor: scores that a candidate must reach."""
+    qf, xf, n = q.astype(float), x.astype(float), max(q.shape[1], 1)
+    rounding = 0.0 if _largest(qf) * _largest(xf) * n < 2**53 else (n + 4) * 2.0**-52
+    tree, best = BallTree(xf), _Best(len(q), k, floor)
+    long, far = np.sqrt((qf * qf).sum(axis=1)), np.sqrt((xf * xf).sum(axis=1))
+    reach = np.sqrt((tree.centres**2).sum(axis=1)) + tree.radii
+    bound = qf @ tree.centres.T + long[:, None] * tree.radii[None, :]
+    bound += long[:, None] * reach[None, :] * (1e-11 + rounding) + 1e-3
 
     def leaf(node: int, active: np.ndarray) -> None:
         lo, hi = tree.span[node]
         for a in range(lo, hi, 4 * LEAF):  # a ball of equal vectors may be large
             rows = tree.order[a : min(hi, a + 4 * LEAF)]
-            score = q[active] @ x[rows].T
-            least = np.maximum(top_s[active, -1], floor[active])
-            score[(score < least[:, None]) | (q_ids[active][:, None] == ids[rows][None, :])] = -np.inf
-            hit = np.flatnonzero((score > -np.inf).any(axis=1))
-            if not len(hit):
-                continue
-            who = active[hit]
-            s = np.concatenate([top_s[who], score[hit]], axis=1)
-            i = np.concatenate([top_i[who], np.where(score[hit] > -np.inf, np.broadcast_to(ids[rows], (len(hit), len(rows))), _HIGH)], axis=1)
-            best = np.lexsort((i, -s), axis=1)[:, :k]
-            top_s[who], top_i[who] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+            score = qf[active] @ xf[rows].T
+            off = long[active, None] * far[None, rows] * rounding
+            score[q_ids[active][:, None] == ids[rows][None, :]] = -np.inf
+            least = best.least(active)
+            if len(rows) >= k:  # these rows alone may already set a higher mark
+                least = np.maximum(least, np.partition(score - off, len(rows) - k, axis=1)[:, len(rows) - k])
+            row, col = np.nonzero((score + off >= least[:, None]) & (score > -np.inf))
+            if len(row):
+                exact = _products(q[active[row]], x[rows[col]]) if rounding else score[row, col].astype(np.int64)
+                best.add(active[row], exact, ids[rows[col]])
 
     def visit(node: int, active: np.ndarray) -> None:
-        active = active[bound[active, node] >= np.maximum(top_s[active, -1], floor[active])]
+        active = active[bound[active, node] >= best.least(active)]
         if not len(active):
             return
         if tree.child[node] is None:
@@ -108,16 +145,8 @@ def _search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
         visit(a, active[~left])
 
     visit(tree.root, np.arange(len(q)))
-    return top_i, top_s
-
-
-def _search_large(q_ids: np.ndarray, q: list[list[int]], ids: np.ndarray, x: list[list[int]], k: int) -> list[tuple[int, int, int]]:
-    """By Python's integers, for components whose sums pass 2^53."""
-    out = []
-    for own, v in zip(q_ids.tolist(), q, strict=True):
-        scored = sorted((-max(_LOW, min(_HIGH, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in zip(ids.tolist(), x, strict=True) if i != own)
-        out += [(own, i, -s) for s, i in scored[:k]]
-    return out
+    row, col = np.nonzero(np.arange(k) < best.n[:, None])
+    return row, best.id[row, col], best.score[row, col]
 
 
 def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,10 +154,7 @@ def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
     v = t["v"].combine_chunks()
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
     ids, starts, flat = t["vec_id"].to_numpy(), v.offsets.to_numpy(), v.values.to_numpy()
-    floors = np.full(len(ids), -np.inf)
-    if "least" in t.column_names:
-        least = t["least"].to_numpy().astype(float)
-        floors = np.where(np.isnan(least), -np.inf, least)
+    floors = t["least"].fill_null(_LOW).to_numpy() if "least" in t.column_names else np.full(len(ids), _LOW, np.int64)
     lengths, out = np.diff(starts), {}
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
@@ -136,8 +162,8 @@ def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def _largest(x: np.ndarray) -> int:
-    return int(np.abs(x).max()) if x.size else 0
+def _largest(x: np.ndarray) -> float:
+    return float(np.abs(x).max()) if x.size else 0.0
 
 
 def _meet(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
@@ -146,13 +172,8 @@ def _meet(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
         mine, theirs = _by_length(queries), _by_length(shard)
         for n in sorted(mine.keys() & theirs.keys()):
             (q_ids, q, floor), (ids, x, _) = mine[n], theirs[n]
-            if _largest(q) * _largest(x) * max(n, 1) >= 2**53:
-                rows = np.array(_search_large(q_ids, q.tolist(), ids, x.tolist(), k), np.int64).reshape(-1, 3)
-                found.append((rows[:, 0], rows[:, 1], rows[:, 2]))
-                continue
-            i, s = _search(q_ids, q.astype(float), floor, ids, x.astype(float), k)
-            row, col = np.nonzero(s > -np.inf)
-            found.append((q_ids[row], i[row, col], s[row, col].astype(np.int64)))
+            row, near, score = _search(q_ids, q, floor, ids, x, k)
+            found.append((q_ids[row], near, score))
     cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3)]
     return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
