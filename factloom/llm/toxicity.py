@@ -1,9 +1,10 @@
 """Operator 2: toxicity by nearest labelled examples.
 
-Terms are words cut to their first STEM letters, so inflected forms meet. A text is its TF-IDF vector over all terms of the
-examples: term frequency times ln(examples / examples with the term), unit length. A block-max inverted index over the
-examples gives the exact k nearest by cosine: blocks are visited by falling upper bound, a few and then more at a time, until
-none can reach the kth score; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
+Terms are whole words (letters and digits, lower-cased) and, as further terms of BEGINNING times their weight, the words' first four
+characters, so that inflected forms are alike too. A text is its TF-IDF vector over all terms of the examples: term frequency times
+ln(examples / examples with the term), unit length. A block-max inverted index over the examples gives the exact k nearest by
+cosine: blocks are visited by falling upper bound, a few and then twice as many at a time, the kth score being raised in between,
+until no block can reach it; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
 logistic fit on leave-one-out votes, give the score; the nearest examples are the evidence. Labels decide votes and
 calibration only, never terms or weights. Examples are a bounded sample (`max_examples`) of the labelled rows in the learning
 folds; labels, lang, source and doc_id are no inputs of a score.
@@ -27,15 +28,22 @@ from factloom.llm.calibration import logistic
 from factloom.llm.common import fold, label_sample, map_arrow, materialise, utf8
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-STEM = 4
-BLOCK = 128
+BEGINNING, LENGTH = 5, 4
+BLOCK, FIRST, TOGETHER = 128, 4, 64
+#: Words whose terms a worker remembers.
+REMEMBERED = 500_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>"
-_WORD = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(text: str) -> Counter:
-    """How often each term occurs."""
-    return Counter(_WORD.findall(text.lower()))
+def terms_of(text: str) -> dict[str, int]:
+    """How often each term occurs: words, and the beginnings of words after a mark, which no word has."""
+    words = Counter(_WORD.findall(text.lower()))
+    out = dict(words)
+    for w, n in words.items():
+        begin = "^" + w[:LENGTH]
+        out[begin] = out.get(begin, 0) + BEGINNING * n
+    return out
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -71,13 +79,23 @@ class Vectors:
     """Texts to unit vectors over the terms of the examples."""
 
     def __init__(self, terms: list[str], df: np.ndarray, n: int):
-        self.ids, self.idf = {t: k for k, t in enumerate(terms)}, np.log(n / df)
+        self.ids, self.idf, self.known = {t: k for k, t in enumerate(terms)}, np.log(n / df), {}
 
     def unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text."""
-        known = [(i, n) for t, n in terms_of(text).items() if (i := self.ids.get(t)) is not None]
-        found = np.array(known, np.int64).reshape(-1, 2)
-        return self.weighted(found[:, 0], found[:, 1])
+        """(terms, weights) of a text, as terms_of() has them."""
+        words, ids = Counter(_WORD.findall(text.lower())), []
+        for w in words:
+            both = self.known.get(w)
+            if both is None:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                both = self.known[w] = (self.ids.get(w, -1), self.ids.get("^" + w[:LENGTH], -1))
+            ids.append(both)
+        pairs = np.array(ids, np.int64).reshape(-1, 2)
+        n = np.fromiter(words.values(), np.int64, len(words))
+        begins, of = np.unique(pairs[:, 1], return_inverse=True)
+        terms, n = np.concatenate([pairs[:, 0], begins]), np.concatenate([n, BEGINNING * np.bincount(of.ravel(), n, len(begins))])
+        return self.weighted(terms[terms >= 0], n[terms >= 0])
 
     def weighted(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(terms)
@@ -88,8 +106,8 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Postings by term and block of examples, and the largest weight of each term in each block that has it. Terms that many
-    examples have (`dense`: one in so many) are whole rows of weights: a matrix product gives their part of the cosines."""
+    """Postings by term and block of examples, and the largest weight of each term in each block that has it. Postings of terms
+    that one example in `dense` has are kept as whole rows of a block's weights, so that a product reads them for many texts."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = 8):
         self.block, self.n = block, len(vectors)
@@ -101,19 +119,21 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         at = np.repeat(place, [len(v[0]) for v in vectors])
         often = np.bincount(term, minlength=n_terms) * dense > self.n
-        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         whole = often[term]
-        self.rows = np.zeros((int(often.sum()), self.blocks * block))
-        self.rows[self.row[term[whole]], at[whole]] = weight[whole]
+        self.rows = np.zeros((self.blocks, int(often.sum()), block))
+        self.rows[at[whole] // block, self.row[term[whole]], at[whole] % block] = weight[whole]
+        self.row_most = self.rows.max(axis=2).T
         term, weight, at = term[~whole], weight[~whole], at[~whole]
         by = np.lexsort((at, term))
-        self.at, self.weight, term = at[by], weight[by], term[by]
+        self.at, self.weight, term = at[by].astype(np.int32), weight[by], term[by]
         cell = term * self.blocks + self.at // block
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.lo, self.hi = starts, np.append(starts[1:], len(cell)).astype(np.int64)  # postings of a term in a block
+        self.lo = np.append(starts, len(cell)).astype(np.int32)  # postings of a term in a block
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.in_block = cell[starts] % self.blocks
-        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1))  # cells of a term
+        self.in_block = (cell[starts] % self.blocks).astype(np.int32)
+        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)  # cells of a term
+        self.read, self.asked = 0, 0  # blocks read, and all that could be
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, exactly the k best by (cosine, smaller number); cosine 0 is no neighbour."""
@@ -122,47 +142,83 @@ class BlockMaxIndex:
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """nearest() of many."""
         out = []
-        for first in range(0, len(queries), 64):
-            part = queries[first : first + 64]
-            rows = [self.row[ids] for ids, _ in part]
-            q = np.zeros((len(part), len(self.rows)))
-            for n, (_, w) in enumerate(part):
-                q[n, rows[n][rows[n] >= 0]] = w[rows[n] >= 0]
-            frequent = q @ self.rows
-            out += [self._search(ids[r < 0], w[r < 0], score, k) for (ids, w), r, score in zip(part, rows, frequent, strict=True)]
+        for first in range(0, len(queries), TOGETHER):
+            out += self._search(queries[first : first + TOGETHER], k)
         return out
 
-    def _search(self, ids: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """score: the frequent terms' part of all cosines; the other terms' postings are read block by block."""
-        lo, hi = self.cells[ids], self.cells[ids + 1]
-        cells, w = _ranges(lo, hi), np.repeat(weights, hi - lo)
-        owner = self.in_block[cells]
-        bound = np.bincount(owner, w * self.most[cells], self.blocks) + score.reshape(self.blocks, self.block).max(axis=1) + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 1e-9]
-        at, s, kth, done, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 2
-        while done < len(order):
-            new = order[done : done + step]
-            new = new[bound[new] >= kth]  # bounds fall, so no later block can do more
-            if not len(new):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[new] = True
-            use = chosen[owner]
-            c = cells[use]
-            p = _ranges(self.lo[c], self.hi[c])
-            score += np.bincount(self.at[p], np.repeat(w[use], self.hi[c] - self.lo[c]) * self.weight[p], len(score))
-            places = (new[:, None] * self.block + np.arange(self.block)).ravel()
-            hit = places[score[places] > 0]
-            at, s = np.concatenate([at, hit]), np.concatenate([s, np.round(score[hit], 9)])
-            if len(at) > k:
-                kth = np.partition(s, len(s) - k)[len(s) - k]
-                at, s = at[s >= kth], s[s >= kth]
-            done, step = done + step, len(order)
-        i = self.order[at]
-        top = np.lexsort((i, -s))
-        top = top[s[top] > 0][:k]
-        return i[top], s[top]
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        frequent = np.zeros((len(queries), self.rows.shape[1]))
+        for n, (ids, w) in enumerate(queries):
+            row = self.row[ids]
+            frequent[n, row[row >= 0]] = w[row >= 0]
+        bounds = frequent @ self.row_most
+        visits = [_Visit(self, ids, w, bounds[n], k) for n, (ids, w) in enumerate(queries)]
+        step, open_ = FIRST, list(range(len(queries)))
+        while open_:
+            wanted: dict[int, list[int]] = {}
+            for n in open_:
+                for b in visits[n].next(step).tolist():
+                    wanted.setdefault(b, []).append(n)
+            for b, of in wanted.items():
+                for n, product in zip(of, frequent[of] @ self.rows[b], strict=True):
+                    visits[n].give(b, product)
+                self.read += len(of)
+            for n in open_:
+                visits[n].score()
+            open_, step = [n for n in open_ if len(visits[n].new)], step * 2
+        self.asked += len(queries) * self.blocks
+        return [v.best() for v in visits]
+
+
+class _Visit:
+    """The blocks of one text by falling bound, and its best examples so far."""
+
+    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int):
+        lo, hi = index.cells[ids].astype(np.int64), index.cells[ids + 1].astype(np.int64)
+        self.index, self.k, self.cells, self.weights = index, k, _ranges(lo, hi), np.repeat(weights, hi - lo)
+        owner = index.in_block[self.cells]
+        self.bound = bound + np.bincount(owner, self.weights * index.most[self.cells], index.blocks) + 1e-9
+        order = np.argsort(-self.bound, kind="stable")
+        self.order = order[self.bound[order] > 2e-9]
+        rank = np.empty(index.blocks, np.int32)
+        rank[order] = np.arange(len(order))
+        self.rank = rank[owner]
+        self.done, self.kth, self.at, self.s = 0, -1.0, np.zeros(0, np.int64), np.zeros(0)
+
+    def next(self, step: int) -> np.ndarray:
+        """The next blocks that may hold one of the k best; bounds fall, so none after the first that can't."""
+        new = self.order[self.done : self.done + step]
+        self.new = new[self.bound[new] >= self.kth]
+        self.given: dict[int, np.ndarray] = {}
+        return self.new
+
+    def give(self, block: int, part: np.ndarray) -> None:
+        """What frequent terms give to the examples of a new block."""
+        self.given[block] = part
+
+    def score(self) -> None:
+        """Cosines of the examples in the new blocks."""
+        if not len(self.new):
+            return
+        x = self.index
+        use = np.flatnonzero((self.rank >= self.done) & (self.rank < self.done + len(self.new)))
+        c = self.cells[use]
+        lo, hi = x.lo[c].astype(np.int64), x.lo[c + 1].astype(np.int64)
+        p = _ranges(lo, hi)
+        rare = np.bincount(x.at[p], np.repeat(self.weights[use], hi - lo) * x.weight[p], x.blocks * x.block).reshape(x.blocks, x.block)
+        score = np.round(rare[self.new] + np.array([self.given[b] for b in self.new.tolist()]), 9)
+        row, col = np.nonzero((score > 0) & (score >= self.kth))
+        self.at, self.s = np.concatenate([self.at, self.new[row] * x.block + col]), np.concatenate([self.s, score[row, col]])
+        if len(self.at) > self.k:
+            self.kth = np.partition(self.s, len(self.s) - self.k)[len(self.s) - self.k]
+            keep = self.s >= self.kth
+            self.at, self.s = self.at[keep], self.s[keep]
+        self.done += len(self.new)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        i = self.index.order[self.at]
+        top = np.lexsort((i, -self.s))[: self.k]
+        return i[top], self.s[top]
 
 
 def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:

@@ -22,6 +22,10 @@ def test_index_equals_brute_force():
         order = [k for k in sorted(range(300), key=lambda k: (-s[k], k)) if s[k] > 0][:15]
         near, sim = index.nearest(i, w, 15)
         assert np.allclose(sim, s[order]) and near.tolist() == order
+    far = [(np.arange(8 * (n % 4), 8 * (n % 4) + 8), np.full(8, 0.353553391)) for n in range(4096)]  # four groups that share no term
+    index = tx.BlockMaxIndex(far, 32, 64)
+    near, sim = index.nearest(*far[1], 7)
+    assert near.tolist() == [1, 5, 9, 13, 17, 21, 25] and index.read < 0.3 * index.asked
 
 
 def test_query_equals_brute_force(spark):
@@ -35,7 +39,8 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts}
-    count = {i: Counter(w[:4] for w in re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in texts.items()}
+    count = {i: Counter(w) + Counter({("begins", b): 5 * n for b, n in Counter(x[:4] for x in w).items()}) for i, w in words.items()}
     df = Counter(t for i in toxic for t in count[i])
 
     def unit(c):
