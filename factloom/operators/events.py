@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.functions import text as T
 from factloom.operators.evidence import top_k
+from factloom.operators.scans import numbered
 from factloom.operators.vectors import best_of_each, unit
 from factloom.session import ship
 
@@ -165,4 +166,4 @@ def story_clusters(docs: DataFrame, newest: int = K.CLUSTER_DOCS, hours: int = K
 def first_seen(rows: DataFrame, group: str, value: str, position: str) -> DataFrame:
     """Number of each value within its group by its first position (footnotes)."""
     first = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(position).alias("_at"))
-    return first.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy("_at", value))).drop("_at")
+    return numbered(first, [group], ["_at", value]).drop("_at")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scores as S
+from factloom.operators import scans
 from factloom.operators.evidence import top_k
 from factloom.operators.events import first_seen
 from factloom.plans.registry import query
@@ -138,10 +139,13 @@ def first_seen_numbering(spark: SparkSession, d: str) -> DataFrame:
 @query("""with w as (select conv_id, turn, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n from conversations), c as (select *, coalesce(sum(n) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from w)
  select conv_id, substr(string_agg(text, ' ' order by turn), 1, 800) as lead from c where before < 150 group by conv_id""")
 def cumulative_lead(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that begin within the first 150 words of a conversation, cut to 800 characters: what a group collects is bounded
+    before it is collected, each text to 800 characters and all to 150 words and one text more."""
     from factloom.functions import text as T
 
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = table(spark, d, "conversations").withColumn("n", F.size(T.words(F.col("text")))).withColumn("before", before).where("before < 150")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 800).alias("text"), F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)).alias("n"))
+    rows = scans.running(rows, ["conv_id"], ["turn", "text"], upto=F.col("n")).where("upto - n < 150")
+    rows = scans.running(rows, ["conv_id"], ["turn", "text"], chars=F.length("text") + 1).where("chars - coalesce(length(text), 0) <= 801")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
     return rows.groupBy("conv_id").agg(F.substring(F.array_join(parts, " "), 1, 800).alias("lead"))
 
@@ -174,11 +178,8 @@ def filtered_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select a.vec_id, b.vec_id as related_id from embeddings a join lateral (select vec_id from embeddings b where b.label = a.label and b.vec_id > a.vec_id order by vec_id limit 5) b on true""")
 def related_items(spark: SparkSession, d: str) -> DataFrame:
-    """The five that follow each item in its group: lead() instead of a self join."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, d, "embeddings").where("label is not null").select("vec_id", "label")
-    rows = e.withColumn("next", F.array(*(F.lead("vec_id", k).over(w) for k in range(1, 6))))
-    return rows.select("vec_id", F.explode("next").alias("related_id")).where("related_id is not null")
+    """The five that follow each item in its group: items numbered by a scan, whatever the size of a group, and met by number."""
+    return scans.followers(table(spark, d, "embeddings"), "label", "vec_id", 5).select("vec_id", F.col("follower").alias("related_id"))
 
 
 @query(f"with {SEGMENTS} select source, round(avg(n_chars) filter (label <> 'OTHER'), 6) as avg_score, count(*) filter (label in ('SUPPORTED', 'CONTRADICTED', 'MIXED', 'UNKNOWN')) as claims, max(doc_id) as latest, arg_max(lang, doc_id) as latest_lang from segs group by source")

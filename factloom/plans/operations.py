@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import constants as K
-from factloom.operators import ideology, tables
+from factloom.operators import ideology, scans, tables
 from factloom.plans.registry import query
 from factloom.session import checkpoint_folder, table
 from factloom.streaming import status
@@ -26,12 +26,13 @@ _METRICS = "metrics as (select event_id, ts, event_type as stage, value as durat
 @query(f"""with {_METRICS} select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, stage, count(*) as total, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'failed') as failed,
  round(count(*) filter (status = 'failed') / count(*), 4) as fail_rate, percentile_disc(0.5) within group (order by duration) as p50, percentile_disc(0.95) within group (order by duration) as p95 from metrics group by all""")
 def stage_metrics_hourly(spark: SparkSession, d: str) -> DataFrame:
-    hour = F.date_format(F.date_trunc("hour", "ts"), _STAMP).alias("hour")
-    return metrics(spark, d).groupBy(hour, "stage").agg(
+    """Counts by partial aggregation; percentiles by running counts over values, without a buffer that holds a group's values."""
+    m = metrics(spark, d).withColumn("hour", F.date_format(F.date_trunc("hour", "ts"), _STAMP))
+    counts = m.groupBy("hour", "stage").agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 4).alias("fail_rate"),
-        F.expr("percentile_disc(0.5) within group (order by duration)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by duration)").alias("p95"),
     )
+    return counts.join(scans.percentiles(m, ["hour", "stage"], "duration", {"p50": 0.5, "p95": 0.95}), ["hour", "stage"], "left")
 
 
 @query("select coalesce(string_agg(event_type || '=' || n, ',' order by event_type), '') as counts from (select event_type, count(*) as n from events group by event_type)")
