@@ -9,7 +9,9 @@ others to fly; these few are the landing problem, solved by trying all their sub
 expected. Every draw comes from a hash of ids and texts, so reruns agree and rows that share an id or have none spread
 over blocks. Equal rows are counted before any shuffle and spread SHARE at a time, however many there are.
 
-Per source one short row comes to the driver (totals, for the targets); documents never do.
+Targets are found without the driver, however many sources there are: one scan numbers the sources, one orders them by the words a
+unit of weight may take until the cap stops it and sums caps and weights up to each, and the first source at which the rest of the
+words, dealt by the rest of the weight, stays under the cap tells the unit.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source, the last; sources without
 words have target 0; ids may be null or repeated, every row is a document of its own; an empty table gives an empty result.
@@ -27,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh, map_arrow, materialise, utf8
+from factloom.operators.scans import numbered, running
+from factloom.session import scratch_table
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one flight, and undecided blocks that meet on the next level.
@@ -38,22 +42,21 @@ SHARE, WRITTEN = 256, 4096
 _EPS = 1e-9
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
-    """Target of each source: shares of the total by weight, none above `most` times its size; the excess is shared anew."""
-    ordered = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(ordered)}
-    size, rest, free, out = dict(ordered), float(sum(n for _, n in ordered)), [s for s, _ in ordered], {}
-    while free:
-        unit = rest / sum(weight[s] for s in free)
-        above = [s for s in free if unit * weight[s] > most * size[s]]
-        if not above:
-            out |= {s: unit * weight[s] for s in free}
-            break
-        for s in above:
-            out[s] = most * size[s]
-            rest -= out[s]
-            free.remove(s)
-    return out
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """sizes (source, size long, one row a source) with sid, its number from 0, and target: shares of the total by weight, none
+    above `most` times its size; the excess is shared anew, which ends where all that are not capped get one share a weight."""
+    last = F.col("source").isNull()
+    rows = numbered(sizes.withColumn("_null", last), [], ["_null", "source"], "sid").withColumn("sid", F.col("sid") - 1).drop("_null")
+    rows = rows.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")))
+    rows = rows.withColumn("_stop", F.col("size") / F.col("_w"))
+    scaled = 1_000_000  # weights are summed in millionths, so that sums do not depend on their order
+    rows = running(rows, [], [F.col("_stop"), F.col("sid")], _sizes=F.col("size"), _weights=F.round(F.col("_w") * scaled))
+    total = rows.agg(F.sum("size").alias("_all"), F.sum(F.round(F.col("_w") * scaled).cast("long")).alias("_weight"))
+    rows = rows.join(F.broadcast(total))  # one row
+    rest = (F.col("_all") - most * (F.col("_sizes") - F.col("size"))) / ((F.col("_weight") - F.col("_weights") + F.round(F.col("_w") * scaled)) / scaled)
+    unit = rows.where(rest <= most * F.col("_stop")).agg(F.min_by(rest, F.struct("_stop", "sid")).alias("_unit"))
+    share = F.coalesce(F.col("_unit") * F.col("_w"), most * F.col("size"))
+    return rows.join(F.broadcast(unit)).select("sid", "source", "size", F.least(share, most * F.col("size")).alias("target"))  # one row
 
 
 def fly(p: list[float], size: list[int], rng: Random, held: int = 0) -> None:
@@ -99,21 +102,21 @@ def land(p: list[float], size: list[int]) -> None:
         p[k] = float(x)
 
 
-_FLIGHT = "sid int, block long, h long, doc_id long, size long, mark long, mark2 long, rest long, n long, p double"
+_FLIGHT = "sid long, blocks long, block long, h long, doc_id long, size long, mark long, mark2 long, rest long, n long, p double"
 
 
-def _fly_groups(rows: DataFrame, level: int, last: set[int]) -> DataFrame:
-    """One flight for each (sid, block), each row as often as its n says; sources in `last` also land."""
+def _fly_groups(rows: DataFrame, level: int) -> DataFrame:
+    """One flight for each (sid, block), each row as often as its n says; sources of one block also land."""
 
     def run(group: pa.Table) -> pa.Table:
         order = [(c, "ascending") for c in ("h", "doc_id", "size", "mark", "mark2", "rest")]
         group = group.combine_chunks().sort_by(order)
         group = group.take(pa.array(np.repeat(np.arange(group.num_rows), group["n"].to_numpy())))
-        sid, block = group["sid"][0].as_py(), group["block"][0].as_py()
+        sid, block, last = group["sid"][0].as_py(), group["block"][0].as_py(), group["blocks"][0].as_py() == 1
         p, size = group["p"].to_pylist(), group["size"].to_pylist()
         rng = Random(((sid * 1_000_003 + block) * 64 + level) & (2**63 - 1))
-        fly(p, size, rng, HELD if sid in last else 0)
-        if sid in last:
+        fly(p, size, rng, HELD if last else 0)
+        if last:
             land(p, size)
         done = {"p": pa.array(p, pa.float64()), "n": pa.array(np.ones(len(p), np.int64))}
         return pa.table({c: done.get(c, group[c]) for c in group.column_names})
@@ -134,32 +137,30 @@ def _decided(docs: DataFrame, rest: Column, weights: tuple[float, ...], most: fl
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", mark.alias("mark"), mark2.alias("mark2"), rest.alias("rest"))
     sized = map_arrow(rows, measure, "doc_id long, source string, size long, mark long, mark2 long, rest long")
     sized = materialise(sized.groupBy("doc_id", "source", "size", "mark", "mark2", "rest").agg(F.count("*").alias("n")))
-    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()
-    goal = targets([(r.source, r.size) for r in totals], weights, most)
-    ordered = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
-    blocks = {k: max(1, math.ceil(r.n / BLOCK)) for k, r in enumerate(ordered)}
-    ratio = [goal[r.source] / r.size if r.size else 0.0 for r in ordered]
-    plan = spark.createDataFrame([(k, r.source, r.size, goal[r.source], blocks[k], int(x + _EPS), max(0.0, x - int(x + _EPS))) for k, (r, x) in enumerate(zip(ordered, ratio, strict=True))], "sid int, of string, source_size long, target double, blocks int, whole long, part double")
-    rows = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))  # one row a source
+    totals = scratch_table(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")), "totals")
+    ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.floor(ratio + _EPS).cast("int")
+    plan = targets(totals.select("source", "size"), weights, most).join(totals.select(F.col("source").alias("of"), "n"), F.col("source").eqNullSafe(F.col("of")))
+    plan = plan.select("sid", "of", F.col("size").alias("source_size"), "target", F.ceil(F.col("n") / BLOCK).alias("blocks"), whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("part"))
+    plan = scratch_table(plan, "plan")  # one row a source; whether it is broadcast is the optimizer's to say, by its size
+    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("of")))
     rows = _numbered(rows)
     few = F.least(F.lit(SHARE).cast("long"), F.col("n") - F.col("nth") * SHARE)
     h = lambda seed: F.xxhash64("doc_id", "mark", "nth", "salt", F.lit(seed))
-    rows = rows.select("sid", F.pmod(h(8), F.col("blocks")).cast("long").alias("block"), h(1).alias("h"), "doc_id", "size", "mark", "mark2", "rest", few.alias("n"), F.col("part").alias("p"))
-    level, decided = 0, []
+    rows = rows.select("sid", "blocks", F.pmod(h(8), F.col("blocks")).cast("long").alias("block"), h(1).alias("h"), "doc_id", "size", "mark", "mark2", "rest", few.alias("n"), F.col("part").alias("p"))
+    level, decided, most_blocks = 0, [], plan.agg(F.max("blocks")).first()[0] or 1
     left = rows
     while True:
-        done = {k for k, n in blocks.items() if n == 1}
-        flown = materialise(_fly_groups(left, level, done))
+        flown = materialise(_fly_groups(left, level))
         decided.append(flown.where("p in (0, 1)"))
-        if len(done) == len(blocks):
+        if most_blocks == 1:
             break
-        left = flown.where("p not in (0, 1)").withColumn("block", F.floor(F.col("block") / F.lit(FAN)))
-        blocks = {k: math.ceil(n / FAN) for k, n in blocks.items()}
-        level += 1
+        left = flown.where("p not in (0, 1)").withColumns({"block": F.floor(F.col("block") / F.lit(FAN)), "blocks": F.ceil(F.col("blocks") / F.lit(FAN))})
+        most_blocks, level = math.ceil(most_blocks / FAN), level + 1
     out = decided[0]
     for more in decided[1:]:
         out = out.unionAll(more)
-    out = out.join(F.broadcast(plan), "sid")
+    out = out.join(plan.select("sid", "source_size", "target", "whole"), "sid")
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"), "mark", "mark2", "rest")
 
 
