@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import cube_mixing, fill_in_middle, quality_qda, quality_rules, secret_scan, sentencepiece_scan, simhash_dedup, target_encoding, topk_search, toxicity, url_filter, warc, wu_manber
 from factloom.llm.common import table
@@ -34,8 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids, their number and digest, and whether they decode to the text, of every document; none for empty texts."""
-    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
+    """Token ids, their number and digest, whether they spell the text, and the digest of the text decoded from them, of every
+    document; none for empty texts."""
+    decoded = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents")))
+    return decoded.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,11 +370,14 @@ def encode(docs: DataFrame, *, model: str | None = None, chunk: int = CHUNK, fan
 
 
 def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
+    """encoded (with ids) and text, in place of a text that it has: what the ids spell; of null ids the empty text."""
     file = shipped(prepare(encoded.sparkSession), model)
+    rows = encoded.drop("text")
+    at, names, schema = rows.columns.index("ids"), [*rows.columns, "text"], rows.select("*", F.lit("").alias("text")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = pieces(SparkFiles.get(file))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        p, lists = pieces(SparkFiles.get(file)), batch.column(at)
+        texts = [p.decode(v.values.to_numpy().tolist() if v.is_valid else []) for v in lists]  # one list at a time
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return map_arrow(rows, run, schema)
