@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,16 @@ def _alike(terms: list[np.ndarray], n_terms: int, block: int, among: int = 512)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _placed(term: np.ndarray, sizes: np.ndarray, n_terms: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the examples, that of their terms by (term, place), and these places. term: the terms of all examples."""
+    order = _alike(np.split(term, np.cumsum(sizes)[:-1]), n_terms, block)
+    place = np.empty(len(sizes), np.int64)
+    place[order] = np.arange(len(sizes))
+    at = np.repeat(place, sizes)
+    by = np.lexsort((at, term))
+    return order, by, at[by]
+
+
 class Vectors:
     """Texts to unit vectors over the terms of the examples."""
 
@@ -109,24 +120,18 @@ class BlockMaxIndex:
     """Postings by term and block of examples, and the largest weight of each term in each block that has it. Postings of terms
     that one example in `dense` has are kept as whole rows of a block's weights, so that a product reads them for many texts."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = 8):
-        self.block, self.n = block, len(vectors)
+    def __init__(self, order: np.ndarray, postings: np.ndarray, at: np.ndarray, weight: np.ndarray, block: int = BLOCK, dense: int = 8):
+        """order: the examples by place; postings: how many each term has; at, weight: their places and weights, by term and place."""
+        self.block, self.n, self.order = block, len(order), order
         self.blocks = max(1, -(-self.n // block))
-        self.order = _alike([v[0] for v in vectors], n_terms, block)
-        place = np.empty(self.n, np.int64)
-        place[self.order] = np.arange(self.n)
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        at = np.repeat(place, [len(v[0]) for v in vectors])
-        often = np.bincount(term, minlength=n_terms) * dense > self.n
+        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings)), postings), at.astype(np.int32)
+        often = postings * dense > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         whole = often[term]
         self.rows = np.zeros((self.blocks, int(often.sum()), block))
         self.rows[at[whole] // block, self.row[term[whole]], at[whole] % block] = weight[whole]
         self.row_most = self.rows.max(axis=2).T
-        term, weight, at = term[~whole], weight[~whole], at[~whole]
-        by = np.lexsort((at, term))
-        self.at, self.weight, term = at[by].astype(np.int32), weight[by], term[by]
+        term, self.at, self.weight = term[~whole], at[~whole], weight[~whole]
         cell = term * self.blocks + self.at // block
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         self.lo = np.append(starts, len(cell)).astype(np.int32)  # postings of a term in a block
@@ -135,6 +140,13 @@ class BlockMaxIndex:
         self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)  # cells of a term
         self.read, self.asked = 0, 0  # blocks read, and all that could be
 
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """The index of (terms, weights) of each example."""
+        term, weight = (np.concatenate([v[j] for v in vectors]) for j in (0, 1))
+        order, by, at = _placed(term, np.array([len(v[0]) for v in vectors]), n_terms, block)
+        return cls(order, np.bincount(term, minlength=n_terms), at, weight[by], block)
+
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, exactly the k best by (cosine, smaller number); cosine 0 is no neighbour."""
         return self.nearest_of([(ids, weights)], k)[0]
@@ -226,19 +238,46 @@ def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:
     return float((w * y).sum() / w.sum()) if len(w) and w.sum() > 0 else 0.0
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 class Model:
-    """Index of the examples, by rising doc_id, and the calibration of votes; without an index only the share of class 1."""
+    """Index of the examples, by rising doc_id; without one only the share of class 1. It travels as terms and counts, from which
+    each worker makes the index."""
 
     def __init__(self, share: float, k: int, power: int):
-        self.share, self.k, self.power, self.index, self.cache = share, k, power, None, {}
-        self.slope, self.shift = 1.0, 0.0
+        self.share, self.k, self.power, self.index, self.packed, self.cache = share, k, power, None, None, {}
 
-    def fit(self, vectors: Vectors, ids: list[int], y: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    def fit(self, terms: list[str], ids: list[int], y: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         """counts: terms and their numbers of each example."""
-        self.vectors, self.ids, self.y = vectors, np.array(ids), np.array(y, float)
-        self.index = BlockMaxIndex([vectors.weighted(*c) for c in counts], len(vectors.idf))
+        self.ids, self.y = np.array(ids), np.array(y, float)
+        term, n, sizes = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts]), np.array([len(c[0]) for c in counts])
+        df = np.bincount(term, minlength=len(terms))
+        of = np.repeat(np.arange(len(ids)), sizes)
+        w = n * np.log(len(ids) / df)[term]
+        norm = np.maximum(np.sqrt(np.bincount(of, w * w, len(ids))), 1e-12)
+        keep = w > 0  # a term of every example tells nothing
+        order, by, at = _placed(term[keep], np.bincount(of[keep], minlength=len(ids)), len(terms), BLOCK)
+        self.packed = {"terms": "\n".join(terms), "df": _small(df), "order": _small(order), "postings": _small(np.bincount(term[keep], minlength=len(terms))), "at": _small(at), "n": _small(n[keep][by]), "norm": norm[order]}
         return self
 
+    def _open(self) -> None:
+        if self.packed:
+            p = self.packed
+            self.vectors = Vectors(p["terms"].split("\n"), p["df"].astype(float), len(p["order"]))
+            postings, at = p["postings"].astype(np.int64), p["at"].astype(np.int64)
+            weight = np.round(p["n"] * np.repeat(self.vectors.idf, postings) / p["norm"][at], 9)
+            self.index = BlockMaxIndex(p["order"].astype(np.int64), postings, at, weight)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("vectors", "index", "cache")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state | {"index": None, "cache": {}})
+        self._open()
+
     def left_out(self, ids: list[int], texts: list[str]) -> list[float]:
         """The vote on each example by all others."""
         votes = []
@@ -247,7 +286,7 @@ class Model:
             votes.append(vote(sim[rest], self.y[near[rest]], self.power))
         return votes
 
-    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+    def scores(self, texts: list[str], slope: float, shift: float) -> list[tuple[float, list[int], list[float]]]:
         """Score, nearest examples and their similarities of each text."""
         if self.index is None:
             return [(self.share, [], [])] * len(texts)
@@ -256,7 +295,7 @@ class Model:
         new = {key: unit for key, unit in zip(keys, units, strict=True) if key not in self.cache}
         held = {key: self.cache[key] for key in keys if key in self.cache}
         for key, (near, sim) in zip(new, self.index.nearest_of(list(new.values()), self.k), strict=True):
-            p = 1 / (1 + np.exp(-(self.slope * vote(sim, self.y[near], self.power) + self.shift)))
+            p = 1 / (1 + np.exp(-(slope * vote(sim, self.y[near], self.power) + shift)))
             held[key] = (float(p), self.ids[near[:5]].tolist(), sim[:5].tolist())
         if len(self.cache) > 500:
             self.cache.clear()
@@ -264,9 +303,9 @@ class Model:
         return [held[key] for key in keys]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int = 7, power: int = 2) -> Model:
-    """The examples' texts go to the checkpoint folder; the driver gets their term counts, at most max_examples rows, and
-    their votes."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int = 7, power: int = 2) -> tuple[Broadcast, float, float]:
+    """The model, and slope and shift of the calibration. The examples' texts go to the checkpoint folder; the driver gets their
+    term counts, at most max_examples rows, and their votes; the model is broadcast once."""
     spark = docs.sparkSession
     sample = materialise(label_sample(docs, labels, "toxic", max_examples, lambda i: fold(i, FOLDS) != HELD_OUT))
 
@@ -279,28 +318,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int
     y = [r.y for r in rows]
     model = Model(sum(y) / len(y) if y else 0.0, k, power)
     if len(set(y)) < 2:
-        return model
+        return spark.sparkContext.broadcast(model), 1.0, 0.0
     terms: dict[str, int] = {}
     counts = [(np.array([terms.setdefault(t, len(terms)) for t in r.terms.split()], np.int64), np.frombuffer(r.n, np.int32)) for r in rows]
-    df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=len(terms)).astype(float)
-    model.fit(Vectors(list(terms), df, len(rows)), [r.doc_id for r in rows], y, counts)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.fit(list(terms), [r.doc_id for r in rows], y, counts))
 
     def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = shared.value.left_out(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(votes, pa.float64())], ["doc_id", "y", "vote"])
 
     votes = sorted(map_arrow(sample, left_out, "doc_id long, y int, vote double").collect(), key=lambda r: r.doc_id)
-    model.slope, model.shift = logistic(np.array([r.vote for r in votes]), np.array([r.y for r in votes], float), 0.05, (1.0, -1.0))
-    return model
+    return shared, *logistic(np.array([r.vote for r in votes]), np.array([r.y for r in votes], float), 0.05, (1.0, -1.0))
 
 
 def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row for each document: score, verdict at the cut, nearest examples."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))  # vectors of max_examples examples
+    model, slope, shift = fit(docs, labels, **parameters)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = model.value.scores([t.decode() for t in utf8(batch.column(2))])
+        rows = model.value.scores([t.decode() for t in utf8(batch.column(2))], slope, shift)
         p = np.array([r[0] for r in rows])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["doc_id", "held_out", "score", "predicted", "evidence", "similarity"])
 
@@ -310,11 +346,11 @@ def score(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The documents that the score does not reject, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))
+    model, slope, shift = fit(docs, labels, **parameters)
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = model.value.scores([t.decode() for t in utf8(batch.column(at))])
+        rows = model.value.scores([t.decode() for t in utf8(batch.column(at))], slope, shift)
         return batch.filter(pa.array([r[0] < CUT for r in rows], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
