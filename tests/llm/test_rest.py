@@ -131,14 +131,83 @@ def test_sentencepiece_equals_the_library(documents):
         assert out[i].round_trip == ("▁" not in (t or ""))
     whole = {r.doc_id: r.ids_sha256 for r in sp.encode(documents(rows), ids=False).collect()}
     assert whole == {i: r.ids_sha256 for i, r in out.items()}
-    back = {r.doc_id: r.text for r in sp.decode(sp.encode(documents(rows), chunk=40)).collect()}
+    decoded = sp.decode(sp.encode(documents(rows), chunk=40))
+    assert decoded.columns == ["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids", "text"]
+    back = {r.doc_id: r.text for r in decoded.collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
 
 
-def test_targets_fill_up_to_the_cap():
-    t = cube_mixing.targets([("a", 100), ("b", 100), ("c", 1000), (None, 10)])
-    assert t["a"] == pytest.approx(300) and t["c"] <= 3000 and sum(t.values()) == pytest.approx(1210) and t[None] == pytest.approx(30)
-    assert cube_mixing.targets([]) == {} and cube_mixing.targets([("a", 0)]) == {"a": 0.0}
+def filled(size):
+    """Targets by rounds: those above their bound stop there, the rest is shared anew."""
+    order = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, goal, free = sum(size.values()), {}, set(order)
+    while free:
+        rest = total - sum(goal.values())
+        of = sum(weight[t] for t in free)
+        share = {s: rest * weight[s] / of for s in free}
+        above = {s for s in free if share[s] > 3 * size[s]}
+        if not above:
+            return goal | share
+        goal |= {s: 3.0 * size[s] for s in above}
+        free -= above
+    return goal
+
+
+def test_targets_fill_up_to_the_cap(spark):
+    rng = random.Random(5)
+    cases = [{"a": 100, "b": 100, "c": 1000, None: 10}, {"a": 0}, {"a": 0, "b": 5}, {"one": 7}, {f"s{i}": int(rng.paretovariate(0.5)) for i in range(300)}, {f"s{i}": 2**i for i in range(40)}, {str(i): 5 for i in range(9)}]
+    for size in cases:
+        rows = cube_mixing.targets(spark.createDataFrame(list(size.items()), "source string, size long")).collect()
+        want = filled(size)
+        assert {r.source for r in rows} == set(size) and sorted(r.sid for r in rows) == list(range(len(size)))
+        assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in rows), size
+    assert cube_mixing.targets(spark.createDataFrame([], "source string, size long")).collect() == []
+
+
+def test_targets_of_very_many_sources(spark):
+    many = spark.range(100_000).selectExpr("concat('s', id) as source", "id % 977 * (id % 13) as size")
+    r = cube_mixing.targets(many).selectExpr("count(*) as n", "sum(target) as t", "sum(size) as s", "max(target - 3 * size) as over", "count(distinct sid) as sids").first()
+    assert (r.n, r.sids) == (100_000, 100_000) and r.t == pytest.approx(r.s, rel=1e-9) and r.over <= 1e-6
+
+
+def plain_cube(p, size, rng):
+    """The flight by a null space from a singular value decomposition of the constraints on three undecided entries."""
+    p = list(p)
+    window = []
+    for k in range(len(p)):
+        if not 1e-9 < p[k] < 1 - 1e-9:
+            p[k] = float(p[k] > 0.5)
+            continue
+        window.append(k)
+        if len(window) < 3:
+            continue
+        u = np.linalg.svd(np.array([np.ones(3), [size[w] for w in window]]))[2][-1]
+        if len({size[w] for w in window}) == 1:
+            u = np.array([1.0, -1.0, 0.0])  # any direction will do
+        own = (size[window[2]] - size[window[1]], size[window[0]] - size[window[2]], size[window[1]] - size[window[0]])
+        u = u * np.sign(u @ np.array(own)) if any(own) else u
+        u[np.abs(u) < 1e-12] = 0
+        forth = min((1 - p[w]) / x if x > 0 else -p[w] / x for w, x in zip(window, u, strict=True) if x)
+        back = min(p[w] / x if x > 0 else (p[w] - 1) / x for w, x in zip(window, u, strict=True) if x)
+        by = forth if rng.random() < back / (forth + back) else -back
+        for w, x in zip(window, u, strict=True):
+            p[w] = min(1.0, max(0.0, p[w] + by * x))
+        window = [w for w in window if 1e-9 < p[w] < 1 - 1e-9]
+    return p
+
+
+def test_flight_equals_a_plain_cube():
+    rng = random.Random(21)
+    for seed in range(60):
+        size = [rng.randint(0, 30) for _ in range(rng.randint(3, 60))]
+        start = [rng.choice([0.0, 1.0, rng.random(), rng.random()]) for _ in size]
+        p = list(start)
+        cube_mixing.fly(p, size, random.Random(seed))
+        plain = plain_cube(start, size, random.Random(seed))
+        same = [a == pytest.approx(b, abs=1e-6) for a, b in zip(p, plain, strict=True)]
+        left = [k for k, x in enumerate(plain) if 1e-9 < x < 1 - 1e-9]
+        assert all(same[k] for k in range(len(p)) if k not in left) and (all(same) or len({size[k] for k in left}) == 1)
 
 
 def test_flight_keeps_the_totals():
@@ -345,9 +414,9 @@ def test_mix_spreads_equal_rows_over_blocks(spark, monkeypatch):
     largest = []
     made = cube_mixing._fly_groups
 
-    def seen(rows, level, last):
+    def seen(rows, level):
         largest.append(rows.groupBy("sid", "block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
-        return made(rows, level, last)
+        return made(rows, level)
 
     monkeypatch.setattr(cube_mixing, "_fly_groups", seen)
     d = spark.createDataFrame([(None, "a b", "en", "s", 0)] * 20_000 + [(i, "a b c", "en", "t", 0) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -425,18 +494,7 @@ def test_mixing_query_equals_its_contract(spark):
     size = defaultdict(int)
     for s, n in docs.values():
         size[s] += n
-    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
-    total, goal, free = sum(size.values()), {}, set(order)
-    while True:  # those above their bound stop there, the rest is shared anew
-        rest = total - sum(goal.values())
-        share = {s: rest * weight[s] / sum(weight[t] for t in free) for s in free}
-        above = {s for s in free if share[s] > 3 * size[s]}
-        if not above:
-            goal |= share
-            break
-        goal |= {s: 3.0 * size[s] for s in above}
-        free -= above
+    goal = filled(size)
     out = op8_cube_mixing(spark, sf).collect()
     assert len(out) == len(docs)
     taken, most = defaultdict(int), defaultdict(int)

@@ -13,7 +13,7 @@ def test_index_equals_brute_force():
         i = np.sort(rng.choice(30, rng.integers(1, 8), replace=False))
         w = rng.integers(1, 4, len(i)).astype(float)  # ties are many
         vectors.append((i, np.round(w / np.sqrt((w * w).sum()), 9)))
-    index = tx.BlockMaxIndex(vectors, 30)
+    index = tx.BlockMaxIndex.of(vectors, 30)
     dense = np.zeros((300, 30))
     for n, (i, w) in enumerate(vectors):
         dense[n, i] = w
@@ -23,7 +23,7 @@ def test_index_equals_brute_force():
         near, sim = index.nearest(i, w, 15)
         assert np.allclose(sim, s[order]) and near.tolist() == order
     far = [(np.arange(8 * (n % 4), 8 * (n % 4) + 8), np.full(8, 0.353553391)) for n in range(4096)]  # four groups that share no term
-    index = tx.BlockMaxIndex(far, 32, 64)
+    index = tx.BlockMaxIndex.of(far, 32, 64)
     near, sim = index.nearest(*far[1], 7)
     assert near.tolist() == [1, 5, 9, 13, 17, 21, 25] and index.read < 0.3 * index.asked
 
