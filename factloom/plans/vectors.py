@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.functions import text as T
-from factloom.operators import chunking, events, evidence, ideology
+from factloom.operators import arrivals, chunking, events, evidence, ideology
 from factloom.operators import vectors as V
 from factloom.plans.registry import query
 from factloom.session import table
@@ -114,6 +114,14 @@ def event_resolution(spark: SparkSession, d: str) -> DataFrame:
     return events.resolve(docs, keyed, exclude_equal=True)
 
 
+@query()
+def event_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents, in the order of their arrival and without a known event: each meets what those before it made."""
+    docs, _ = _documents_and_events(spark, d)
+    found, after = arrivals.resolve_arrivals(docs)
+    return found.join(after.select("event_id", "n"), "event_id").select("doc_id", "event_id", "how", F.col("n").alias("documents"))
+
+
 _MEANS = "m as (select label, i, avg(x) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from e where label is not null) group by label, i), bank as (select label as prop, list(x order by i) as pv from m group by label)"
 _TOPICS = ("Immigration", "Tax", "Regulation", "Abortion", "Police")
 
