@@ -30,7 +30,7 @@ from factloom.llm.common import fold, label_sample, map_arrow, materialise, utf8
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BEGINNING, LENGTH = 5, 4
-BLOCK, FIRST, TOGETHER = 128, 4, 64
+BLOCK, FIRST, TOGETHER = 128, 8, 128
 #: Words whose terms a worker remembers.
 REMEMBERED = 500_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>"
@@ -90,23 +90,27 @@ class Vectors:
     """Texts to unit vectors over the terms of the examples."""
 
     def __init__(self, terms: list[str], df: np.ndarray, n: int):
-        self.ids, self.idf, self.known = {t: k for k, t in enumerate(terms)}, np.log(n / df), {}
+        self.ids, self.idf, self.known, self.most = {t: k for k, t in enumerate(terms)}, np.log(n / df), {}, len(terms) + 1
 
     def unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a text, as terms_of() has them."""
-        words, ids = Counter(_WORD.findall(text.lower())), []
-        for w in words:
-            both = self.known.get(w)
-            if both is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                both = self.known[w] = (self.ids.get(w, -1), self.ids.get("^" + w[:LENGTH], -1))
-            ids.append(both)
-        pairs = np.array(ids, np.int64).reshape(-1, 2)
-        n = np.fromiter(words.values(), np.int64, len(words))
-        begins, of = np.unique(pairs[:, 1], return_inverse=True)
-        terms, n = np.concatenate([pairs[:, 0], begins]), np.concatenate([n, BEGINNING * np.bincount(of.ravel(), n, len(begins))])
-        return self.weighted(terms[terms >= 0], n[terms >= 0])
+        words = Counter(_WORD.findall(text.lower()))
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._of(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        both, n = np.array(found, np.int64), np.fromiter(words.values(), np.int64, len(words))
+        own, begin = np.divmod(both, self.most)
+        begins, of = np.unique(begin, return_inverse=True)
+        terms, n = np.concatenate([own, begins]), np.concatenate([n, BEGINNING * np.bincount(of.ravel(), n, len(begins))])
+        known = terms > 0
+        return self.weighted(terms[known] - 1, n[known])
+
+    def _of(self, word: str) -> int:
+        """The numbers of a word's two terms, from 1, as one number; 0 for those of no example."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        found = self.known[word] = (self.ids.get(word, -1) + 1) * self.most + self.ids.get("^" + word[:LENGTH], -1) + 1
+        return found
 
     def weighted(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(terms)
@@ -124,7 +128,7 @@ class BlockMaxIndex:
         """order: the examples by place; postings: how many each term has; at, weight: their places and weights, by term and place."""
         self.block, self.n, self.order = block, len(order), order
         self.blocks = max(1, -(-self.n // block))
-        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings)), postings), at.astype(np.int32)
+        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings)), postings), at.astype(np.int64)
         often = postings * dense > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         whole = often[term]
@@ -134,10 +138,10 @@ class BlockMaxIndex:
         term, self.at, self.weight = term[~whole], at[~whole], weight[~whole]
         cell = term * self.blocks + self.at // block
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.lo = np.append(starts, len(cell)).astype(np.int32)  # postings of a term in a block
+        self.lo = np.append(starts, len(cell))  # postings of a term in a block
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.in_block = (cell[starts] % self.blocks).astype(np.int32)
-        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)  # cells of a term
+        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1))  # cells of a term
         self.read, self.asked = 0, 0  # blocks read, and all that could be
 
     @classmethod
@@ -186,7 +190,7 @@ class _Visit:
     """The blocks of one text by falling bound, and its best examples so far."""
 
     def __init__(self, index: BlockMaxIndex, ids: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int):
-        lo, hi = index.cells[ids].astype(np.int64), index.cells[ids + 1].astype(np.int64)
+        lo, hi = index.cells[ids], index.cells[ids + 1]
         self.index, self.k, self.cells, self.weights = index, k, _ranges(lo, hi), np.repeat(weights, hi - lo)
         owner = index.in_block[self.cells]
         self.bound = bound + np.bincount(owner, self.weights * index.most[self.cells], index.blocks) + 1e-9
@@ -215,11 +219,11 @@ class _Visit:
         x = self.index
         use = np.flatnonzero((self.rank >= self.done) & (self.rank < self.done + len(self.new)))
         c = self.cells[use]
-        lo, hi = x.lo[c].astype(np.int64), x.lo[c + 1].astype(np.int64)
+        lo, hi = x.lo[c], x.lo[c + 1]
         p = _ranges(lo, hi)
         rare = np.bincount(x.at[p], np.repeat(self.weights[use], hi - lo) * x.weight[p], x.blocks * x.block).reshape(x.blocks, x.block)
         score = np.round(rare[self.new] + np.array([self.given[b] for b in self.new.tolist()]), 9)
-        row, col = np.nonzero((score > 0) & (score >= self.kth))
+        row, col = np.nonzero(score >= max(self.kth, 1e-9))
         self.at, self.s = np.concatenate([self.at, self.new[row] * x.block + col]), np.concatenate([self.s, score[row, col]])
         if len(self.at) > self.k:
             self.kth = np.partition(self.s, len(self.s) - self.k)[len(self.s) - self.k]
@@ -255,7 +259,7 @@ class Model:
         self.ids, self.y = np.array(ids), np.array(y, float)
         term, n, sizes = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts]), np.array([len(c[0]) for c in counts])
         df = np.bincount(term, minlength=len(terms))
-        of = np.repeat(np.arange(len(ids)), sizes)
+        of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         w = n * np.log(len(ids) / df)[term]
         norm = np.maximum(np.sqrt(np.bincount(of, w * w, len(ids))), 1e-12)
         keep = w > 0  # a term of every example tells nothing
@@ -320,8 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int
     if len(set(y)) < 2:
         return spark.sparkContext.broadcast(model), 1.0, 0.0
     terms: dict[str, int] = {}
-    counts = [(np.array([terms.setdefault(t, len(terms)) for t in r.terms.split()], np.int64), np.frombuffer(r.n, np.int32)) for r in rows]
-    shared = spark.sparkContext.broadcast(model.fit(list(terms), [r.doc_id for r in rows], y, counts))
+    counts = [(np.array([terms.setdefault(t, len(terms)) for t in r.terms.split()], np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
+    ids = [r.doc_id for r in rows]
+    del rows  # the counts hold what is needed
+    shared = spark.sparkContext.broadcast(model.fit(list(terms), ids, y, counts))
 
     def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = shared.value.left_out(batch.column(0).to_pylist(), batch.column(1).to_pylist())
