@@ -1,18 +1,26 @@
-"""Exact cosine neighbours and pairs by blocks."""
+"""Exact cosine neighbours and pairs by blocks that can hold some.
+
+Rows go to the nearest of a bounded number of pivots and, within its cell, by rising angle to rings of BLOCK rows at most. By the
+triangle inequality on the sphere the angles of two rings to their pivots bound the angle between any of their rows from below; two
+blocks meet only if that bound allows a cosine of the threshold. A row is copied to the blocks that its own meets, no others.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import ship
+from factloom.operators.scans import numbered
+from factloom.session import scratch_table, ship
 
-#: Rows of a block; two blocks meet in one task.
-BLOCK = 8192
+#: Rows of a block; two blocks meet in one task. Pivots, and the sample that they are chosen from, farthest first.
+BLOCK, PIVOTS, SAMPLE = 4096, 128, 4096
+#: What rounding may take from an angle.
+_SLACK = 4e-6
 
 
 def unit(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -41,19 +49,68 @@ def best_of_each(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[nth < k], col[nth < k]
 
 
+def _pivots(rows: DataFrame, vec: str) -> np.ndarray:
+    """Unit vectors far from one another, of a sample by hash, and at most one for every hundred rows of it."""
+    got = rows.select(vec).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    v = unit(got.column(0)) if got.num_rows else np.zeros((0, 1))
+    v = v[(v != 0).any(axis=1)]
+    if not len(v):
+        return np.zeros((1, 1))
+    chosen, near = [0], v @ v[0]
+    while len(chosen) < min(PIVOTS, max(1, len(v) // 100)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, v @ v[chosen[-1]])
+    return v[chosen]
+
+
+def _in_blocks(rows: DataFrame, vec: str, pivots: np.ndarray, size: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id, vec) with their block (pivot, ring), and one row a block: its least and greatest angle to the pivot."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, p = unit(pa.chunked_array([batch.column(1)])), shared.value
+            near = v @ p.T if p.any() and batch.num_rows else np.zeros((batch.num_rows, 1))
+            pivot = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(near)), pivot], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int32()), pa.array(angle)], ["id", vec, "pivot", "angle"])
+
+    cells = rows.select("id", vec).mapInArrow(placed, f"id long, {vec} array<double>, pivot int, angle double")
+    ringed = numbered(cells, ["pivot"], ["angle", "id"], "nth").withColumn("ring", F.floor((F.col("nth") - 1) / size)).withColumn("block", F.struct("pivot", "ring"))
+    blocks = ringed.groupBy("block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    return ringed.select("block", "id", vec), blocks
+
+
+def _meetings(a: DataFrame, b: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
+    """(x, y): the blocks of a and b that may hold rows of a cosine of at least `least`. One row a block goes to the tasks."""
+    right = b.select("block.pivot", "block.ring", "low", "high").toArrow()
+    context = b.sparkSession.sparkContext
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    shared = context.broadcast((apart, *(right.column(c).to_numpy() for c in ("pivot", "ring", "low", "high"))))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, pivot, ring, low, high = shared.value
+        for batch in batches:
+            for p, r, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("pivot", "ring", "low", "high")), strict=True):
+                between = apart[p, pivot]
+                bound = np.maximum.reduce([between - hi - high, lo - between - high, low - between - hi, np.zeros(len(pivot))])
+                may = np.cos(np.maximum(bound - _SLACK, 0)) + 1e-9 >= least if least > 0 else np.ones(len(pivot), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(may.sum(), p, np.int32)), pa.array(np.full(may.sum(), r, np.int64)), pa.array(pivot[may]), pa.array(ring[may])], ["p", "r", "q", "s"])
+
+    met = a.select("block.pivot", "block.ring", "low", "high").mapInArrow(pairs, "p int, r long, q int, s long")
+    return met.select(F.struct(F.col("p").alias("pivot"), F.col("r").alias("ring")).alias("x"), F.struct(F.col("q").alias("pivot"), F.col("s").alias("ring")).alias("y"))
+
+
+def _block_size(n: int, cores: int) -> int:
+    return min(BLOCK, max(256, n // cores))
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding", exclude_equal: bool = True) -> DataFrame:
     """(left_id, right_id, sim, rank): for each left row its k right rows of greatest cosine above a bound; ties to the smaller
-    id. Rows meet in blocks; a task returns only k a left row. Vectors must have one length."""
-    spark = left.sparkSession
-    ship(spark)
-    a, b = _usable(left, left_id, vec, "left_id"), _usable(right, right_id, vec, "right_id")
-    cores = spark.sparkContext.defaultParallelism
-    n = max(b.count(), 1)
-    blocks_b = max(1, math.ceil(n / min(BLOCK, max(512, n // cores))))
-    blocks_a = max(1, math.ceil(a.count() / BLOCK))
-    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1)))).select(F.struct(deal("left_id", blocks_a).alias("i"), "j").alias("at"), "left_id", vec)
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1)))).select(F.struct("i", deal("right_id", blocks_b).alias("j")).alias("at"), "right_id", vec)
+    id. A task returns only k a left row. Vectors must have one length."""
+    a, b, meetings = meeting_blocks(left, right, above, left_id=left_id, right_id=right_id, vec=vec)
+    x = a.join(meetings, a["block"] == meetings["x"]).select(F.struct("x", "y").alias("at"), F.col("id").alias("left_id"), vec)
+    y = b.join(meetings, b["block"] == meetings["y"]).select(F.struct("x", "y").alias("at"), F.col("id").alias("right_id"), vec)
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -67,33 +124,44 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id
         cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
         return pa.table({"left_id": cols[0], "right_id": cols[1], "sim": cols[2]})
 
-    met = a.toDF(*a.columns).groupBy("at").cogroup(b.toDF(*b.columns).groupBy("at")).applyInArrow(meet, "left_id long, right_id long, sim double")
+    met = x.toDF(*x.columns).groupBy("at").cogroup(y.toDF(*y.columns).groupBy("at")).applyInArrow(meet, "left_id long, right_id long, sim double")
     order = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def meeting_blocks(left: DataFrame, right: DataFrame, least: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides' rows (block, id, vec), and the pairs (x, y) of their blocks that meet."""
+    spark = left.sparkSession
+    ship(spark)
+    a, b = _usable(left, left_id, vec, "id"), _usable(right, right_id, vec, "id")
+    pivots = _pivots(b, vec)
+    cores = spark.sparkContext.defaultParallelism
+    (a, of_a), (b, of_b) = (_in_blocks(t, vec, pivots, _block_size(t.count(), cores)) for t in (a, b))
+    return a, b, scratch_table(_meetings(of_a, of_b, pivots, least), "meetings")
+
+
 def pair_edges(rows: DataFrame, least: float, *, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(src, dst, sim) with src < dst and cosine of at least a bound, every two blocks meeting once."""
+    """(src, dst, sim) with src < dst and cosine of at least a bound, every two blocks that may hold one meeting once."""
     spark = rows.sparkSession
     ship(spark)
     r = _usable(rows, id_col, vec, "id")
-    n = max(r.count(), 1)
-    parts = max(1, math.ceil(n / min(BLOCK, max(256, n // spark.sparkContext.defaultParallelism))))
-    mine = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    dealt = r.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = dealt.select(F.struct(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("at"), "id", vec, "mine")
+    pivots = _pivots(r, vec)
+    placed, blocks = _in_blocks(r, vec, pivots, _block_size(r.count(), spark.sparkContext.defaultParallelism))
+    met = scratch_table(_meetings(blocks, blocks, pivots, least).where("x <= y"), "meetings")
+    sides = met.select(F.col("x").alias("block"), F.struct("x", "y").alias("at")).unionAll(met.where("x <> y").select("y", F.struct("x", "y")))
+    dealt = placed.join(sides, "block").select("at", "id", vec, "block")
 
     def within(t: pa.Table) -> pa.Table:
         at = t["at"][0].as_py()
         ids, v = _unit(t)
-        block = t["mine"].to_numpy()
-        first, second = np.flatnonzero(block == at["i"]), np.flatnonzero(block == at["j"])
+        block = np.array([b == at["x"] for b in t["block"].to_pylist()])
+        first, second = np.flatnonzero(block), np.flatnonzero(~block) if at["x"] != at["y"] else np.arange(len(ids))
         found = []
         for s in range(0, len(first), 1024):
             sim = np.round(v[first[s : s + 1024]] @ v[second].T, 9)
             x, y = np.nonzero(sim >= least)
             p, q = ids[first[s : s + 1024]][x], ids[second][y]
-            keep = p < q if at["i"] == at["j"] else p != q
+            keep = p < q if at["x"] == at["y"] else p != q
             found.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep], sim[x, y][keep]))
         cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
         return pa.table({"src": cols[0], "dst": cols[1], "sim": cols[2]})
