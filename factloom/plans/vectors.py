@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.functions import text as T
-from factloom.operators import arrivals, chunking, events, evidence, ideology
+from factloom.operators import arrivals, chunking, events, evidence, ideology, stories
 from factloom.operators import vectors as V
 from factloom.plans.registry import query
-from factloom.session import table
+from factloom.session import scratch_table, table
 from factloom.sources import providers
 
 _E = "e as (select vec_id, list_transform(embedding, lambda x: x::double) as v, label from embeddings)"
@@ -62,6 +62,16 @@ def document_stories(spark: SparkSession, d: str) -> DataFrame:
     return events.story_clusters(recent.select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "at").join(vecs, "document_id"))
 
 
+@query()
+def story_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Stories of every window of 72 hours, of all its documents, half an hour apart by id: mean vectors of their first three segments."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    vecs = events.document_vectors(providers.with_embedding(chunking.segments(docs), "text_content"))
+    window = F.floor((1_700_000_000 + F.col("doc_id") * 1800) / (K.CLUSTER_HOURS * 3600))
+    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("id"), window.alias("window")).join(vecs, "document_id")
+    return stories.window_clusters(scratch_table(rows.select("window", "id", "vec"), "stories")).withColumn("score", F.round("score", 6))
+
+
 @query(f"""with {_E}, c as (select vec_id, v, (vec_id % 9)::varchar as publisher, 'https://a.test/' || (vec_id % 50) as url, 'statement ' || label || ' number ' || (vec_id % 50) as text, list_distinct(['statement', label::varchar, 'number', (vec_id % 50)::varchar]) as words from e),
  p as (select a.vec_id as claim_id, b.vec_id as segment_id, round(list_cosine_similarity(a.v, b.v), 9) as sim, a.publisher as own, b.publisher, b.url, b.text, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) as overlap from c a join c b on true),
  r as (select *, row_number() over (partition by claim_id order by sim desc, segment_id) as rank from p where sim > {K.EVIDENCE_SIM}),
