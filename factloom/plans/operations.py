@@ -9,7 +9,7 @@ from factloom import constants as K
 from factloom.operators import ideology, scans, tables
 from factloom.plans.registry import query
 from factloom.session import checkpoint_folder, table
-from factloom.streaming import status
+from factloom.streaming import breaker, status
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -199,6 +199,20 @@ def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(jobs.schema).parquet(out)
 
 
+@query(f"""with m as (select event_type as stage, row_number() over (partition by event_type order by ts, event_id) as seq, epoch_us(ts) as at, cast(json_extract_string(props, '$.k') as int) >= 25 as failed from events),
+ r as (select *, sum(case when failed then 0 else 1 end) over (partition by stage order by seq rows unbounded preceding) as row from m),
+ s as (select *, sum(failed::int) over (partition by stage, row order by seq rows unbounded preceding) as streak from r),
+ h as (select *, coalesce(at >= lag(at) over (partition by stage, row order by streak) + {breaker.MICROS}, true)::int as new from s where failed and streak >= 5),
+ n as (select *, sum(new) over (partition by stage, row order by streak rows unbounded preceding) as nth from h),
+ p as (select stage, row, min(at) as paused_at, max(at) + {breaker.MICROS} as until from n group by stage, row, nth),
+ o as (select stage, row - 1 as row, at as success from r where not failed)
+ select stage, paused_at, case when success >= paused_at and success < until then success else until end as ended_at, case when success >= paused_at and success < until then 'success' else 'time' end as ended_by from p left join o using (stage, row)""")
+def breaker_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """When each stage was paused and what ended it: five failures in a row, five minutes, or the next success."""
+    rows = scans.numbered(table(spark, d, "events").select(F.col("event_type").alias("stage"), "ts", "event_id", (F.get_json_object("props", "$.k").cast("int") >= 25).alias("failed")), ["stage"], ["ts", "event_id"], "seq")
+    return breaker.pauses(rows.select("stage", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "failed"))
+
+
 _SCORED = "docs as (select doc_id as id, case when quality = 1 then 's' end as strip, case when toxic = 0 then 0.5 end as grounding_score, doc_id % 97 as created_at from labels)"
 
 
