@@ -34,15 +34,26 @@ def bias_tallies_blindspot(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("blindspot", blind).withColumn("badge", (F.col("left") + F.col("center") + F.col("right") >= 2) & blind)
 
 
-@query("select label as event_id from embeddings where label is not null group by label having count(distinct vec_id % 20) < 20")
+@query("select event_id, documents, publishers from (select label || '-' || vec_id // (5 * (1 + label)) as event_id, count(*) as documents, count(distinct vec_id % 20) as publishers from embeddings where label is not null group by 1) where documents >= 2 and publishers < 3")
 def low_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return story_rollup(spark, d).where("publishers < 20").select("event_id")
+    """Stories of two documents at least and fewer than three publishers. A story is a label's vectors of a run of ids."""
+    e = table(spark, d, "embeddings").where("label is not null")
+    story = F.concat(F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / (5 * (1 + F.col("label")))).cast("string"))
+    return e.groupBy(story.alias("event_id")).agg(F.count("*").alias("documents"), F.count_distinct(F.col("vec_id") % 20).alias("publishers")).where("documents >= 2 and publishers < 3")
 
 
-@query(f"with {SEGMENTS} select lang, source, count(*) as articles, round(avg(n_chars) filter (label <> 'OTHER'), 6) as avg_length, round(count(*) filter (label = 'CONTRADICTED') / nullif(count(*) filter (label <> 'OTHER'), 0)::double, 6) as contradicted from segs group by all")
+@query(f"""with {SEGMENTS}, b as (select lang, source, count(*) as articles, round(avg(n_chars) filter (label <> 'OTHER'), 6) as avg_length, round(avg(case label when 'SUPPORTED' then 1 when 'CONTRADICTED' then 0 when 'UNKNOWN' then 0.5 end), 6) as avg_integrity,
+ round(count(*) filter (label = 'CONTRADICTED') / nullif(count(*) filter (label <> 'OTHER'), 0)::double, 6) as contradicted from segs group by all)
+ select *, row_number() over (partition by lang order by coalesce(avg_integrity, -1) desc, source) as rank from b""")
 def publisher_event_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.col("label") != "OTHER"
-    return segments(spark, d).groupBy("lang", "source").agg(F.count("*").alias("articles"), F.round(F.avg(F.when(cell, F.col("n_chars"))), 6).alias("avg_length"), F.round(F.count_if(F.col("label") == "CONTRADICTED") / F.nullif(F.count_if(cell), F.lit(0)), 6).alias("contradicted"))
+    """Publishers within an event, by mean integrity, those without any last; numbered by a scan, however many an event has."""
+    cell, label = F.col("label") != "OTHER", F.col("label")
+    integrity = F.avg(F.when(label == "SUPPORTED", 1.0).when(label == "CONTRADICTED", 0.0).when(label == "UNKNOWN", 0.5))
+    rows = segments(spark, d).groupBy("lang", "source").agg(
+        F.count("*").alias("articles"), F.round(F.avg(F.when(cell, F.col("n_chars"))), 6).alias("avg_length"), F.round(integrity, 6).alias("avg_integrity"),
+        F.round(F.count_if(label == "CONTRADICTED") / F.nullif(F.count_if(cell), F.lit(0)), 6).alias("contradicted"),
+    )
+    return scans.numbered(rows, ["lang"], [F.coalesce("avg_integrity", F.lit(-1.0)).desc(), F.col("source").asc_nulls_last()], "rank")
 
 
 @query("select o_orderstatus as publisher, strftime(o_orderdate, '%Y-%m-%d') as day, round(avg(o_totalprice), 4) as mean from orders group by all")
@@ -50,10 +61,12 @@ def daily_sparkline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("publisher"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query("select publisher, string_agg(day, ',' order by day) as days, count(*) as n from (select distinct o_orderpriority as publisher, strftime(o_orderdate, '%Y-%m-%d') as day from orders) group by publisher")
+@query("""select publisher, string_agg(day || '=' || mean, ',' order by day) as points, count(*) as n from (select o_orderpriority as publisher, strftime(o_orderdate, '%Y-%m-%d') as day, floor(avg(o_totalprice) + 0.5)::bigint as mean from orders group by all) group by publisher""")
 def sparkline_arrays(spark: SparkSession, d: str) -> DataFrame:
-    days = table(spark, d, "orders").select(F.col("o_orderpriority").alias("publisher"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
-    return days.groupBy("publisher").agg(F.array_join(F.array_sort(F.collect_list("day")), ",").alias("days"), F.count("*").alias("n"))
+    """The ordered points (day, mean) of each publisher."""
+    days = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("publisher"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.floor(F.avg("o_totalprice") + 0.5).alias("mean"))
+    points = F.array_sort(F.collect_list(F.struct("day", "mean")))
+    return days.groupBy("publisher").agg(F.array_join(F.transform(points, lambda p: F.concat(p["day"], F.lit("="), p["mean"].cast("string"))), ",").alias("points"), F.count("*").alias("n"))
 
 
 @query("select strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as week, cast(floor(avg(o_totalprice) / 100 + 0.5) as bigint) as mean, count(*) as articles from orders group by 1 having count(*) >= 2")
@@ -62,10 +75,18 @@ def weekly_trend(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(week.alias("week")).agg(F.floor(F.avg("o_totalprice") / 100 + 0.5).alias("mean"), F.count("*").alias("articles")).where("articles >= 2")
 
 
-@query("select n_name as publisher, arg_min(c_mktsegment, c_custkey) as category, count(*) as feeds from customer join nation on c_nationkey = n_nationkey group by n_name")
+_CATEGORIES = {"BUILDING": "mainstream", "AUTOMOBILE": "partisan", "MACHINERY": "fringe", "HOUSEHOLD": "reference"}
+
+
+@query(f"""with p as (select n_name as publisher, arg_min(case c_mktsegment {" ".join(f"when '{a}' then '{b}'" for a, b in _CATEGORIES.items())} else 'other' end, c_custkey) as category, count(*) as feeds from customer join nation on c_nationkey = n_nationkey group by n_name)
+ select *, row_number() over (order by case category when 'mainstream' then 0 when 'partisan' then 1 when 'fringe' then 2 when 'reference' then 3 else 4 end, publisher) as place from p""")
 def publisher_list(spark: SparkSession, d: str) -> DataFrame:
+    """Publishers with the category of their first feed, in the order of categories, then by name."""
+    named = F.create_map(*(F.lit(x) for kv in _CATEGORIES.items() for x in kv))
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("publisher")).agg(F.min_by("c_mktsegment", "c_custkey").alias("category"), F.count("*").alias("feeds"))
+    category = F.coalesce(F.try_element_at(named, F.col("c_mktsegment")), F.lit("other"))
+    rows = rows.groupBy(F.col("n_name").alias("publisher")).agg(F.min_by(category, "c_custkey").alias("category"), F.count("*").alias("feeds"))
+    return scans.numbered(rows, [], [S.category_rank(F.col("category")), F.col("publisher")], "place")
 
 
 @query("select coalesce(c_mktsegment, 'all') as category, count(*) as n from customer group by rollup (c_mktsegment)")

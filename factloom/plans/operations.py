@@ -82,13 +82,16 @@ def stage_summary_recent(spark: SparkSession, d: str) -> DataFrame:
     return recent.groupBy("stage").agg(F.count("*").alias("volume"), F.count_if(F.col("status") == "ok").alias("ok"), bad.alias("fail"), F.floor(F.avg("duration") + 0.5).alias("mean_ms"), (F.floor(1000.0 * bad / F.count("*") + 0.5) / 10).alias("fail_pct"))
 
 
-@query(f"""with {_METRICS}, c as (select count(*) as n, count(*) filter (status = 'failed') as failed, least(count(*) filter (status = 'failed' and k > 60), 20) as dlq from metrics)
- select n as metrics, failed, dlq, case when failed > 10 or dlq > 10 or n = 0 then 'unhealthy' when failed > 0 or dlq > 0 then 'degraded' else 'healthy' end as level from c""")
+@query(f"""with {_METRICS}, c as (select count(*) as n, count(*) filter (status = 'failed') as failed, least(count(*) filter (status = 'failed' and k > 60), 20) as dlq from metrics),
+ p as (select count(*) as paused from (select stage from metrics group by stage having count(*) filter (status = 'failed') * 7 > count(*)))
+ select n as metrics, failed, dlq, paused, case when failed > 10 or dlq > 10 or paused > 2 or n = 0 then 'unhealthy' when failed > 0 or dlq > 0 or paused > 0 then 'degraded' else 'healthy' end as level from c, p""")
 def health_level(spark: SparkSession, d: str) -> DataFrame:
-    failed = F.col("status") == "failed"
-    c = metrics(spark, d).agg(F.count("*").alias("metrics"), F.count_if(failed).alias("failed"), F.least(F.count_if(failed & (F.col("k") > 60)), F.lit(20)).alias("dlq"))
-    level = F.when((F.col("failed") > 10) | (F.col("dlq") > 10) | (F.col("metrics") == 0), "unhealthy").when((F.col("failed") > 0) | (F.col("dlq") > 0), "degraded").otherwise("healthy")
-    return c.withColumn("level", level)
+    failed, m = F.col("status") == "failed", metrics(spark, d)
+    c = m.agg(F.count("*").alias("metrics"), F.count_if(failed).alias("failed"), F.least(F.count_if(failed & (F.col("k") > 60)), F.lit(20)).alias("dlq"))
+    paused = m.groupBy("stage").agg((F.count_if(failed) * 7 > F.count("*")).alias("paused")).agg(F.count_if("paused").alias("paused"))
+    bad = (F.col("failed") > 10) | (F.col("dlq") > 10) | (F.col("paused") > 2) | (F.col("metrics") == 0)
+    level = F.when(bad, "unhealthy").when((F.col("failed") > 0) | (F.col("dlq") > 0) | (F.col("paused") > 0), "degraded").otherwise("healthy")
+    return c.join(F.broadcast(paused)).withColumn("level", level)  # one row each
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as int) as k, cast(json_extract_string(props, '$.k') as int) >= 50 as high from events")
@@ -199,13 +202,13 @@ def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(jobs.schema).parquet(out)
 
 
-@query(f"""with m as (select event_type as stage, row_number() over (partition by event_type order by ts, event_id) as seq, epoch_us(ts) as at, cast(json_extract_string(props, '$.k') as int) >= 25 as failed from events),
+@query(f"""with m as (select event_type as stage, row_number() over (partition by event_type order by ts, event_id) as seq, epoch_us(ts) as moment, cast(json_extract_string(props, '$.k') as int) >= 25 as failed from events),
  r as (select *, sum(case when failed then 0 else 1 end) over (partition by stage order by seq rows unbounded preceding) as row from m),
  s as (select *, sum(failed::int) over (partition by stage, row order by seq rows unbounded preceding) as streak from r),
- h as (select *, coalesce(at >= lag(at) over (partition by stage, row order by streak) + {breaker.MICROS}, true)::int as new from s where failed and streak >= 5),
+ h as (select *, coalesce(moment >= lag(moment) over (partition by stage, row order by streak) + {breaker.MICROS}, true)::int as new from s where failed and streak >= 5),
  n as (select *, sum(new) over (partition by stage, row order by streak rows unbounded preceding) as nth from h),
- p as (select stage, row, min(at) as paused_at, max(at) + {breaker.MICROS} as until from n group by stage, row, nth),
- o as (select stage, row - 1 as row, at as success from r where not failed)
+ p as (select stage, row, min(moment) as paused_at, max(moment) + {breaker.MICROS} as until from n group by stage, row, nth),
+ o as (select stage, row - 1 as row, moment as success from r where not failed)
  select stage, paused_at, case when success >= paused_at and success < until then success else until end as ended_at, case when success >= paused_at and success < until then 'success' else 'time' end as ended_by from p left join o using (stage, row)""")
 def breaker_pauses(spark: SparkSession, d: str) -> DataFrame:
     """When each stage was paused and what ended it: five failures in a row, five minutes, or the next success."""
