@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import tables
+from factloom.operators.stored import StoredTable
 from factloom.plans.inputs import _text
 from factloom.plans.registry import query
-from factloom.session import checkpoint_folder, table
+from factloom.session import scratch_folder, table
 from factloom.streaming import status
 
 
@@ -28,7 +27,7 @@ def reindex_segments(spark: SparkSession, d: str) -> DataFrame:
 def cluster_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """Clusters written whole twice: nothing of the first run is left."""
     e = table(spark, d, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-    path = f"{checkpoint_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "clusters")
     tables.overwrite(e.where("cluster % 2 = 1"), path)
     tables.overwrite(e.where("cluster % 2 = 0"), path)
     return spark.read.parquet(path)
@@ -73,8 +72,24 @@ def stuck_jobs(spark: SparkSession, d: str) -> DataFrame:
  select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(avg(value), 6) as mean from b where closed group by start, event_type""")
 def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
     """Windows of a stream with a watermark of a day: a window is given out once no row can come to it any more."""
-    path = f"{checkpoint_folder(spark)}/windows-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "windows")
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counts = status.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "1 day")
-    counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", path + "-state").trigger(availableNow=True).start(path).awaitTermination()
+    counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_folder(spark, "windows-state")).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(counts.schema).parquet(path).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+_LAST = "last as (select * from (select *, row_number() over (partition by client_id order by seq desc, change_id desc, valid_at desc, balance desc) as nth from client_changes where client_id is not null and op <> 'D') where nth = 1)"
+
+
+@query(f"""with {_LAST} select coalesce(c.client_id, l.client_id) as client_id, coalesce(l.seq, -1) as seq, case when l.client_id is null then c.segment else l.segment end as segment, case when l.client_id is null then c.city else l.city end as city, case when l.client_id is null then c.balance else l.balance end as balance
+ from clients c full join last l on l.client_id = c.client_id""")
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Clients in a stored table, their changes written into the buckets that they fall into, and the table read again."""
+    path = scratch_folder(spark, "clients")
+    stored = StoredTable(spark, path, "client_id")
+    stored.create(table(spark, d, "clients").select("client_id", F.lit(-1).cast("long").alias("seq"), "segment", "city", "balance"))
+    changes = table(spark, d, "client_changes").where("client_id is not null and op <> 'D'")
+    last = changes.groupBy("client_id").agg(F.max(F.struct("seq", "change_id", "valid_at", "balance", "segment", "city")).alias("x"))
+    stored.upsert(last.select("client_id", "x.seq", "x.segment", "x.city", "x.balance"), "seq")
+    return stored.read()

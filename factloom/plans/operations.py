@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import constants as K
 from factloom.operators import ideology, scans, tables
 from factloom.plans.registry import query
-from factloom.session import checkpoint_folder, table
+from factloom.session import scratch_folder, table
 from factloom.streaming import breaker, status
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -188,15 +188,11 @@ def interval_match(spark: SparkSession, d: str) -> DataFrame:
 @query(_JOBS)
 def stage_events_stream(spark: SparkSession, d: str) -> DataFrame:
     """status_stream over the event table as a stream, run to its end; the rows equal enqueue_guard's."""
-    import uuid
-
     named = F.create_map(*(F.lit(x) for kv in zip(_TYPES, _STATUSES, strict=True) for x in kv))
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = stream.select(F.col("user_id").alias("doc_id"), F.coalesce(F.try_element_at(named, F.col("event_type")), F.lit("failed")).alias("status"), F.col("event_id").alias("seq"))
-    name = "jobs_" + uuid.uuid4().hex
-    root = checkpoint_folder(spark)
-    out, state = f"{root}/{name}", f"{root}/{name}_state"
+    out, state = scratch_folder(spark, "jobs"), scratch_folder(spark, "jobs-state")
     jobs = status.status_stream(rows)
     jobs.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(jobs.schema).parquet(out)

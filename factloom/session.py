@@ -15,7 +15,7 @@ _SHIPPED = "_factloom_shipped"
 
 
 def session(app: str = "factloom", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -50,14 +50,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("name a folder that all executors reach in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        atexit.register(_remove_late, spark, context.getCheckpointDir())  # a folder of this application's own within the named one
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there; what is written goes when nothing refers to it any more."""
+    """Write df to the checkpoint folder and go on from there. What is written goes when nothing refers to it any more, where the
+    application has switched that on (spark.cleaner.referenceTracking.cleanCheckpoints, as session() does)."""
     ship(df.sparkSession)
     checkpoint_folder(df.sparkSession)
-    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
