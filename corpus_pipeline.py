@@ -2,7 +2,7 @@
 sources are mixed to their target weights, texts become SentencePiece ids.
 
 Each stage reads the Parquet that the one before wrote in the session's shared folder; what a stage has read is removed once
-its own output is written.
+its own output is written, the rest when Python ends.
 
 Defined results, for every stage: an empty table gives an empty table; null ids, null, empty and very long texts, repeated rows
 and extra columns of any name are kept as they are but for what the stage decides; all stages but the last return the columns
@@ -11,12 +11,11 @@ they get, in their order.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import cube_mixing, secret_scan, sentencepiece_scan, simhash_dedup, toxicity
 from factloom.llm.common import prepare, table
+from factloom.session import remove, scratch_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, none to four times; a null source is a source, rows without words are taken by number."""
+    """Each row as often as the mix takes it, none to three times; a null source is a source, rows without words are taken by number."""
     return cube_mixing.mix(docs)
 
 
@@ -53,15 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents; the rows of the last one."""
     prepare(spark)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")  # what is left in it goes when Python ends
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{folder}/{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:  # read no more
-            at = hadoop.Path(last)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, last)
         last = path
     return docs
