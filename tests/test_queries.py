@@ -39,7 +39,7 @@ def test_entry_and_other_queries_run(spark):
     assert contract.entry(spark).count() > 0
     for name, f in contract.queries().items():
         if name not in contract.oracle_sql() and not name.startswith("op") and name != "pipeline":
-            assert f(spark, SF).count() >= 0
+            assert (f(spark, SF).count() > 0) == (name != "cluster_greedy"), name  # no two of its 200 single vectors are near enough
 
 
 def test_queries_take_empty_tables(spark, tmp_path):
@@ -47,8 +47,11 @@ def test_queries_take_empty_tables(spark, tmp_path):
 
     for t in os.listdir(SF):
         spark.read.parquet(f"{SF}/{t}").where("false").write.parquet(str(tmp_path / t))
-    for f in catalogue.QUERIES.values():
-        assert f(spark, str(tmp_path)).count() >= 0
+    one_row = {"exact_counts", "health_level", "ops_summary", "status_count_map"}  # aggregates of nothing
+    made = {"optional_filter", "proposition_seed", "feed_admin", "registered_models", "category_counts", "sitemap", "semi_passthrough"}  # rows that no table gives
+    for name, f in catalogue.QUERIES.items():
+        n = f(spark, str(tmp_path)).count()
+        assert n == 0 or name in made or (name in one_row and n == 1), (name, n)
 
 
 def test_operators_are_optional():
