@@ -59,10 +59,10 @@ def rescore_preview(docs: DataFrame, n: int) -> DataFrame:
 def rescore_reset(docs: DataFrame, claims: DataFrame, n: int, synthesis: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, claims, report) after the verdicts and scores of the oldest scored documents are taken back."""
     picked = rescore_preview(docs, n).select(F.col("id").alias("_picked"))
-    d = docs.join(F.broadcast(picked), F.col("id") == F.col("_picked"), "left")  # n rows
+    d = docs.join(picked, F.col("id") == F.col("_picked"), "left")
     gone = ["strip", "grounding_score", "integrity_score", *(["synthesis_text"] if synthesis else [])]
     d = d.withColumns({c: F.when(F.col("_picked").isNull(), F.col(c)) for c in gone} | {"pipeline_status": F.when(F.col("_picked").isNotNull(), "verifying").otherwise(F.col("pipeline_status"))})
-    c = claims.join(F.broadcast(picked), F.col("document_id") == F.col("_picked"), "left")
+    c = claims.join(picked, F.col("document_id") == F.col("_picked"), "left")
     verdict = [x for x in ("veracity_label", "confidence_score", "gap_reason", "conflict_basis") if x in claims.columns]
     report = picked.join(claims, F.col("_picked") == F.col("document_id"), "left").groupBy(F.col("_picked").alias("doc_id")).agg(F.count("document_id").alias("claims_reset"))
     report = report.select("doc_id", "claims_reset", F.lit(True).alias("scores_cleared"), F.lit(synthesis).alias("synthesis_cleared"))

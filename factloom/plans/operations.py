@@ -257,11 +257,20 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return tables.insert_if_absent(old, urls.withColumn("was_there", F.lit(False)), "url")
 
 
-@query("select '  <url><loc>https://site.test/documents/' || page_id || '</loc><lastmod>2024-01-01</lastmod></url>' as xml from pages union all select '  <url><loc>https://site.test' || p || '</loc></url>' from (values ('/'), ('/a&amp;b')) t(p)")
+@query("""with r as (select 0 as part, null::timestamp as moment, printf('%08d', i) as name, 'https://site.test' || p as loc, null::varchar as day from (values (0, '/'), (1, '/a&amp;b')) t(i, p)
+ union all select 1, o_orderdate, o_orderkey::varchar, 'https://site.test/documents/' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d') from orders
+ union all select 2, null, n_name, 'https://site.test/publishers/' || replace(n_name, ' ', '+'), strftime(max(o_orderdate), '%Y-%m-%d') from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by n_name)
+ select row_number() over (order by part, moment desc nulls last, name) as nth, '  <url><loc>' || loc || '</loc>' || coalesce('<lastmod>' || day || '</lastmod>', '') || '</url>' as xml from r""")
 def sitemap(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
-    nobody = docs.where("false").select(F.col("id").cast("string").alias("name"), "updated_at")
-    return tables.sitemap("https://site.test", ["/", "/a&b"], docs, nobody).select("xml")
+    """Static routes, documents newest first, and publishers with the date of their newest document, written as ordered text and
+    read again with the number of each line."""
+    orders = table(spark, d, "orders")
+    docs = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    of = orders.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = scratch_folder(spark, "sitemap")
+    tables.written_sitemap(tables.sitemap("https://site.test", ["/", "/a&b"], docs, of.select(F.col("n_name").alias("name"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))), path)
+    lines = spark.read.text(path).select("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), F.col("value").alias("xml"))  # files are named in order
+    return scans.numbered(lines, [], ["file_name", "file_block_start", "at"], "nth").select("nth", "xml")
 
 
 @query("select user_id, event_id, k from (select user_id, event_id, cast(json_extract_string(props, '$.k') as int) as k, row_number() over (partition by user_id, event_type order by cast(json_extract_string(props, '$.k') as int) desc, event_id desc) as nth, count(*) over (partition by user_id) as n, (select count(distinct event_type) from events x where x.user_id = e.user_id) as kinds from events e) where kinds < 2 or nth <= greatest(1, ceil(n * 0.4))")
