@@ -32,7 +32,7 @@ FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BEGINNING, LENGTH = 5, 4
 BLOCK, FIRST, TOGETHER = 128, 8, 128
 #: Words whose terms a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -267,6 +267,7 @@ class Model:
         w = n * np.log(len(ids) / df)[term]
         norm = np.maximum(np.sqrt(np.bincount(of, w * w, len(ids))), 1e-12)
         keep = w > 0  # a term of every example tells nothing
+        del w
         order, by, at = _placed(term[keep], np.bincount(of[keep], minlength=len(ids)), len(terms), BLOCK)
         self.packed = {"terms": "\n".join(terms), "df": _small(df), "order": _small(order), "postings": _small(np.bincount(term[keep], minlength=len(terms))), "at": _small(at), "n": _small(n[keep][by]), "norm": norm[order]}
         return self
@@ -285,6 +286,7 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state | {"index": None, "cache": {}})
         self._open()
+        self.packed = None  # a worker needs the index only
 
     def left_out(self, ids: list[int], texts: list[str]) -> list[float]:
         """The vote on each example by all others."""
@@ -322,14 +324,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, k: int
         numbers = [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([" ".join(c) for c in found], pa.string()), pa.array(numbers, pa.binary())], ["doc_id", "y", "terms", "n"])
 
-    rows = sorted(map_arrow(sample, count, "doc_id long, y int, terms string, n binary").collect(), key=lambda r: r.doc_id)
-    y = [r.y for r in rows]
+    rows = map_arrow(sample, count, "doc_id long, y int, terms string, n binary").toArrow().sort_by("doc_id")
+    ids, y = rows["doc_id"].to_pylist(), rows["y"].to_pylist()
     model = Model(sum(y) / len(y) if y else 0.0, k, power)
     if len(set(y)) < 2:
         return spark.sparkContext.broadcast(model), 1.0, 0.0
     terms: dict[str, int] = {}
-    counts = [(np.array([terms.setdefault(t, len(terms)) for t in r.terms.split()], np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
-    ids = [r.doc_id for r in rows]
+    counts = [(np.array([terms.setdefault(x, len(terms)) for x in t.as_py().split()], np.int32), np.frombuffer(n.as_py(), np.int32)) for t, n in zip(rows["terms"], rows["n"], strict=True)]
     del rows  # the counts hold what is needed
     shared = spark.sparkContext.broadcast(model.fit(list(terms), ids, y, counts))
 
