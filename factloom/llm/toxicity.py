@@ -128,19 +128,19 @@ class BlockMaxIndex:
     """Postings by term and block of examples, and the largest weight of each term in each block that has it. Postings of terms
     that one example in `dense` has are kept as whole rows of a block's weights, so that a product reads them for many texts."""
 
-    def __init__(self, order: np.ndarray, postings: np.ndarray, at: np.ndarray, weight: np.ndarray, block: int = BLOCK, dense: int = 16):
+    def __init__(self, order: np.ndarray, postings: np.ndarray, at: np.ndarray, weight: np.ndarray, block: int = BLOCK, dense: int = 12):
         """order: the examples by place; postings: how many each term has; at, weight: their places and weights, by term and place."""
         self.block, self.n, self.order = block, len(order), order
         self.blocks = max(1, -(-self.n // block))
-        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings)), postings), at.astype(np.int64)
+        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings), dtype=np.int32), postings), at.astype(np.int32)
         often = postings * dense > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         whole = often[term]
         self.rows = np.zeros((self.blocks, int(often.sum()), block))
         self.rows[at[whole] // block, self.row[term[whole]], at[whole] % block] = weight[whole]
         self.row_most = self.rows.max(axis=2).T
-        term, self.at, self.weight = term[~whole], at[~whole], weight[~whole]
-        cell = term * self.blocks + self.at // block
+        term, self.at, self.weight = term[~whole], at[~whole].astype(np.int64), weight[~whole]
+        cell = term * np.int64(self.blocks) + self.at // block
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         self.lo = np.append(starts, len(cell))  # postings of a term in a block
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
