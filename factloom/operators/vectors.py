@@ -3,6 +3,9 @@
 Rows go to the nearest of a bounded number of pivots and, within its cell, by rising angle to rings of BLOCK rows at most. By the
 triangle inequality on the sphere the angles of two rings to their pivots bound the angle between any of their rows from below; two
 blocks meet only if that bound allows a cosine of the threshold. A row is copied to the blocks that its own meets, no others.
+
+Neighbours are sought by groups of blocks, GROUP rows at most a side in a task. Cosines are first taken in single precision; what
+may reach the bound and the kth found so far, by what rounding can take from it, is worked out in double precision.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +25,17 @@ from factloom.session import scratch_table, ship
 BLOCK, PIVOTS, SAMPLE = 4096, 128, 4096
 #: What rounding may take from an angle.
 _SLACK = 4e-6
+#: Rows of a group of blocks. Rows and columns of cosines taken at once, and pairs worked out at once.
+GROUP, _ROWS, _COLUMNS, _PAIRS = 32768, 512, 4096, 1 << 15
 
 
 def unit(vectors: pa.ChunkedArray) -> np.ndarray:
-    """Rows of unit length; zero rows stay."""
-    v = np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
+    """Rows of unit length; zero rows stay. Vectors must have one length."""
+    if not len(vectors):
+        return np.zeros((0, 1))
+    if pc.count_distinct(pc.list_value_length(vectors), mode="all").as_py() > 1:
+        raise ValueError("vectors of several lengths")
+    v = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
@@ -49,6 +59,70 @@ def best_of_each(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[nth < k], col[nth < k]
 
 
+def exact_cosines(u: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows u[row] and v[col], to nine digits; a bounded number of pairs at once."""
+    parts = (slice(s, s + _PAIRS) for s in range(0, len(row), _PAIRS))
+    return np.round(np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", u[row[p]], v[col[p]]) for p in parts)]), 9)
+
+
+def rounding(dims: int) -> float:
+    """What single precision may take from, or add to, the cosine of unit rows."""
+    return (dims + 8) * 2.0**-23
+
+
+def _few_copies(ids: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Places of the rows that can be among the n nearest of any: of equal rows those of the n smallest ids. ids ascend."""
+    if len(np.unique(v[:, 0])) == len(v):
+        return np.arange(len(v))
+    _, kind = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(kind.ravel(), kind="stable")
+    first = np.append(True, np.diff(kind.ravel()[order]) != 0)
+    other = first | np.append(True, np.diff(ids[order]) != 0)  # a new id within its kind
+    nth = np.cumsum(other)
+    nth -= np.maximum.accumulate(np.where(first, nth, 0)) - 1
+    return np.sort(order[nth <= n])
+
+
+def nearest(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray, k: int, above: float, exclude_equal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left id, right id, cosine): of each row of u its k of v above a bound, ties to the smaller id. Rows with a component that is
+    not finite have none. Columns come by rising id, so later ones must exceed the kth found."""
+    fine, sound = (np.isfinite(x).all(axis=1) for x in (u, v))
+    p, u, order = p[fine], u[fine], np.flatnonzero(sound)[np.argsort(q[sound], kind="stable")]
+    q, v = q[order], v[order]
+    few = _few_copies(q, v, k + 1) if len(v) else np.zeros(0, np.int64)  # one more, as a row's own id may be among them
+    q, v = q[few], v[few]
+    single, slack, out = v.astype(np.float32), rounding(v.shape[1]), []
+    for s in range(0, len(p) if len(q) else 0, _ROWS):
+        mine, w = p[s : s + _ROWS], u[s : s + _ROWS]
+        least = np.full(len(mine), above)
+        row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        low, high = (np.searchsorted(q, mine, side) if exclude_equal else np.zeros(len(mine), np.int64) for side in ("left", "right"))
+        own = np.repeat(np.arange(len(mine)), high - low)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - high, high - low)
+        for c in range(0, len(q), _COLUMNS):
+            near = w.astype(np.float32) @ single[c : c + _COLUMNS].T
+            here = (at >= c) & (at < c + _COLUMNS)
+            near[own[here], at[here] - c] = -np.inf
+            may = near > (least - slack)[:, None].astype(np.float32)
+            many = np.flatnonzero(np.count_nonzero(may, axis=1) > 2 * k)
+            if len(many):
+                kth = np.partition(near[many], near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                may[many] &= near[many] >= (kth - 2 * slack)[:, None]
+            r, j = np.nonzero(may)
+            if not len(r):
+                continue
+            got = exact_cosines(w, v, r, c + j)
+            new = got > least[r]
+            row, col, sim = np.append(row, r[new]), np.append(col, c + j[new]), np.append(sim, got[new])
+            order = np.lexsort((col, -sim, row))
+            row, col, sim = row[order], col[order], sim[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, sim, nth = (x[nth < k] for x in (row, col, sim, nth))
+            least[row[nth == k - 1]] = sim[nth == k - 1]
+        out.append((mine[row], q[col], sim))
+    return tuple(np.concatenate([np.zeros(0, kind), *(o[i] for o in out)]) for i, kind in enumerate((np.int64, np.int64, float)))
+
+
 def _pivots(rows: DataFrame, vec: str) -> np.ndarray:
     """Unit vectors far from one another, of a sample by hash, and at most one for every hundred rows of it."""
     got = rows.select(vec).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
@@ -64,7 +138,7 @@ def _pivots(rows: DataFrame, vec: str) -> np.ndarray:
 
 
 def _in_blocks(rows: DataFrame, vec: str, pivots: np.ndarray, size: int) -> tuple[DataFrame, DataFrame]:
-    """rows (id, vec) with their block (pivot, ring), and one row a block: its least and greatest angle to the pivot."""
+    """rows (id, vec) with their block (pivot, ring), and one row a block: its least and greatest angle to the pivot, and its rows."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +151,16 @@ def _in_blocks(rows: DataFrame, vec: str, pivots: np.ndarray, size: int) -> tupl
 
     cells = rows.select("id", vec).mapInArrow(placed, f"id long, {vec} array<double>, pivot int, angle double")
     ringed = numbered(cells, ["pivot"], ["angle", "id"], "nth").withColumn("ring", F.floor((F.col("nth") - 1) / size)).withColumn("block", F.struct("pivot", "ring"))
-    blocks = ringed.groupBy("block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    blocks = ringed.groupBy("block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
     return ringed.select("block", "id", vec), blocks
 
 
+def _may_meet(between: np.ndarray, lo: float, hi: float, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """Whether a block may hold a row of a cosine of at least `least` to one of each other block; between: angles of the pivots."""
+    bound = np.maximum.reduce([between - hi - high, lo - between - high, low - between - hi, np.zeros(len(between))])
+    return np.cos(np.maximum(bound - _SLACK, 0)) + 1e-9 >= least if least > 0 else np.ones(len(between), bool)
+
+
 def _meetings(a: DataFrame, b: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
     """(x, y): the blocks of a and b that may hold rows of a cosine of at least `least`. One row a block goes to the tasks."""
     right = b.select("block.pivot", "block.ring", "low", "high").toArrow()
@@ -92,9 +172,7 @@ def _meetings(a: DataFrame, b: DataFrame, pivots: np.ndarray, least: float) -> D
         apart, pivot, ring, low, high = shared.value
         for batch in batches:
             for p, r, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("pivot", "ring", "low", "high")), strict=True):
-                between = apart[p, pivot]
-                bound = np.maximum.reduce([between - hi - high, lo - between - high, low - between - hi, np.zeros(len(pivot))])
-                may = np.cos(np.maximum(bound - _SLACK, 0)) + 1e-9 >= least if least > 0 else np.ones(len(pivot), bool)
+                may = _may_meet(apart[p, pivot], lo, hi, low, high, least)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(may.sum(), p, np.int32)), pa.array(np.full(may.sum(), r, np.int64)), pa.array(pivot[may]), pa.array(ring[may])], ["p", "r", "q", "s"])
 
     met = a.select("block.pivot", "block.ring", "low", "high").mapInArrow(pairs, "p int, r long, q int, s long")
@@ -105,38 +183,77 @@ def _block_size(n: int, cores: int) -> int:
     return min(BLOCK, max(256, n // cores))
 
 
+def _grouped(blocks: DataFrame, n: int, cores: int) -> pa.Table:
+    """One row a block: pivot, ring, low, high, number, and its group of blocks one after another, enough groups for all cores."""
+    t = blocks.select("block.pivot", "block.ring", "low", "high", "n").toArrow().sort_by([("pivot", "ascending"), ("ring", "ascending")])
+    rows = min(GROUP, max(256, -(-n // int(np.ceil(np.sqrt(3 * cores))))))
+    size = t["n"].to_numpy()
+    group = ((np.cumsum(size) - size) // rows).astype(np.int32)
+    return t.drop_columns("n").append_column("number", pa.array(np.arange(len(t)), pa.int32())).append_column("of", pa.array(group, pa.int32()))
+
+
+def _dealt(rows: DataFrame, mine: pa.Table, theirs: pa.Table, apart: np.ndarray, least: float, names: tuple[str, str]) -> DataFrame:
+    """rows, once for each group of the other side that holds a block which theirs meets."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((apart, *(theirs[c].to_numpy() for c in ("pivot", "low", "high", "of"))))  # one row a block
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, pivot, low, high, of = shared.value
+        for batch in batches:
+            for p, r, lo, hi, number, group in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+                to = np.unique(of[_may_meet(apart[p, pivot], lo, hi, low, high, least)])
+                each = lambda x, kind: pa.array(np.full(len(to), x), kind)
+                yield pa.RecordBatch.from_arrays([each(p, pa.int32()), each(r, pa.int64()), each(number, pa.int32()), each(group, pa.int32()), pa.array(to, pa.int32())], ["p", "r", "number", *names])
+
+    blocks = spark.createDataFrame(mine.to_pandas(), "pivot int, ring long, low double, high double, number int, of int")
+    to = scratch_table(blocks.mapInArrow(deal, f"p int, r long, number int, {names[0]} int, {names[1]} int"), "deals")
+    return rows.join(to, (rows["block"]["pivot"] == to["p"]) & (rows["block"]["ring"] == to["r"])).drop("block", "p", "r")
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding", exclude_equal: bool = True) -> DataFrame:
     """(left_id, right_id, sim, rank): for each left row its k right rows of greatest cosine above a bound; ties to the smaller
-    id. A task returns only k a left row. Vectors must have one length."""
-    a, b, meetings = meeting_blocks(left, right, above, left_id=left_id, right_id=right_id, vec=vec)
-    x = a.join(meetings, a["block"] == meetings["x"]).select(F.struct("x", "y").alias("at"), F.col("id").alias("left_id"), vec)
-    y = b.join(meetings, b["block"] == meetings["y"]).select(F.struct("x", "y").alias("at"), F.col("id").alias("right_id"), vec)
+    id. A task holds a group of blocks of either side and returns only k a left row. Vectors must have one length."""
+    (a, of_a, n_a), (b, of_b, n_b), pivots = _both(left, right, left_id, right_id, vec)
+    context = left.sparkSession.sparkContext
+    cores, apart = context.defaultParallelism, np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    ours, theirs = _grouped(of_a, n_a, cores), _grouped(of_b, n_b, cores)
+    x, y = _dealt(a, ours, theirs, apart, above, ("g", "h")), _dealt(b, theirs, ours, apart, above, ("h", "g"))
+    shared = context.broadcast((apart, *([t[c].to_numpy() for c in ("pivot", "low", "high")] for t in (ours, theirs))))  # one row a block
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        apart, (pivot, low, high), (to, near, far) = shared.value
+        found: list = []
         if x.num_rows and y.num_rows:
-            (p, u), (q, v) = _unit(x), _unit(y)
-            for s in range(0, len(p), 1024):
-                sim = np.round(u[s : s + 1024] @ v.T, 9)
-                sim[(sim <= above) | (exclude_equal & (p[s : s + 1024, None] == q[None, :]))] = -np.inf
-                row, col = best_of_each(sim, q, k)
-                out.append((p[s : s + 1024][row], q[col], sim[row, col]))
-        cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[j]) for j in range(3)]
+            p, u, q, v, own, other = x["id"].to_numpy(), unit(x[vec]), y["id"].to_numpy(), unit(y[vec]), x["number"].to_numpy(), y["number"].to_numpy()
+            blocks, alike = np.unique(other), {}
+            for i in np.unique(own).tolist():  # blocks that meet the same blocks go together
+                may = blocks[_may_meet(apart[pivot[i], to[blocks]], low[i], high[i], near[blocks], far[blocks], above)]
+                alike.setdefault(may.tobytes(), (may, []))[1].append(i)
+            for may, mine in alike.values():
+                a, b = np.isin(own, mine), np.isin(other, may)
+                found.append(nearest(p[a], u[a], q[b], v[b], k, above, exclude_equal))
+        cols = [np.concatenate([np.zeros(0, kind), *(f[j] for f in found)]) for j, kind in enumerate((np.int64, np.int64, float))]
         return pa.table({"left_id": cols[0], "right_id": cols[1], "sim": cols[2]})
 
-    met = x.toDF(*x.columns).groupBy("at").cogroup(y.toDF(*y.columns).groupBy("at")).applyInArrow(meet, "left_id long, right_id long, sim double")
+    met = x.groupBy("g", "h").cogroup(y.groupBy("g", "h")).applyInArrow(meet, "left_id long, right_id long, sim double")
     order = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def meeting_blocks(left: DataFrame, right: DataFrame, least: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both sides' rows (block, id, vec), and the pairs (x, y) of their blocks that meet."""
+def _both(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vec: str) -> tuple[tuple, tuple, np.ndarray]:
+    """Of either side its rows (block, id, vec), its blocks and the number of its rows; and the pivots."""
     spark = left.sparkSession
     ship(spark)
     a, b = _usable(left, left_id, vec, "id"), _usable(right, right_id, vec, "id")
     pivots = _pivots(b, vec)
-    cores = spark.sparkContext.defaultParallelism
-    (a, of_a), (b, of_b) = (_in_blocks(t, vec, pivots, _block_size(t.count(), cores)) for t in (a, b))
+    counts = [t.count() for t in (a, b)]
+    of_a, of_b = ((*_in_blocks(t, vec, pivots, _block_size(n, spark.sparkContext.defaultParallelism)), n) for t, n in zip((a, b), counts, strict=True))
+    return of_a, of_b, pivots
+
+
+def meeting_blocks(left: DataFrame, right: DataFrame, least: float, *, left_id: str = "vec_id", right_id: str = "vec_id", vec: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides' rows (block, id, vec), and the pairs (x, y) of their blocks that meet."""
+    (a, of_a, _), (b, of_b, _), pivots = _both(left, right, left_id, right_id, vec)
     return a, b, scratch_table(_meetings(of_a, of_b, pivots, least), "meetings")
 
 

@@ -51,3 +51,37 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     one = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert V.pair_edges(none, 0.5).collect() == [] and V.knn_join(one, none, 2, 0.1).collect() == [] and V.knn_join(none, one, 2, 0.1).collect() == []
+
+
+def test_neighbours_of_many_copies_repeated_ids_and_odd_numbers(monkeypatch):
+    monkeypatch.setattr(V, "_ROWS", 7)
+    monkeypatch.setattr(V, "_COLUMNS", 32)
+    monkeypatch.setattr(V, "_PAIRS", 16)
+    v = clustered(300, 3, 0.3, dims=8)
+    v[100:220] = v[100]
+    v[250] = np.nan
+    u = np.divide(v, np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=np.linalg.norm(v, axis=1, keepdims=True) != 0)
+    ids = np.random.default_rng(2).permutation(300) // 2  # every id twice
+    sim = np.round(u @ u.T, 9)
+    for k, above, own in ((4, 0.3, True), (1, -0.5, False), (200, 0.9, True)):
+        p, q, s = V.nearest(ids, u, ids, u, k, above, own)
+        got = sorted(zip(p.tolist(), q.tolist(), s.tolist(), strict=True))
+        want, fewest = [], []
+        for i in range(300):
+            near = sorted((-x, j) for j, x in zip(ids.tolist(), sim[i].tolist(), strict=True) if x > above and not (own and j == ids[i]))
+            want += [(ids[i], j, -x) for x, j in near[:k]]
+        if k < 200:  # of equal rows the k + 1 smallest ids are kept, each with all its rows
+            assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=2e-9)
+        else:
+            assert len(got) == len(want)
+
+
+def test_a_row_is_dealt_by_groups_not_by_blocks(table, monkeypatch):
+    """Each row goes to one task for each group of blocks of the other side; before, for each of its blocks."""
+    monkeypatch.setattr(V, "_block_size", lambda n, cores: 64)
+    df, _ = table
+    (a, of_a, n), _, pivots = V._both(df, df, "vec_id", "vec_id", "embedding")
+    ours = V._grouped(of_a, n, 4)
+    groups = len(set(ours["of"].to_pylist()))
+    assert len(ours) > 40 and groups <= 4
+    assert V._dealt(a, ours, ours, np.arccos(np.clip(pivots @ pivots.T, -1, 1)), -0.1, ("g", "h")).count() == n * groups
