@@ -105,14 +105,22 @@ def normalised(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+    def shared(s: Column) -> Column:
+        union = F.size(F.array_union(s["a"], s["b"]))
+        return F.when(union > 0, F.size(F.array_intersect(s["a"], s["b"])) / union).otherwise(F.lit(0.0))
+
+    return once(F.struct(a.alias("a"), b.alias("b")), shared)
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
-    """0 where either text has no words."""
-    x, y = (F.array_distinct(F.split(normalised(c), " ")) for c in (a, b))
-    return F.when((normalised(a) == "") | (normalised(b) == ""), F.lit(0.0)).otherwise(jaccard(x, y))
+    """0 where either text has no words. Each text is made even once."""
+
+    def shared(t: Column) -> Column:
+        x, y = (F.array_distinct(F.split(t[i], " ")) for i in (0, 1))
+        return F.when((t[0] == "") | (t[1] == ""), F.lit(0.0)).otherwise(jaccard(x, y))
+
+    return once(F.array(normalised(a), normalised(b)), shared)
 
 
 def canonical_key(url: Column, text: Column) -> Column:

@@ -16,13 +16,14 @@ def gather(claims: DataFrame, segments: DataFrame) -> DataFrame:
     near = knn_join(claims, segments, K.EVIDENCE_FETCH, K.EVIDENCE_SIM, left_id="claim_id", right_id="segment_id", exclude_equal=False)
     rows = near.select(F.col("left_id").alias("claim_id"), F.col("right_id").alias("segment_id"), "sim", "rank")
     rows = rows.join(claims.select("claim_id", F.col("publisher").alias("own"), F.col("text").alias("claim_text")), "claim_id")
-    rows = rows.join(segments.select("segment_id", "publisher", "category", "url", F.col("text").alias("evidence_text")), "segment_id")
-    rows = rows.where(~F.coalesce(F.col("own") == F.col("publisher"), F.lit(False)))
-    rows = first_wins(rows.withColumn("key", T.canonical_key(F.col("url"), F.col("evidence_text"))), ["claim_id", "key"], "rank")
+    url, text = F.col("url"), F.col("text")  # what depends on the segment alone is worked out once a segment
+    found = segments.select("segment_id", "publisher", "category", "url", text.alias("evidence_text"), F.sha2(T.canonical_key(url, text), 256).alias("key"), T.evidence_tier(url, F.col("category")).alias("tier"))
+    rows = rows.join(found, "segment_id").where(~F.coalesce(F.col("own") == F.col("publisher"), F.lit(False)))
+    rows = first_wins(rows, ["claim_id", "key"], "rank")
+    rows = top_k(rows, ["claim_id"], [F.desc("sim"), F.col("segment_id")], K.EVIDENCE_KEEP)
     overlap = T.word_jaccard(F.col("claim_text"), F.col("evidence_text"))
     rows = rows.withColumn("is_independent", (overlap < K.NEAR_DUPLICATE) & (F.col("sim") < K.NEAR_DUPLICATE))
-    rows = rows.withColumn("tier", T.evidence_tier(F.col("url"), F.col("category")))
-    return top_k(rows, ["claim_id"], [F.desc("sim"), F.col("segment_id")], K.EVIDENCE_KEEP).drop("own", "claim_text", "key", "rank")
+    return rows.select("segment_id", "claim_id", "sim", "publisher", "category", "url", "evidence_text", "is_independent", "tier")
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -13,12 +13,12 @@ def scope_fails(claim: Column, evidence: Column, sim: Column) -> Column:
     """Whether evidence is about something else; its reason, null where it isn't."""
     overlap = T.jaccard(T.scope_tokens(claim), T.scope_tokens(evidence))
     close = F.coalesce(sim, F.lit(0.0)) >= K.SCOPE_SIM
-    return (
-        F.when(close, None)
-        .when(overlap < K.SCOPE_JACCARD, "LOW_PROPOSITION_OVERLAP")
-        .when(T.is_legal(claim) & (overlap < K.SCOPE_LEGAL), "LEGAL_CLAIM_SCOPE_MISMATCH")
-        .when(T.is_event(claim) & (overlap < K.SCOPE_EVENT), "GEOPOLITICAL_EVENT_SCOPE_MISMATCH")
+    too_far = lambda o: (
+        F.when(o < K.SCOPE_JACCARD, "LOW_PROPOSITION_OVERLAP")
+        .when((o < K.SCOPE_LEGAL) & T.is_legal(claim), "LEGAL_CLAIM_SCOPE_MISMATCH")
+        .when((o < K.SCOPE_EVENT) & T.is_event(claim), "GEOPOLITICAL_EVENT_SCOPE_MISMATCH")
     )
+    return F.when(close, None).otherwise(T.once(overlap, too_far))
 
 
 def gated(evidence: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def gated(evidence: DataFrame) -> DataFrame:
     claim_text, evidence_text, sim, is_independent. A confidence of 0 counts as 0.5."""
     conf = F.coalesce(F.nullif("nli_confidence", F.lit(0.0)), F.lit(0.5))
     fails = F.coalesce("is_independent", F.lit(True)) & F.col("nli_label").isin("ENTAILMENT", "CONTRADICTION") & scope_fails(F.col("claim_text"), F.col("evidence_text"), F.col("sim")).isNotNull()
-    return evidence.withColumn("nli_confidence", F.when(fails, F.least(conf, F.lit(K.SCOPE_FAIL_CAP))).otherwise(conf)).withColumn("nli_label", F.when(fails, "NEUTRAL").otherwise(F.col("nli_label")))
+    both = T.once(fails, lambda f: F.struct(F.when(f, F.least(conf, F.lit(K.SCOPE_FAIL_CAP))).otherwise(conf).alias("conf"), F.when(f, "NEUTRAL").otherwise(F.col("nli_label")).alias("label")))
+    return evidence.withColumn("_gate", both).withColumns({"nli_confidence": F.col("_gate.conf"), "nli_label": F.col("_gate.label")}).drop("_gate")
 
 
 def verdicts(evidence: DataFrame, key: str = "claim_id", also: tuple[Column, ...] = ()) -> DataFrame:

@@ -197,3 +197,16 @@ def test_flow_equals_plain_python(spark):
         if sourced is not None:
             factual = clamp(0.4 * (1 - (c / (s + c + m) if s + c + m else 0)) + 0.25 * r.sourcing_quality + 0.25 * r.grounding_score + 0.1 * (1 - r.one_sidedness))
             assert r.factuality_score == pytest.approx(round3(factual), abs=0.0011), doc
+
+
+def test_texts_are_made_even_once_a_pair(spark):
+    """Before, a pair of texts was normalised anew wherever the measure names it."""
+    from pyspark.sql import functions as F
+
+    from factloom.functions import text as T
+    from factloom.sources import providers
+
+    df = spark.createDataFrame([("A claim.", "Another claim!")], "a string, b string")
+    shown = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    one = shown(T.normalised(F.col("a"))).count("regexp_replace(")
+    assert one > 0 and shown(providers.stub_nli(F.col("a"), F.col("b"))).count("regexp_replace(") == 2 * one
