@@ -13,6 +13,8 @@ WATERMARK = r"\n\n<!-- corpus-watermark:[^>]+-->"
 #: White space as feeds and pages have it: Unicode's, no-break spaces and byte order marks included. Written so that letters are
 #: told apart by two comparisons.
 SPACES = r"\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+#: The same characters one by one.
+_SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def replaced(c: Column, pattern: str, by: str = "") -> Column:
@@ -20,7 +22,7 @@ def replaced(c: Column, pattern: str, by: str = "") -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return replaced(c, rf"^[{SPACES}]+|[{SPACES}]+$")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def clean_rss(c: Column) -> Column:
@@ -241,7 +243,8 @@ def share_card(title: Column, description: Column, url: Column) -> Column:
 
 def clean_json(c: Column) -> Column:
     """What a model wrote between code fences."""
-    return trimmed(replaced(replaced(trimmed(c), rf"^```(?:json)?[{SPACES}]*"), rf"[{SPACES}]*```$"))
+    fenced = c.contains("```")  # most answers have none, and patterns cost
+    return F.when(fenced, trimmed(replaced(replaced(trimmed(c), rf"^```(?:json)?[{SPACES}]*"), rf"[{SPACES}]*```$"))).otherwise(trimmed(c))
 
 
 def html_text(c: Column) -> Column:

@@ -120,7 +120,7 @@ def valid_class(json: Column) -> Column:
     """classification of a model's answer: unknown names are OTHER; sarcasm or a rhetorical device make it an opinion."""
 
     def judged(x: Column) -> Column:
-        name = F.when(F.upper(x["classification"]).isin(*CLASSES), F.upper(x["classification"])).otherwise("OTHER")
+        name = T.once(F.upper(x["classification"]), lambda n: F.when(n.isin(*CLASSES), n).otherwise("OTHER"))
         return F.when(F.coalesce(x["sarcasm"], F.lit(False)) | F.coalesce(x["rhetorical"], F.lit(False)), "OPINION_ANALYSIS").otherwise(name)
 
     return T.once(F.from_json(T.clean_json(json), "classification string, sarcasm boolean, rhetorical boolean"), judged)
@@ -139,8 +139,8 @@ def initial_label(classification: Column) -> Column:
 def valid_claims(json: Column) -> Column:
     """Claims of over ten characters; their type is always DIRECT."""
     claims = F.from_json(T.clean_json(json), "array<struct<claim_text:string,is_checkable:boolean>>")
-    kept = F.filter(claims, lambda c: F.length(T.trimmed(c["claim_text"])) > 10)
-    return F.transform(kept, lambda c: F.struct(T.trimmed(c["claim_text"]).alias("claim_text"), F.coalesce(c["is_checkable"], F.lit(True)).alias("is_checkable"), F.lit("DIRECT").alias("claim_type")))
+    made = F.transform(claims, lambda c: F.struct(T.trimmed(c["claim_text"]).alias("claim_text"), F.coalesce(c["is_checkable"], F.lit(True)).alias("is_checkable"), F.lit("DIRECT").alias("claim_type")))
+    return F.filter(made, lambda c: F.length(c["claim_text"]) > 10)
 
 
 def valid_nli(json: Column) -> Column:
@@ -161,7 +161,7 @@ def web_sources(json: Column, n: int = 5) -> Column:
 
     def kept(rows: Column) -> Column:
         urls = F.transform(rows, lambda r: r["url"])
-        first = F.filter(rows, lambda r, i: (F.coalesce(r["url"], F.lit("")) != "") & (F.array_position(urls, r["url"]) == i + 1))
+        first = T.once(urls, lambda us: F.filter(rows, lambda r, i: (F.coalesce(r["url"], F.lit("")) != "") & (F.array_position(us, r["url"]) == i + 1)))
         return F.transform(F.slice(first, 1, n), source)
 
     return T.once(F.from_json(T.clean_json(json), "array<struct<url:string,stance:string,quote:string>>"), kept)

@@ -142,3 +142,16 @@ def test_runner_breaker_and_reaper(spark):
     assert [(r.seq, r.streak) for r in status.breaker(m).where("pauses").orderBy("seq").collect()] == [(8, 5), (9, 6)]
     dead, left = status.poisoned(spark.createDataFrame([(1, 10), (2, 3)], "id int, attempts int"))
     assert [r.id for r in dead.collect()] == [1] and [r.id for r in left.collect()] == [2]
+
+
+def test_addresses_of_an_answer_are_listed_once(spark):
+    """Before, the list was made anew for each source of an answer: nested in the filter's condition."""
+    from pyspark.sql import functions as F
+
+    from factloom.sources import providers
+
+    df = spark.createDataFrame([("[]",)], "a string")
+    plan = df.select(providers.web_sources(F.col("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    condition = plan.split("filter(", 1)[1]
+    assert "transform(" not in condition.split("lambdafunction", 2)[1]
+    assert [x.url for x in df.select(providers.web_sources(F.lit('[{"url":"u"},{"url":"v"},{"url":"u"},{}]')).alias("x")).first().x] == ["u", "v"]
