@@ -1,5 +1,6 @@
-"""Story clusters of all documents of a window, by the greedy order in rounds.
+"""Story clusters of all documents of a window, by the greedy order.
 
+A window of at most BLOCK documents is clustered by one task, all such windows at once. Larger ones go in rounds:
 Links join documents of a window whose cosine is high enough. In the greedy order seeds go by falling degree, then id; a seed takes
 those of its free neighbours that are near enough members so far, the most similar first. What a seed does depends only on seeds
 before it whose neighbours it shares, that is on those within two links. So in every round all seeds act at once that come first
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import constants as K
+from factloom.operators.events import greedy_clusters
 from factloom.operators.scans import numbered
 from factloom.operators.vectors import unit
 from factloom.session import checkpointed, scratch_table, ship
 
 #: Documents of a window that meet in one task, and candidates that a seed looks at in one step.
 BLOCK, STEP = 2048, 64
+SCHEMA = "window long, cluster long, doc_id long, score double"
 
 
 def links(docs: DataFrame, least: float = K.CLUSTER_SIM) -> DataFrame:
@@ -86,11 +89,29 @@ def _clusters_of(seeds: DataFrame, free: DataFrame) -> DataFrame:
         members, low = checkpointed(members.unionAll(new)), low + STEP
 
 
-
 def window_clusters(docs: DataFrame) -> DataFrame:
     """(window, cluster, doc_id, score): the clusters of every window of documents (window, id, vec), ids unique within a window; a
-    cluster has the id of its seed, a member's score is its mean cosine to the others. Links that fall short of the threshold are
-    worked out for members only."""
+    cluster has the id of its seed, a member's score is its mean cosine to the others."""
+    ship(docs.sparkSession)
+    rows = docs.where("vec is not null and id is not null and window is not null").select("window", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    large = checkpointed(rows.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("window"))
+    small = rows.join(large, "window", "left_anti").groupBy("window").applyInArrow(_whole, SCHEMA)
+    return small if large.isEmpty() else small.unionAll(_in_rounds(rows.join(large, "window", "left_semi")))
+
+
+def _whole(t: pa.Table) -> pa.Table:
+    """The clusters of one window of at most BLOCK documents."""
+    ids, v = t["id"].to_pylist(), unit(t["vec"])
+    found = greedy_clusters(ids, np.round(v @ v.T, 9))
+    seeds: dict[int, int] = {}
+    for number, i, _ in found:
+        seeds.setdefault(number, i)  # a cluster's first row is its seed
+    window = pa.array([t["window"][0].as_py()] * len(found), pa.int64())
+    return pa.table({"window": window, "cluster": pa.array([seeds[n] for n, _, _ in found], pa.int64()), "doc_id": pa.array([i for _, i, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.float64())})
+
+
+def _in_rounds(docs: DataFrame) -> DataFrame:
+    """The clusters of windows of any size. Links that fall short of the threshold are worked out for members only."""
     edges = scratch_table(links(docs), "links")
     degree = edges.groupBy("window", "a").agg(F.struct((-F.count("*")).alias("d"), F.col("a").alias("i")).alias("rank"))
     degree = scratch_table(degree.select("window", F.col("a").alias("id"), "rank"), "degrees")
@@ -110,7 +131,7 @@ def window_clusters(docs: DataFrame) -> DataFrame:
         free = free.join(gone.withColumnRenamed("gone", "a"), ["window", "a"], "left_anti").join(gone.withColumnRenamed("gone", "b"), ["window", "b"], "left_anti")
         free = checkpointed(free.select("window", "a", "b", "sim", "rank_a"))
     if found is None:
-        return docs.sparkSession.createDataFrame([], "window long, cluster long, doc_id long, score double")
+        return docs.sparkSession.createDataFrame([], SCHEMA)
     found = checkpointed(found)
     vecs = docs.select("window", F.col("id").cast("long").alias("c"), F.col("vec").cast("array<double>").alias("vec"))
 
@@ -120,4 +141,4 @@ def window_clusters(docs: DataFrame) -> DataFrame:
         score = (sim.sum(axis=1) - sim.diagonal()) / max(len(v) - 1, 1)
         return pa.table({"window": t["window"], "cluster": t["seed"], "doc_id": t["c"], "score": score})
 
-    return found.join(vecs, ["window", "c"]).groupBy("window", "seed").applyInArrow(scored, "window long, cluster long, doc_id long, score double")
+    return found.join(vecs, ["window", "c"]).groupBy("window", "seed").applyInArrow(scored, SCHEMA)

@@ -30,3 +30,15 @@ def test_equals_the_greedy_order(spark, monkeypatch):
 def test_without_links(spark):
     one = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0])], "window long, id long, vec array<double>")
     assert stories.window_clusters(one).collect() == [] and stories.window_clusters(one.where("false")).collect() == []
+
+
+def test_windows_of_one_task_need_no_rounds(spark, monkeypatch):
+    """Before, every window went through rounds of jobs over all windows. Both ways give the same clusters."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 6))
+    v = centres[rng.integers(0, 9, 300)] + rng.normal(size=(300, 6)) * 0.5
+    docs = spark.createDataFrame([(i % 4, i, x) for i, x in enumerate(v.tolist())], "window long, id long, vec array<double>")
+    key = lambda rows: sorted((r.window, r.cluster, r.doc_id, round(r.score, 6)) for r in rows)
+    in_rounds = key(stories._in_rounds(docs).collect())
+    monkeypatch.setattr(stories, "links", None)
+    assert key(stories.window_clusters(docs).collect()) == in_rounds and len(in_rounds) > 50
