@@ -3,8 +3,8 @@
 Terms are whole words (letters and digits, lower-cased) and, as further terms of BEGINNING times their weight, the words' first four
 characters, so that inflected forms are alike too. A text is its TF-IDF vector over all terms of the examples: term frequency times
 ln(examples / examples with the term), unit length. A block-max inverted index over the examples gives the exact k nearest by
-cosine: blocks are visited by falling upper bound, a few and then twice as many at a time, the kth score being raised in between,
-until no block can reach it; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
+cosine: rare terms are added up first, blocks are then visited by falling upper bound, a few and then twice as many at a time, the kth
+score being raised in between, until no block can reach it; ties go to the smaller doc_id. Votes weighted by similarity, carried to a probability by a
 logistic fit on leave-one-out votes, give the score; the nearest examples are the evidence. Labels decide votes and
 calibration only, never terms or weights. Examples are a bounded sample (`max_examples`) of the labelled rows in the learning
 folds; labels, lang, source and doc_id are no inputs of a score.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,26 @@ from factloom.llm.common import fold, label_sample, map_arrow, materialise, utf8
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BEGINNING, LENGTH = 5, 4
-BLOCK, FIRST, TOGETHER = 128, 8, 128
-#: Words whose terms a worker remembers.
-REMEMBERED = 100_000
+BLOCK, FIRST, TOGETHER, DENSE = 128, 8, 128, 16
+#: Texts and examples whose cosines are worked out at once.
+PAIRS = 4096
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>"
 _WORD = re.compile(r"[^\W_]+")
+#: Latin-1 with a space in place of what no word has.
+_LATIN = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def terms_of(text: str) -> dict[str, int]:
     """How often each term occurs: words, and the beginnings of words after a mark, which no word has."""
-    words = Counter(_WORD.findall(text.lower()))
+    words = Counter(words_of(text))
     out = dict(words)
     for w, n in words.items():
         begin = "^" + w[:LENGTH]
@@ -90,62 +101,61 @@ def _placed(term: np.ndarray, sizes: np.ndarray, n_terms: int, block: int) -> tu
     return order, by, at[by]
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 class Vectors:
     """Texts to unit vectors over the terms of the examples."""
 
     def __init__(self, terms: list[str], df: np.ndarray, n: int):
-        self.ids, self.idf, self.known, self.most = {t: k for k, t in enumerate(terms)}, np.log(n / df), {}, len(terms) + 1
+        self.idf = np.log(n / df)
+        self.words, self.begins = ({t[at:]: k for k, t in enumerate(terms) if t.startswith("^") == at} for at in (0, 1))
 
     def unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a text, as terms_of() has them."""
-        words = Counter(_WORD.findall(text.lower()))
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self._of(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        both, n = np.array(found, np.int64), np.fromiter(words.values(), np.int64, len(words))
-        own, begin = np.divmod(both, self.most)
-        begins, of = np.unique(begin, return_inverse=True)
-        terms, n = np.concatenate([own, begins]), np.concatenate([n, BEGINNING * np.bincount(of.ravel(), n, len(begins))])
-        known = terms > 0
-        return self.weighted(terms[known] - 1, n[known])
-
-    def _of(self, word: str) -> int:
-        """The numbers of a word's two terms, from 1, as one number; 0 for those of no example."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = (self.ids.get(word, -1) + 1) * self.most + self.ids.get("^" + word[:LENGTH], -1) + 1
-        return found
-
-    def weighted(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(words_of(text))
+        size, n = len(words), np.fromiter(words.values(), np.int64, len(words))
+        own = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, size)
+        begin = np.fromiter(map(self.begins.get, [w[:LENGTH] for w in words], repeat(-1)), np.int64, size)
+        terms, n = np.concatenate([own, begin]), np.concatenate([n, BEGINNING * n])
         order = np.argsort(terms)
         terms, n = terms[order], n[order]
+        first = np.flatnonzero(np.diff(terms, prepend=-1))  # terms of no example come before, as -1
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, n = terms[first], np.add.reduceat(n, first)
         w = n * self.idf[terms]
         keep = w > 0  # a term of every example tells nothing
         return terms[keep], np.round(w[keep] / max(np.sqrt((w * w).sum()), 1e-12), 9)
 
 
 class BlockMaxIndex:
-    """Postings by term and block of examples, and the largest weight of each term in each block that has it. Postings of terms
-    that one example in `dense` has are kept as whole rows of a block's weights, so that a product reads them for many texts."""
+    """Postings by term and example. Terms that one example in `dense` has are kept as rows of each block's weights instead, in single
+    precision, so that a product reads them for many texts, with the largest weight of each row; their exact weights lie by example.
 
-    def __init__(self, order: np.ndarray, postings: np.ndarray, at: np.ndarray, weight: np.ndarray, block: int = BLOCK, dense: int = 12):
+    A text's rare terms are added up first, over all examples. A block's bound is the most that they give to one of its examples, and
+    the text's frequent terms times their largest weights there. What single precision may take from a score is allowed for in all
+    bounds; what may be among the k best is worked out in double precision."""
+
+    def __init__(self, order: np.ndarray, postings: np.ndarray, at: np.ndarray, weight: np.ndarray, block: int = BLOCK, dense: int = DENSE):
         """order: the examples by place; postings: how many each term has; at, weight: their places and weights, by term and place."""
         self.block, self.n, self.order = block, len(order), order
         self.blocks = max(1, -(-self.n // block))
-        n_terms, term, at = len(postings), np.repeat(np.arange(len(postings), dtype=np.int32), postings), at.astype(np.int32)
         often = postings * dense > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        whole = often[term]
-        self.rows = np.zeros((self.blocks, int(often.sum()), block))
-        self.rows[at[whole] // block, self.row[term[whole]], at[whole] % block] = weight[whole]
-        self.row_most = self.rows.max(axis=2).T
-        term, self.at, self.weight = term[~whole], at[~whole].astype(np.int64), weight[~whole]
-        cell = term * np.int64(self.blocks) + self.at // block
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.lo = np.append(starts, len(cell))  # postings of a term in a block
-        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.in_block = (cell[starts] % self.blocks).astype(np.int32)
-        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1))  # cells of a term
+        whole = np.repeat(often, postings)
+        row, place, exact = np.repeat(self.row[often], postings[often]), at[whole].astype(np.int32), weight[whole]
+        self.rows = np.zeros((self.blocks, int(often.sum()), block), np.float32)
+        self.rows[place // block, row, place % block] = exact
+        self.row_most = np.nextafter(self.rows.max(axis=2).T, np.float32(np.inf)).astype(float)
+        self.slack = (self.rows.shape[1] + 8) * 2.0**-23 + 1e-9
+        by = np.argsort(place, kind="stable")
+        self.exact_row, self.exact = _small(row[by]), exact[by]
+        self.exact_lo = np.append(0, np.cumsum(np.bincount(place, minlength=self.n)))
+        self.lo = np.append(0, np.cumsum(np.where(often, 0, postings)))  # postings of a rare term
+        self.at, self.weight = _small(at[~whole]), weight[~whole]
         self.read, self.asked = 0, 0  # blocks read, and all that could be
 
     @classmethod
@@ -167,78 +177,53 @@ class BlockMaxIndex:
         return out
 
     def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        frequent = np.zeros((len(queries), self.rows.shape[1]))
+        size, width = len(queries), self.blocks * self.block
+        frequent, rare = np.zeros((size, self.rows.shape[1])), np.zeros((size, width))
         for n, (ids, w) in enumerate(queries):
             row = self.row[ids]
             frequent[n, row[row >= 0]] = w[row >= 0]
-        bounds = frequent @ self.row_most
-        visits = [_Visit(self, ids, w, bounds[n], k) for n, (ids, w) in enumerate(queries)]
-        step, open_ = FIRST, list(range(len(queries)))
-        while open_:
-            wanted: dict[int, list[int]] = {}
-            for n in open_:
-                for b in visits[n].next(step).tolist():
-                    wanted.setdefault(b, []).append(n)
-            for b, of in wanted.items():
-                for n, product in zip(of, frequent[of] @ self.rows[b], strict=True):
-                    visits[n].give(b, product)
-                self.read += len(of)
-            for n in open_:
-                visits[n].score()
-            open_, step = [n for n in open_ if len(visits[n].new)], step * 2
-        self.asked += len(queries) * self.blocks
-        return [v.best() for v in visits]
-
-
-class _Visit:
-    """The blocks of one text by falling bound, and its best examples so far."""
-
-    def __init__(self, index: BlockMaxIndex, ids: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int):
-        lo, hi = index.cells[ids], index.cells[ids + 1]
-        self.index, self.k, self.cells, self.weights = index, k, _ranges(lo, hi), np.repeat(weights, hi - lo)
-        owner = index.in_block[self.cells]
-        self.bound = bound + np.bincount(owner, self.weights * index.most[self.cells], index.blocks) + 1e-9
-        order = np.argsort(-self.bound, kind="stable")
-        self.order = order[self.bound[order] > 2e-9]
-        rank = np.empty(index.blocks, np.int32)
-        rank[order] = np.arange(len(order))
-        self.rank = rank[owner]
-        self.done, self.kth, self.at, self.s = 0, -1.0, np.zeros(0, np.int64), np.zeros(0)
-
-    def next(self, step: int) -> np.ndarray:
-        """The next blocks that may hold one of the k best; bounds fall, so none after the first that can't."""
-        new = self.order[self.done : self.done + step]
-        self.new = new[self.bound[new] >= self.kth]
-        self.given: dict[int, np.ndarray] = {}
-        return self.new
-
-    def give(self, block: int, part: np.ndarray) -> None:
-        """What frequent terms give to the examples of a new block."""
-        self.given[block] = part
-
-    def score(self) -> None:
-        """Cosines of the examples in the new blocks."""
-        if not len(self.new):
-            return
-        x = self.index
-        use = np.flatnonzero((self.rank >= self.done) & (self.rank < self.done + len(self.new)))
-        c = self.cells[use]
-        lo, hi = x.lo[c], x.lo[c + 1]
-        p = _ranges(lo, hi)
-        rare = np.bincount(x.at[p], np.repeat(self.weights[use], hi - lo) * x.weight[p], x.blocks * x.block).reshape(x.blocks, x.block)
-        score = np.round(rare[self.new] + np.array([self.given[b] for b in self.new.tolist()]), 9)
-        row, col = np.nonzero(score >= max(self.kth, 1e-9))
-        self.at, self.s = np.concatenate([self.at, self.new[row] * x.block + col]), np.concatenate([self.s, score[row, col]])
-        if len(self.at) > self.k:
-            self.kth = np.partition(self.s, len(self.s) - self.k)[len(self.s) - self.k]
-            keep = self.s >= self.kth
-            self.at, self.s = self.at[keep], self.s[keep]
-        self.done += len(self.new)
-
-    def best(self) -> tuple[np.ndarray, np.ndarray]:
-        i = self.index.order[self.at]
-        top = np.lexsort((i, -self.s))[: self.k]
-        return i[top], self.s[top]
+            lo, hi = self.lo[ids], self.lo[ids + 1]
+            p = _ranges(lo, hi)
+            rare[n] = np.bincount(self.at[p], np.repeat(w, hi - lo) * self.weight[p], width)
+        bound = frequent @ self.row_most + rare.reshape(size, self.blocks, self.block).max(axis=2) + 1e-9
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        single, near = frequent.astype(np.float32), np.zeros((size, width), np.float32)
+        best, done, step = np.zeros((size, k), np.float32), 0, FIRST
+        open_ = np.arange(size)
+        while len(open_) and done < self.blocks:
+            blocks = order[open_, done : done + step]
+            # bounds fall, so none after the first that can't hold one of the k best
+            may = bound[open_, done : done + step] >= np.maximum(best[open_].min(axis=1, keepdims=True) - self.slack, 2e-9)
+            open_, blocks, may = open_[may[:, 0]], blocks[may[:, 0]], may[may[:, 0]]
+            found = np.zeros((len(open_), blocks.shape[1], self.block), np.float32)
+            for b in np.unique(blocks[may]).tolist():
+                of, nth = np.nonzero(may & (blocks == b))
+                text, places = open_[of], slice(b * self.block, (b + 1) * self.block)
+                found[of, nth] = near[text, places] = single[text] @ self.rows[b] + rare[text, places]
+            self.read += int(may.sum())
+            both = np.concatenate([best[open_], found.reshape(len(open_), blocks.shape[1] * self.block)], axis=1)
+            best[open_] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            done, step = done + step, step * 2
+        self.asked += size * self.blocks
+        of, place = np.nonzero((near > 0) & (near >= best.min(axis=1, keepdims=True) - np.float32(2 * self.slack)))
+        score = np.round(rare[of, place] + self._frequent(frequent, of, place), 9)
+        of, place, score = (x[score >= 1e-9] for x in (of, place, score))
+        example = self.order[place]
+        by = np.lexsort((example, -score, of))
+        ends = np.searchsorted(of, np.arange(size + 1))
+        return [(example[i], score[i]) for i in (by[lo : min(hi, lo + k)] for lo, hi in zip(ends[:-1], ends[1:], strict=True))]
+
+    def _frequent(self, frequent: np.ndarray, of: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What frequent terms give to text of[i] and the example at place[i]; a bounded number of pairs at once."""
+        out = np.zeros(len(of))
+        for first in range(0, len(of), PAIRS):
+            part = slice(first, first + PAIRS)
+            lo, hi = self.exact_lo[place[part]], self.exact_lo[place[part] + 1]
+            p = _ranges(lo, hi)
+            pair = np.repeat(np.arange(len(lo)), hi - lo)
+            out[part] = np.bincount(pair, frequent[of[part][pair], self.exact_row[p]] * self.exact[p], len(lo))
+        return out
 
 
 def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:
@@ -246,11 +231,6 @@ def vote(similarity: np.ndarray, y: np.ndarray, power: int) -> float:
     return float((w * y).sum() / w.sum()) if len(w) and w.sum() > 0 else 0.0
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same whole numbers in as few bytes as they need."""
-    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
-
-
 class Model:
     """Index of the examples, by rising doc_id; without one only the share of class 1. It travels as terms and counts, from which
     each worker makes the index."""

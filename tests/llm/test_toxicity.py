@@ -28,6 +28,36 @@ def test_index_equals_brute_force():
     assert near.tolist() == [1, 5, 9, 13, 17, 21, 25] and index.read < 0.3 * index.asked
 
 
+def test_bounds_add_up_what_rare_terms_give_to_one_example():
+    """Each of 40 rare terms is in another example of every block; only block 0 has examples with all of them."""
+    n, block, terms = 4096, 64, 40
+    rows = [{e % block: 1.0} if e % block < terms else {terms + e: 1.0} for e in range(n)]
+    for e in range(terms, terms + 8):
+        rows[e] = dict.fromkeys(range(terms), round(terms**-0.5, 9))
+    postings = sorted((t, e, w) for e, r in enumerate(rows) for t, w in r.items())
+    term, at, weight = (np.array(x) for x in zip(*postings, strict=True))
+    index = tx.BlockMaxIndex(np.arange(n), np.bincount(term), at, weight, block)
+    near, sim = index.nearest(np.arange(terms), np.full(terms, round(terms**-0.5, 9)), 7)
+    assert near.tolist() == list(range(terms, terms + 7)) and np.allclose(sim, 1) and index.read < 0.2 * index.asked
+
+
+def test_single_precision_does_not_order_near_ties():
+    """Frequent terms only; cosines differ in the eighth digit, below what single precision tells apart."""
+    rng = np.random.default_rng(5)
+    base = np.round(np.full(20, 20**-0.5) + 1e-7 * rng.random((400, 20)), 9)
+    q = np.round(np.full(20, 20**-0.5), 9)
+    index = tx.BlockMaxIndex.of([(np.arange(20), v) for v in base], 20)
+    s = np.round(base @ q, 9)
+    near, sim = index.nearest(np.arange(20), q, 7)
+    assert near.tolist() == sorted(range(400), key=lambda e: (-s[e], e))[:7] and np.allclose(sim, np.sort(s)[::-1][:7], atol=0, rtol=1e-9)
+
+
+def test_words_of_all_alphabets():
+    text = "Straße_zwei naïve\xa0ÀÉ x²½ 12µm"
+    for t in (text, text + " Ωμέγα слово", "", "\x85\x1c_"):
+        assert tx.words_of(t) == tx._WORD.findall(t.lower())
+
+
 def test_query_equals_brute_force(spark):
     """Evidence, similarities and scores of op2_toxicity by plain cosines over all terms of all learning examples."""
     import math
