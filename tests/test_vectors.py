@@ -85,3 +85,14 @@ def test_a_row_is_dealt_by_groups_not_by_blocks(table, monkeypatch):
     groups = len(set(ours["of"].to_pylist()))
     assert len(ours) > 40 and groups <= 4
     assert V._dealt(a, ours, ours, np.arccos(np.clip(pivots @ pivots.T, -1, 1)), -0.1, ("g", "h")).count() == n * groups
+
+
+def test_single_precision_stays_so_in_shuffles(table):
+    """Vectors of single precision travel as such, before in twice the bytes; those of double precision keep it."""
+    df, _ = table
+    for kind in ("float", "double"):
+        vectors = df.select("vec_id", df["embedding"].cast(f"array<{kind}>").alias("embedding"))
+        (a, of_a, n), _, pivots = V._both(vectors, vectors, "vec_id", "vec_id", "embedding")
+        ours = V._grouped(of_a, n, 4)
+        dealt = V._dealt(a, ours, ours, np.arccos(np.clip(pivots @ pivots.T, -1, 1)), -0.1, ("g", "h"))
+        assert dealt.schema["embedding"].dataType.simpleString() == f"array<{kind}>"
