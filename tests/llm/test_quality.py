@@ -92,6 +92,42 @@ def test_thresholds_lose_few_good_rows():
     assert np.isinf(quality_rules.thresholds(scores, cause, np.ones(4000, bool), 0.01)).all()
 
 
+def test_every_labelled_row_sets_thresholds(documents, labels):
+    """Thresholds of 24,000 labelled rows, more than were once sampled, equal those worked out in memory over all; the forest too
+    depends on neither order nor partitioning."""
+    rng = np.random.default_rng(4)
+    words = ["ab", "cde", "fghij", "klmnopq", "RST", "u#v", "wx!", "Yz", "|", "word"]
+    rows = []
+    for i in range(24_000):
+        few = rng.integers(0, 10, 28)
+        bad = rng.random() < 0.15
+        rows.append((i, " ".join(words[w] if not bad or w < 4 else words[w].upper() + "#!" for w in few) + (" \n a b" * int(rng.integers(0, 3))), int(not bad)))
+    docs, marks = documents([r[:2] for r in rows]), labels([(i, q, 0) for i, _, q in rows])
+    forest, limits = quality_rules.fit(docs, marks)
+    m, good = ts.measure_all([t.encode() for _, t, _ in rows]), np.array([q == 1 for *_, q in rows])
+    judged = ~quality_rules.base_failed(m)
+    expected = quality_rules.thresholds(*forest.score(quality_rules.statistics(m[judged])), good[judged], 0.01)
+    assert np.isfinite(expected).any() and limits.tolist() == expected.tolist()
+    again, same = quality_rules.fit(docs.repartition(7), marks.repartition(5))
+    assert same.tolist() == limits.tolist() and (again.threshold == forest.threshold).all() and (again.feature == forest.feature).all()
+
+
+def test_spark_limits_equal_those_in_memory(spark):
+    """Ties, whole buckets of scores, causes without gain, rows at the ends and every bound on lost rows."""
+    rng = np.random.default_rng(8)
+    for n, digits, share, max_lost in ((1, 3, 0.5, 0.1), (40, 1, 0.5, 0.2), (3000, 2, 0.1, 0.01), (3000, 9, 0.3, 0.05), (500, 5, 0.0, 0.1)):
+        good, cause = rng.random(n) >= share, rng.integers(0, 6, n)
+        scores = np.round(rng.random(n) * 0.6 + np.where(~good & (cause < 3), 0.3, 0.0), digits)
+        rows = spark.createDataFrame(list(zip(cause.tolist(), scores.tolist(), good.astype(int).tolist(), strict=True)), "cause int, score double, good long")
+        assert quality_rules.limits(rows, max_lost).tolist() == quality_rules.thresholds(scores, cause, good, max_lost).tolist()
+
+
+def test_forest_is_grown_on_unlabelled_documents_too(documents, labels):
+    rows = texts(600)
+    forest, _ = quality_rules.fit(documents([r[:2] for r in rows]), labels([(i, q, 0) for i, _, q in rows[:20]]))
+    assert forest.norm == quality_rules.IsolationForest().fit(np.zeros((256, 7))).norm
+
+
 def test_qda_on_held_out_rows(documents, labels):
     rows = texts(800)
     out = {r.doc_id: r for r in quality_qda.classify(documents([r[:2] for r in rows]), labels([(i, q, 0) for i, _, q in rows])).collect()}
