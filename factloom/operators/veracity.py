@@ -30,9 +30,12 @@ def gated(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_gate", both).withColumns({"nli_confidence": F.col("_gate.conf"), "nli_label": F.col("_gate.label")}).drop("_gate")
 
 
-def verdicts(evidence: DataFrame, key: str = "claim_id", also: tuple[Column, ...] = ()) -> DataFrame:
+def verdicts(evidence: DataFrame, key: str = "claim_id", also: tuple[Column, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """One verdict a claim, and named aggregates to carry along, from gated rows (nli_label, nli_confidence, is_independent, tier, risk, is_attribution). The risk
-    gate comes first, then fusion, then attribution protection and the cap for low tiers."""
+    gate comes first, then fusion, then attribution protection and the cap for low tiers. Where an order is named, a claim's confidences are added in it, one
+    after another by one task that holds none of them, so that means do not depend on partitions."""
+    if order:
+        evidence = evidence.repartition(key).sortWithinPartitions(key, *order)
     free = F.coalesce("is_independent", F.lit(True))
     mean = lambda label: F.avg(F.when(free & (F.col("nli_label") == label), F.col("nli_confidence")))
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for t in range(1, 6) for x in (f"T{t}", t))), F.col("tier")), F.lit(5))

@@ -100,6 +100,8 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("claim_id"), "event_id", label.alias("nli_label"), ((k % 100) / 100.0).cast("double").alias("nli_confidence"), (F.col("event_id") % 4 != 0).alias("is_independent"), F.concat(F.lit("T"), (1 + k % 5).cast("string")).alias("tier"), F.element_at(named, (F.col("user_id") % 4).cast("int")).alias("risk"), (F.col("user_id") % 7 == 0).alias("is_attribution"))
 
 
+#: Doubles are added by rising event.
+_IN_TURN = ("event_id", "nli_confidence")
 _FUSED = """agg as (select claim_id, count(nli_label) as n, count(*) filter (nli_label is not null and free) as f, min(case when nli_label is not null then rank end) as best,
   avg(conf) filter (free and nli_label = 'ENTAILMENT') as s, avg(conf) filter (free and nli_label = 'CONTRADICTION') as c, avg(conf) filter (free and nli_label = 'NEUTRAL') as neutral, max(risk) as risk, bool_or(told) as told from ev group by claim_id),
  fused as (select claim_id, case when n = 0 then struct_pack(l := 'UNKNOWN', q := 0.5::double) when risk = 'CRITICAL' and best > 2 then struct_pack(l := 'UNKNOWN', q := 0.3::double) when risk = 'HIGH' and best > 3 then struct_pack(l := 'UNKNOWN', q := 0.4::double)
@@ -115,7 +117,7 @@ _FUSED = """agg as (select claim_id, count(nli_label) as n, count(*) filter (nli
 
 @query(f"with {_EVIDENCE}, {_FUSED} select claim_id, v.l as label, round(v.q, 6) as confidence from fused")
 def verdict_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return veracity.verdicts(_evidence(spark, d)).select("claim_id", "label", F.round("confidence", 6).alias("confidence"))
+    return veracity.verdicts(_evidence(spark, d), order=_IN_TURN).select("claim_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""with c as (select event_id, user_id, case event_type when 'view' then 'SUPPORTED' when 'click' then 'CONTRADICTED' when 'purchase' then 'MIXED' else 'UNKNOWN' end as label, (k % 100) / 100.0::double as q from (select *, cast(json_extract_string(props, '$.k') as int) as k from events)),

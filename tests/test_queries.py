@@ -3,9 +3,11 @@
 import importlib.util
 import math
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 
@@ -57,3 +59,25 @@ def test_queries_take_empty_tables(spark, tmp_path):
 def test_operators_are_optional():
     there = importlib.util.find_spec("factloom.llm") is not None
     assert any(n.startswith("op1_") for n in contract.queries()) == there
+
+
+@pytest.mark.parametrize("name", ["verdict_fusion"])
+def test_means_add_by_event_whatever_the_files(name, spark, tmp_path):
+    """Confidences of an exact mean of a threshold: which side a sum of doubles falls on depends on its order. The SQL runs on one thread, in the events' order."""
+    rng, rows = random.Random(7), []
+    for user in range(3, 1200, 4):  # of low risk
+        ks = [rng.randint(1, 99) for _ in range(rng.randint(4, 15))]
+        ks += [100 - k for k in ks]
+        rng.shuffle(ks)
+        rows += [(user, "view", f'{{"k": {k}}}') for k in ks]
+    rng.shuffle(rows)
+    events = spark.createDataFrame([(4 * i + 1, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, props string")
+    events.repartition(7, "props").sortWithinPartitions(F.desc("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    one = duckdb.connect(config={"threads": 1})
+    one.sql(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    assert rows_of(contract.queries()[name](spark, str(tmp_path))) == sorted(one.sql(contract.oracle_sql()[name]).fetchall())
+
+
+def rows_of(df):
+    """Rows as they are, doubles to the last bit."""
+    return sorted(map(tuple, df.collect()))
