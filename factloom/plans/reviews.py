@@ -9,7 +9,7 @@ from factloom import constants as K
 from factloom.functions import scores as S
 from factloom.operators import tables, veracity
 from factloom.plans.registry import query
-from factloom.plans.scoring import _EVIDENCE, _FUSED, _TURNS, _SCOPE, SEGMENTS, _evidence, _turns, segments
+from factloom.plans.scoring import _EVIDENCE, _FUSED, _IN_TURN, _TURNS, _SCOPE, SEGMENTS, _evidence, _turns, segments
 from factloom.session import table
 
 _TIERS = tuple(f"T{t}" for t in range(1, 6))
@@ -76,9 +76,11 @@ def baselines_daily(spark: SparkSession, d: str) -> DataFrame:
 def claim_insights(spark: SparkSession, d: str) -> DataFrame:
     """What the page of a document says about its claims, ten a document: rates, mean confidence, and whether the evidence of some
     claim is of too low a tier for its risk."""
-    c = veracity.verdicts(_evidence(spark, d)).withColumn("document_id", F.floor(F.col("claim_id") / 10))
+    c = veracity.verdicts(_evidence(spark, d), order=_IN_TURN).withColumn("document_id", F.floor(F.col("claim_id") / 10))
+    in_turn = F.array_sort(F.collect_list(F.struct("claim_id", "confidence")))  # ten at most
+    mean = F.aggregate(in_turn, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.count("*")
     is_ = lambda *x: F.count_if(F.col("label").isin(*x))
-    x = c.groupBy("document_id").agg(F.count("*").alias("claims"), is_("UNKNOWN").alias("u"), is_("SUPPORTED").alias("s"), is_("CONTRADICTED").alias("c"), is_("MIXED").alias("m"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.coalesce(F.bool_or(F.col("reason") == "INSUFFICIENT_TIER_FOR_RISK"), F.lit(False)).alias("insufficient_tier"))
+    x = c.groupBy("document_id").agg(F.count("*").alias("claims"), is_("UNKNOWN").alias("u"), is_("SUPPORTED").alias("s"), is_("CONTRADICTED").alias("c"), is_("MIXED").alias("m"), F.round(mean, 6).alias("mean_confidence"), F.coalesce(F.bool_or(F.col("reason") == "INSUFFICIENT_TIER_FOR_RISK"), F.lit(False)).alias("insufficient_tier"))
     share = (F.col("s") + F.col("c") + F.col("m")) / F.col("claims")
     band = F.when(share >= 0.75, "high").when(share >= 0.55, "medium").otherwise("low")
     return x.select("document_id", "claims", F.round(F.col("u") / F.col("claims"), 6).alias("unknown_rate"), F.round(S.contradiction_rate(F.col("s"), F.col("c"), F.col("m")), 6).alias("contradiction_rate"), "mean_confidence", "insufficient_tier", F.round(share, 6).alias("claim_grounding"), (F.col("claims") < K.MIN_SCORED).alias("low_sample"), band.alias("band"))

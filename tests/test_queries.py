@@ -61,7 +61,7 @@ def test_operators_are_optional():
     assert any(n.startswith("op1_") for n in contract.queries()) == there
 
 
-@pytest.mark.parametrize("name", ["verdict_fusion"])
+@pytest.mark.parametrize("name", ["verdict_fusion", "claim_insights"])
 def test_means_add_by_event_whatever_the_files(name, spark, tmp_path):
     """Confidences of an exact mean of a threshold: which side a sum of doubles falls on depends on its order. The SQL runs on one thread, in the events' order."""
     rng, rows = random.Random(7), []
