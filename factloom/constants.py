@@ -46,6 +46,13 @@ ATTRIBUTION = (
     r"\b(?:said|stated|wrote|tweeted|posted|announced|declared|claimed|told|testified)\b", r"\baccording\s+to\b",
     r"\b(?:in\s+a\s+(?:statement|tweet|post|speech|interview|press\s+conference))\b", r"\b(?:quoted\s+as\s+saying)\b",
 )
+#: Of each pattern above words, or parts of some, in small letters, one of which any match holds.
+NEEDED_WORDS = dict(zip((*CRITICAL_RISK, *HIGH_RISK, *MEDIUM_RISK, *ATTRIBUTION), (
+    "killed assassinated died dead death", "killed assassinated died dead death", "nuclear chemical biological", "war", "coup government", "martial emergency",
+    "terror", "mass", "genocide ethnic war", "invasion invaded invading", "sanctions embargo", "arrested indicted convicted", "arrested indicted convicted",
+    "market economic bank", "pandemic epidemic", "illegal unlawful prohibited banned", "statute regulation requires required", "investigat probe", "illions", "illion",
+    "said stated wrote tweeted posted announced declared claimed told testified", "according", "statement tweet post speech interview conference", "quoted",
+), strict=True))
 # Claims about law and about events.
 LEGAL_CLAIM = r"\billegal\b|\blaw\b|\bprohibit(ed|s)?\b|\bban(ned|s)?\b|\bpermitted\b|\ballowed\b|\bregulated\b"
 EVENT_CLAIM = r"\b(bomb(ed|ing|s)?|strike[sd]?|airstrike[sd]?|attack(ed|s)?|shelling|missile[sd]?|invasion|offensive|raid(ed|s)?|shell(ed|ing)?)\b"

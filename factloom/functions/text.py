@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,8 +121,9 @@ def word_jaccard(a: Column, b: Column) -> Column:
     """0 where either text has no words. Each text is made even once."""
 
     def shared(t: Column) -> Column:
-        x, y = (F.array_distinct(F.split(t[i], " ")) for i in (0, 1))
-        return F.when((t[0] == "") | (t[1] == ""), F.lit(0.0)).otherwise(jaccard(x, y))
+        sets = F.struct(*(F.array_distinct(F.split(t[i], " ")).alias(x) for i, x in enumerate("ab")))
+        sized = lambda s: once(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n / (F.size(s["a"]) + F.size(s["b"]) - n))
+        return F.when((t[0] == "") | (t[1] == ""), F.lit(0.0)).otherwise(F.coalesce(once(sets, sized), F.lit(0.0)))
 
     return once(F.array(normalised(a), normalised(b)), shared)
 
@@ -165,9 +168,11 @@ def web_tier(url: Column) -> Column:
 
 
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
-    found = c.rlike("(?i)" + patterns[0])
-    for p in patterns[1:]:
-        found = found | c.rlike("(?i)" + p)
+    """Whether a pattern fits, whatever the case. One is only tried on texts with a word that its matches need."""
+    low, found = F.lower(c), F.lit(False)
+    for p in patterns:
+        held = [F.contains(low, F.lit(w)) for w in C.NEEDED_WORDS[p].split()]
+        found = found | (reduce(or_, held) & c.rlike("(?i)" + p))
     return found
 
 

@@ -25,8 +25,9 @@ from factloom.session import scratch_table, ship
 BLOCK, PIVOTS, SAMPLE = 4096, 128, 4096
 #: What rounding may take from an angle.
 _SLACK = 4e-6
-#: Rows of a group of blocks. Rows and columns of cosines taken at once, and pairs worked out at once.
-GROUP, _ROWS, _COLUMNS, _PAIRS = 32768, 512, 4096, 1 << 15
+#: Rows of a group of blocks. Rows and columns of cosines taken at once (they fit a core's cache), columns of a run, and pairs worked
+#: out at once.
+GROUP, _ROWS, _COLUMNS, _RUN, _PAIRS = 65536, 256, 2048, 16, 1 << 15
 
 
 def unit(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -87,47 +88,75 @@ def _few_copies(ids: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 def nearest(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray, k: int, above: float, exclude_equal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left id, right id, cosine): of each row of u its k of v above a bound, ties to the smaller id. Rows with a component that is
-    not finite have none. Columns come by rising id, so later ones must exceed the kth found."""
+    not finite have none. Columns are taken in stretches, each as long as all before it, so that some k a row pass the kth found in
+    those; what rounding allows among the k is kept in single precision, and exact cosines decide last."""
     fine, sound = (np.isfinite(x).all(axis=1) for x in (u, v))
     p, u, order = p[fine], u[fine], np.flatnonzero(sound)[np.argsort(q[sound], kind="stable")]
     q, v = q[order], v[order]
     few = _few_copies(q, v, k + 1) if len(v) else np.zeros(0, np.int64)  # one more, as a row's own id may be among them
     q, v = q[few], v[few]
-    single, slack, out = v.astype(np.float32), rounding(v.shape[1]), []
+    single, slack, out = v.astype(np.float32), np.float32(rounding(v.shape[1])), []
     for s in range(0, len(p) if len(q) else 0, _ROWS):
         mine, w = p[s : s + _ROWS], u[s : s + _ROWS]
-        least = np.full(len(mine), above)
-        row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        low, high = (np.searchsorted(q, mine, side) if exclude_equal else np.zeros(len(mine), np.int64) for side in ("left", "right"))
-        own = np.repeat(np.arange(len(mine)), high - low)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - high, high - low)
-        for c in range(0, len(q), _COLUMNS):
-            near = w.astype(np.float32) @ single[c : c + _COLUMNS].T
-            here = (at >= c) & (at < c + _COLUMNS)
-            near[own[here], at[here] - c] = -np.inf
-            at_least = (least - slack)[:, None].astype(np.float32)
-            r, j = np.divmod(np.flatnonzero(near > at_least), near.shape[1])  # far faster than by rows and columns
-            if not len(r):
-                continue
-            many = np.flatnonzero(np.bincount(r, minlength=len(mine)) > 2 * k)
-            if len(many):
-                at_least = at_least[:, 0]
-                kth = np.partition(near[many], near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-                at_least[many] = np.maximum(at_least[many], kth - np.float32(2 * slack))
-                keep = near[r, j] >= at_least[r]
-                r, j = r[keep], j[keep]
-            got = exact_cosines(w, v, r, c + j)
-            new = got > least[r]
-            row, col, sim = np.append(row, r[new]), np.append(col, c + j[new]), np.append(sim, got[new])
-            order = np.lexsort((col, -sim, row))
+        own = tuple(np.searchsorted(q, mine, side) for side in ("left", "right")) if exclude_equal else None
+        least = np.full(len(mine), np.float32(above) - slack, np.float32)
+        row, col, sim, at, to = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 0, _COLUMNS
+        while at < len(q):
+            got = _passing(w.astype(np.float32), single, at, min(to, len(q)), least, own, k, 2 * slack)
+            row, col, sim = (np.append(x, y) for x, y in zip((row, col, sim), got, strict=True))
+            order = np.lexsort((-sim, row))
             row, col, sim = row[order], col[order], sim[order]
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, sim, nth = (x[nth < k] for x in (row, col, sim, nth))
-            least[row[nth == k - 1]] = sim[nth == k - 1]
-        out.append((mine[row], q[col], sim))
+            kth = np.searchsorted(row, row) + k - 1
+            kth, beyond = np.minimum(kth, len(row) - 1), kth >= len(row)
+            full = (row[kth] == row) & ~beyond  # of a row that has k
+            keep = ~full | (sim >= sim[kth] - 2 * slack)
+            least[row[full]] = np.maximum(least[row[full]], sim[kth[full]] - 2 * slack)
+            row, col, sim = row[keep], col[keep], sim[keep]
+            if len(row) > 4 * k * len(mine):  # too many near one another to go on with
+                row, col, exact = _first(w, v, row, col, k, above)
+                sim = exact.astype(np.float32)
+            at, to = to, 2 * to
+        row, col, exact = _first(w, v, row, col, k, above)
+        out.append((mine[row], q[col], exact))
     return tuple(np.concatenate([np.zeros(0, kind), *(o[i] for o in out)]) for i, kind in enumerate((np.int64, np.int64, float)))
 
 
+def _first(u: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray, k: int, above: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the k greatest cosines above a bound of each row, ties to the first column."""
+    sim = exact_cosines(u, v, row, col)
+    order = np.lexsort((col, -sim, row))
+    order = order[sim[order] > above]
+    nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    order = order[nth < k]
+    return row[order], col[order], sim[order]
+
+
+def _passing(w: np.ndarray, v: np.ndarray, start: int, end: int, least: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None, k: int, slack: np.float32) -> list[np.ndarray]:
+    """(row, column, cosine) in single precision of what reaches each row's least in a stretch of columns. own: the columns of each
+    row's own id, which don't count. Columns are looked at by runs, first at their greatest; in the first stretch k runs have a cosine
+    of at least the kth greatest of these."""
+    found: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    space = np.empty(len(w) * min(_COLUMNS, -(-(end - start) // _RUN) * _RUN), np.float32)
+    for c in range(start, end, _COLUMNS):
+        some = v[c : min(c + _COLUMNS, end)]
+        runs = -(-len(some) // _RUN)  # a run's columns lie that far apart
+        near = space[: len(w) * runs * _RUN].reshape(len(w), -1)
+        np.matmul(w, some.T, out=near[:, : len(some)])
+        near[:, len(some) :] = -np.inf
+        if own is not None:
+            for i in np.flatnonzero((own[0] < own[1]) & (own[1] > c) & (own[0] < c + len(some))).tolist():
+                near[i, max(own[0][i] - c, 0) : own[1][i] - c] = -np.inf
+        near = near.reshape(len(w), _RUN, runs)
+        greatest = near.max(axis=1)
+        if c == 0 and runs >= k:
+            least = np.maximum(least, np.partition(greatest, runs - k, axis=1)[:, runs - k] - slack)
+        r, run = np.divmod(np.flatnonzero(greatest >= least[:, None]), runs)  # far faster than by rows and columns
+        part = near[r, :, run]
+        n, place = np.nonzero(part >= least[r, None])
+        found.append((r[n], c + place * runs + run[n], part[n, place]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def _pivots(rows: DataFrame, vec: str) -> np.ndarray:
     """Unit vectors far from one another, of a sample by hash, and at most one for every hundred rows of it."""
     got = rows.select(vec).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
@@ -241,6 +270,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, above: float, *, left_id
         cols = [np.concatenate([np.zeros(0, kind), *(f[j] for f in found)]) for j, kind in enumerate((np.int64, np.int64, float))]
         return pa.table({"left_id": cols[0], "right_id": cols[1], "sim": cols[2]})
 
+    tasks = (ours["of"].to_numpy().max(initial=0) + 1) * (theirs["of"].to_numpy().max(initial=0) + 1)  # as many as meetings: the longest ends little after the mean
+    x, y = (t.repartition(int(tasks), "g", "h") for t in (x, y))
     met = x.groupBy("g", "h").cogroup(y.groupBy("g", "h")).applyInArrow(meet, "left_id long, right_id long, sim double")
     order = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

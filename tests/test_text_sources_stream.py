@@ -1,7 +1,11 @@
 """Text functions, feeds, providers, streams."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from factloom import constants as K
 from factloom.functions import text as T
 from factloom.sources import feeds, providers
 from factloom.streaming import status
@@ -155,3 +159,29 @@ def test_addresses_of_an_answer_are_listed_once(spark):
     condition = plan.split("filter(", 1)[1]
     assert "transform(" not in condition.split("lambdafunction", 2)[1]
     assert [x.url for x in df.select(providers.web_sources(F.lit('[{"url":"u"},{"url":"v"},{"url":"u"},{}]')).alias("x")).first().x] == ["u", "v"]
+
+
+def test_patterns_of_risk_equal_plain_ones(spark):
+    """Whatever the case, on texts made of the patterns' own words; a pattern is tried only on texts with a word it needs (before, on all)."""
+    rng = random.Random(11)
+    words = sorted({w for p in K.NEEDED_WORDS for w in re.findall(r"[a-z]{2,}", p)} | {"a", "coup d'état", "$5", "$1,500", "investigation", "warden", "said."})
+    texts = [" ".join(rng.sample(words, rng.randint(1, 6))) for _ in range(1500)]
+    texts += [t + " " + rng.choice(words) for t in (
+        "died a king", "the pope is dead", "nuclear strike", "declaration of war", "war declared", "coup d'état", "government overthrown", "martial law declared", "state of emergency",
+        "terror attack", "mass casualties", "ethnic cleansing", "war crime", "invaded a country", "embargo announced", "arrested ceo", "senator indicted", "bank failure", "pandemic declared",
+        "unlawful", "legally required", "law requires", "under investigation", "being investigated", "probe", "millions of dollars", "an $5 billion", "x$1,500 million", "told", "according to",
+        "in a press conference", "in a tweet", "quoted as saying",
+    ) for _ in range(3)]
+    texts = ["".join(rng.choice((c.upper(), c)) if c.isascii() else c for c in t) for t in texts]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(T.any_of(F.col("t"), (p,)).alias(f"p{i}") for i, p in enumerate(K.NEEDED_WORDS))).collect()
+    for i, p in enumerate(K.NEEDED_WORDS):
+        want = [bool(re.search(p, r.t, re.I | re.A)) for r in got]
+        assert [r[f"p{i}"] for r in got] == want and any(want), p
+    assert "contains" in str(T.any_of(F.col("t"), K.ATTRIBUTION)).lower()
+
+
+def test_vectors_of_a_batch_equal_those_one_by_one(spark):
+    texts = ["one two two", "", None, "  ", "Three ONE été", "", "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r.i: r.embedding for r in providers.with_embedding(rows, "t").collect()}
+    assert got == {i: providers.hashed_vector(t or "") for i, t in enumerate(texts)} and got[1] is None and len(got[6]) == 64

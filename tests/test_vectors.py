@@ -96,3 +96,25 @@ def test_single_precision_stays_so_in_shuffles(table):
         ours = V._grouped(of_a, n, 4)
         dealt = V._dealt(a, ours, ours, np.arccos(np.clip(pivots @ pivots.T, -1, 1)), -0.1, ("g", "h"))
         assert dealt.schema["embedding"].dataType.simpleString() == f"array<{kind}>"
+
+
+def test_exact_cosines_are_few_a_row(monkeypatch):
+    """Single precision keeps little more than k a row; before, some dozens a row were worked out exactly."""
+    rng, asked = np.random.default_rng(5), []
+    exact = V.exact_cosines
+    monkeypatch.setattr(V, "exact_cosines", lambda u, v, row, col: asked.append(len(row)) or exact(u, v, row, col))
+    u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(600, 32)), rng.normal(size=(20011, 32))))
+    ids = rng.permutation(20011)
+    p, q, s = V.nearest(np.arange(600), u, ids, v, 8, 0.25, True)
+    assert sum(asked) < 10 * 600
+    sim = np.round(u @ v.T, 9)
+    sim[np.arange(600), np.argsort(ids)[:600]] = -1
+    near = np.argsort(-sim, axis=1)[:, :8]
+    assert sorted(zip(p.tolist(), q.tolist(), strict=True)) == sorted((i, int(ids[j])) for i in range(600) for j in near[i]) and s.min() > 0.25
+
+
+def test_as_many_tasks_as_groups_meet(table):
+    """Meetings are spread over as many tasks; before, over the session's partitions, some of which had most."""
+    df, _ = table
+    plan = V.knn_join(df, df, 3, -0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
