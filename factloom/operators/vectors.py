@@ -104,7 +104,7 @@ def nearest(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray, k: int,
         while at < len(q):
             got = _passing(w.astype(np.float32), single, at, min(to, len(q)), least, own, k, 2 * slack)
             row, col, sim = (np.append(x, y) for x, y in zip((row, col, sim), got, strict=True))
-            order = np.lexsort((-sim, row))
+            order = np.argsort(row * 4.0 - sim)  # by row, then by falling cosine
             row, col, sim = row[order], col[order], sim[order]
             kth = np.searchsorted(row, row) + k - 1
             kth, beyond = np.minimum(kth, len(row) - 1), kth >= len(row)
@@ -146,13 +146,12 @@ def _passing(w: np.ndarray, v: np.ndarray, start: int, end: int, least: np.ndarr
         if own is not None:
             for i in np.flatnonzero((own[0] < own[1]) & (own[1] > c) & (own[0] < c + len(some))).tolist():
                 near[i, max(own[0][i] - c, 0) : own[1][i] - c] = -np.inf
-        near = near.reshape(len(w), _RUN, runs)
-        greatest = near.max(axis=1)
+        greatest = near.reshape(len(w), _RUN, runs).max(axis=1)
         if c == 0 and runs >= k:
             least = np.maximum(least, np.partition(greatest, runs - k, axis=1)[:, runs - k] - slack)
         r, run = np.divmod(np.flatnonzero(greatest >= least[:, None]), runs)  # far faster than by rows and columns
-        part = near[r, :, run]
-        n, place = np.nonzero(part >= least[r, None])
+        part = near.ravel().take((r * (_RUN * runs) + run)[:, None] + np.arange(_RUN) * runs)
+        n, place = np.divmod(np.flatnonzero(part >= least[r, None]), _RUN)
         found.append((r[n], c + place * runs + run[n], part[n, place]))
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
